@@ -115,19 +115,22 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, width: int = 5) -> tuple[
         sums += words[k : k + len(sums)] * U64(weight)
     sums = mix(sums)
     many = np.maximum(n - width + 1, 0)
-    rows = np.repeat(np.arange(len(n)), many)
-    out = sums[ragged(before[:-1], many)]
-    if (few := np.flatnonzero((n > 0) & (n < width))).size:
-        short = np.empty(len(few), U64)
-        for i, r in enumerate(few):
-            h = int(n[r])
-            for w in words[before[r] : before[r + 1]]:
-                h = (h * BASE + int(w)) % (1 << 64)
-            short[i] = h
-        rows, out = np.concatenate([rows, few]), np.concatenate([out, mix(short)])
-    order = np.lexsort((out, rows))
-    rows, out = rows[order], out[order]
+    out = sums[ragged(before[:-1], np.where(n < width, np.minimum(n, 1) * (len(sums) > 0), many))]
+    size = np.minimum(np.maximum(many, n > 0), many + (n > 0))
+    if not len(sums):
+        out = np.zeros(int(size.sum()), U64)
+    at = np.zeros(len(n) + 1, np.int64)
+    np.cumsum(size, out=at[1:])
+    for r in np.flatnonzero((n > 0) & (n < width)):
+        h = int(n[r])
+        for w in words[before[r] : before[r + 1]]:
+            h = (h * BASE + int(w)) % (1 << 64)
+        out[at[r]] = h * 0xBF58476D1CE4E5B9 % (1 << 64)
     new = np.ones(len(out), bool)
-    new[1:] = (rows[1:] != rows[:-1]) | (out[1:] != out[:-1])
-    rows, out = rows[new], out[new]
-    return out, np.searchsorted(rows, np.arange(len(n) + 1))
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        out[a:b].sort()
+    new[1:] = out[1:] != out[:-1]
+    new[at[:-1][size > 0]] = True
+    kept = np.zeros(len(out) + 1, np.int64)
+    np.cumsum(new, out=kept[1:])
+    return out[new], kept[at]

@@ -7,8 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, sharding, tokenfile
+from . import bpe, decontaminate, html, jaccard, language, linededup, quality, sharding, tokenfile, warc
 from .common import table
+from .oracle import ORACLE_SQL  # noqa: F401
 
 #: Sixteen shards of equal weight.
 SHARDS = {f"shard-{i:02d}": 1 for i in range(16)}
@@ -18,18 +19,44 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id"), SHARDS)
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.pages_round_trip(table(spark, sf_dir, "pages"))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.drop_recurring(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    return quality.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op5_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.write_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_components(table(spark, sf_dir, "documents"))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return language.identify(docs, language.fit(docs)).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_sharding": op1_sharding,
-    "op5_token_file": op5_token_file,
-    "op10_bpe": op10_bpe,
+    f.__name__: f for f in (op1_sharding, op2_warc, op3_line_dedup, op4_quality, op5_token_file, op6_jaccard_join, op7_language, op8_html, op9_decontaminate, op10_bpe)
 }
-
-ORACLE_SQL: dict[str, str] = {}
