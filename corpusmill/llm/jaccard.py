@@ -1,6 +1,6 @@
 """Exact Jaccard join of word-shingle sets, as components of linked documents.
 
-Documents with equal sets are one node. The shingles have one global order: by frequency level (from a count
+Documents with equal sets are one node. The shingles have one global order: by frequency rank (from a count
 sketch over all documents), then by hash. A node's prefix is as long as needed so that two sets of the asked
 similarity must share, inside their prefixes, one shingle of the rare level or k shingles of one class of a
 frequent level; rare shingles are indexed alone, those of frequent classes as combinations of k. Candidates are
@@ -13,8 +13,10 @@ shared ones. The classes of frequent levels are ranges of hashes whose number fo
 part with the ranges of every size that a similar set can have.
 
 Only links that tell components apart are verified: first each index entry against one centre, then those in
-different components against others, at last all pairs of one entry that are still in different components. Hot
-entries are salted with the sketched frequency.
+different components against others, at last the pairs of one entry that are still in different components, unless
+too few shingles are left behind the entry's place in the order, or
+their distances to a common pivot differ by more than similar sets' can. Hot entries are salted by the sketched
+frequency.
 
 Null and empty texts have no shingles and their own component; null doc_ids are never linked and get a null
 component; rows that repeat a doc_id share its fate. An empty table gives no rows.
@@ -24,6 +26,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -39,14 +42,16 @@ from .components import components
 WIDTH = 5
 #: Similarity in hundredths.
 SIMILARITY = 80
-#: Cells of the count sketch, within these bounds; as many as documents between them.
-CELLS = (1 << 18, 1 << 24)
-#: A shingle is of level k if its count exceeds so many times the mean of all cells.
-LEVELS = {2: 8, 3: 64}
+#: Cells of the count sketch, within these bounds; between them up to 16 for each document.
+CELLS = (1 << 18, 1 << 23)
+#: Frequencies are ranked in half octaves above the mean of all cells; from these ranks on a shingle is of level k.
+LEVELS = {2: 6, 3: 12}
 #: Sets that may be similar to one of fewer shingles use single shingles only.
 SMALL = 32
 #: Rows of an index entry that share one salt.
 SALT_ROWS = 20_000
+#: Rounds of one more pair for each unsettled node, before all pairs that are left.
+ROUNDS = 2
 CHUNK = 1 << 14
 BYTES = 4 << 20
 
@@ -81,19 +86,19 @@ def profile(docs: DataFrame, cells: int) -> DataFrame:
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches):
-        counts = np.zeros(2 * cells, np.int64)
+        counts = np.zeros(2 * cells, np.uint32)
         task = 0
         for b in batches:
             task = b.column(2)[0].as_py() if b.num_rows else task
             for i, sets, at in _sets(b):
                 for k, cell in enumerate(_cells(sets, cells)):
-                    counts[k * cells : (k + 1) * cells] += np.bincount(cell, minlength=cells)
+                    counts[k * cells : (k + 1) * cells] += np.bincount(cell, minlength=cells).astype(np.uint32)
                 m = len(at) - 1
                 none = pa.nulls(m, pa.int32())
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, m), pa.array(np.diff(at), pa.int32()), pa.array(_nodes(sets, at)), none, none, pa.nulls(m, pa.binary())], names)
         used = [c for c in range(0, 2 * cells, CHUNK) if counts[c : c + CHUNK].any()]
         if used:
-            rows = [(None, None, None, task, c // CHUNK, counts[c : c + CHUNK].tobytes()) for c in used]
+            rows = [(None, None, None, task, c // CHUNK, zlib.compress(counts[c : c + CHUNK].astype(np.int64).tobytes(), 1)) for c in used]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names)
 
     return docs.withColumn("_task", F.spark_partition_id()).mapInArrow(run, schema)
@@ -105,23 +110,23 @@ def sketch(profiled: DataFrame, cells: int) -> np.ndarray:
     def add(group: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(CHUNK, np.int64)
         for x in group.counts:
-            total += np.frombuffer(x, np.int64)
-        return pd.DataFrame({"chunk": [group.chunk.iloc[0]], "counts": [total.tobytes()]})
+            total += np.frombuffer(zlib.decompress(x), np.int64)
+        return pd.DataFrame({"chunk": [group.chunk.iloc[0]], "counts": [zlib.compress(total.tobytes(), 1)]})
 
     parts = profiled.where("counts is not null").select(F.expr("task div 128").alias("part"), "chunk", "counts")
     once = parts.groupBy("part", "chunk").applyInPandas(add, "chunk int, counts binary")
     total = np.zeros(2 * cells, np.int64)
     for r in once.groupBy("chunk").applyInPandas(add, "chunk int, counts binary").collect():
-        total[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.counts, np.int64)
+        total[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(zlib.decompress(r.counts), np.int64)
     return total
 
 
-def _long_prefix(one: np.ndarray, level: np.ndarray, count: np.ndarray, band: int) -> list[tuple[int, int]]:
-    """(signature, frequency) of one set for one band of sizes; ``one`` is sorted by level, then hash."""
+def _long_prefix(one: np.ndarray, level: np.ndarray, count: np.ndarray, band: int) -> list[tuple[int, int, int]]:
+    """(signature, frequency, most) of one set for one band of sizes; ``one`` is in the global order."""
     e = len(one) - int(least_common(np.int64(len(one))))
     ranges = {2: max(1, 3 * (1 << band) // 8), 3: max(1, (1 << band) // 8)}
     got: dict[tuple[int, int], list[int]] = {}
-    have, out = 0, []
+    have, out, frequent = 0, [], int((level > 1).sum())
     for i, (h, k) in enumerate(zip(one.tolist(), level.tolist(), strict=True)):
         if have > e:
             break
@@ -136,15 +141,19 @@ def _long_prefix(one: np.ndarray, level: np.ndarray, count: np.ndarray, band: in
                 sig = band * 64 + k
                 for i in combination:
                     sig = (sig * 0x5851F42D4C957F2D + int(one[i])) % (1 << 64)
-            out.append((sig, min(int(count[i]) for i in combination)))
+            out.append((sig, min(int(count[i]) for i in combination), len(one) - combination[0] if k == 1 else frequent))
     return out
 
 
 def signatures(docs: DataFrame, counts: np.ndarray, cells: int) -> DataFrame:
-    """Index entries (sig, salts, node, n) of the documents' sets."""
+    """Index entries (sig, salts, node, n, most) of the documents' sets.
+
+    ``most`` bounds the overlap with a set whose first common shingle is that of the entry: the shingles from it on.
+    For combinations, the frequent shingles: sets that share a rare one in their prefixes meet in its entry too.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(counts.astype(np.uint32) if counts.max(initial=0) < 1 << 32 else counts)
-    limits = {k: v * max(1.0, float(counts[:cells].mean())) for k, v in LEVELS.items()}
-    schema = "sig long, salts int, node long, n int"
+    mean = max(1.0, float(counts[:cells].mean()))
+    schema = "sig long, salts int, node long, n int, most int"
 
     def run(batches):
         counts = shared.value
@@ -155,55 +164,74 @@ def signatures(docs: DataFrame, counts: np.ndarray, cells: int) -> DataFrame:
                 n, nodes = np.diff(at), _nodes(sets, at)
                 first, second = _cells(sets, cells)
                 count = np.minimum(counts[:cells][first], counts[cells:][second])
+                rank = np.minimum(2 * np.log2(count / mean + 1), 31).astype(np.uint8)
                 level = np.ones(len(sets), np.int8)
-                for k, limit in limits.items():
-                    level[count > limit] = k
+                for k, r in LEVELS.items():
+                    level[rank >= r] = k
+                key = rank.astype(U64) << U64(58) | sets >> U64(6)
                 rare = np.zeros(len(sets) + 1, np.int64)
                 np.cumsum(level == 1, out=rare[1:])
-                row = np.repeat(np.arange(len(n)), n)
                 need = n - least_common(n) + 1
-                short = (rare[at[1:]] - rare[at[:-1]] >= need) & (n > 0)
-                # where rare shingles fill the prefix, or the set is small, it has the first shingles of the order
-                small = (80 * n // 100 < SMALL) & (n > 0)
-                plain = (short & ~small)[row] & (level == 1) & (rare[:-1] - rare[at[row]] < need[row])
-                sigs, salts, who = [sets[plain]], [count[plain]], [row[plain]]
-                for r in np.flatnonzero(small):  # one order by hash alone, apart from the others
-                    part = slice(at[r], at[r] + need[r])
-                    sigs.append(mix(sets[part] + U64(1)))
-                    salts.append(count[part])
-                    who.append(np.full(need[r], r))
-                for r in np.flatnonzero(~short & (n >= SMALL) | short & small & (n >= SMALL)):
-                    part = slice(at[r], at[r + 1])
-                    order = np.lexsort((sets[part], level[part]))
-                    bands = range(max(SMALL, math.ceil(0.8 * n[r])).bit_length() - 1, int(1.25 * n[r]).bit_length())
-                    found = {s for band in bands for s in _long_prefix(sets[part][order], level[part][order], count[part][order], band)}
-                    sigs.append(np.fromiter((s for s, _ in found), U64, len(found)))
-                    salts.append(np.fromiter((c for _, c in found), np.int64, len(found)))
-                    who.append(np.full(len(found), r))
+                alone = rare[at[1:]] - rare[at[:-1]] >= need  # rare shingles fill the prefix
+                sigs, salts, who, most = [], [], [], []
+                for r, (i, j) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+                    if i == j:
+                        continue
+                    order = i + np.argsort(key[i:j], kind="stable")
+                    first = order[: need[r]]
+                    if small := SIMILARITY * n[r] < 100 * SMALL:  # single shingles of any level, apart from the others
+                        sigs.append(mix(sets[first] + U64(1)))
+                    elif alone[r]:
+                        sigs.append(sets[first])
+                    if small or alone[r]:
+                        salts.append(count[first])
+                        who.append(np.full(len(first), r))
+                        most.append(n[r] - np.arange(len(first)))
+                    if n[r] >= SMALL and (small or not alone[r]):
+                        bands = range(max(SMALL, math.ceil(0.8 * n[r])).bit_length() - 1, int(1.25 * n[r]).bit_length())
+                        found = {s for band in bands for s in _long_prefix(sets[order], level[order], count[order], band)}
+                        sigs.append(np.fromiter((x[0] for x in found), U64, len(found)))
+                        salts.append(np.fromiter((x[1] for x in found), np.int64, len(found)))
+                        who.append(np.full(len(found), r))
+                        most.append(np.fromiter((x[2] for x in found), np.int64, len(found)))
                 who = np.concatenate(who)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array((1 + np.concatenate(salts) // SALT_ROWS).astype(np.int32)), pa.array(nodes[who]), pa.array(n[who].astype(np.int32))], ["sig", "salts", "node", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array((1 + np.concatenate(salts) // SALT_ROWS).astype(np.int32)), pa.array(nodes[who]), pa.array(n[who].astype(np.int32)), pa.array(np.concatenate(most).astype(np.int32))], ["sig", "salts", "node", "n", "most"])
 
     return docs.mapInArrow(run, schema)
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar."""
+def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) with their Jaccard distance on the whole sets, and whether they are linked."""
     left, right = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "ab")
 
     def run(batches):
         for b in batches:
-            links = []
+            out = []
             for x, y, p, q in zip(*(b.column(c).to_pylist() for c in ("a", "b", "set_a", "set_b")), strict=True):
                 p, q = np.frombuffer(p, U64), np.frombuffer(q, U64)
-                if 100 * min(len(p), len(q)) < SIMILARITY * max(len(p), len(q)):
-                    continue
                 at = np.minimum(np.searchsorted(p, q), len(p) - 1)
                 common = int((p[at] == q).sum())
-                if 100 * common >= SIMILARITY * (len(p) + len(q) - common):
-                    links.append((x, y))
-            yield pa.RecordBatch.from_arrays([pa.array([z[k] for z in links], pa.int64()) for k in range(2)], ["a", "b"])
+                both = len(p) + len(q) - common
+                out.append((x, y, 1 - common / both, 100 * common >= SIMILARITY * both))
+            yield pa.RecordBatch.from_arrays([pa.array([z[k] for z in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.bool_()))], ["a", "b", "distance", "linked"])
+
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long, distance double, linked boolean")
+
+
+def nearest(entries: DataFrame) -> DataFrame:
+    """One pair (a, b) for each node: with the centre that it shares most entries with."""
+    shared = entries.groupBy("node", "centre").agg(F.count("*").alias("_n"))
+    best = shared.groupBy("node").agg(F.max(F.struct(F.col("_n"), F.col("centre"))).alias("_best"))
+    return best.select(F.col("_best.centre").alias("a"), F.col("node").alias("b"))
+
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+def unsettled(active: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """The entries with nodes of more than one component: sig, node, n, most, component, and a centre drawn anew in each
+    turn with its component (own)."""
+    held = active.select("sig", "node", "n", "most").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    drawn = F.min_by(F.struct(F.col("node").alias("centre"), F.col("component").alias("own")), F.xxhash64(F.col("node"), F.lit(turn), F.col("sig")))
+    mixed = held.groupBy("sig").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), drawn.alias("_c")).where("_lo <> _hi").select("sig", "_c.*")
+    return written(held.join(mixed, "sig"))
 
 
 def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -211,13 +239,16 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    cells = min(max(CELLS[0], 1 << max(0, docs.count() - 1).bit_length()), CELLS[1])
+    cells = min(max(CELLS[0], 1 << max(0, 16 * docs.count() - 1).bit_length()), CELLS[1])
     profiled = written(profile(docs, cells))
     counts = sketch(profiled, cells)
     docs_nodes = profiled.where("node is not null").select("doc_id", "n", "node")
     entries = signatures(docs, counts, cells).withColumn("salt", F.pmod("node", "salts")).dropDuplicates(["sig", "salt", "node"])
     one = W.partitionBy("sig", "salt")
-    active = written(entries.withColumn("centre", F.min("node").over(one)).withColumn("last", F.max("node").over(one)).where("centre <> last or salts > 1").drop("last"))
+    shared = written(entries.withColumn("size", F.count("*").over(one)).where("size > 1 or salts > 1"))
+    # the node that meets most others is an entry's centre: of copies, the text that they come from
+    degree = shared.groupBy("node").agg(F.sum("size").alias("degree"))
+    active = written(shared.join(degree, "node").withColumn("centre", F.max(F.struct("degree", "node")).over(one)["node"]).drop("size", "degree"))
 
     # the sets of nodes in shared entries, made anew from one text each
     nodes = written(active.select("node").distinct())
@@ -233,28 +264,31 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     sets = written(wanted.mapInArrow(make, "node long, shingles binary").dropDuplicates(["node"]))
 
-    stars = active.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b"))
+    # each node against the centre that it shares most entries with; the centres of a salted entry against its first
     salted = active.where("salts > 1").select("sig", "centre").distinct()
     bridges = salted.withColumn("a", F.min("centre").over(W.partitionBy("sig"))).where("a <> centre").select("a", F.col("centre").alias("b"))
-    links = written(verified(stars.union(bridges).distinct(), sets))
+    first = written(measured(nearest(active.where("node <> centre")), sets))
+    links = written(first.union(measured(bridges.distinct(), sets)).where("linked").select("a", "b"))
     labels = components(links)
-    for turn in range(1, 4):
-        held = active.select("sig", "node", "n").distinct().join(labels, "node", "left").select("sig", "node", "n", F.coalesce("component", "node").alias("component"))
-        mixed = held.groupBy("sig").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.min_by("node", F.xxhash64(F.col("node"), F.lit(turn), F.col("sig"))).alias("centre")).where("_lo <> _hi").select("sig", "centre")
-        rest = written(held.join(mixed, "sig"))
+    # each node's distance to one pivot, which tells many pairs apart by the triangle inequality
+    pivots = first.select(F.col("b").alias("node"), F.col("a").alias("pivot"), F.col("distance").alias("off"))
+    for turn in range(1, ROUNDS + 1):
+        rest = unsettled(active, labels, turn)
         if rest.isEmpty():
             break
-        if turn < 3:
-            own = labels.select(F.col("node").alias("centre"), F.col("component").alias("_own"))
-            pairs = rest.join(own, "centre", "left").where("coalesce(_own, centre) <> component").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b"))
+        if turn < ROUNDS:
+            pairs = nearest(rest.where("own <> component"))
         else:  # all that is left between components
-            x, y = (rest.select("sig", F.col("node").alias(c), F.col("component").alias(f"c{c}"), F.col("n").alias(f"n{c}")) for c in "ab")
-            pairs = x.join(y, "sig").where(f"ca <> cb and a < b and 100 * least(na, nb) >= {SIMILARITY} * greatest(na, nb)").select("a", "b")
-        more = written(verified(pairs.distinct(), sets))
-        if turn < 3 and more.isEmpty():
-            continue
-        links = written(links.union(more))
-        labels = components(links)
+            rest = rest.join(pivots, "node", "left").withColumns({"pivot": F.coalesce("pivot", "node"), "off": F.coalesce("off", F.lit(0.0))})
+            x, y = (rest.select("sig", F.col("node").alias(c), *(F.col(v).alias(f"{v}_{c}") for v in ("component", "n", "most", "pivot", "off"))) for c in "ab")
+            near = f"component_a <> component_b and a < b and 100 * least(n_a, n_b) >= {SIMILARITY} * greatest(n_a, n_b)"
+            near += f" and {100 + SIMILARITY} * least(most_a, most_b) >= {SIMILARITY} * (n_a + n_b)"
+            near += f" and (pivot_a <> pivot_b or abs(off_a - off_b) <= {(100 - SIMILARITY) / 100} + 1e-9)"
+            pairs = x.join(y, "sig").where(near).select("a", "b").distinct()
+        more = written(measured(pairs, sets).where("linked").select("a", "b"))
+        if not more.isEmpty():
+            links = written(links.union(more))
+            labels = components(links)
 
     named = docs_nodes.join(labels, "node", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("component", "node")).alias("component"))
     named = written(named)
