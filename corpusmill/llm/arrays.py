@@ -115,12 +115,11 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, width: int = 5) -> tuple[
         sums += words[k : k + len(sums)] * U64(weight)
     sums = mix(sums)
     many = np.maximum(n - width + 1, 0)
-    out = sums[ragged(before[:-1], np.where(n < width, np.minimum(n, 1) * (len(sums) > 0), many))]
-    size = np.minimum(np.maximum(many, n > 0), many + (n > 0))
-    if not len(sums):
-        out = np.zeros(int(size.sum()), U64)
+    size = np.where(n < width, np.minimum(n, 1), many)
     at = np.zeros(len(n) + 1, np.int64)
     np.cumsum(size, out=at[1:])
+    out = np.zeros(int(at[-1]), U64)
+    out[ragged(at[:-1], many)] = sums[ragged(before[:-1], many)]
     for r in np.flatnonzero((n > 0) & (n < width)):
         h = int(n[r])
         for w in words[before[r] : before[r + 1]]:

@@ -29,16 +29,23 @@ CONSTANT = 75
 
 def normal(line: Column) -> Column:
     """Tokens joined by single spaces; tokens with digits are variable fields."""
-    plain = F.when(line.rlike("[\\t-\\r]|  |^ | $"), F.trim(F.regexp_replace(line, "[ \\t-\\r]+", " "))).otherwise(line)
-    return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", "<*>")).otherwise(plain)
+    odd = line.rlike("[\\t-\\r0-9]") | line.contains("  ") | line.startswith(" ") | line.endswith(" ")
+    plain = F.trim(F.regexp_replace(line, "[ \\t-\\r]+", " "))
+    return F.when(odd, F.regexp_replace(plain, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", "<*>")).otherwise(line)
 
 
 def tree_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, pos, line, tokens, leaf, sig1, sig2) of the lines with enough tokens."""
-    lines = docs.select("doc_id", F.xxhash64("text").alias("row"), F.posexplode(F.split("text", "\n")).alias("pos", "raw")).select("doc_id", "row", "pos", normal(F.col("raw")).alias("line"))
-    tokens = F.length("line") - F.length(F.replace(F.col("line"), F.lit(" "), F.lit(""))) + 1
-    lines = lines.withColumn("tokens", tokens).where(F.col("tokens") >= LEAST_TOKENS)
-    return lines.withColumns({"leaf": F.xxhash64("tokens", F.substring_index("line", " ", LEADING)), "sig1": F.xxhash64("line"), "sig2": F.xxhash64(F.lit(7), F.col("line"))})
+    """(doc_id, row, pos, line, tokens, leaf, sig1, sig2) of the lines with enough tokens.
+
+    All of a line is worked out inside its document's array, so that later filters cannot repeat the work.
+    """
+
+    def place(line: Column) -> Column:
+        tokens = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+        return F.struct(line.alias("line"), tokens.alias("tokens"), F.xxhash64(tokens, F.substring_index(line, " ", LEADING)).alias("leaf"), F.xxhash64(line).alias("sig1"), F.xxhash64(F.lit(7), line).alias("sig2"))
+
+    lines = F.transform(F.split("text", "\n"), lambda raw: let(normal(raw), place))
+    return docs.select("doc_id", F.xxhash64("text").alias("row"), F.posexplode(lines).alias("pos", "x")).select("doc_id", "row", "pos", "x.*").where(F.col("tokens") >= LEAST_TOKENS)
 
 
 def templates(docs: DataFrame, distinct: DataFrame) -> DataFrame:
