@@ -1,0 +1,176 @@
+"""Edge cases and brute-force versions of the operators."""
+
+import collections
+import hashlib
+import random
+import re
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+
+from corpusmill.llm import arrays, bpe, decontaminate, html, jaccard, language, linededup, pretokens, quality, sharding, tokenfile, warc
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def docs(spark, texts):
+    return spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], DOCS)
+
+
+def words(seed, n, of=400):
+    r = random.Random(seed)
+    return [f"w{r.randrange(of)}x" for _ in range(n)]
+
+
+def test_shards_are_even_and_stable():
+    one = {f"s{i}": 1 for i in range(7)}
+    sizes = collections.Counter(sharding.fill(one, 1009)).values()
+    assert max(sizes) - min(sizes) <= 1
+    assert sharding.moved(one, {k: v for k, v in one.items() if k != "s3"}, 1009) < 0.35
+    with pytest.raises(ValueError):
+        sharding.fill(one, 1000)
+
+
+def test_place_keeps_nulls(spark):
+    got = sharding.place(spark.createDataFrame([(None,), (1,), (1,)], "doc_id long"), {"a": 1, "b": 1}, slots=101).collect()
+    assert len(got) == 3 and all(r.shard for r in got)
+
+
+def test_arc_versions_and_revisits(spark, tmp_path):
+    big = "<p>" + "x" * 1200 + "\r\n\r\nWARC/1.1 é</p>"
+    pages = spark.createDataFrame([(1, "http://a/ b", big), (2, None, big), (3, "http://c", None), (4, "http://d", ""), (5, "http://e", "short"), (6, "http://f", "short"), (None, "http://g", big)], "page_id long, url string, html string")
+    for version in (1, 2):
+        got = {r.page_id: r for r in warc.pages_round_trip(pages, str(tmp_path / f"w{version}"), version).collect()}
+        assert len(got) == 7 and got[1].record_type == "revisit" and got[1].refers_to == 2 and got[2].record_type == "response"
+        assert got[1].payload_bytes == len(big.encode()) and got[1].payload_digest == got[2].payload_digest == hashlib.sha1(big.encode()).hexdigest()
+        assert {got[i].record_type for i in (3, 4, 5, 6, None)} == {"response"} and got[3].payload_bytes == 0
+
+
+def test_line_dedup(spark):
+    line = "this line of seven words is repeated"
+    logs = [f"the user named {w} has logged in from the office network today at noon sharp" for w in ("anna", "bert", "carl", "dora", "emil")]
+    texts = [f"{line}\nonly here one two three", f"{line}\nother words are here now {line}", None, "", line, "a b\nc", *logs]
+    got = {r.doc_id: r for r in linededup.drop_recurring(docs(spark, texts)).collect()}
+    assert got[0].n_dropped == 0 and got[1].n_dropped == 1 and line + "\n" not in got[1].text and got[4].emptied
+    assert got[2].text is None and got[3].text == "" and got[5].text == "a b\nc"
+    assert [got[6 + i].n_dropped for i in range(5)] == [0, 1, 1, 1, 1]
+
+
+def test_quality(spark):
+    a = "one two three four five six seven eight "
+    texts = [a * 3 + " ".join(words(1, 40)), " ".join(words(2, 60)), None, "", "# $ % a b", "x y\nx y\n\nz"]
+    for r in quality.judge(docs(spark, texts)).collect():
+        t = texts[r.doc_id] or ""
+        w = WORD.findall(t)
+        seen = collections.Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+        hit = {j for i in range(len(w) - 7) if seen[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
+        assert (r.n_words, r.word_chars, r.n_repeat_words) == (len(w), sum(map(len, w)), len(hit))
+        assert r.n_symbols == sum(c in "#*$%&|<>" for c in t)
+        assert r.base_failed == (len(w) < 20 or 100 * len(hit) > 30 * len(w))
+
+
+def test_codes_have_random_access():
+    ids = np.random.default_rng(1).integers(0, 70000, 5000).astype(np.uint32)
+    ids[::3] = 7
+    levels, bitmaps, ranks = tokenfile.to_codes(ids)
+    assert (tokenfile.from_codes(levels, bitmaps) == ids).all()
+    assert [tokenfile.token_at(levels, bitmaps, ranks, i) for i in range(0, 5000, 37)] == ids[::37].tolist()
+
+
+def test_token_file(spark, tmp_path):
+    texts = ["hello world's", None, "", "a  b\n\n c"]
+    got = sorted(tokenfile.write_and_read(docs(spark, texts), P.path("byte_bpe_50k.json"), str(tmp_path / "t")).collect())
+    assert [r.doc_id for r in got] == [0, 1, 2, 3] and got[1].n_tokens == 1
+    assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1].tolist()]
+
+
+def brute_components(texts):
+    sets = []
+    for t in texts:
+        w = WORD.findall((t or "").lower())
+        sets.append(frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else []))
+    top = list(range(len(texts)))
+
+    def find(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                top[b] = a
+    return [(len(s), find(i)) for i, s in enumerate(sets)]
+
+
+@pytest.mark.parametrize("levels", [{2: 6, 3: 12}, {2: 1, 3: 4}])
+def test_jaccard_components(spark, monkeypatch, levels):
+    monkeypatch.setattr(jaccard, "LEVELS", levels)
+    monkeypatch.setattr(jaccard, "CELLS", (1 << 14, 1 << 14))
+    r = random.Random(3)
+    texts = [None, "", "A b", "a B", " ".join(words(9, 60))]
+    for group in range(4):
+        base = words(group, (35, 60, 90, 150)[group])
+        for _ in range(12):
+            w = list(base)
+            for _ in range(r.randrange(4)):
+                w[r.randrange(len(w))] = f"n{r.randrange(10**6)}"
+            texts.append(" ".join(w[: len(w) - r.randrange(3)]))
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.link_components(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_components(texts)
+
+
+def test_shingles_of_short_rows_at_the_end():
+    texts = ["a b c d e f", "x", "", "y z"]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    _, at = arrays.shingle_sets(raw, np.cumsum([0, *map(len, texts)]))
+    assert np.diff(at).tolist() == [2, 1, 0, 1]
+
+
+def test_language(spark):
+    r = random.Random(1)
+    en = [" ".join(r.choice("the of and house river stone bright water".split()) for _ in range(40)) for _ in range(40)]
+    de = [" ".join(r.choice("der und nicht straße fluss über schön wasser".split()) for _ in range(40)) for _ in range(40)]
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([*((t, "en") for t in en), *((t, "de") for t in de), (None, "en"), ("123 !", "de"), ("щука ёж " * 20, None)])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {x.doc_id: x for x in language.identify(df, language.fit(df)).collect()}
+    assert all(got[i].lang_pred == ("en" if i < 40 else "de") and not got[i].rejected for i in range(80))
+    assert got[80].lang_pred == got[81].lang_pred == "und" and got[82].rejected
+
+
+def test_html():
+    page = "<html><body><nav><a href=x>Menu</a></nav><div class='cookie-notice'>We use cookies.</div><article><h1>A title</h1><p>First, a long paragraph of text &amp; more.<p>Second paragraph, also long enough.</p><div class=comments><p>Nice post, I like it a lot!</p></div></article><footer>foot</footer>"
+    assert html.main_text(page) == "A title\n\nFirst, a long paragraph of text & more.\n\nSecond paragraph, also long enough."
+    assert html.main_text(None) == html.main_text("") == html.main_text("<script>x</script>") == ""
+
+
+def test_decontamination(spark):
+    item = words(1, 30)
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, "Short item, here"), (3, None), (4, "!!")], "item_id long, text string")
+    texts = [" ".join(words(2, 50) + item[5:20] + words(3, 20)), " ".join(item[:12]), "so short ITEM here!", None, "", " ".join(item)]
+    got = {r.doc_id: r for r in decontaminate.judge(docs(spark, texts), bench).collect()}
+    assert (got[0].n_hit, got[0].n_items, got[0].contaminated) == (15, 1, True)
+    assert got[1].n_hit == 0 and got[2].n_hit == 3 and got[3].n_words == got[4].n_words == 0 and got[5].n_hit == 30
+    assert got[0].items_sha256 == hashlib.sha256(b"1").hexdigest() and got[3].items_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+def test_bpe_equals_the_library():
+    import tiktoken
+
+    ranks = bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    r = random.Random(5)
+    texts = ["".join(r.choice("aab  '\n\tsretlvdm1２é漢😀-_. ñ") for _ in range(r.randrange(60))) for _ in range(300)] + ["", "a" * 3000]
+    t = bpe.Transducer(ranks)
+    cache = pretokens.PieceCache(lambda ws: [t.encode(w.encode()) for w in ws])
+    ids, at = cache.ids(texts)
+    assert [ids[at[i] : at[i + 1]].tolist() for i in range(len(texts))] == [library.encode_ordinary(x) for x in texts]
+
+
+def test_utf8_stream_splits_characters():
+    raw = "aé漢😀".encode()
+    s = bpe.Utf8Stream()
+    assert "".join(s.feed(raw[i : i + 1]) for i in range(len(raw))) + s.feed(b"", True) == "aé漢😀"
