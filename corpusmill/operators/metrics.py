@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SEARCH, DOCUMENT, FAMILY = F.col("url").like("/search%"), F.col("url").like("/document/%"), F.col("url").like("/documents/%")
+
+def on_search():
+    """Whether an event is on a search page."""
+    return F.col("url").like("/search%")
+
 
 
 def _one(df: DataFrame, name: str, part, whole) -> DataFrame:
@@ -15,7 +19,7 @@ def _one(df: DataFrame, name: str, part, whole) -> DataFrame:
 
 def users_who_search(events: DataFrame) -> DataFrame:
     views = events.where((F.col("event") == "$pageview") & F.col("consent").isNotNull())
-    return _one(views, "users_who_search", F.count_distinct(F.when(SEARCH, F.col("distinct_id"))), F.count_distinct("distinct_id"))
+    return _one(views, "users_who_search", F.count_distinct(F.when(on_search(), F.col("distinct_id"))), F.count_distinct("distinct_id"))
 
 
 def users_who_download(events: DataFrame, event: str = "purchase") -> DataFrame:
@@ -26,13 +30,13 @@ def users_who_download(events: DataFrame, event: str = "purchase") -> DataFrame:
 
 def users_without_results(events: DataFrame) -> DataFrame:
     """Of the users that search, those that met a search without hits."""
-    return _one(events.where((F.col("event") == "$pageview") & SEARCH), "users_without_results", F.count_distinct(F.when(F.col("hits") == 0, F.col("distinct_id"))), F.count_distinct("distinct_id"))
+    return _one(events.where((F.col("event") == "$pageview") & on_search()), "users_without_results", F.count_distinct(F.when(F.col("hits") == 0, F.col("distinct_id"))), F.count_distinct("distinct_id"))
 
 
 def retention(events: DataFrame, days: int, returning=None) -> DataFrame:
     """Searchers of the log's first day that come back after that day and within ``days`` in another session."""
     day = events.agg(F.to_date(F.min("ts")).alias("_day"))  # one row
-    searches = events.join(F.broadcast(day)).where(SEARCH & (F.to_date("ts") == F.col("_day")))
+    searches = events.join(F.broadcast(day)).where(on_search() & (F.to_date("ts") == F.col("_day")))
     first = searches.groupBy("distinct_id").agg(F.min("ts").alias("_first"), F.min_by("session_id", F.struct("ts", "event_id")).alias("_session"))
     later = events if returning is None else events.where(returning)
     back = first.join(later.select("distinct_id", "ts", "session_id"), "distinct_id", "left").withColumn("_back", (F.col("ts") >= F.date_trunc("day", "_first") + F.expr("interval 1 day")) & (F.col("ts") < F.col("_first") + F.expr(f"interval {days} days")) & (F.col("session_id") != F.col("_session")))
@@ -50,4 +54,4 @@ def click_through(events: DataFrame, dwell: int | None = None) -> DataFrame:
     else:
         stay = [F.unix_timestamp(f"_t{i + 1}") - F.unix_timestamp(f"_t{i}") >= dwell for i in (1, 2)]
         hit = F.col("_u1").like("/document/%") & stay[0] | F.col("_u1").like("/documents/%") & F.col("_u2").like("/document/%") & stay[1]
-    return _one(steps.where(SEARCH), "click_through" if dwell is None else f"click_through_dwell_{dwell}", F.count_distinct(F.when(hit, F.col("distinct_id"))), F.count_distinct("distinct_id"))
+    return _one(steps.where(on_search()), "click_through" if dwell is None else f"click_through_dwell_{dwell}", F.count_distinct(F.when(hit, F.col("distinct_id"))), F.count_distinct("distinct_id"))

@@ -204,7 +204,7 @@ def _retention(days: int, returning: str = "TRUE") -> str:
 
 _metric("m04_retention_7", _retention(7), lambda e: metrics.retention(e, 7))
 _metric("m04_retention_30", _retention(30), lambda e: metrics.retention(e, 30))
-_metric("m06_return_to_search_6", _retention(6, "event = '$pageview' AND url LIKE '/search%'"), lambda e: metrics.retention(e, 6, (F.col("event") == "$pageview") & metrics.SEARCH))
+_metric("m06_return_to_search_6", _retention(6, "event = '$pageview' AND url LIKE '/search%'"), lambda e: metrics.retention(e, 6, (F.col("event") == "$pageview") & metrics.on_search()))
 _STEPS = ", v AS (SELECT *, lead(url, 1) OVER w AS u1, lead(url, 2) OVER w AS u2, lead(ts, 1) OVER w AS t1, lead(ts, 2) OVER w AS t2, lead(ts, 3) OVER w AS t3 FROM web_events WHERE event = '$pageview' AND consent WINDOW w AS (PARTITION BY distinct_id ORDER BY ts, event_id)) "
 _metric("m07_click_through", _STEPS + _RATIO.format(name="click_through", part="u1 LIKE '/document/%'", table="v WHERE url LIKE '/search%'"), metrics.click_through)
 _metric(
