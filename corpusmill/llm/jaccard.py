@@ -52,6 +52,8 @@ SMALL = 32
 SALT_ROWS = 20_000
 #: Rounds of one more pair for each unsettled node, before all pairs that are left.
 ROUNDS = 2
+#: Pairs (of 16 bytes) that are broadcast to find their sets; more are shuffled.
+PAIRS = 500_000
 CHUNK = 1 << 14
 BYTES = 4 << 20
 
@@ -215,7 +217,15 @@ def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 out.append((x, y, 1 - common / both, 100 * common >= SIMILARITY * both))
             yield pa.RecordBatch.from_arrays([pa.array([z[k] for z in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.bool_()))], ["a", "b", "distance", "linked"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long, distance double, linked boolean")
+    pairs = written(pairs)
+    hint = maybe_broadcast(pairs, pairs.count(), PAIRS)
+    # only the sets that pairs need are shuffled
+    return left.join(hint, "a").join(right.join(hint, "b"), ["a", "b"]).select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long, distance double, linked boolean")
+
+
+def possible(n: str, m: str, most: str, most_m: str) -> str:
+    """SQL for whether sizes and overlap bounds of two nodes in one entry admit a link."""
+    return f"100 * least({n}, {m}) >= {SIMILARITY} * greatest({n}, {m}) and {100 + SIMILARITY} * least({most}, {most_m}) >= {SIMILARITY} * ({n} + {m})"
 
 
 def nearest(entries: DataFrame) -> DataFrame:
@@ -229,7 +239,7 @@ def unsettled(active: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
     """The entries with nodes of more than one component: sig, node, n, most, component, and a centre drawn anew in each
     turn with its component (own)."""
     held = active.select("sig", "node", "n", "most").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    drawn = F.min_by(F.struct(F.col("node").alias("centre"), F.col("component").alias("own")), F.xxhash64(F.col("node"), F.lit(turn), F.col("sig")))
+    drawn = F.min_by(F.struct(F.col("node").alias("centre"), F.col("component").alias("own"), F.col("n").alias("n_centre"), F.col("most").alias("most_centre")), F.xxhash64(F.col("node"), F.lit(turn), F.col("sig")))
     mixed = held.groupBy("sig").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), drawn.alias("_c")).where("_lo <> _hi").select("sig", "_c.*")
     return written(held.join(mixed, "sig"))
 
@@ -243,12 +253,12 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     profiled = written(profile(docs, cells))
     counts = sketch(profiled, cells)
     docs_nodes = profiled.where("node is not null").select("doc_id", "n", "node")
-    entries = signatures(docs, counts, cells).withColumn("salt", F.pmod("node", "salts")).dropDuplicates(["sig", "salt", "node"])
+    entries = signatures(docs, counts, cells).withColumn("salt", F.pmod("node", "salts")).repartition("sig", "salt").dropDuplicates(["sig", "salt", "node"])
     one = W.partitionBy("sig", "salt")
     shared = written(entries.withColumn("size", F.count("*").over(one)).where("size > 1 or salts > 1"))
     # the node that meets most others is an entry's centre: of copies, the text that they come from
     degree = shared.groupBy("node").agg(F.sum("size").alias("degree"))
-    active = written(shared.join(degree, "node").withColumn("centre", F.max(F.struct("degree", "node")).over(one)["node"]).drop("size", "degree"))
+    active = written(shared.join(degree, "node").withColumn("_c", F.max(F.struct("degree", "node", "n", "most")).over(one)).select("sig", "salts", "node", "n", "most", F.col("_c.node").alias("centre"), F.col("_c.n").alias("n_centre"), F.col("_c.most").alias("most_centre")))
 
     # the sets of nodes in shared entries, made anew from one text each
     nodes = written(active.select("node").distinct())
@@ -267,7 +277,7 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     # each node against the centre that it shares most entries with; the centres of a salted entry against its first
     salted = active.where("salts > 1").select("sig", "centre").distinct()
     bridges = salted.withColumn("a", F.min("centre").over(W.partitionBy("sig"))).where("a <> centre").select("a", F.col("centre").alias("b"))
-    first = written(measured(nearest(active.where("node <> centre")), sets))
+    first = written(measured(nearest(active.where(f"node <> centre and {possible('n', 'n_centre', 'most', 'most_centre')}")), sets))
     links = written(first.union(measured(bridges.distinct(), sets)).where("linked").select("a", "b"))
     labels = components(links)
     # each node's distance to one pivot, which tells many pairs apart by the triangle inequality
@@ -277,12 +287,11 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         if rest.isEmpty():
             break
         if turn < ROUNDS:
-            pairs = nearest(rest.where("own <> component"))
+            pairs = nearest(rest.where(f"own <> component and {possible('n', 'n_centre', 'most', 'most_centre')}"))
         else:  # all that is left between components
             rest = rest.join(pivots, "node", "left").withColumns({"pivot": F.coalesce("pivot", "node"), "off": F.coalesce("off", F.lit(0.0))})
             x, y = (rest.select("sig", F.col("node").alias(c), *(F.col(v).alias(f"{v}_{c}") for v in ("component", "n", "most", "pivot", "off"))) for c in "ab")
-            near = f"component_a <> component_b and a < b and 100 * least(n_a, n_b) >= {SIMILARITY} * greatest(n_a, n_b)"
-            near += f" and {100 + SIMILARITY} * least(most_a, most_b) >= {SIMILARITY} * (n_a + n_b)"
+            near = f"component_a <> component_b and a < b and {possible('n_a', 'n_b', 'most_a', 'most_b')}"
             near += f" and (pivot_a <> pivot_b or abs(off_a - off_b) <= {(100 - SIMILARITY) / 100} + 1e-9)"
             pairs = x.join(y, "sig").where(near).select("a", "b").distinct()
         more = written(measured(pairs, sets).where("linked").select("a", "b"))
