@@ -14,9 +14,10 @@ part with the ranges of every size that a similar set can have.
 
 Only links that tell components apart are verified: first each index entry against one centre, then those in
 different components against others, at last the pairs of one entry that are still in different components, unless
-too few shingles are left behind the entry's place in the order, or
-their distances to a common pivot differ by more than similar sets' can. Hot entries are salted by the sketched
-frequency.
+too few shingles are left behind the entry's place in the order,
+their distances to a common pivot differ by more than similar sets' can, or their parity bitmaps differ in more bits
+than similar sets have shingles of their own. Entries with the same nodes are met once. Hot entries are salted by the
+sketched frequency.
 
 Null and empty texts have no shingles and their own component; null doc_ids are never linked and get a null
 component; rows that repeat a doc_id share its fate. An empty table gives no rows.
@@ -55,6 +56,8 @@ ROUNDS = 2
 #: Pairs (of 16 bytes) that are broadcast to find their sets; more are shuffled.
 PAIRS = 500_000
 CHUNK = 1 << 14
+#: 64-bit words of a set's parity bitmap.
+WORDS = 8
 BYTES = 4 << 20
 
 
@@ -228,6 +231,25 @@ def possible(n: str, m: str, most: str, most_m: str) -> str:
     return f"100 * least({n}, {m}) >= {SIMILARITY} * greatest({n}, {m}) and {100 + SIMILARITY} * least({most}, {most_m}) >= {SIMILARITY} * ({n} + {m})"
 
 
+def parities(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """WORDS 64-bit words for each set: each bit tells whether an odd number of the shingles falls on it.
+
+    Bitmaps of two sets differ in at most as many bits as there are shingles in one of them only.
+    """
+    bits, m = 64 * WORDS, len(at) - 1
+    spot = np.repeat(np.arange(m), np.diff(at)) * bits + (mix(sets ^ U64(0x2545F4914F6CDD1D)) % U64(bits)).astype(np.int64)
+    odd = (np.bincount(spot, minlength=m * bits) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64).reshape(m, WORDS)
+
+
+def merged(rest: DataFrame) -> DataFrame:
+    """One entry for all those that have the same nodes, with the largest ``most`` of each node."""
+    names = rest.groupBy("sig").agg(F.bit_xor(F.xxhash64("node")).alias("_x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("_y"), F.count("*").alias("_m"))
+    stands = names.withColumn("_keep", F.min("sig").over(W.partitionBy("_x", "_y", "_m"))).where("sig = _keep").select("sig", "_x", "_y", "_m")
+    to = names.join(stands.withColumnRenamed("sig", "_to"), ["_x", "_y", "_m"]).select("sig", "_to")
+    return rest.join(to, "sig").groupBy(F.col("_to").alias("sig"), "node").agg(F.first("n").alias("n"), F.first("component").alias("component"), F.max("most").alias("most"))
+
+
 def nearest(entries: DataFrame) -> DataFrame:
     """One pair (a, b) for each node: with the centre that it shares most entries with."""
     shared = entries.groupBy("node", "centre").agg(F.count("*").alias("_n"))
@@ -270,9 +292,12 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         for b in batches:
             for _, sets, at in _sets(b):
                 if m := len(at) - 1:
-                    yield pa.RecordBatch.from_arrays([pa.array(_nodes(sets, at)), pa.array([sets[at[r] : at[r + 1]].tobytes() for r in range(m)], pa.binary())], ["node", "shingles"])
+                    words = parities(sets, at)
+                    columns = [pa.array(_nodes(sets, at)), pa.array([sets[at[r] : at[r + 1]].tobytes() for r in range(m)], pa.binary()), *(pa.array(words[:, k].copy()) for k in range(WORDS))]
+                    yield pa.RecordBatch.from_arrays(columns, ["node", "shingles", *odd])
 
-    sets = written(wanted.mapInArrow(make, "node long, shingles binary").dropDuplicates(["node"]))
+    odd = [f"odd{k}" for k in range(WORDS)]
+    sets = written(wanted.mapInArrow(make, f"node long, shingles binary, {', '.join(f'{o} long' for o in odd)}").dropDuplicates(["node"]))
 
     # each node against the centre that it shares most entries with; the centres of a salted entry against its first
     salted = active.where("salts > 1").select("sig", "centre").distinct()
@@ -289,10 +314,12 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         if turn < ROUNDS:
             pairs = nearest(rest.where(f"own <> component and {possible('n', 'n_centre', 'most', 'most_centre')}"))
         else:  # all that is left between components
-            rest = rest.join(pivots, "node", "left").withColumns({"pivot": F.coalesce("pivot", "node"), "off": F.coalesce("off", F.lit(0.0))})
-            x, y = (rest.select("sig", F.col("node").alias(c), *(F.col(v).alias(f"{v}_{c}") for v in ("component", "n", "most", "pivot", "off"))) for c in "ab")
+            rest = merged(rest).join(pivots, "node", "left").withColumns({"pivot": F.coalesce("pivot", "node"), "off": F.coalesce("off", F.lit(0.0))})
+            rest = written(rest.join(sets.select("node", *odd), "node"))
+            x, y = (rest.select("sig", F.col("node").alias(c), *(F.col(v).alias(f"{v}_{c}") for v in ("component", "n", "most", "pivot", "off", *odd))) for c in "ab")
             near = f"component_a <> component_b and a < b and {possible('n_a', 'n_b', 'most_a', 'most_b')}"
             near += f" and (pivot_a <> pivot_b or abs(off_a - off_b) <= {(100 - SIMILARITY) / 100} + 1e-9)"
+            near += f" and {100 + SIMILARITY} * ({' + '.join(f'bit_count({o}_a ^ {o}_b)' for o in odd)}) <= {100 - SIMILARITY} * (n_a + n_b)"
             pairs = x.join(y, "sig").where(near).select("a", "b").distinct()
         more = written(measured(pairs, sets).where("linked").select("a", "b"))
         if not more.isEmpty():
