@@ -279,14 +279,16 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     one = W.partitionBy("sig", "salt")
     shared = written(entries.withColumn("size", F.count("*").over(one)).where("size > 1 or salts > 1"))
     # the node that meets most others is an entry's centre: of copies, the text that they come from
-    degree = shared.groupBy("node").agg(F.sum("size").alias("degree"))
-    active = written(shared.join(degree, "node").withColumn("_c", F.max(F.struct("degree", "node", "n", "most")).over(one)).select("sig", "salts", "node", "n", "most", F.col("_c.node").alias("centre"), F.col("_c.n").alias("n_centre"), F.col("_c.most").alias("most_centre")))
+    active = written(shared.withColumn("degree", F.sum("size").over(W.partitionBy("node"))).withColumn("_c", F.max(F.struct("degree", "node", "n", "most")).over(one)).select("sig", "salts", "node", "n", "most", F.col("_c.node").alias("centre"), F.col("_c.n").alias("n_centre"), F.col("_c.most").alias("most_centre")))
 
     # the sets of nodes in shared entries, made anew from one text each
     nodes = written(active.select("node").distinct())
     n_nodes = nodes.count()
     chosen = docs_nodes.join(maybe_broadcast(nodes, n_nodes), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    wanted = docs.join(maybe_broadcast(written(chosen.select("doc_id")), n_nodes), "doc_id", "left_semi")
+    chosen = maybe_broadcast(written(chosen.select("doc_id")), n_nodes)
+    wanted = docs.join(chosen, "doc_id", "left_semi")
+    # several rows of one doc_id may bring a set twice
+    repeated = docs_nodes.join(chosen, "doc_id", "left_semi").count() > n_nodes
 
     def make(batches):
         for b in batches:
@@ -297,7 +299,8 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
                     yield pa.RecordBatch.from_arrays(columns, ["node", "shingles", *odd])
 
     odd = [f"odd{k}" for k in range(WORDS)]
-    sets = written(wanted.mapInArrow(make, f"node long, shingles binary, {', '.join(f'{o} long' for o in odd)}").dropDuplicates(["node"]))
+    sets = wanted.mapInArrow(make, f"node long, shingles binary, {', '.join(f'{o} long' for o in odd)}")
+    sets = written(sets.dropDuplicates(["node"]) if repeated else sets)
 
     # each node against the centre that it shares most entries with; the centres of a salted entry against its first
     salted = active.where("salts > 1").select("sig", "centre").distinct()
