@@ -1,0 +1,5 @@
+"""Importing this package fills the registry."""
+
+from . import more, registry
+
+__all__ = ["more", "registry"]
