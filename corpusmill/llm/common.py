@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch; bounds the memory of a Python worker for texts of usual length.
 BATCH_ROWS = 500
+#: Bytes of one Arrow batch, unless a single row is larger; bounds it for long texts.
+BATCH_BYTES = 8 << 20
 #: Sides of at most so many rows are broadcast after they were counted; larger ones are shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -38,8 +40,9 @@ def written(df: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bounds the rows of an Arrow batch, so that long texts do not pile up in one batch."""
+    """Bounds the rows and bytes of an Arrow batch, so that long texts do not pile up in one batch."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def maybe_broadcast(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:

@@ -58,7 +58,8 @@ PAIRS = 500_000
 CHUNK = 1 << 14
 #: 64-bit words of a set's parity bitmap.
 WORDS = 8
-BYTES = 4 << 20
+#: Text that a worker hashes at once.
+BYTES = 1 << 20
 
 
 def least_common(n: np.ndarray) -> np.ndarray:
@@ -97,7 +98,7 @@ def profile(docs: DataFrame, cells: int) -> DataFrame:
             task = b.column(2)[0].as_py() if b.num_rows else task
             for i, sets, at in _sets(b):
                 for k, cell in enumerate(_cells(sets, cells)):
-                    counts[k * cells : (k + 1) * cells] += np.bincount(cell, minlength=cells).astype(np.uint32)
+                    np.add.at(counts, cell + k * cells, np.uint32(1))
                 m = len(at) - 1
                 none = pa.nulls(m, pa.int32())
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, m), pa.array(np.diff(at), pa.int32()), pa.array(_nodes(sets, at)), none, none, pa.nulls(m, pa.binary())], names)
