@@ -1,5 +1,5 @@
 """Importing this package fills the registry."""
 
-from . import more, registry
+from . import judging, more, registry
 
-__all__ = ["more", "registry"]
+__all__ = ["judging", "more", "registry"]
