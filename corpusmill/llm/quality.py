@@ -3,7 +3,9 @@
 Each document's features are computed inside its row. Their distributions are kept as mergeable quantile sketches:
 counts of logarithmic buckets of one percent relative error for each language, source and feature, which add up
 to the sketches of a language and of the whole corpus. A group's thresholds come from its own quantiles, or from
-the language's or the corpus' if it has too few documents; the features are then joined with them and filtered.
+the language's if it has too few documents, and may be stricter or looser than any constant. Only where the language
+has too few documents as well do the constants of FALLBACK hold, loosened by the corpus' quantiles. The features are
+then joined with the thresholds and filtered.
 
 Null texts have no words and fail the base rules. Null languages and sources are groups of their own. A document
 at a threshold is kept. An empty table gives no rows; repeated rows are judged alike.
@@ -26,8 +28,11 @@ GAMMA = (1 + ERROR) / (1 - ERROR)
 LEAST_DOCS = 100
 #: Multiples of the distance between the quartiles that are admitted beyond the median.
 SPREAD = 5.0
-#: feature: (largest lower threshold or None, smallest upper threshold); thresholds are never stricter than these.
-FLOORS = {"symbol_share": (None, 0.08), "dup_line_share": (None, 0.5), "mean_word": (2.0, 20.0)}
+#: feature: distance between the quartiles that is taken at least, for groups most of whose documents are alike.
+LEAST_SPREAD = {"symbol_share": 0.01, "dup_line_share": 0.06, "mean_word": 0.2}
+#: feature: (lower threshold or None, upper threshold) where group and language have too few documents; the corpus'
+#: quantiles may loosen them.
+FALLBACK = {"symbol_share": (None, 0.08), "dup_line_share": (None, 0.5), "mean_word": (2.0, 20.0)}
 ZERO = -1_000_000
 
 
@@ -74,7 +79,7 @@ def shares(df: DataFrame) -> DataFrame:
 
 def sketches(df: DataFrame) -> DataFrame:
     """Sketches (lang, source, feature, bucket, n); the counts of any groups add up to the sketch of their union."""
-    long = df.select("lang", "source", F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).alias("x")) for f in FLOORS))).alias("f")).select("lang", "source", "f.*")
+    long = df.select("lang", "source", F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).alias("x")) for f in FALLBACK))).alias("f")).select("lang", "source", "f.*")
     bucket = F.when(F.col("x") > 0, F.ceil(F.round(F.ln("x") / F.ln(F.lit(GAMMA)), 6))).otherwise(F.lit(ZERO)).cast("int")
     return long.groupBy("lang", "source", "feature", bucket.alias("bucket")).agg(F.count("*").alias("n"))
 
@@ -96,12 +101,15 @@ def thresholds(sketch: DataFrame) -> DataFrame:
     every = quantiles(sketch, []).select("feature", *(F.col(c).alias(f"e_{c}") for c in ("docs", "q1", "q2", "q3")))
     # the sketches of the corpus are one row for each feature
     both = own.join(by_lang, (own.lang.eqNullSafe(by_lang.lang)) & (own.feature == by_lang.feature), "left").drop(by_lang.lang).drop(by_lang.feature).join(F.broadcast(every), "feature", "left")
+    enough = (F.col("docs") >= LEAST_DOCS) | F.coalesce(F.col("l_docs") >= LEAST_DOCS, F.lit(False))
     pick = {q: F.when(F.col("docs") >= LEAST_DOCS, F.col(q)).when(F.col("l_docs") >= LEAST_DOCS, F.col(f"l_{q}")).otherwise(F.col(f"e_{q}")) for q in ("q1", "q2", "q3")}
     low, high = F.lit(None).cast("double"), F.lit(None).cast("double")
-    for f, (lo, hi) in FLOORS.items():
+    for f, (lo, hi) in FALLBACK.items():
+        reach = SPREAD * F.greatest(pick["q3"] - pick["q1"], F.lit(LEAST_SPREAD[f]))
+        below, above = F.round(pick["q2"] - reach, 9), F.round(pick["q2"] + reach, 9)
         if lo is not None:
-            low = F.when(F.col("feature") == f, F.least(F.lit(lo), F.round(pick["q2"] - SPREAD * (pick["q3"] - pick["q1"]), 9))).otherwise(low)
-        high = F.when(F.col("feature") == f, F.greatest(F.lit(hi), F.round(pick["q2"] + SPREAD * (pick["q3"] - pick["q1"]), 9))).otherwise(high)
+            low = F.when(F.col("feature") == f, F.when(enough, below).otherwise(F.least(F.lit(lo), below))).otherwise(low)
+        high = F.when(F.col("feature") == f, F.when(enough, above).otherwise(F.greatest(F.lit(hi), above))).otherwise(high)
     return both.select("lang", "source", "feature", low.alias("low"), high.alias("high"))
 
 
@@ -109,11 +117,11 @@ def judge(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds the features, base_failed and kept to each document, without its text."""
     have = written(shares(features(docs, text)).withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))))
     sketch = written(sketches(have.where(~F.col("base_failed"))))
-    limits = thresholds(sketch).groupBy("lang", "source").pivot("feature", list(FLOORS)).agg(F.first("low").alias("low"), F.first("high").alias("high"))
+    limits = thresholds(sketch).groupBy("lang", "source").pivot("feature", list(FALLBACK)).agg(F.first("low").alias("low"), F.first("high").alias("high"))
     limits = limits.withColumnsRenamed({"lang": "_lang", "source": "_source"})
     # one row of limits meets many documents of a hot source: a join that Spark can split
     both = have.join(limits, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left").drop("_lang", "_source")
     good = ~F.col("base_failed")
-    for f in FLOORS:
+    for f in FALLBACK:
         good = good & F.coalesce(F.col(f) <= F.col(f"{f}_high"), F.lit(True)) & F.coalesce(F.col(f) >= F.col(f"{f}_low"), F.lit(True))
-    return both.withColumn("kept", good).drop(*(f"{f}_{x}" for f in FLOORS for x in ("low", "high")))
+    return both.withColumn("kept", good).drop(*(f"{f}_{x}" for f in FALLBACK for x in ("low", "high")))

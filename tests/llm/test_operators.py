@@ -71,6 +71,21 @@ def test_quality(spark):
         assert r.base_failed == (len(w) < 20 or 100 * len(hit) > 30 * len(w))
 
 
+def test_quality_thresholds_follow_their_group(spark):
+    few, many = "#" * 20, "#" * 40  # symbols of some 6 and 12 percent
+    plan = [("en", "prose", 240, ""), ("en", "prose", 1, few), ("en", "tables", 110, many), ("de", "prose", 120, ""), ("de", "small", 3, ""), ("de", "small", 1, few), ("xx", "new", 2, few), ("xx", "new", 1, many)]
+    rows = [(lang, source, extra, " ".join(words(k * 1000 + i, 60)) + " " + extra) for k, (lang, source, n, extra) in enumerate(plan) for i in range(n)]
+    rows.append(("en", "prose", "long", " ".join(f"abcdefg{i}" for i in range(100, 160))))
+    df = spark.createDataFrame([(i, t, lang, source) for i, (lang, source, _, t) in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in quality.judge(df).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert all(0.05 < got[i].symbol_share < 0.08 for i, r in enumerate(rows) if r[2] == few) and 8 < got[len(rows) - 1].mean_word < 20
+    # stricter than the constants in prose, looser in tables; a small source has its language's thresholds, a small
+    # language the constants
+    gone = {("en", "prose", few), ("en", "prose", "long"), ("de", "small", few), ("xx", "new", many)}
+    assert [i for i, r in got.items() if r.kept == (rows[i][:3] in gone)] == []
+
+
 def test_codes_have_random_access():
     ids = np.random.default_rng(1).integers(0, 70000, 5000).astype(np.uint32)
     ids[::3] = 7
