@@ -1,10 +1,11 @@
 """Line dedup by a tree of line templates.
 
 A line falls into a leaf by its number of tokens and its leading tokens; tokens with digits are variable fields
-from the start. Inside a leaf, a token is constant at its position if enough distinct lines of the leaf have it
-there, else it is a variable field; lines with the same constants share a template. A line recurs if another
-document has the same line (variable fields aside), or if its template, mostly constant, is found in enough
-documents. Of a recurring line the document with the smallest doc_id keeps it; all others drop it.
+from the start. Inside a leaf, each token is counted over the distinct lines that have it at its position; the rarest
+tokens of a line, as many as a template may have variable fields, are variable fields, and tokens as frequent as the
+rarest of the rest are constant. That compares a line's tokens with each other, so it does not depend on the size of
+the leaf. Lines with the same constants share a template. A line recurs if another document has the same line
+(variable fields aside), or if its template, mostly constant, is found in enough documents. Of a recurring line the document with the smallest doc_id keeps it; all others drop it.
 
 Lines of few tokens are never dropped, nor are repetitions inside one document. Null texts stay null, texts without
 lines to drop are unchanged. A null doc_id comes after all others: its lines go if they recur elsewhere. Rows that
@@ -21,7 +22,7 @@ from .common import let, maybe_broadcast, written
 #: Tokens that a line needs to be looked at, and to have a template with variable fields.
 LEAST_TOKENS, LEAST_TEMPLATE = 4, 8
 LEADING = 3
-#: Distinct lines that must have a token at a position, and documents that must have a template.
+#: Documents that must have a template.
 SUPPORT = 4
 #: Hundredths of a template's tokens that are constant.
 CONSTANT = 75
@@ -54,10 +55,13 @@ def templates(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     found = tree_lines(docs).where(F.col("tokens") >= LEAST_TEMPLATE).join(maybe_broadcast(leaves, leaves.count()), "leaf", "left_semi")
     few = found.groupBy("sig1", "sig2", "leaf").agg(F.first("line").alias("line"), F.min("doc_id").alias("doc"), F.first("tokens").alias("tokens"))
     tokens = written(few.select("sig1", "sig2", "leaf", "doc", "tokens", F.posexplode(F.split("line", " ")).alias("pos", "token")))
-    common = tokens.groupBy("leaf", "pos", "token").agg(F.count("*").alias("_n")).where(F.col("_n") >= SUPPORT).drop("_n").withColumn("constant", F.lit(True))
-    marked = tokens.join(common, ["leaf", "pos", "token"], "left")
-    constants = F.when(F.col("constant") & (F.col("token") != "<*>"), F.xxhash64("pos", "token"))
-    lines = marked.groupBy("sig1", "sig2", "leaf", "doc", "tokens").agg(F.bit_xor(constants).alias("template"), F.count(constants).alias("constants"))
+    common = tokens.groupBy("leaf", "pos", "token").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    counted = tokens.join(common, ["leaf", "pos", "token"], "left").withColumn("n", F.when(F.col("token") == "<*>", F.lit(0)).otherwise(F.coalesce("n", F.lit(1))))
+    # only the counts are sorted, to find how frequent a constant is at least
+    line = counted.groupBy("sig1", "sig2", "leaf", "doc", "tokens").agg(F.collect_list(F.struct("n", F.xxhash64("pos", "token").alias("h"))).alias("t"))
+    limit = F.get(F.sort_array(F.transform("t", lambda x: x["n"])), F.floor(F.col("tokens") * (100 - CONSTANT) / 100).cast("int"))
+    constants = let(limit, lambda least: F.filter("t", lambda x: (x["n"] >= least) & (x["n"] > 0)))
+    lines = line.withColumn("c", constants).select("sig1", "sig2", "leaf", "doc", "tokens", F.aggregate("c", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x["h"])).alias("template"), F.size("c").alias("constants"))
     lines = written(lines.where((100 * F.col("constants") >= CONSTANT * F.col("tokens"))))
     shared = lines.groupBy("leaf", "template", "constants").agg(F.min("doc").alias("first_doc"), F.count_distinct("doc").alias("_docs")).where(F.col("_docs") >= SUPPORT)
     return lines.join(shared, ["leaf", "template", "constants"]).select("sig1", "sig2", "first_doc")

@@ -58,6 +58,15 @@ def test_line_dedup(spark):
     assert [got[6 + i].n_dropped for i in range(5)] == [0, 1, 1, 1, 1]
 
 
+@pytest.mark.parametrize("n, m", [(2, 2), (4, 4), (20, 20), (20, 0), (50, 50)])
+def test_line_templates_at_several_sizes(spark, n, m):
+    pairs = [(i, k) for i in range(n) for k in range(m)] or [(i, i) for i in range(n)]
+    letters = lambda i: chr(97 + i // 26) + chr(97 + i % 26)
+    texts = [f"the user named {letters(i)} has logged in from the city of {letters(k)} today at noon" for i, k in pairs]
+    got = {r.doc_id: r.n_dropped for r in linededup.drop_recurring(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == [0] + [1] * (len(texts) - 1)
+
+
 def test_quality(spark):
     a = "one two three four five six seven eight "
     texts = [a * 3 + " ".join(words(1, 40)), " ".join(words(2, 60)), None, "", "# $ % a b", "x y\nx y\n\nz"]
