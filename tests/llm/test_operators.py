@@ -67,6 +67,15 @@ def test_line_templates_at_several_sizes(spark, n, m):
     assert [got[i] for i in range(len(texts))] == [0] + [1] * (len(texts) - 1)
 
 
+def test_lines_with_other_numbers_are_other_lines(spark):
+    log = "found {} errors in the second file of the log today"
+    other = "an unlike line about the {} that three or more documents have"
+    texts = ["12 34 56 78", "9 8 7 6", "12  34 56 78", *(log.format(i) for i in range(4)), "on 2024-01-05 the score was 3 to 1", "on 2024-01-06 the score was 2 to 2"]
+    texts += [other.format("sea"), other.format("sea"), other.format("sky"), other.format("sun")]
+    got = {r.doc_id: r.n_dropped for r in linededup.drop_recurring(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == [0, 0, 1, 0, 1, 1, 1, 0, 0, 0, 1, 1, 1]
+
+
 def test_quality(spark):
     a = "one two three four five six seven eight "
     texts = [a * 3 + " ".join(words(1, 40)), " ".join(words(2, 60)), None, "", "# $ % a b", "x y\nx y\n\nz"]
