@@ -141,12 +141,12 @@ def gunzip(data: bytes) -> bytes:
 
 
 def revisits(slim: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
-    """(page_id, payload_digest, refers_to) of the records that revisit another.
+    """(page_id, payload_digest, refers_to) of the records that revisit another, one row for repeated records.
 
     The groups of equal payloads are reduced to one row each before the join, so a large group is only ever
     joined with a single row, which Spark can split.
     """
-    some = slim.where((F.col("payload_bytes") >= least) & F.col("page_id").isNotNull()).select("page_id", "payload_digest")
+    some = slim.where((F.col("payload_bytes") >= least) & F.col("page_id").isNotNull()).select("page_id", "payload_digest").distinct()
     last = some.groupBy("payload_digest").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("_first")).where("_first < refers_to").drop("_first")
     return some.join(last, "payload_digest").where("page_id < refers_to")
 

@@ -48,6 +48,13 @@ def test_arc_versions_and_revisits(spark, tmp_path):
         assert {got[i].record_type for i in (3, 4, 5, 6, None)} == {"response"} and got[3].payload_bytes == 0
 
 
+def test_repeated_pages_stay_as_many(spark, tmp_path):
+    big = "<p>" + "x" * 1200 + "</p>"
+    pages = spark.createDataFrame([(1, "http://a", big)] * 5 + [(2, "http://b", big)] * 3 + [(3, "http://c", "short")] * 2, "page_id long, url string, html string")
+    got = collections.Counter((r.page_id, r.record_type, r.refers_to) for r in warc.pages_round_trip(pages, str(tmp_path / "w")).collect())
+    assert got == {(1, "revisit", 2): 5, (2, "response", None): 3, (3, "response", None): 2}
+
+
 def test_line_dedup(spark):
     line = "this line of seven words is repeated"
     logs = [f"the user named {w} has logged in from the office network today at noon sharp" for w in ("anna", "bert", "carl", "dora", "emil")]
