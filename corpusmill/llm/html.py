@@ -2,8 +2,9 @@
 
 Every block of text has a path of tags from the root. Over each path text length, punctuation and link text are
 added up; their ratios to the path's number of blocks are smoothed over neighbouring paths, fused into one score
-and held against a threshold. The blocks of the winning paths give the content node; its other blocks (headings,
-short paragraphs) are kept unless they stand in menus, forms, notices, adverts, comments and the like.
+and held against a threshold. The blocks of the winning paths give the content node; its other blocks (headings, short paragraphs) are kept unless they stand in menus, forms,
+notices, adverts, comments and the like, or, without an article, on paths of links. A form or the like that holds
+most of the page's text is no such place.
 
 Null or empty pages give an empty text; tags that are never closed, repeated rows and further columns are fine.
 Nothing is dropped or capped inside the content node.
@@ -26,7 +27,7 @@ SHARE = 0.12
 #: Weights of the previous, own and next path in smoothing.
 SMOOTH = (0.1, 0.8, 0.1)
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|title|select)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S | re.I)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:svg|iframe|title)\b[^>]*/>|<(script|style|noscript|template|textarea|svg|iframe|title|select)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S | re.I)
 # Elements by their role.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -38,16 +39,23 @@ HINTS = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|breadcrumb|breadcrumbs|byline|comment|comments|consent|cookie|cookies|copyright|disclaimer|disqus|footer|foot|gdpr|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notification|pager|pagination|paywall|popup|promo|promotion|recommended|related|replies|respond|search|share|sharing|sidebar|signup|skip|social|sponsor|sponsored|subscribe|subscription|teaser|toolbar|widget)(?:$|[\s_-])",
     re.I,
 )
+#: Classes that name what a layout has or lacks.
+LAYOUT = re.compile(r"(?<!\S)(?:has|no|with|without)[_-]\S+", re.I)
+#: Elements that never hold the content, whatever their share of the text.
+NEVER = set("button dialog footer head menu nav option select".split())
+#: Share of the text (of articles, if there are any) that makes a wrapper content if at most REST stands outside of wrappers.
+WRAPPER, REST = 0.7, 0.1
 ROLES = set("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true)|display\s*:\s*none""", re.I)
 PUNCTUATION = re.compile(r"[,.;:!?。，；：！？、…]")
 
 
 class Node:
-    __slots__ = ("away", "name", "number", "own", "path")
+    __slots__ = ("away", "hidden", "name", "number", "own", "path")
 
     def __init__(self, number: int, name: str, path: str, own: bool, above: bool) -> None:
-        self.number, self.name, self.path, self.own, self.away = number, name, path, own, own or above
+        self.number, self.name, self.path, self.own, self.away, self.hidden = number, name, path, own, own or above, False
 
 
 def _away(name: str, attributes: str) -> bool:
@@ -56,7 +64,7 @@ def _away(name: str, attributes: str) -> bool:
         return True
     for m in ATTRIBUTE.finditer(attributes) if attributes else ():
         key, value = m[1].lower(), (m[2] or "").strip("\"'")
-        if key in ("class", "id") and name not in ("html", "body", "article", "main") and HINTS.search(value):
+        if key in ("class", "id") and name not in ("html", "body", "article", "main") and HINTS.search(LAYOUT.sub(" ", value)):
             return True
         if key == "role" and value.lower() in ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
             return True
@@ -121,13 +129,36 @@ def blocks(page: str) -> list[tuple[str, tuple[Node, ...], int]]:
             count += 1
             top = stack[-1]
             stack.append(Node(count, name, f"{top.path}/{name}", _away(name, m[4] or ""), top.away))
+            stack[-1].hidden = stack[-1].own and HIDDEN.search(m[4] or "") is not None
     close()
     return out
 
 
+def keep_wrappers(found: list[tuple[str, tuple[Node, ...], int]]) -> None:
+    """Wrappers that hold most of the text are content after all, from the outermost inwards, until text is left."""
+    inside = [x for x in found if any(n.name in ("article", "main") for n in x[1])] or found
+    total = sum(len(text) for text, _, _ in inside)
+    while sum(len(text) for text, stack, _ in inside if not any(n.own for n in stack)) < REST * total:
+        held: dict[int, int] = defaultdict(int)
+        outer: dict[int, Node] = {}
+        for text, stack, _ in inside:
+            if (first := next((n for n in stack if n.own), None)) is not None:
+                held[first.number] += len(text)
+                outer[first.number] = first
+        best = outer[max(held, key=held.__getitem__)]
+        if held[best.number] < WRAPPER * total or best.name in NEVER or best.hidden:
+            break
+        best.own = False
+    for _, stack, _ in found:
+        above = False
+        for n in stack:
+            above = n.away = n.own or above
+
+
 def main_text(page: str | None) -> str:
     """The main text of a page; blocks are joined by an empty line."""
     found = blocks(page or "")
+    keep_wrappers(found)
     totals: dict[str, list[float]] = defaultdict(lambda: [0, 0, 0, 0])
     for text, stack, linked in found:
         if not stack[-1].away:
@@ -161,8 +192,9 @@ def main_text(page: str | None) -> str:
     _, _, line = max((nodes[n] for n, w in weight.items() if w >= 0.7 * total), key=lambda x: x[0])
     whole = [x for x in line if x.name in ("article", "main")]
     content = whole[-1] if whole else line[-2] if len(line) > 1 and line[-1].name in ("p", "blockquote", "pre", "li", *HEADING) else line[-1]
+    links = set() if whole else {p for p, t in totals.items() if t[3] >= 0.8 * t[1]} - chosen
     out = []
-    for text, stack, linked in found:
+    for text, stack, _ in found:
         numbers = [x.number for x in stack]
         if content.number not in numbers:
             continue
@@ -170,7 +202,7 @@ def main_text(page: str | None) -> str:
         away = stack[-1].away
         if away and stack[-1].name in HEADING and not content.away:  # the article's own heading may stand in its header
             away = any(x.own and x.name != "header" for x in inner)
-        if away or linked >= 0.8 * len(text) and stack[-1].name in ("li", "div", "td"):
+        if away or stack[-1].path in links:
             continue
         out.append(text)
     return "\n\n".join(out)

@@ -187,6 +187,17 @@ def test_html():
     assert html.main_text(None) == html.main_text("") == html.main_text("<script>x</script>") == ""
 
 
+LONG = "A sentence of the text, which is long enough, and goes on; it has marks. " * 4
+
+
+@pytest.mark.parametrize("around", ["<form action=x>{}</form>", "<div class='layout has-sidebar'>{}</div>", "<div class='no-sidebar'>{}</div>", "<div class='page search'>{}</div>", "<svg width='1'/>{}", "<iframe src='x'/>{}"])
+def test_html_wrappers_keep_the_article(around):
+    for inner in (f"<article><p>{LONG}</p><ol><li><a href=x>A reference</a></ol></article>", f"<div><p>{LONG}</p><p>{LONG}</p></div>"):
+        got = html.main_text("<html><body>" + around.format(inner) + "</body></html>")
+        assert LONG.strip() in got and ("A reference" in got or "article" not in inner)
+    assert html.main_text(f"<body><form><div><p>{LONG}</p></div><div class=comments><p>{'Nice. ' * 300}</p></div></form>") == LONG.strip()
+
+
 def test_decontamination(spark):
     item = words(1, 30)
     bench = spark.createDataFrame([(1, " ".join(item)), (2, "Short item, here"), (3, None), (4, "!!")], "item_id long, text string")
