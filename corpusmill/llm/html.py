@@ -2,7 +2,8 @@
 
 Every block of text has a path of tags from the root. Over each path text length, punctuation and link text are
 added up; their ratios to the path's number of blocks are smoothed over neighbouring paths, fused into one score
-and held against a threshold. The blocks of the winning paths give the content node; its other blocks (headings, short paragraphs) are kept unless they stand in menus, forms,
+and held against a threshold. The element around all blocks of the winning paths, or the article around most of
+them, is the content node; its other blocks (headings, short paragraphs) are kept unless they stand in menus, forms,
 notices, adverts, comments and the like, or, without an article, on paths of links. A form or the like that holds
 most of the page's text is no such place.
 
@@ -177,21 +178,22 @@ def main_text(page: str | None) -> str:
     fused = {p: a * (1 + b) * (1 - totals[p][3] / totals[p][1]) ** 2 * totals[p][1] ** 0.5 for p, a, b in zip(paths, smooth(length), smooth(marks), strict=True)}
     limit = SHARE * max(fused.values())
     chosen = {p for p, v in fused.items() if v >= limit and v > 0}
+    winners = [stack for _, stack, _ in found if not stack[-1].away and stack[-1].path in chosen]
+    if not winners:
+        return ""
+    # the deepest element around all winners, or the article around most of their text
+    line = winners[0]
+    for stack in winners:
+        line = line[: next((i for i, (x, y) in enumerate(zip(line, stack, strict=False)) if x is not y), min(len(line), len(stack)))]
     weight: dict[int, int] = defaultdict(int)
-    nodes: dict[int, tuple[int, Node, tuple[Node, ...]]] = {}
-    total = 0
+    nodes: dict[int, Node] = {}
     for text, stack, _ in found:
         if not stack[-1].away and stack[-1].path in chosen:
-            total += len(text)
-            for depth, x in enumerate(stack):
+            for x in stack:
                 weight[x.number] += len(text)
-                nodes[x.number] = depth, x, stack[: depth + 1]
-    if not total:
-        return ""
-    # the deepest element with most of the winners' text, or the article around it
-    _, _, line = max((nodes[n] for n, w in weight.items() if w >= 0.7 * total), key=lambda x: x[0])
-    whole = [x for x in line if x.name in ("article", "main")]
-    content = whole[-1] if whole else line[-2] if len(line) > 1 and line[-1].name in ("p", "blockquote", "pre", "li", *HEADING) else line[-1]
+                nodes[x.number] = x
+    whole = [n for n, x in nodes.items() if x.name in ("article", "main") and weight[n] >= 0.7 * weight[0]]
+    content = nodes[max(whole)] if whole else line[-2] if len(line) > 1 and any(line[-1] is x[-1] for x in winners) else line[-1]
     links = set() if whole else {p for p, t in totals.items() if t[3] >= 0.8 * t[1]} - chosen
     out = []
     for text, stack, _ in found:

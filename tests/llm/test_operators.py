@@ -198,6 +198,11 @@ def test_html_wrappers_keep_the_article(around):
     assert html.main_text(f"<body><form><div><p>{LONG}</p></div><div class=comments><p>{'Nice. ' * 300}</p></div></form>") == LONG.strip()
 
 
+def test_html_without_an_article_keeps_all_winners():
+    assert html.main_text(f"<body><nav>Menu</nav><div><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div><div><p>{LONG}</p></div>").count(LONG.strip()) == 4
+    assert html.main_text(f"<body><div>{LONG * 7}</div><div>{LONG * 3}</div>").count("A sentence") == 40
+
+
 def test_decontamination(spark):
     item = words(1, 30)
     bench = spark.createDataFrame([(1, " ".join(item)), (2, "Short item, here"), (3, None), (4, "!!")], "item_id long, text string")
