@@ -54,7 +54,7 @@ STAGES = [
     ("bpe", encode),
 ]
 
-#: The language models are no SQL; tests hold the stages against brute-force versions.
+#: The language models are no SQL; no test holds the whole against a brute-force version yet.
 ORACLE_SQL = None
 
 
