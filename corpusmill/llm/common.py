@@ -6,13 +6,14 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows in one Arrow batch; bounds the memory of a Python worker for texts of usual length.
 BATCH_ROWS = 500
 #: Bytes of one Arrow batch, unless a single row is larger; bounds it for long texts.
 BATCH_BYTES = 8 << 20
-#: Sides of at most so many rows are broadcast after they were counted; larger ones are shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Sides of at most so many bytes are broadcast after they were measured; larger ones are shuffled.
+BROADCAST_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,9 +46,28 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def maybe_broadcast(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint only if the counted ``rows`` are within ``most``."""
-    return F.broadcast(df) if rows <= most else df
+def _weight(name: str, kind: T.DataType) -> Column | int:
+    """Bytes of a value in a broadcast relation, about."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(name), F.lit(0)) + 24
+    if isinstance(kind, T.ArrayType):
+        own = F.octet_length(F.array_join(name, "")) if isinstance(kind.elementType, T.StringType) else F.lit(0)
+        return F.coalesce(own + F.size(name) * 24, F.lit(0)) + 24
+    return 16
+
+
+def size_in_bytes(df: DataFrame) -> int:
+    """About what a written table takes as a broadcast relation, summed over its rows."""
+    weights = [_weight(f"`{f.name}`", f.dataType) for f in df.schema]
+    row = F.lit(32 + sum(w for w in weights if isinstance(w, int)))
+    for w in weights:
+        row = row if isinstance(w, int) else row + w
+    return df.agg(F.sum(row.cast("long"))).first()[0] or 0
+
+
+def maybe_broadcast(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """A broadcast hint only if the rows of ``df``, a written table, take at most ``most`` bytes; else the join shuffles."""
+    return F.broadcast(df) if size_in_bytes(df) <= most else df
 
 
 def let(value: Column, body) -> Column:

@@ -41,7 +41,7 @@ def rarest(docs: DataFrame, wins: DataFrame) -> DataFrame:
     """The windows with their rarest terms and offsets (term1, at1, term2, at2), by counts over all texts; windows
     with a term that no text has are left out."""
     vocabulary = written(wins.select(F.explode("window").alias("term")).distinct())
-    hint = maybe_broadcast(vocabulary, vocabulary.count())
+    hint = maybe_broadcast(vocabulary)
     counts = keyed(docs).select(F.explode("w").alias("term")).join(hint, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
     terms = wins.select("window", "items", "n", F.posexplode("window").alias("at", "term")).join(counts, "term", "left")
     # by rarity, then place; equal terms may give both
@@ -52,7 +52,7 @@ def rarest(docs: DataFrame, wins: DataFrame) -> DataFrame:
 
 def postings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """Stores (term, doc_id, row, pos, context) of the wanted terms (term, anchor); anchors carry the words around."""
-    hint = maybe_broadcast(wanted, wanted.count())
+    hint = maybe_broadcast(wanted)
     found = keyed(docs).select("doc_id", "row", "w", F.posexplode("w").alias("pos", "term")).join(hint, "term")
     around = F.slice("w", F.greatest(F.col("pos") - WINDOW + 2, F.lit(1)), 2 * WINDOW - 1)
     return written(found.select("term", "doc_id", "row", "pos", F.when(F.col("anchor"), around).alias("context")))
@@ -67,7 +67,7 @@ def build_index(docs: DataFrame, wins: DataFrame) -> tuple[DataFrame, DataFrame]
 
 def phrases(best: DataFrame, index: DataFrame) -> DataFrame:
     """(doc_id, row, start, n, items) of every exact occurrence of a window."""
-    hint = maybe_broadcast(best, best.count())
+    hint = maybe_broadcast(best)
     first = index.where(F.col("context").isNotNull()).join(hint, F.col("term") == F.col("term1")).withColumn("start", F.col("pos") - F.col("at1")).where("start >= 0")
     shift = F.least("pos", F.lit(WINDOW - 1))
     first = first.where(F.slice("context", F.greatest(F.col("start") - F.col("pos") + shift + 1, F.lit(1)), F.col("n")) == F.col("window"))
@@ -78,7 +78,7 @@ def phrases(best: DataFrame, index: DataFrame) -> DataFrame:
 
 def proximity(best: DataFrame, index: DataFrame, slop: int = 3) -> DataFrame:
     """(doc_id, row, start, items) where the two rarest terms stand up to ``slop`` words off their distance."""
-    hint = maybe_broadcast(best, best.count())
+    hint = maybe_broadcast(best)
     first = index.join(hint, F.col("term") == F.col("term1")).select("doc_id", "row", F.col("term2").alias("term"), "items", (F.col("pos") - F.col("at1")).alias("start"), (F.col("pos") - F.col("at1") + F.col("at2")).alias("want"))
     second = index.select(F.col("doc_id").alias("d2"), F.col("row").alias("r2"), F.col("term").alias("t2"), F.col("pos").alias("p2"))
     near = first.join(second, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("row") == F.col("r2")) & (F.col("term") == F.col("t2")) & (F.abs(F.col("p2") - F.col("want")) <= slop))

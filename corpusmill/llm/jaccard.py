@@ -13,11 +13,12 @@ shared ones. The classes of frequent levels are ranges of hashes whose number fo
 part with the ranges of every size that a similar set can have.
 
 Only links that tell components apart are verified: first each index entry against one centre, then those in
-different components against others, at last the pairs of one entry that are still in different components, unless
-too few shingles are left behind the entry's place in the order,
-their distances to a common pivot differ by more than similar sets' can, or their parity bitmaps differ in more bits
-than similar sets have shingles of their own. Entries with the same nodes are met once. Hot entries are salted by the
-sketched frequency.
+different components against fresh centres as long as that settles something, at last the pairs of one entry that are
+still in different components. An entry drops the nodes that can be similar to none of its others: too few of their
+shingles are left behind the entry's place in the order for any size that the entry has. A pair is not verified if
+its sizes or places forbid a link, if the distances to a common pivot differ by more than similar sets' can, or if
+parity bitmaps differ in more bits than similar sets have shingles of their own. Entries of the same centre are folded into one, and entries with the same
+nodes are met once. Hot entries are salted by the sketched frequency.
 
 Null and empty texts have no shingles and their own component; null doc_ids are never linked and get a null
 component; rows that repeat a doc_id share its fate. An empty table gives no rows.
@@ -32,7 +33,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -51,10 +52,8 @@ LEVELS = {2: 6, 3: 12}
 SMALL = 32
 #: Rows of an index entry that share one salt.
 SALT_ROWS = 20_000
-#: Rounds of one more pair for each unsettled node, before all pairs that are left.
-ROUNDS = 2
-#: Pairs (of 16 bytes) that are broadcast to find their sets; more are shuffled.
-PAIRS = 500_000
+#: Ratio of the sizes that fall into one class of an entry.
+STEP = 1.02
 CHUNK = 1 << 14
 #: 64-bit words of a set's parity bitmap.
 WORDS = 8
@@ -222,7 +221,7 @@ def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([z[k] for z in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.bool_()))], ["a", "b", "distance", "linked"])
 
     pairs = written(pairs)
-    hint = maybe_broadcast(pairs, pairs.count(), PAIRS)
+    hint = maybe_broadcast(pairs)
     # only the sets that pairs need are shuffled
     return left.join(hint, "a").join(right.join(hint, "b"), ["a", "b"]).select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long, distance double, linked boolean")
 
@@ -251,6 +250,20 @@ def merged(rest: DataFrame) -> DataFrame:
     return rest.join(to, "sig").groupBy(F.col("_to").alias("sig"), "node").agg(F.first("n").alias("n"), F.first("component").alias("component"), F.max("most").alias("most"))
 
 
+def folded(shared: DataFrame) -> DataFrame:
+    """(sig, node, n, most): the entries of one centre as one, named by it, unless that makes more pairs.
+
+    Copies meet in many entries with nearly the same nodes; folded, each of them is one row. Salted entries stay, as
+    their nodes belong together under any centre.
+    """
+    near = written(shared.where("salts = 1").groupBy("centre", "node").agg(F.first("n").alias("n"), F.max("most").alias("most"), F.sum("size").alias("_pairs")))
+    sizes = near.groupBy("centre").agg(F.count("*").alias("_nodes"), F.sum("_pairs").alias("_pairs"))
+    apart = written(sizes.where(F.col("_nodes").cast("double") * F.col("_nodes") > F.col("_pairs")).select("centre"))
+    one = near.join(apart, "centre", "left_anti").select(F.col("centre").alias("sig"), "node", "n", "most")
+    rest = shared.where("salts = 1").join(apart, "centre", "left_semi").union(shared.where("salts > 1").select("centre", *(c for c in shared.columns if c != "centre")))
+    return one.union(rest.select("sig", "node", "n", "most"))
+
+
 def nearest(entries: DataFrame) -> DataFrame:
     """One pair (a, b) for each node: with the centre that it shares most entries with."""
     shared = entries.groupBy("node", "centre").agg(F.count("*").alias("_n"))
@@ -258,13 +271,33 @@ def nearest(entries: DataFrame) -> DataFrame:
     return best.select(F.col("_best.centre").alias("a"), F.col("node").alias("b"))
 
 
+def size_class(n: Column) -> Column:
+    return F.floor(F.ln(n) / F.ln(F.lit(STEP))).cast("int")
+
+
+def hopeful(classes: Column) -> Column:
+    """Whether a node (n, most) can be similar to a set of one of the size classes, its own included."""
+    low = size_class(F.col("n") * SIMILARITY / 100 * (1 - 1e-9))
+    high = F.least(F.col("n") * 100 / SIMILARITY, F.col("most") * (100 + SIMILARITY) / SIMILARITY - F.col("n"))
+    high = F.when(high > 0, size_class(high * (1 + 1e-9))).otherwise(F.lit(-1))
+    return F.exists(classes, lambda c: (c >= low) & (c <= high))
+
+
 def unsettled(active: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
     """The entries with nodes of more than one component: sig, node, n, most, component, and a centre drawn anew in each
     turn with its component (own)."""
-    held = active.select("sig", "node", "n", "most").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    held = written(active.select("sig", "node", "n", "most").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")))
     drawn = F.min_by(F.struct(F.col("node").alias("centre"), F.col("component").alias("own"), F.col("n").alias("n_centre"), F.col("most").alias("most_centre")), F.xxhash64(F.col("node"), F.lit(turn), F.col("sig")))
-    mixed = held.groupBy("sig").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), drawn.alias("_c")).where("_lo <> _hi").select("sig", "_c.*")
-    return written(held.join(mixed, "sig"))
+    mixed = held.groupBy("sig").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), drawn.alias("_c"), F.collect_set(size_class(F.col("n"))).alias("_classes")).where("_lo <> _hi").select(F.col("sig").alias("_sig"), "_c.*", "_classes")
+    mixed = written(mixed)
+    live = held.join(mixed, (F.col("sig") == F.col("_sig")) & hopeful(F.col("_classes"))).drop("_sig", "_classes")
+    return written(live)
+
+
+def split(rest: DataFrame) -> DataFrame:
+    """``rest`` without the entries that have nodes of one component only."""
+    mixed = rest.groupBy("sig").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi").select(F.col("sig").alias("_sig"))
+    return written(rest.join(written(mixed), F.col("sig") == F.col("_sig"), "left_semi"))
 
 
 def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -278,15 +311,22 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     docs_nodes = profiled.where("node is not null").select("doc_id", "n", "node")
     entries = signatures(docs, counts, cells).withColumn("salt", F.pmod("node", "salts")).repartition("sig", "salt").dropDuplicates(["sig", "salt", "node"])
     one = W.partitionBy("sig", "salt")
-    shared = written(entries.withColumn("size", F.count("*").over(one)).where("size > 1 or salts > 1"))
-    # the node that meets most others is an entry's centre: of copies, the text that they come from
-    active = written(shared.withColumn("degree", F.sum("size").over(W.partitionBy("node"))).withColumn("_c", F.max(F.struct("degree", "node", "n", "most")).over(one)).select("sig", "salts", "node", "n", "most", F.col("_c.node").alias("centre"), F.col("_c.n").alias("n_centre"), F.col("_c.most").alias("most_centre")))
+    shared = entries.withColumn("size", F.count("*").over(one)).where("size > 1 or salts > 1")
+    # a salted entry's nodes may have their like under another salt
+    shared = shared.withColumn("classes", F.collect_set(size_class(F.col("n"))).over(one)).where((F.col("salts") > 1) | hopeful(F.col("classes"))).drop("classes")
+    shared = shared.withColumn("size", F.count("*").over(one)).where("size > 1 or salts > 1")
+    # the node with the smallest share of rare shingles is an entry's centre: of copies, the text that they come from
+    shared = written(shared.withColumn("_c", F.max(F.struct((F.col("most") / F.col("n")).alias("share"), "node", "n", "most")).over(one)).select("sig", "salts", "size", "node", "n", "most", F.col("_c.node").alias("centre"), F.col("_c.n").alias("n_centre"), F.col("_c.most").alias("most_centre")))
+    first = written(nearest(shared.where(f"node <> centre and {possible('n', 'n_centre', 'most', 'most_centre')}")))
+    salted = shared.where("salts > 1").select("sig", "centre").distinct()
+    bridges = salted.withColumn("a", F.min("centre").over(W.partitionBy("sig"))).where("a <> centre").select("a", F.col("centre").alias("b"))
+    active = written(folded(shared))
 
     # the sets of nodes in shared entries, made anew from one text each
     nodes = written(active.select("node").distinct())
     n_nodes = nodes.count()
-    chosen = docs_nodes.join(maybe_broadcast(nodes, n_nodes), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    chosen = maybe_broadcast(written(chosen.select("doc_id")), n_nodes)
+    chosen = docs_nodes.join(maybe_broadcast(nodes), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    chosen = maybe_broadcast(written(chosen.select("doc_id")))
     wanted = docs.join(chosen, "doc_id", "left_semi")
     # several rows of one doc_id may bring a set twice
     repeated = docs_nodes.join(chosen, "doc_id", "left_semi").count() > n_nodes
@@ -304,34 +344,38 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     sets = written(sets.dropDuplicates(["node"]) if repeated else sets)
 
     # each node against the centre that it shares most entries with; the centres of a salted entry against its first
-    salted = active.where("salts > 1").select("sig", "centre").distinct()
-    bridges = salted.withColumn("a", F.min("centre").over(W.partitionBy("sig"))).where("a <> centre").select("a", F.col("centre").alias("b"))
-    first = written(measured(nearest(active.where(f"node <> centre and {possible('n', 'n_centre', 'most', 'most_centre')}")), sets))
+    first = written(measured(first, sets))
     links = written(first.union(measured(bridges.distinct(), sets)).where("linked").select("a", "b"))
     labels = components(links)
     # each node's distance to one pivot, which tells many pairs apart by the triangle inequality
     pivots = first.select(F.col("b").alias("node"), F.col("a").alias("pivot"), F.col("distance").alias("off"))
-    for turn in range(1, ROUNDS + 1):
-        rest = unsettled(active, labels, turn)
+    turn, last = 0, False
+    while not last:
+        turn += 1
+        rest = split(unsettled(active, labels, turn))
         if rest.isEmpty():
             break
-        if turn < ROUNDS:
-            pairs = nearest(rest.where(f"own <> component and {possible('n', 'n_centre', 'most', 'most_centre')}"))
-        else:  # all that is left between components
+        active = rest.select("sig", "node", "n", "most")
+        n_nodes = rest.select("node").distinct().count()
+        near = nearest(rest.where(f"own <> component and {possible('n', 'n_centre', 'most', 'most_centre')}"))
+        more = written(measured(near, sets).where("linked").select("a", "b"))
+        # another round of centres only pays as long as it settles a fair share of the nodes
+        last = turn > 1 and 20 * more.count() < n_nodes
+        if last:  # all that is left between components
             rest = merged(rest).join(pivots, "node", "left").withColumns({"pivot": F.coalesce("pivot", "node"), "off": F.coalesce("off", F.lit(0.0))})
             rest = written(rest.join(sets.select("node", *odd), "node"))
             x, y = (rest.select("sig", F.col("node").alias(c), *(F.col(v).alias(f"{v}_{c}") for v in ("component", "n", "most", "pivot", "off", *odd))) for c in "ab")
             near = f"component_a <> component_b and a < b and {possible('n_a', 'n_b', 'most_a', 'most_b')}"
             near += f" and (pivot_a <> pivot_b or abs(off_a - off_b) <= {(100 - SIMILARITY) / 100} + 1e-9)"
             near += f" and {100 + SIMILARITY} * ({' + '.join(f'bit_count({o}_a ^ {o}_b)' for o in odd)}) <= {100 - SIMILARITY} * (n_a + n_b)"
-            pairs = x.join(y, "sig").where(near).select("a", "b").distinct()
-        more = written(measured(pairs, sets).where("linked").select("a", "b"))
+            more = more.union(written(measured(x.join(y, "sig").where(near).select("a", "b").distinct(), sets).where("linked").select("a", "b")))
         if not more.isEmpty():
             links = written(links.union(more))
             labels = components(links)
 
     named = docs_nodes.join(labels, "node", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("component", "node")).alias("component"))
     named = written(named)
-    first = named.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    # written, so that both sides of the join are plain shuffles and a large component can be split
+    first = written(named.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id")))
     joined = named.join(first, "component", "left")
     return joined.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))

@@ -65,7 +65,7 @@ def templates(docs: DataFrame, lines: DataFrame, distinct: DataFrame) -> DataFra
     name = F.coalesce("mask", "sig1").alias("name")
     long = F.col("tokens") >= LEAST_TEMPLATE
     leaves = written(distinct.where(long).groupBy("leaf").agg(F.count("*").alias("_lines"), F.sum("rows").alias("_n")).where((F.col("_lines") > 1) & (F.col("_n") >= SUPPORT)).select("leaf"))
-    hint = maybe_broadcast(leaves, leaves.count())
+    hint = maybe_broadcast(leaves)
     few = tree_lines(docs).where(long).join(hint, "leaf", "left_semi").groupBy("leaf", name).agg(F.first("line").alias("line"), F.first("tokens").alias("tokens"))
     tokens = written(few.select("leaf", "name", "tokens", F.posexplode(F.split("line", " ")).alias("pos", "token")))
     common = tokens.groupBy("leaf", "pos", "token").agg(F.count("*").alias("n")).where(F.col("n") > 1)
@@ -80,7 +80,7 @@ def templates(docs: DataFrame, lines: DataFrame, distinct: DataFrame) -> DataFra
     known = distinct.where(long).select("leaf", name, "sig1", "sig2", "rows").join(line, ["leaf", "name"])
     some = known.groupBy("leaf", "template").agg(F.sum("rows").alias("_n")).where(F.col("_n") >= SUPPORT).select("leaf", "template")
     line = written(line.join(some, ["leaf", "template"]))
-    found = lines.where(long).select("leaf", name, "doc_id").join(maybe_broadcast(line, line.count()), ["leaf", "name"])
+    found = lines.where(long).select("leaf", name, "doc_id").join(maybe_broadcast(line), ["leaf", "name"])
     shared = found.groupBy("leaf", "template").agg(F.min("doc_id").alias("first_doc"), F.count_distinct("doc_id").alias("_docs")).where(F.col("_docs") >= SUPPORT)
     return distinct.where(long).select("leaf", name, "sig1", "sig2").join(line.join(shared, ["leaf", "template"]), ["leaf", "name"]).select("sig1", "sig2", "first_doc")
 
