@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-#: An odd multiplier congruent to 5 modulo 8, for rolling hashes modulo 2**64, and its inverse.
-BASE = 0x9E3779B97F4A7C15 & ~7 | 5
-UNBASE = pow(BASE, -1, 1 << 64)
+#: An odd multiplier for sums of hashes modulo 2**64.
+BASE = 0x9E3779B97F4A7C15
+#: Longer spans are hashed one by one by a cryptographic hash; shorter ones in steps of eight bytes, many at once.
+LONG = 64
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -18,34 +21,25 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(31))
 
 
-class Powers:
-    """Powers of BASE and of its inverse, grown on demand."""
-
-    def __init__(self) -> None:
-        self.up = np.ones(1, U64)
-        self.down = np.ones(1, U64)
-
-    def need(self, n: int) -> None:
-        if len(self.up) < n:
-            n = max(n, 1 << 20)
-            step = np.full(n, BASE, U64)
-            step[0] = 1
-            self.up = np.multiply.accumulate(step)
-            step = np.full(n, UNBASE, U64)
-            step[0] = 1
-            self.down = np.multiply.accumulate(step)
-
-
-POWERS = Powers()
-BYTE_CODES = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 
 
-def spans_hash(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each codes[start:end]; codes are 64-bit values of the symbols."""
-    POWERS.need(len(codes) + 1)
-    sums = np.zeros(len(codes) + 1, U64)
-    np.cumsum(codes * POWERS.up[: len(codes)], out=sums[1:])
-    return mix((sums[end] - sums[start]) * POWERS.down[start] + (end - start).astype(U64))
+def spans_hash(raw: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each of the spans of bytes raw[start : start + length]."""
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[: len(raw)] = raw
+    eight = np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))
+    h = mix(length.astype(U64) * U64(BASE) + U64(0x5851F42D4C957F2D))
+    left = np.flatnonzero((length > 0) & (length <= LONG))
+    at, rest = start[left], length[left]
+    while len(left):
+        part = eight[at] & _MASKS[np.minimum(rest, 8)]
+        h[left] = mix((h[left] ^ part) * U64(BASE) + U64(1))
+        go = rest > 8
+        left, at, rest = left[go], at[go] + 8, rest[go] - 8
+    for i in np.flatnonzero(length > LONG):
+        h[i] = int.from_bytes(hashlib.blake2b(raw[start[i] : start[i] + length[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
 
 
 def ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -106,7 +100,7 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, width: int = 5) -> tuple[
     A row with fewer than ``width`` words has its whole sequence as the one shingle; without words none.
     """
     start, end, before = word_spans(raw, offsets)
-    words = spans_hash(BYTE_CODES[_LOWER[raw]], start, end)
+    words = spans_hash(_LOWER[raw], start, end - start)
     n = np.diff(before)
     sums = np.zeros(max(0, len(words) - width + 1), U64)
     weight = 1

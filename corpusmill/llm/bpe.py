@@ -6,22 +6,25 @@ piece first needs them. A token is emitted as soon as every split that later byt
 through its end, so the lookahead is bounded by the longest token. Decoding streams: the bytes of tokens go
 through an incremental UTF-8 state machine that holds back an unfinished character only.
 
-Nulls are encoded as empty texts (no ids); repeated rows give repeated results; further columns are kept.
+Nulls are encoded as empty texts (no ids); repeated rows give repeated results, an empty table none. A very long text
+is worked on in parts, cut where no piece can end differently. ``encode`` and ``decode`` keep all other columns and
+replace one that has the name of theirs; ``round_trip`` returns the key and its figures only.
 """
 
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import ragged
-from .common import small_batches
-from .pretokens import PieceCache, documents_ids
+from .common import kept, small_batches
+from .pretokens import PieceCache, classes, documents_ids
 
 #: States and token pairs kept by a worker before it starts anew.
 MOST_STATES = 400_000
@@ -189,23 +192,49 @@ class Utf8Stream:
         return part[:cut].decode("utf-8", "replace")
 
 
-_MADE: dict[int, tuple[PieceCache, Decoder]] = {}
+def joined_by_tiktoken(first: str, others: list[str]) -> list[bool]:
+    """Whether tiktoken makes one piece of ``first`` and each of the other characters, at the public pattern."""
+    import public_tokenizers
+    import tiktoken
 
+    # of the merges only those over the seam exist, so a token of two bytes shows that there is none between pieces
+    ranks = {bytes([i]): i for i in range(256)} | {first.encode() + bytes([i]): 256 + i for i in range(256)}
+    coding = tiktoken.Encoding("seams", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    items = [first + x + "\n" for x in others]
+    ids = np.array(coding.encode_ordinary("".join(items)))
+    size = np.where(ids > 255, 2, 1)
+    starts = np.cumsum([0, *(len(x.encode()) for x in items)])[:-1]
+    return (ids[np.searchsorted(np.cumsum(size) - size, starts)] > 255).tolist()
 
-def _coder(ranks: dict[bytes, int]) -> tuple[PieceCache, Decoder]:
+
+@functools.cache
+def _kinds() -> np.ndarray:
+    return classes(joined_by_tiktoken)
+
+
+def _shared(spark: SparkSession, ranks_path: str):
+    """What every worker needs, as a broadcast: a name of the vocabulary, the ranks and the classes of characters."""
+    ranks = read_ranks(ranks_path)
+    name = hashlib.md5(repr(sorted(ranks.items())).encode()).hexdigest()
+    return spark.sparkContext.broadcast((name, ranks, _kinds()))
+
+
+def _coder(shared: tuple) -> tuple[PieceCache, Decoder]:
     """A worker's transducer and decoder; they stay for its later tasks."""
-    key = hash((len(ranks), *sorted(ranks.items())[:: max(1, len(ranks) // 997)]))
-    if key not in _MADE:
+    name, ranks, kinds = shared
+
+    def make():
         t = Transducer(ranks)
-        _MADE.clear()
-        _MADE[key] = PieceCache(lambda words: [t.encode(w.encode("utf-8", "surrogatepass")) for w in words]), Decoder(ranks)
-    return _MADE[key]
+        return PieceCache(lambda words: [t.encode(w.encode("utf-8", "surrogatepass")) for w in words], kinds), Decoder(ranks)
+
+    return kept(("bpe", name), make)
 
 
 def encode(df: DataFrame, ranks_path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Adds the ids of each text as array<int>."""
     small_batches(df.sparkSession)
-    shared = df.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
+    shared = _shared(df.sparkSession, ranks_path)
+    df = df.drop(ids)
     schema = df.select("*", F.lit(None).cast("array<int>").alias(ids)).schema
 
     def run(batches):
@@ -222,7 +251,8 @@ def encode(df: DataFrame, ranks_path: str, text: str = "text", ids: str = "ids")
 def decode(df: DataFrame, ranks_path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """Adds the text of each array of ids, decoded as a stream of parts; null ids give an empty text."""
     small_batches(df.sparkSession)
-    shared = df.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
+    shared = _shared(df.sparkSession, ranks_path)
+    df = df.drop(text)
     schema = df.select("*", F.lit(None).cast("string").alias(text)).schema
 
     def run(batches):
@@ -241,7 +271,7 @@ def round_trip(df: DataFrame, ranks_path: str, key: str = "doc_id", text: str =
     """Encodes each text, decodes its ids and returns the digests of both: key, n_tokens, ids_sha256,
     decoded_sha256 and round_trip_ok (whether the decoded text equals the text)."""
     small_batches(df.sparkSession)
-    shared = df.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
+    shared = _shared(df.sparkSession, ranks_path)
     src = df.select(F.col(key), F.col(text))
     schema = src.select(key, F.lit(0).cast("long").alias("n_tokens"), *(F.lit("").alias(c) for c in ("ids_sha256", "decoded_sha256")), F.lit(True).alias("round_trip_ok")).schema
 

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,3 +82,26 @@ def let(value: Column, body) -> Column:
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z only."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+#: What a Python worker keeps from one task to the next: at most one operator's state.
+_KEPT: dict = {}
+
+
+def kept(key, make: Callable[[], object]):
+    """``make()``, kept by the worker for its later tasks until a task asks for another key.
+
+    So an operator's models and caches do not stay in workers that a later operator runs in.
+    """
+    if key not in _KEPT:
+        _KEPT.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # gives freed memory back where the C library can
+            ctypes.CDLL(None).malloc_trim(0)
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def release() -> None:
+    """Frees what another operator's tasks have left in this worker."""
+    kept(None, lambda: None)

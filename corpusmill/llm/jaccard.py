@@ -38,7 +38,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .arrays import U64, blocks, mix, shingle_sets, utf8
-from .common import maybe_broadcast, small_batches, written
+from .common import maybe_broadcast, release, small_batches, written
 from .components import components
 
 WIDTH = 5
@@ -91,6 +91,7 @@ def profile(docs: DataFrame, cells: int) -> DataFrame:
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches):
+        release()
         counts = np.zeros(2 * cells, np.uint32)
         task = 0
         for b in batches:
@@ -161,6 +162,7 @@ def signatures(docs: DataFrame, counts: np.ndarray, cells: int) -> DataFrame:
     schema = "sig long, salts int, node long, n int, most int"
 
     def run(batches):
+        release()
         counts = shared.value
         for b in batches:
             for _, sets, at in _sets(b):
@@ -210,6 +212,7 @@ def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left, right = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "ab")
 
     def run(batches):
+        release()
         for b in batches:
             out = []
             for x, y, p, q in zip(*(b.column(c).to_pylist() for c in ("a", "b", "set_a", "set_b")), strict=True):
@@ -332,6 +335,7 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     repeated = docs_nodes.join(chosen, "doc_id", "left_semi").count() > n_nodes
 
     def make(batches):
+        release()
         for b in batches:
             for _, sets, at in _sets(b):
                 if m := len(at) - 1:

@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .arrays import U64, mix
-from .common import maybe_broadcast, small_batches
+from .common import maybe_broadcast, release, small_batches
 
 ORDER = 5
 #: Labelled rows that are learned from, for each language; every fifth of them calibrates the rejection.
@@ -300,6 +300,7 @@ def identify(docs: DataFrame, models: Models) -> DataFrame:
     schema = src.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected")).schema
 
     def run(batches):
+        release()
         for b in batches:
             langs, score, rejected = shared.value.predict(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], schema.names)

@@ -1,8 +1,8 @@
 """Splitting of texts at the public byte-level BPE pattern, many texts at once, and a cache of encoded pieces.
 
-Pieces are found on arrays of code points, hashed to 64 bits with their length, and looked up in a sorted
-table; only pieces not seen before by the worker reach the encoder. The table is bounded: when it is full it
-starts anew.
+Pieces are found on arrays of code points, hashed to 64 bits, looked up in a sorted table and compared with the piece
+that stands there, so that two pieces with one hash never share ids; only pieces not seen before by the worker reach
+the encoder. The table is bounded: when it is full it starts anew.
 """
 
 from __future__ import annotations
@@ -10,10 +10,12 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
+from collections.abc import Callable
 
 import numpy as np
+import regex
 
-from .arrays import U64, mix, ragged, spans_hash
+from .arrays import U64, ragged, spans_hash
 
 SPACE, LETTER, NUMBER, OTHER, END = range(5)
 #: Code points of Unicode's White_Space. Fixed values.
@@ -24,24 +26,31 @@ SEPARATOR = sys.maxunicode + 1
 _CUT = re.compile(r"(?<=[a-zA-Z]) (?=[a-zA-Z])")
 
 
-def _classes() -> np.ndarray:
-    """The class of every code point, from the general categories."""
-    kinds = np.full(sys.maxunicode + 2, OTHER, np.uint8)
-    for c in range(sys.maxunicode + 1):
-        k = unicodedata.category(chr(c))[0]
-        if k == "L":
-            kinds[c] = LETTER
-        elif k == "N":
-            kinds[c] = NUMBER
+def classes(joins: Callable[[str, list[str]], list[bool]]) -> np.ndarray:
+    """The class of every code point, as the library has it that encodes.
+
+    Two versions of Unicode are at hand, an older and a newer one. Where they differ, the library itself is asked:
+    ``joins(first, others)`` tells of which of the other characters it makes one piece with the first.
+    """
+    every = [chr(c) for c in range(sys.maxunicode + 1)]
+    kinds, newer = (np.full(sys.maxunicode + 2, OTHER, np.uint8) for _ in range(2))
+    for c, x in enumerate(every):
+        k = unicodedata.category(x)[0]
+        if k == "L" or k == "N":
+            kinds[c] = LETTER if k == "L" else NUMBER
+    text = "".join(x for x in every if not "\ud800" <= x <= "\udfff")
+    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+")):
+        for m in regex.finditer(pattern, text):
+            newer[np.frombuffer(m[0].encode("utf-32-le"), np.uint32)] = kind
+    asked = [every[c] for c in np.flatnonzero(kinds != newer)]
+    if asked:
+        at = np.array([ord(x) for x in asked])
+        kinds[at] = np.where(joins("a", asked), LETTER, np.where(joins("1", asked), NUMBER, OTHER))
     kinds[WHITE] = SPACE
     kinds[SEPARATOR] = END
     return kinds
 
 
-_KINDS: np.ndarray | None = None
-_CODES = mix(np.arange(1, 65537, dtype=U64) * U64(0x9E3779B97F4A7C15))
-
-
 def segments(text: str, size: int = BLOCK):
     """Parts of about ``size`` characters whose pieces are those of the whole text."""
     at = 0
@@ -54,11 +63,8 @@ def segments(text: str, size: int = BLOCK):
     yield text[at:] if at else text
 
 
-def pieces(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def pieces(texts: list[str], kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Code points of all texts, start and end of each piece, and the number of pieces before each text."""
-    global _KINDS
-    if _KINDS is None:
-        _KINDS = _classes()
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     total = int(lengths.sum()) + len(texts)
     cp = np.full(total, SEPARATOR, np.uint32)
@@ -66,7 +72,7 @@ def pieces(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     keep = np.ones(total, bool)
     keep[at + lengths] = False
     cp[keep] = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    kind = _KINDS[cp]
+    kind = kinds[cp]
     starts = np.ones(total, bool)
     starts[1:] = kind[1:] != kind[:-1]
     after = np.flatnonzero((kind[:-1] == SPACE) & (kind[1:] != SPACE) & (kind[1:] != END)) + 1
@@ -88,36 +94,62 @@ def pieces(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return cp, first, last, np.searchsorted(first, np.append(at, total))
 
 
+def equal(a: np.ndarray, at_a: np.ndarray, b: np.ndarray, at_b: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether a[at_a : at_a + n] equals b[at_b : at_b + n], for each."""
+    differ = np.flatnonzero(a[ragged(at_a, n)] != b[ragged(at_b, n)])
+    out = np.ones(len(n), bool)
+    if len(differ):
+        out[np.searchsorted(np.cumsum(n), differ, "right")] = False
+    return out
+
+
+class Pool:
+    """An array that grows at its end."""
+
+    def __init__(self) -> None:
+        self.data, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def add(self, values: np.ndarray) -> int:
+        """The place of the added values."""
+        while self.used + len(values) > len(self.data):
+            self.data = np.concatenate([self.data, np.zeros(len(self.data), np.uint32)])
+        self.data[self.used : self.used + len(values)] = values
+        self.used += len(values)
+        return self.used - len(values)
+
+
 class PieceCache:
-    """Ids of pieces by their hash; ``encode`` gets a list of new pieces and returns a list of id lists."""
+    """Ids of pieces; ``encode`` gets a list of new pieces and returns a list of id lists."""
 
-    def __init__(self, encode, most: int = 3_000_000) -> None:
-        self.encode, self.most = encode, most
+    def __init__(self, encode, kinds: np.ndarray, most: int = 1_000_000) -> None:
+        self.encode, self.kinds, self.most = encode, kinds, most
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.at, self.n = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.keys = np.zeros(0, U64)
+        self.at, self.n, self.text_at, self.text_n = (np.zeros(0, np.int64) for _ in range(4))
+        self.ids_pool, self.texts = Pool(), Pool()
 
-    def _add(self, keys: np.ndarray, words: list[str]) -> None:
-        lists = self.encode(words)
+    def _encoded(self, cp: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces one after the other, and their number for each."""
+        lists = self.encode([cp[i:j].tobytes().decode("utf-32-le", "surrogatepass") for i, j in zip(first.tolist(), last.tolist(), strict=True)])
         n = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter((i for ids in lists for i in ids), np.uint32, int(n.sum()))
-        while self.used + len(flat) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), np.uint32)])
-        self.pool[self.used : self.used + len(flat)] = flat
-        at = self.used + np.cumsum(n) - n
-        self.used += len(flat)
+        return np.fromiter((i for ids in lists for i in ids), np.uint32, int(n.sum())), n
+
+    def _add(self, keys: np.ndarray, cp: np.ndarray, first: np.ndarray, last: np.ndarray) -> None:
+        flat, n = self._encoded(cp, first, last)
+        size = last - first
+        at = self.ids_pool.add(flat) + np.cumsum(n) - n
+        text_at = self.texts.add(cp[ragged(first, size)]) + np.cumsum(size) - size
         where = np.searchsorted(self.keys, keys)
-        self.keys, self.at, self.n = (np.insert(a, where, b) for a, b in ((self.keys, keys), (self.at, at), (self.n, n)))
+        for name, values in (("at", at), ("n", n), ("text_at", text_at), ("text_n", size), ("keys", keys)):
+            setattr(self, name, np.insert(getattr(self, name), where, values))
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and each text's offsets into them."""
-        cp, first, last, before = pieces(texts)
-        codes = _CODES[np.minimum(cp, 65535)]
-        if (far := cp > 65535).any():
-            codes[far] = mix(cp[far].astype(U64) * U64(0x9E3779B97F4A7C15))
-        hashes, index, inverse = np.unique(spans_hash(codes, first, last), return_index=True, return_inverse=True)
+        cp, first, last, before = pieces(texts, self.kinds)
+        size = last - first
+        hashes, index, inverse = np.unique(spans_hash(cp.view(np.uint8), 4 * first, 4 * size), return_index=True, return_inverse=True)
         if len(self.keys) > self.most:
             self.clear()
         where = np.searchsorted(self.keys, hashes)
@@ -125,11 +157,19 @@ class PieceCache:
         inside = where < len(self.keys)
         new[inside] = self.keys[where[inside]] != hashes[inside]
         if new.any():
-            words = [cp[first[i] : last[i]].tobytes().decode("utf-32-le", "surrogatepass") for i in index[new]]
-            self._add(hashes[new], words)
+            self._add(hashes[new], cp, first[index[new]], last[index[new]])
             where = np.searchsorted(self.keys, hashes)
-        n = self.n[where][inverse]
-        out = self.pool[ragged(self.at[where][inverse], n)]
+        found = where[inverse]
+        same = self.text_n[found] == size
+        same[same] = equal(cp, first[same], self.texts.data, self.text_at[found[same]], size[same])
+        n = self.n[found]
+        at, pool = self.at[found], self.ids_pool.data
+        if not same.all():  # another piece has their hash
+            flat, count = self._encoded(cp, first[~same], last[~same])
+            n[~same] = count
+            at[~same] = self.ids_pool.used + np.cumsum(count) - count
+            pool = np.concatenate([pool[: self.ids_pool.used], flat])
+        out = pool[ragged(at, n)]
         sums = np.zeros(len(n) + 1, np.int64)
         np.cumsum(n, out=sums[1:])
         return out, sums[before]

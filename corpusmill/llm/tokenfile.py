@@ -7,11 +7,14 @@ table, in ascending doc_id order: part (the range of doc_ids), block, start (tok
 documents' ids and ends, and the levels, bitmaps and directories as binaries.
 
 Null texts are empty; every document ends with the id 0. Null doc_ids come first; rows with the same doc_id stand
-side by side. An empty table gives an empty file and no rows.
+side by side, ordered by a hash of their texts. An empty table gives an empty file and no rows; further columns are
+not read. A very long document is encoded in parts, but is one row of its block.
 """
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import os
 import zlib
 
@@ -21,8 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import shared_folder, small_batches
-from .pretokens import PieceCache, documents_ids
+from .common import kept, shared_folder, small_batches
+from .pretokens import PieceCache, classes, documents_ids
 
 END_ID = 0
 #: A block is closed when it has so many tokens; a longer document makes a longer block.
@@ -76,21 +79,37 @@ def token_at(levels: list[bytes], bitmaps: list[bytes], ranks: list[bytes], i: i
     return value
 
 
-_CACHES: dict[int, PieceCache] = {}
+def _tokenizer(json: str):
+    """The special tokens' strings in a text are ordinary text, as the tokenizers' description has it."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
 
+    t = Tokenizer.from_str(json)
+    t.encode_special_tokens = True
+    return t
 
-def _cache(tokenizer_json: str) -> PieceCache:
+
+@functools.cache
+def _kinds(json: str) -> np.ndarray:
+    """The classes of characters, as the tokenizer's own splitting has them."""
+    split = _tokenizer(json).pre_tokenizer.pre_tokenize_str
+
+    def joins(first: str, others: list[str]) -> list[bool]:
+        ends = {end for _, (_, end) in split("".join(first + x + "\n" for x in others))}
+        return [3 * i + 1 not in ends for i in range(len(others))]
+
+    return classes(joins)
+
+
+def _cache(shared: tuple) -> PieceCache:
     """A worker's tokenizer and the pieces it has seen; they stay for its later tasks."""
-    key = hash(tokenizer_json)
-    if key not in _CACHES:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+    json, kinds = shared
+
+    def make() -> PieceCache:
+        t = _tokenizer(json)
+        return PieceCache(lambda words: [e.ids for e in t.encode_batch_fast(words, add_special_tokens=False)], kinds)
 
-        t = Tokenizer.from_str(tokenizer_json)
-        t.encode_special_tokens = True
-        _CACHES.clear()
-        _CACHES[key] = PieceCache(lambda words: [e.ids for e in t.encode_batch_fast(words, add_special_tokens=False)])
-    return _CACHES[key]
+    return kept(("token file", hashlib.md5(json.encode()).hexdigest()), make)
 
 
 def write(df: DataFrame, path: str, tokenizer_path: str, key: str = "doc_id", text: str = "text") -> None:
@@ -98,8 +117,10 @@ def write(df: DataFrame, path: str, tokenizer_path: str, key: str = "doc_id", te
     spark = df.sparkSession
     small_batches(spark)
     with open(tokenizer_path, encoding="utf-8") as f:
-        shared = spark.sparkContext.broadcast(f.read())
-    ordered = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id").withColumn("part", F.spark_partition_id())
+        json = f.read()
+    shared = spark.sparkContext.broadcast((json, _kinds(json)))
+    rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("_tie"))
+    ordered = rows.repartitionByRange("doc_id", "_tie").sortWithinPartitions("doc_id", "_tie", "text").drop("_tie").withColumn("part", F.spark_partition_id())
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.list_(pa.binary())]
 
