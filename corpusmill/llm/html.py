@@ -7,8 +7,10 @@ them, is the content node; its other blocks (headings, short paragraphs) are kep
 notices, adverts, comments and the like, or, without an article, on paths of links. A form or the like that holds
 most of the page's text is no such place.
 
-Null or empty pages give an empty text; tags that are never closed, repeated rows and further columns are fine.
-Nothing is dropped or capped inside the content node.
+Null or empty pages give an empty text, an empty table no rows; repeated rows are worked out alike; further columns are
+kept, but for ``text`` and ``n_chars``, which are replaced. Tags that are never closed, quotes without an end and
+elements in each other to any depth take time in proportion to the page. Inside the content node nothing but the
+named places is dropped, and nothing is capped.
 """
 
 from __future__ import annotations
@@ -28,7 +30,6 @@ SHARE = 0.12
 #: Weights of the previous, own and next path in smoothing.
 SMOOTH = (0.1, 0.8, 0.1)
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:svg|iframe|title)\b[^>]*/>|<(script|style|noscript|template|textarea|svg|iframe|title|select)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S | re.I)
 # Elements by their role.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -52,11 +53,69 @@ HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?tru
 PUNCTUATION = re.compile(r"[,.;:!?。，；：！？、…]")
 
 
+RAW = set("script style noscript template textarea svg iframe title select".split())
+TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+MARK = re.compile(r"[\"'>]")
+
+
 class Node:
-    __slots__ = ("away", "hidden", "name", "number", "own", "path")
+    """An open or closed element; the nodes of a page stand in the order of their start tags."""
+
+    __slots__ = ("away", "hidden", "name", "number", "own", "parent", "path")
+
+    def __init__(self, number: int, name: str, path: int, parent: Node | None, own: bool, hidden: bool) -> None:
+        self.number, self.name, self.path, self.parent, self.own, self.hidden, self.away = number, name, path, parent, own, hidden, False
 
-    def __init__(self, number: int, name: str, path: str, own: bool, above: bool) -> None:
-        self.number, self.name, self.path, self.own, self.away, self.hidden = number, name, path, own, own or above, False
+
+def tokens(page: str):
+    """(text, closing, name, attributes) of the page's texts and tags; a text has no name. Each character is looked at a
+    bounded number of times, whatever the page: a quote without an end is no quote, a tag without an end is text."""
+    at, size, quotes = 0, len(page), True
+    last = page.rfind(">")
+    while at < size:
+        start = page.find("<", at)
+        if start < 0 or start > last:
+            yield page[at:], False, "", ""
+            return
+        if start > at:
+            yield page[at:start], False, "", ""
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = size if end < 0 else end + 3
+            continue
+        if page.startswith("<![CDATA[", start):
+            at = start + 9
+            continue
+        m = TAG.match(page, start + 1)
+        if not m:
+            if page[start + 1 : start + 2] in ("!", "?"):
+                at = page.find(">", start) + 1
+            else:
+                yield "<", False, "", ""
+                at = start + 1
+            continue
+        end = m.end()
+        while quotes:
+            mark = MARK.search(page, end)
+            if mark is None:
+                quotes = False
+            elif mark[0] == ">":
+                end = mark.start()
+                break
+            else:
+                end = page.find(mark[0], mark.end()) + 1
+                if not end:
+                    quotes = False
+        if not quotes:
+            end = page.find(">", m.end())
+        name, attributes = m[2].lower(), page[m.end() : end]
+        at = end + 1
+        if name in RAW and not m[1]:
+            if not attributes.endswith("/"):
+                close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+                at = close.end() if close else size
+            continue
+        yield "", bool(m[1]), name, attributes
 
 
 def _away(name: str, attributes: str) -> bool:
@@ -74,100 +133,114 @@ def _away(name: str, attributes: str) -> bool:
     return False
 
 
-def blocks(page: str) -> list[tuple[str, tuple[Node, ...], int]]:
-    """(text, open elements, characters inside links) of each block, in page order."""
-    stack: list[Node] = [Node(0, "", "", False, False)]
-    out: list[tuple[str, tuple[Node, ...], int]] = []
-    held: list[str] = []
-    linked = count = 0
-    link = False
-
-    def close() -> None:
-        nonlocal linked
-        if held:
-            if text := " ".join(entities.unescape("".join(held)).split()):
-                out.append((text, tuple(stack), linked))
-            held.clear()
-            linked = 0
-
-    for m in TOKEN.finditer(page):
-        text, name = m[5], m[3]
-        if text is not None:
-            held.append(text)
-            if link:
-                linked += len(text)
-            continue
-        if name is None:
-            continue
-        name = name.lower()
-        if name == "br":
-            held.append(" ")
-        elif name == "a":
-            link = not m[2]
-        elif name in INLINE and not (name in ("span", "label") and _away(name, m[4] or "")):
-            continue
-        elif name == "hr":
-            close()
-        elif name in VOID:
-            continue
-        elif m[2]:
-            if any(x.name == name for x in stack):
+class Page:
+    """The nodes of a page and its blocks (text, node, characters inside links), in page order."""
+
+    def __init__(self, page: str) -> None:
+        self.nodes = [Node(0, "", 0, None, False, False)]
+        self.blocks: list[tuple[str, Node, int]] = []
+        self.paths: dict[tuple[int, str], int] = {}
+        stack, places = [self.nodes[0]], defaultdict(list)  # of each name the places in the stack
+        held: list[str] = []
+        linked, link = 0, False
+
+        def close() -> None:
+            nonlocal linked
+            if held:
+                if text := " ".join(entities.unescape("".join(held)).split()):
+                    self.blocks.append((text, stack[-1], linked))
+                held.clear()
+                linked = 0
+
+        def cut(place: int) -> None:
+            while len(stack) > place:
+                places[stack.pop().name].pop()
+
+        for text, closing, name, attributes in tokens(page):
+            if not name:
+                held.append(text)
+                if link:
+                    linked += len(text)
+            elif name == "br":
+                held.append(" ")
+            elif name == "a":
+                link = not closing
+            elif name in INLINE and not (name in ("span", "label") and _away(name, attributes)):
+                continue
+            elif name == "hr":
                 close()
-                while stack.pop().name != name:
-                    pass
-        else:
-            close()
-            link = False
-            if name in CLOSES:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].name in SCOPES[name]:
-                        break
-                    if stack[i].name in CLOSES[name]:
-                        del stack[i:]
-                        break
-            elif name not in INLINE and stack[-1].name == "p":
-                stack.pop()
-            count += 1
-            top = stack[-1]
-            stack.append(Node(count, name, f"{top.path}/{name}", _away(name, m[4] or ""), top.away))
-            stack[-1].hidden = stack[-1].own and HIDDEN.search(m[4] or "") is not None
-    close()
-    return out
-
-
-def keep_wrappers(found: list[tuple[str, tuple[Node, ...], int]]) -> None:
-    """Wrappers that hold most of the text are content after all, from the outermost inwards, until text is left."""
-    inside = [x for x in found if any(n.name in ("article", "main") for n in x[1])] or found
-    total = sum(len(text) for text, _, _ in inside)
-    while sum(len(text) for text, stack, _ in inside if not any(n.own for n in stack)) < REST * total:
-        held: dict[int, int] = defaultdict(int)
-        outer: dict[int, Node] = {}
-        for text, stack, _ in inside:
-            if (first := next((n for n in stack if n.own), None)) is not None:
-                held[first.number] += len(text)
-                outer[first.number] = first
-        best = outer[max(held, key=held.__getitem__)]
-        if held[best.number] < WRAPPER * total or best.name in NEVER or best.hidden:
-            break
-        best.own = False
-    for _, stack, _ in found:
-        above = False
-        for n in stack:
-            above = n.away = n.own or above
-
-
-def main_text(page: str | None) -> str:
-    """The main text of a page; blocks are joined by an empty line."""
-    found = blocks(page or "")
-    keep_wrappers(found)
-    totals: dict[str, list[float]] = defaultdict(lambda: [0, 0, 0, 0])
-    for text, stack, linked in found:
-        if not stack[-1].away:
-            t = totals[stack[-1].path]
+            elif name in VOID:
+                continue
+            elif closing:
+                if places[name]:
+                    close()
+                    cut(places[name][-1])
+            else:
+                close()
+                link = False
+                if name in CLOSES:
+                    nearest = max((places[x][-1] for x in CLOSES[name] if places[x]), default=0)
+                    if nearest > max((places[x][-1] for x in SCOPES[name] if places[x]), default=-1) and nearest:
+                        cut(nearest)
+                elif name not in INLINE and stack[-1].name == "p":
+                    cut(len(stack) - 1)
+                top, own = stack[-1], _away(name, attributes)
+                path = self.paths.setdefault((top.path, name), len(self.paths) + 1)
+                node = Node(len(self.nodes), name, path, top, own, own and HIDDEN.search(attributes) is not None)
+                self.nodes.append(node)
+                places[name].append(len(stack))
+                stack.append(node)
+        close()
+
+    def held(self, chosen=lambda node: True) -> list[int]:
+        """Characters of text below each node, of the blocks at chosen nodes."""
+        out = [0] * len(self.nodes)
+        for text, node, _ in self.blocks:
+            if chosen(node):
+                out[node.number] += len(text)
+        for node in reversed(self.nodes[1:]):
+            out[node.parent.number] += out[node.number]
+        return out
+
+    def inherited(self, own, start=None) -> list:
+        """For each node ``own(node)`` or else its parent's value."""
+        out = [start] * len(self.nodes)
+        for node in self.nodes[1:]:
+            found = own(node)
+            out[node.number] = out[node.parent.number] if found is None else found
+        return out
+
+
+def keep_wrappers(page: Page) -> None:
+    """Wrappers that hold most of the text are content after all, from the outermost inwards, until text is left.
+    Wrappers of so much text lie in each other, so one walk inwards finds them."""
+    articles = page.inherited(lambda n: True if n.name in ("article", "main") else None)
+    counted = (lambda n: articles[n.number]) if any(articles[n.number] for _, n, _ in page.blocks) else (lambda n: True)
+    held, nearest = page.held(counted), page.inherited(lambda n: n.number if n.own else None)
+    total, direct = held[0], defaultdict(int)
+    for text, node, _ in page.blocks:
+        if counted(node):
+            direct[nearest[node.number]] += len(text)
+    outside = direct[None]
+    for node in page.nodes[1:]:
+        if node.own and held[node.number] >= WRAPPER * total > 0:
+            if outside >= REST * total or node.name in NEVER or node.hidden:
+                break
+            node.own = False
+            outside += direct[node.number]
+    for node in page.nodes[1:]:
+        node.away = node.own or node.parent.away
+
+
+def winning_paths(page: Page) -> tuple[set[int], dict[int, list[int]]]:
+    """The paths whose fused score reaches the threshold, and the totals of each path: blocks, characters, punctuation
+    and characters inside links."""
+    totals: dict[int, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
+    for text, node, linked in page.blocks:
+        if not node.away:
+            t = totals[node.path]
             for i, v in enumerate((1, len(text), len(PUNCTUATION.findall(text)), min(linked, len(text)))):
                 t[i] += v
-    if not totals:
-        return ""
     paths = list(totals)
     length = [totals[p][1] / totals[p][0] for p in paths]
     marks = [totals[p][2] / totals[p][0] for p in paths]
@@ -176,37 +249,40 @@ def main_text(page: str | None) -> str:
         return [SMOOTH[0] * v[max(i - 1, 0)] + SMOOTH[1] * v[i] + SMOOTH[2] * v[min(i + 1, len(v) - 1)] for i in range(len(v))]
 
     fused = {p: a * (1 + b) * (1 - totals[p][3] / totals[p][1]) ** 2 * totals[p][1] ** 0.5 for p, a, b in zip(paths, smooth(length), smooth(marks), strict=True)}
-    limit = SHARE * max(fused.values())
-    chosen = {p for p, v in fused.items() if v >= limit and v > 0}
-    winners = [stack for _, stack, _ in found if not stack[-1].away and stack[-1].path in chosen]
-    if not winners:
+    limit = SHARE * max(fused.values(), default=0)
+    return {p for p, v in fused.items() if v >= limit and v > 0}, totals
+
+
+def main_text(html: str | None) -> str:
+    """The main text of a page; blocks are joined by an empty line."""
+    page = Page(html or "")
+    keep_wrappers(page)
+    chosen, totals = winning_paths(page)
+    wins = lambda n: not n.away and n.path in chosen
+    weight = page.held(wins)
+    if not weight[0]:
         return ""
     # the deepest element around all winners, or the article around most of their text
-    line = winners[0]
-    for stack in winners:
-        line = line[: next((i for i, (x, y) in enumerate(zip(line, stack, strict=False)) if x is not y), min(len(line), len(stack)))]
-    weight: dict[int, int] = defaultdict(int)
-    nodes: dict[int, Node] = {}
-    for text, stack, _ in found:
-        if not stack[-1].away and stack[-1].path in chosen:
-            for x in stack:
-                weight[x.number] += len(text)
-                nodes[x.number] = x
-    whole = [n for n, x in nodes.items() if x.name in ("article", "main") and weight[n] >= 0.7 * weight[0]]
-    content = nodes[max(whole)] if whole else line[-2] if len(line) > 1 and any(line[-1] is x[-1] for x in winners) else line[-1]
+    around = [n for n in page.nodes if weight[n.number] == weight[0]]
+    content = around[-1]  # they lie in each other
+    if any(n is content for _, n, _ in page.blocks if wins(n)) and content.parent is not None:
+        content = content.parent
+    whole = [n for n in page.nodes if n.name in ("article", "main") and weight[n.number] >= WRAPPER * weight[0]]
+    content = whole[-1] if whole else content
     links = set() if whole else {p for p, t in totals.items() if t[3] >= 0.8 * t[1]} - chosen
+    # whether a node lies in the content, and whether something but a header keeps it away there
+    inside = page.inherited(lambda n: True if n is content else None, content is page.nodes[0])
+    inside[content.number] = True
+    barred = [False] * len(page.nodes)
+    for n in page.nodes[1:]:
+        barred[n.number] = n is not content and (n.own and n.name != "header" or barred[n.parent.number])
     out = []
-    for text, stack, _ in found:
-        numbers = [x.number for x in stack]
-        if content.number not in numbers:
-            continue
-        inner = stack[numbers.index(content.number) + 1 :]
-        away = stack[-1].away
-        if away and stack[-1].name in HEADING and not content.away:  # the article's own heading may stand in its header
-            away = any(x.own and x.name != "header" for x in inner)
-        if away or stack[-1].path in links:
-            continue
-        out.append(text)
+    for text, node, _ in page.blocks:
+        away = node.away
+        if away and node.name in HEADING and not content.away:  # the article's own heading may stand in its header
+            away = barred[node.number]
+        if inside[node.number] and not away and node.path not in links:
+            out.append(text)
     return "\n\n".join(out)
 
 
