@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .arrays import U64, mix
-from .common import maybe_broadcast, release, small_batches
+from .common import maybe_broadcast, release, small_batches, written
 
 ORDER = 5
 #: Labelled rows that are learned from, for each language; every fifth of them calibrates the rejection.
@@ -262,18 +262,27 @@ def held_out(df: DataFrame, key: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def sample(docs: DataFrame, rows: int) -> DataFrame:
+    """(doc_id, lang, text) of up to ``rows`` labelled texts of each language, the first by a hash of doc_id and text.
+
+    Texts without letters are of no use and repeated rows count once. The languages' sizes tell below which hash the
+    first ones lie, about four times as many, so that only those are sorted and no language's rows meet in one task.
+    """
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(docs) & F.col("text").rlike("\\p{L}"))
+    known = known.withColumn("_h", F.xxhash64("doc_id", "text"))
+    sizes = written(known.groupBy("lang").agg(F.approx_count_distinct("_h").alias("_n")))
+    share = (4 * rows + 200) / F.col("_n")
+    low = known.join(maybe_broadcast(sizes), "lang").where(F.pmod("_h", F.lit(1 << 31)) < share * (1 << 31))
+    once = low.groupBy("lang", "doc_id", "_h").agg(F.first("text").alias("text"))
+    order = W.partitionBy("lang").orderBy(F.pmod("_h", F.lit(1 << 31)), "_h", "doc_id")
+    return written(once.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= rows).select("doc_id", "lang", "text"))
+
+
 def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Models:
-    """Fits on up to ``rows`` labelled rows of each language, the first by a hash of doc_id."""
-    spark = docs.sparkSession
-    few = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(docs)).select("doc_id", "lang")
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = few.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= rows)
-    ids = [r[0] for r in picked.select("doc_id").distinct().collect()]  # at most ``rows`` a language
-    chosen = maybe_broadcast(spark.createDataFrame([(i,) for i in ids], "doc_id long"), len(ids))
-    sample = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").join(chosen, "doc_id", "left_semi")
+    """Fits on up to ``rows`` labelled texts of each language."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("doc_id").head(rows)
+        group = group.sort_values(["doc_id", "text"])
         every = np.arange(len(group)) % 5 == 4
         seen, kept = list(group.text[~every]), list(group.text[every])
         out = fit_language(seen or kept) if any(codes(seen or kept)[0]) else []
@@ -281,7 +290,7 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Models:
 
     models: dict[str, list] = {}
     kept: dict[str, list[str]] = {}
-    for x in sample.groupBy("lang").applyInPandas(run, "lang string, n int, keys binary, p binary, suffix binary, context binary, text string").collect():
+    for x in sample(docs, rows).groupBy("lang").applyInPandas(run, "lang string, n int, keys binary, p binary, suffix binary, context binary, text string").collect():
         if x.n:
             models.setdefault(x.lang, []).append((x.n, *map(bytes, x[2:6])))
         else:

@@ -9,7 +9,9 @@ space aside, but with the same numbers), or if its template, mostly constant, is
 
 Lines of few tokens are never dropped, nor are repetitions inside one document. Null texts stay null, texts without
 lines to drop are unchanged. A null doc_id comes after all others: its lines go if they recur elsewhere. Rows that
-repeat a doc_id are one document. An empty table gives no rows.
+repeat a doc_id are one document. Ties in a token's count are constant together. An empty table gives no rows;
+further columns are kept, but for those that the result adds. A very long text is one array of lines in its row; its
+lines are rows of their own from then on.
 """
 
 from __future__ import annotations
@@ -101,7 +103,8 @@ def drop_recurring(docs: DataFrame) -> DataFrame:
     lines = written(tree_lines(docs).drop("line"))
     distinct = written(lines.groupBy("sig1", "sig2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.first("leaf").alias("leaf"), F.first("tokens").alias("tokens"), F.first("mask").alias("mask"), F.count("*").alias("rows"), F.count_if(F.col("doc_id").isNull()).alias("nameless")))
     same = distinct.where("first_doc < last_doc or nameless > 0 and first_doc is not null").select("sig1", "sig2", "first_doc")
-    recurring = same.union(templates(docs, lines, distinct)).groupBy("sig1", "sig2").agg(F.min("first_doc").alias("first_doc"))
+    # written, so that both sides of the join are plain shuffles and a very common line can be split
+    recurring = written(same.union(templates(docs, lines, distinct)).groupBy("sig1", "sig2").agg(F.min("first_doc").alias("first_doc")))
     gone = lines.join(recurring, ["sig1", "sig2"]).where("doc_id is null or doc_id > first_doc")
     gone = gone.groupBy(F.col("doc_id").alias("_doc"), F.col("row").alias("_row")).agg(F.sort_array(F.collect_set("pos")).alias("_gone"))
     keyed = docs.drop("n_lines", "n_dropped", "emptied").withColumn("_key", F.xxhash64("text"))

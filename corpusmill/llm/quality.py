@@ -8,7 +8,8 @@ has too few documents as well do the constants of FALLBACK hold, loosened by the
 then joined with the thresholds and filtered.
 
 Null texts have no words and fail the base rules. Null languages and sources are groups of their own. A document
-at a threshold is kept. An empty table gives no rows; repeated rows are judged alike.
+at a threshold is kept. An empty table gives no rows; repeated rows are judged alike, each of them counted. Further
+columns are kept, but for those that the result adds. A very long text is worked out as one array of words in its row.
 """
 
 from __future__ import annotations
@@ -29,10 +30,10 @@ LEAST_DOCS = 100
 #: Multiples of the distance between the quartiles that are admitted beyond the median.
 SPREAD = 5.0
 #: feature: distance between the quartiles that is taken at least, for groups most of whose documents are alike.
-LEAST_SPREAD = {"symbol_share": 0.01, "dup_line_share": 0.06, "mean_word": 0.2}
+LEAST_SPREAD = {"symbol_share": 0.01, "dup_line_share": 0.06, "repeat_share": 0.05, "mean_word": 0.2}
 #: feature: (lower threshold or None, upper threshold) where group and language have too few documents; the corpus'
 #: quantiles may loosen them.
-FALLBACK = {"symbol_share": (None, 0.08), "dup_line_share": (None, 0.5), "mean_word": (2.0, 20.0)}
+FALLBACK = {"symbol_share": (None, 0.08), "dup_line_share": (None, 0.5), "repeat_share": (None, 0.3), "mean_word": (2.0, 20.0)}
 ZERO = -1_000_000
 
 
@@ -72,6 +73,7 @@ def shares(df: DataFrame) -> DataFrame:
         {
             "symbol_share": F.coalesce(F.try_divide("n_symbols", "word_chars"), F.lit(0.0)),
             "dup_line_share": F.coalesce(F.try_divide("n_dup_lines", "n_lines"), F.lit(0.0)),
+            "repeat_share": F.coalesce(F.try_divide("n_repeat_words", "n_words"), F.lit(0.0)),
             "mean_word": F.coalesce(F.try_divide("word_chars", "n_words"), F.lit(0.0)),
         }
     )

@@ -6,8 +6,9 @@ shares differ by one slot at most (or follow the weights), and a shard that goes
 while few other slots change. A row's key is hashed to a slot; the table has a fixed number of rows, so its
 broadcast is bounded, and placing a row takes one lookup without any shuffle.
 
-Nulls: a null key is hashed as an empty text and placed like any other. Repeated keys get the same shard. An
-empty input gives no rows; further columns stay.
+Nulls: a null key is hashed as an empty text and placed like any other. Repeated keys get the same shard, however
+many there are. An empty input gives no rows; further columns stay, but for ``slot`` and ``shard``, which are
+replaced. Keys may be of any length; nothing but the key is looked at.
 """
 
 from __future__ import annotations
@@ -58,8 +59,9 @@ def lookup_table(spark: SparkSession, shards: dict[str, int], slots: int = SLOTS
 
 def place(df: DataFrame, shards: dict[str, int], key: str = "doc_id", slots: int = SLOTS) -> DataFrame:
     """Adds ``slot`` and ``shard`` to each row."""
-    table = lookup_table(df.sparkSession, shards, slots)
-    return df.withColumn("slot", slot_of(F.col(key), slots)).join(F.broadcast(table), "slot")
+    table = lookup_table(df.sparkSession, shards, slots).withColumnRenamed("slot", "_slot")
+    placed = df.withColumn("_slot", slot_of(F.col(key), slots)).drop("slot", "shard")
+    return placed.join(F.broadcast(table), "_slot").withColumnRenamed("_slot", "slot").select(*(c for c in placed.columns if c != "_slot"), "slot", "shard")
 
 
 def write_shards(df: DataFrame, path: str, shards: dict[str, int], key: str = "doc_id", slots: int = SLOTS, files: int = 8) -> None:

@@ -221,7 +221,7 @@ def test_bpe_equals_the_library():
     r = random.Random(5)
     texts = ["".join(r.choice("aab  '\n\tsretlvdm1２é漢😀-_. ñ") for _ in range(r.randrange(60))) for _ in range(300)] + ["", "a" * 3000]
     t = bpe.Transducer(ranks)
-    cache = pretokens.PieceCache(lambda ws: [t.encode(w.encode()) for w in ws])
+    cache = pretokens.PieceCache(lambda ws: [t.encode(w.encode()) for w in ws], bpe._kinds())
     ids, at = cache.ids(texts)
     assert [ids[at[i] : at[i + 1]].tolist() for i in range(len(texts))] == [library.encode_ordinary(x) for x in texts]
 
