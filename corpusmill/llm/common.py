@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import functools
 import gc
+import string
 import uuid
 from collections.abc import Callable
 
@@ -27,23 +29,63 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where that setting is missing (local tests) a folder of the warehouse is taken.
+    Only a local session, as in tests, may leave that setting out; it gets a folder of its warehouse.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/scratch"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master:
+        base = spark.conf.get("spark.sql.warehouse.dir") + "/scratch"
+    if not base:
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return f"{base}/mill-{uuid.uuid4().hex}"
 
 
+#: The folders written by the operators that are running, the innermost last.
+_OPEN: list[list[str]] = []
+
+
 def written(df: DataFrame, path: str | None = None) -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and reads it back.
 
-    Cuts the lineage: a lost executor costs a reread of files, not a recomputation.
+    Cuts the lineage: a lost executor costs a reread of files, not a recomputation. Inside a ``tidy`` function the
+    files go when the function has returned, unless its result reads them.
     """
     spark = df.sparkSession
-    path = path or shared_folder(spark)
+    if path is None:
+        path = shared_folder(spark)
+        if _OPEN:
+            _OPEN[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(function: Callable) -> Callable:
+    """Deletes what ``written`` has written during a call, but for the files that the returned DataFrame reads."""
+
+    @functools.wraps(function)
+    def run(*args, **kwargs):
+        _OPEN.append([])
+        reads: list[str] = []
+        try:
+            out = function(*args, **kwargs)
+            reads = out.inputFiles() if isinstance(out, DataFrame) else []
+            return out
+        finally:
+            used = {folder for folder in (f.rpartition("/")[0].rpartition("/")[2] for f in reads)}
+            for path in _OPEN.pop():
+                if path.rpartition("/")[2] not in used:
+                    _delete(path)
+                elif _OPEN:
+                    _OPEN[-1].append(path)
+
+    return run
+
+
+def _delete(path: str) -> None:
+    spark = SparkSession.active()
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Bounds the rows and bytes of an Arrow batch, so that long texts do not pile up in one batch."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -79,9 +121,9 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def ascii_lower(c: Column) -> Column:
-    """Lower-cases A-Z only."""
-    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+def ascii_lower(c: Column, blanks: str = "") -> Column:
+    """Lower-cases A-Z only, and makes each of ``blanks`` a space."""
+    return F.translate(c, string.ascii_uppercase + blanks, string.ascii_lowercase + " " * len(blanks))
 
 
 #: What a Python worker keeps from one task to the next: at most one operator's state.

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import tidy, written
 
 
+@tidy
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node of ``links`` (a, b): the component is its smallest node.
 

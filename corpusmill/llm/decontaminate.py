@@ -21,19 +21,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, maybe_broadcast, written
+from .common import ascii_lower, maybe_broadcast, tidy, written
 
 WINDOW = 13
 #: Words that the two rarest terms of a window may be off their distance in a proximity match.
 SLOP = 3
-BREAKS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+#: All of ASCII but letters and digits; they part words.
+BREAKS = "".join(c for c in map(chr, range(128)) if not c.isalnum())
 #: The term of a text's end; no word is empty.
 END = ""
 DOC = ["doc_id", "row"]
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(ascii_lower(text), BREAKS), lambda w: w != "")
+    return F.filter(F.split(ascii_lower(text, BREAKS), " "), lambda w: w != "")
 
 
 def same(columns: list[str], left: str = "", right: str = "_") -> Column:
@@ -108,6 +109,7 @@ def phrases(ranked: DataFrame, index: DataFrame, near: DataFrame) -> DataFrame:
     return in_all.union(short).join(maybe_broadcast(written(ranked.select("wid", "n", "items"))), "wid").select(*DOC, "start", "n", "items")
 
 
+@tidy
 def judge(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and n_near (places of proximity matches) of every
     document; row tells texts of one doc_id apart."""
@@ -122,7 +124,7 @@ def judge(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hit = F.aggregate("spans", zero, lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0), s["start"] + s["n"] - F.greatest(a["end"], s["start"]))).alias("n"), F.greatest(a["end"], s["start"] + s["n"]).alias("end")))["n"]
     found = found.select(*(F.col(c).alias(f"_{c}") for c in DOC), hit.alias("hit"), F.sort_array("items").alias("items"))
     places = places.select(*(F.col(c).alias(f"__{c}") for c in DOC), "near")
-    ends = index.where("tid = -1").select(*DOC, F.col("pos").cast("long").alias("n_words"))
+    ends = written(index.where("tid = -1").select(*DOC, F.col("pos").cast("long").alias("n_words")))
     both = ends.join(maybe_broadcast(written(found)), same(DOC), "left").join(maybe_broadcast(written(places)), same(DOC, right="__"), "left")
     n_hit = F.coalesce("hit", F.lit(0)).cast("long")
     items = F.coalesce("items", F.array().cast("array<string>"))

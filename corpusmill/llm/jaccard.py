@@ -38,7 +38,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .arrays import U64, blocks, mix, shingle_sets, utf8
-from .common import maybe_broadcast, release, small_batches, written
+from .common import maybe_broadcast, release, small_batches, tidy, written
 from .components import components
 
 WIDTH = 5
@@ -303,6 +303,7 @@ def split(rest: DataFrame) -> DataFrame:
     return written(rest.join(written(mixed), F.col("sig") == F.col("_sig"), "left_semi"))
 
 
+@tidy
 def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     spark = docs.sparkSession

@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .arrays import U64, mix
-from .common import maybe_broadcast, release, small_batches, written
+from .common import maybe_broadcast, release, small_batches, tidy, written
 
 ORDER = 5
 #: Labelled rows that are learned from, for each language; every fifth of them calibrates the rejection.
@@ -278,6 +278,7 @@ def sample(docs: DataFrame, rows: int) -> DataFrame:
     return written(once.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= rows).select("doc_id", "lang", "text"))
 
 
+@tidy
 def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Models:
     """Fits on up to ``rows`` labelled texts of each language."""
 

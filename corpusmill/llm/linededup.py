@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, maybe_broadcast, written
+from .common import let, maybe_broadcast, tidy, written
 
 #: Tokens that a line needs to be looked at, and to have a template with variable fields.
 LEAST_TOKENS, LEAST_TEMPLATE = 4, 8
@@ -98,6 +98,7 @@ def without(text: Column, gone: Column) -> Column:
     return let(F.split(text, "\n"), parts)
 
 
+@tidy
 def drop_recurring(docs: DataFrame) -> DataFrame:
     """The documents without recurring lines, with n_lines, n_dropped (long) and emptied (all lines went)."""
     lines = written(tree_lines(docs).drop("line"))
@@ -106,7 +107,7 @@ def drop_recurring(docs: DataFrame) -> DataFrame:
     # written, so that both sides of the join are plain shuffles and a very common line can be split
     recurring = written(same.union(templates(docs, lines, distinct)).groupBy("sig1", "sig2").agg(F.min("first_doc").alias("first_doc")))
     gone = lines.join(recurring, ["sig1", "sig2"]).where("doc_id is null or doc_id > first_doc")
-    gone = gone.groupBy(F.col("doc_id").alias("_doc"), F.col("row").alias("_row")).agg(F.sort_array(F.collect_set("pos")).alias("_gone"))
+    gone = written(gone.groupBy(F.col("doc_id").alias("_doc"), F.col("row").alias("_row")).agg(F.sort_array(F.collect_set("pos")).alias("_gone")))
     keyed = docs.drop("n_lines", "n_dropped", "emptied").withColumn("_key", F.xxhash64("text"))
     both = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_row")), "left").drop("_doc", "_row", "_key")
     n = F.coalesce(F.size("_gone"), F.lit(0)).cast("long")

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import let, written
+from .common import let, tidy, written
 
 SPACES = "[ \\t-\\r]+"
 WINDOW = 8
@@ -115,6 +115,7 @@ def thresholds(sketch: DataFrame) -> DataFrame:
     return both.select("lang", "source", "feature", low.alias("low"), high.alias("high"))
 
 
+@tidy
 def judge(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds the features, base_failed and kept to each document, without its text."""
     have = written(shares(features(docs, text)).withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))))

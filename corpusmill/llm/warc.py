@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, release, shared_folder, small_batches, written
+from .common import maybe_broadcast, release, shared_folder, small_batches, tidy, written
 
 #: Payloads of fewer bytes are never revisits.
 LEAST_BYTES = 1000
@@ -275,6 +275,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(run, READ)
 
 
+@tidy
 def convert(arc: DataFrame, path: str, least: int = LEAST_BYTES) -> None:
     """Converts ARC content to WARC files below ``path``; the archives are parsed once, into a table of records."""
     records = written(parse_arc(arc))
