@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words that mark the answers of a questionnaire. Fixed values of the projection.
-ANSWERS = ["erble", "thing"]
+from .tables import kept
+
+#: What marks the answers of a questionnaire. Fixed values.
+ANSWERS = [" tak no", " yes no", " no yes", "yes/no", "not applicable", " n/a", " nie tak", " oui non"]
 
 
 def parsed_value(repr_text: Column) -> Column:
@@ -30,19 +35,23 @@ def short_heading(content: Column, kind: Column) -> Column:
 
 
 def questionnaire(content: Column, answers: list[str] = ANSWERS) -> Column:
-    """A question mark and one of the answer words."""
-    return content.contains("?") & F.lower(content).rlike("|".join(answers))
+    """A question mark and one of the answer marks, whatever its case."""
+    low = F.lower(content)
+    return content.contains("?") & reduce(or_, (low.contains(a) for a in answers))
 
 
-def closure(edges: DataFrame, rounds: int) -> DataFrame:
-    """(ancestor, descendant) over up to ``2 ** rounds`` steps of edges (parent, child); cycles end by themselves.
+def closure(edges: DataFrame) -> DataFrame:
+    """(ancestor, descendant) over any number of steps of edges (parent, child); cycles end by themselves.
 
-    Each round joins the paths with themselves, so few rounds reach far.
+    Each round joins the paths with themselves, so a path of n steps takes log2(n) rounds; the paths are checkpointed
+    after each, and no new path ends it.
     """
     paths = edges.select(F.col("parent").alias("ancestor"), F.col("child").alias("descendant")).where("ancestor is not null and descendant is not null").distinct()
-    for _ in range(rounds):
+    n, before = paths.count(), -1
+    while n != before:
         upper, lower = paths.select("ancestor", F.col("descendant").alias("_via")), paths.select(F.col("ancestor").alias("_via"), "descendant")
-        paths = paths.union(upper.join(lower, "_via").select("ancestor", "descendant")).distinct()
+        paths = kept(paths.union(upper.join(lower, "_via").select("ancestor", "descendant")).distinct())
+        n, before = paths.count(), n
     return paths
 
 

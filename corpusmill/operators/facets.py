@@ -8,10 +8,18 @@ from pyspark.sql import functions as F
 from . import filters
 
 
-def flat(docs: DataFrame, tree: dict | None = None, most: int = 5000) -> DataFrame:
-    """(key, count) of the label keys type::value, the most frequent first; ``most`` is the report's length."""
+def flat(docs: DataFrame, tree: dict | None = None, most: int | None = None) -> DataFrame:
+    """(key, count) of the label keys type::value, the most frequent first; all of them, or the first ``most``."""
     keys = F.array_distinct(F.transform("labels", lambda x: F.concat_ws("::", x["type"], x["value"])))
-    return docs.where(filters.build(tree)).select(F.explode(keys).alias("key")).groupBy("key").agg(F.count("*").alias("count")).orderBy(F.desc("count"), "key").limit(most)
+    out = docs.where(filters.build(tree)).select(F.explode(keys).alias("key")).groupBy("key").agg(F.count("*").alias("count")).orderBy(F.desc("count"), "key")
+    return out if most is None else out.limit(most)
+
+
+def page(docs: DataFrame, tree: dict | None, order: list, size: int, number: int = 1) -> DataFrame:
+    """A page of the hits with ``total``, the number of all hits, beside each."""
+    hits = docs.where(filters.build(tree))
+    total = hits.agg(F.count("*").alias("total"))  # one row
+    return hits.orderBy(*order).offset((number - 1) * size).limit(size).join(F.broadcast(total))
 
 
 def disjunctive(docs: DataFrame, tree: dict | None, by: str = "type") -> DataFrame:

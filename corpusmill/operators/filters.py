@@ -70,7 +70,7 @@ def build(tree: dict | None) -> Column:
 def label_type(c: dict) -> str | None:
     """The facet group that a condition narrows."""
     if c.get("field") == "labels.value.id":
-        return c["value"].split("::", 1)[0]
+        return c["value"].split("::", 1)[0] if "::" in c["value"] else None
     return c["value"] if c.get("field") == "labels.value.type" else None
 
 
@@ -90,3 +90,28 @@ def groups(tree: dict | None) -> list[str]:
         return []
     found = [g for c in tree["filters"] for g in groups(c)] if "filters" in tree else [label_type(tree)]
     return sorted({g for g in found if g})
+
+
+def any_of(ids: list[str]) -> dict:
+    """A tree that any label id fulfils, such as the providers of a corpus."""
+    return {"op": "or", "filters": [{"field": "labels.value.id", "op": "contains", "value": i} for i in ids]}
+
+
+def all_of(ids: list[str]) -> dict:
+    """A tree that needs every id, each in an element of its own."""
+    return {"op": "and", "filters": [{"op": "and", "filters": c["filters"]} for c in (any_of([i]) for i in ids)]}
+
+
+def both(a: dict | None, b: dict | None) -> dict | None:
+    return {"op": "and", "filters": [a, b]} if a and b else a or b
+
+
+def named(value: Column, alternatives: Column, prefix: str) -> Column:
+    """Whether a label's value or one of its other names begins with the prefix, whatever the case."""
+    low = prefix.lower()
+    return _true(F.lower(value).startswith(low)) | _true(F.exists(alternatives, lambda x: F.lower(x).startswith(low)))
+
+
+def hash_sample(key: Column, percent: int) -> Column:
+    """Keeps rows whose key's CRC-32 modulo 100 is below ``percent``, and rows without a key."""
+    return key.isNull() | (F.crc32(key.cast("string").cast("binary")) % 100 < percent)

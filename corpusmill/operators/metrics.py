@@ -39,7 +39,7 @@ def retention(events: DataFrame, days: int, returning=None) -> DataFrame:
     searches = events.join(F.broadcast(day)).where(on_search() & (F.to_date("ts") == F.col("_day")))
     first = searches.groupBy("distinct_id").agg(F.min("ts").alias("_first"), F.min_by("session_id", F.struct("ts", "event_id")).alias("_session"))
     later = events if returning is None else events.where(returning)
-    back = first.join(later.select("distinct_id", "ts", "session_id"), "distinct_id", "left").withColumn("_back", (F.col("ts") >= F.date_trunc("day", "_first") + F.expr("interval 1 day")) & (F.col("ts") < F.col("_first") + F.expr(f"interval {days} days")) & (F.col("session_id") != F.col("_session")))
+    back = first.join(later.select("distinct_id", "ts", "session_id"), "distinct_id", "left").withColumn("_back", (F.col("ts") > F.date_trunc("day", "_first") + F.expr("interval 1 day")) & (F.col("ts") < F.col("_first") + F.expr(f"interval {days} days")) & (F.col("session_id") != F.col("_session")))
     return _one(back, f"retention_{days}", F.count_distinct(F.when(F.col("_back"), F.col("distinct_id"))), F.count_distinct("distinct_id"))
 
 
@@ -55,3 +55,29 @@ def click_through(events: DataFrame, dwell: int | None = None) -> DataFrame:
         stay = [F.unix_timestamp(f"_t{i + 1}") - F.unix_timestamp(f"_t{i}") >= dwell for i in (1, 2)]
         hit = F.col("_u1").like("/document/%") & stay[0] | F.col("_u1").like("/documents/%") & F.col("_u2").like("/document/%") & stay[1]
     return _one(steps.where(on_search()), "click_through" if dwell is None else f"click_through_dwell_{dwell}", F.count_distinct(F.when(hit, F.col("distinct_id"))), F.count_distinct("distinct_id"))
+
+
+def non_searcher_retention(events: DataFrame, days: int = 29) -> DataFrame:
+    """Users of the log's first day without a search on it that come back after that day and within ``days`` in another
+    session."""
+    day = events.agg(F.to_date(F.min("ts")).alias("_day"))  # one row
+    own = events.join(F.broadcast(day)).where(F.to_date("ts") == F.col("_day")).groupBy("distinct_id")
+    first = own.agg(F.min("ts").alias("_first"), F.min_by("session_id", F.struct("ts", "event_id")).alias("_session"), F.count_if(on_search()).alias("_searches")).where("_searches = 0")
+    back = first.join(events.select("distinct_id", "ts", "session_id"), "distinct_id", "left").withColumn("_back", (F.col("ts") > F.date_trunc("day", "_first") + F.expr("interval 1 day")) & (F.col("ts") < F.col("_first") + F.expr(f"interval {days} days")) & (F.col("session_id") != F.col("_session")))
+    return _one(back, f"non_searcher_retention_{days}", F.count_distinct(F.when(F.col("_back"), F.col("distinct_id"))), F.count_distinct("distinct_id"))
+
+
+def top_click_through(events: DataFrame, click=None, most: int = 5) -> DataFrame:
+    """Of the searching users, those with a click on one of the first ``most`` results."""
+    click = (F.col("event") == "$autocapture") if click is None else click
+    place = F.when(click & (F.col("position") <= most), F.col("distinct_id"))
+    return _one(events, f"top_{most}_click_through", F.count_distinct(place), F.count_distinct(F.when(on_search(), F.col("distinct_id"))))
+
+
+def latency_quantiles(buckets: DataFrame, shares: list[float]) -> DataFrame:
+    """(window, q<share>) from cumulative counts (window, le, count): linear inside the bucket that the share falls in,
+    from the bound below it; the last bound where it falls beyond."""
+    own = W.partitionBy("window").orderBy("le")
+    steps = buckets.withColumns({"_below": F.coalesce(F.lag("le").over(own), F.lit(0.0)), "_before": F.coalesce(F.lag("count").over(own), F.lit(0)), "_all": F.max("count").over(W.partitionBy("window"))})
+    at = {f"q{round(100 * s)}": F.min(F.when(F.col("count") >= s * F.col("_all"), F.col("_below") + (F.col("le") - F.col("_below")) * F.try_divide(s * F.col("_all") - F.col("_before"), F.col("count") - F.col("_before")))) for s in shares}
+    return steps.groupBy("window").agg(*(e.alias(k) for k, e in at.items()))

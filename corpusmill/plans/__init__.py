@@ -1,5 +1,5 @@
 """Importing this package fills the registry."""
 
-from . import judging, more, registry
+from . import corpus, judging, more, registry
 
-__all__ = ["judging", "more", "registry"]
+__all__ = ["corpus", "judging", "more", "registry"]

@@ -31,9 +31,10 @@ def d01_short_headings(spark, d):
     return fx.passages(spark, d).select(*KEYS, derive.short_heading(F.col("content"), F.col("type")).alias("short_heading"))
 
 
-@query("d06_questionnaires", _PASSAGES + "SELECT document_id, idx FROM passages WHERE contains(content, '?') AND regexp_matches(lower(content), 'erble|thing')")
+@query("d06_questionnaires", _PASSAGES + ", a AS (SELECT document_id, idx, content || CASE idx % 5 WHEN 0 THEN ' ? Yes/No' WHEN 1 THEN '? n/a' WHEN 2 THEN ' not applicable' ELSE '?' END AS c FROM passages) SELECT document_id, idx FROM a WHERE contains(c, '?') AND (" + " OR ".join(f"contains(lower(c), '{x}')" for x in derive.ANSWERS) + ")")
 def d06_questionnaires(spark, d):
-    return fx.passages(spark, d).where(derive.questionnaire(F.col("content"))).select(*KEYS)
+    answer = F.when(F.col("idx") % 5 == 0, " ? Yes/No").when(F.col("idx") % 5 == 1, "? n/a").when(F.col("idx") % 5 == 2, " not applicable").otherwise("?")
+    return fx.passages(spark, d).withColumn("content", F.concat("content", answer)).where(derive.questionnaire(F.col("content"))).select(*KEYS)
 
 
 @query("a03_count_maps", fx.with_sql("passages", "passage_topics") + ", c AS (SELECT document_id, topic, count(*) AS n FROM passage_topics GROUP BY ALL) SELECT document_id, string_agg('concept::' || topic || '=' || n, ',' ORDER BY topic) AS counts FROM c GROUP BY 1")
@@ -61,12 +62,12 @@ _TREE = "WITH RECURSIVE e AS (SELECT DISTINCT doc_id // 4 AS parent, doc_id AS c
 
 @query("j19_closure", _TREE + "SELECT ancestor, descendant FROM p")
 def j19_closure(spark, d):
-    return derive.closure(_edges(spark, d), 5)
+    return derive.closure(_edges(spark, d))
 
 
 @query("j18_direct_parents", _TREE + "SELECT DISTINCT child AS descendant, parent AS ancestor FROM e")
 def j18_direct_parents(spark, d):
-    return derive.direct_parents(derive.closure(_edges(spark, d), 5))
+    return derive.direct_parents(derive.closure(_edges(spark, d)))
 
 
 def _judged(spark, d):
@@ -109,7 +110,12 @@ def a30_outcomes(spark, d):
     return fx.web_events(spark, d).groupBy("event", outcome.alias("outcome")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean_value"))
 
 
-@query("m05_non_searchers", fx.with_sql("web_events") + "SELECT distinct_id, count(*) AS events FROM web_events GROUP BY 1 HAVING count(*) FILTER (WHERE url LIKE '/search%') = 0")
-def m05_non_searchers(spark, d):
-    users = fx.web_events(spark, d).groupBy("distinct_id").agg(F.count("*").alias("events"), F.count_if(metrics.on_search()).alias("searches"))
-    return users.where("searches = 0").select("distinct_id", "events")
+@query(
+    "m05_non_searcher_retention",
+    fx.with_sql("web_events")
+    + """, f AS (SELECT distinct_id, min(ts) AS first_ts, arg_min(session_id, (ts, event_id)) AS s, count(*) FILTER (WHERE url LIKE '/search%') AS n FROM web_events WHERE CAST(ts AS DATE) = (SELECT CAST(min(ts) AS DATE) FROM web_events) GROUP BY 1),
+    y AS (SELECT f.distinct_id, e.ts > date_trunc('day', first_ts) + INTERVAL 1 DAY AND e.ts < first_ts + INTERVAL 29 DAY AND e.session_id <> f.s AS back FROM f LEFT JOIN web_events e USING (distinct_id) WHERE n = 0)
+    SELECT 'non_searcher_retention_29' AS metric, round(100.0 * CAST(count(DISTINCT CASE WHEN back THEN distinct_id END) AS DOUBLE) / nullif(count(DISTINCT distinct_id), 0), 6) AS value FROM y""",
+)
+def m05_non_searcher_retention(spark, d):
+    return metrics.non_searcher_retention(fx.web_events(spark, d))

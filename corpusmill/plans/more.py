@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusmill.operators import relevance, search, timeline
+from corpusmill.operators import relevance, search, tables, timeline
 from corpusmill.sources import jsonl
 
 from . import fixtures as fx
@@ -181,7 +179,6 @@ def x05_lookup(spark, d):
 
 @query("w01_update_lines", "SELECT doc_id AS id, source AS assigned FROM documents WHERE doc_id IS NOT NULL")
 def w01_update_lines(spark, d):
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/scratch"
-    path = f"{base}/updates-{uuid.uuid4().hex}"
+    path = tables.shared_folder(spark, "updates")
     jsonl.write_updates(fx.table(spark, d, "documents").where("doc_id is not null").select(F.col("doc_id").alias("id"), F.col("source").alias("assigned")), path, compressed=True)
     return jsonl.read_lines(spark, path, "id long, assigned string")

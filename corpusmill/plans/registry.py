@@ -199,11 +199,12 @@ _metric("m03_users_without_results", _RATIO.format(name="users_without_results",
 
 def _retention(days: int, returning: str = "TRUE") -> str:
     return f""", x AS (SELECT distinct_id, min(ts) AS first_ts, arg_min(session_id, (ts, event_id)) AS s FROM web_events WHERE url LIKE '/search%' AND CAST(ts AS DATE) = (SELECT CAST(min(ts) AS DATE) FROM web_events) GROUP BY 1),
-    y AS (SELECT x.distinct_id, e.ts >= date_trunc('day', first_ts) + INTERVAL 1 DAY AND e.ts < first_ts + INTERVAL {days} DAY AND e.session_id <> x.s AS back FROM x LEFT JOIN (SELECT * FROM web_events WHERE {returning}) e USING (distinct_id)) """ + _RATIO.format(name=f"retention_{days}", part="back", table="y")
+    y AS (SELECT x.distinct_id, e.ts > date_trunc('day', first_ts) + INTERVAL 1 DAY AND e.ts < first_ts + INTERVAL {days} DAY AND e.session_id <> x.s AS back FROM x LEFT JOIN (SELECT * FROM web_events WHERE {returning}) e USING (distinct_id)) """ + _RATIO.format(name=f"retention_{days}", part="back", table="y")
 
 
 _metric("m04_retention_7", _retention(7), lambda e: metrics.retention(e, 7))
 _metric("m04_retention_30", _retention(30), lambda e: metrics.retention(e, 30))
+_metric("m06_return_to_search_29", _retention(29, "event = '$pageview' AND url LIKE '/search%'"), lambda e: metrics.retention(e, 29, (F.col("event") == "$pageview") & metrics.on_search()))
 _metric("m06_return_to_search_6", _retention(6, "event = '$pageview' AND url LIKE '/search%'"), lambda e: metrics.retention(e, 6, (F.col("event") == "$pageview") & metrics.on_search()))
 _STEPS = ", v AS (SELECT *, lead(url, 1) OVER w AS u1, lead(url, 2) OVER w AS u2, lead(ts, 1) OVER w AS t1, lead(ts, 2) OVER w AS t2, lead(ts, 3) OVER w AS t3 FROM web_events WHERE event = '$pageview' AND consent WINDOW w AS (PARTITION BY distinct_id ORDER BY ts, event_id)) "
 _metric("m07_click_through", _STEPS + _RATIO.format(name="click_through", part="u1 LIKE '/document/%'", table="v WHERE url LIKE '/search%'"), metrics.click_through)
