@@ -11,13 +11,13 @@ from . import filters
 def flat(docs: DataFrame, tree: dict | None = None, most: int | None = None) -> DataFrame:
     """(key, count) of the label keys type::value, the most frequent first; all of them, or the first ``most``."""
     keys = F.array_distinct(F.transform("labels", lambda x: F.concat_ws("::", x["type"], x["value"])))
-    out = docs.where(filters.build(tree)).select(F.explode(keys).alias("key")).groupBy("key").agg(F.count("*").alias("count")).orderBy(F.desc("count"), "key")
+    out = docs.where(filters.build(tree, same_element=False)).select(F.explode(keys).alias("key")).groupBy("key").agg(F.count("*").alias("count")).orderBy(F.desc("count"), "key")
     return out if most is None else out.limit(most)
 
 
 def page(docs: DataFrame, tree: dict | None, order: list, size: int, number: int = 1) -> DataFrame:
     """A page of the hits with ``total``, the number of all hits, beside each."""
-    hits = docs.where(filters.build(tree))
+    hits = docs.where(filters.build(tree, same_element=False))
     total = hits.agg(F.count("*").alias("total"))  # one row
     return hits.orderBy(*order).offset((number - 1) * size).limit(size).join(F.broadcast(total))
 
@@ -29,7 +29,7 @@ def disjunctive(docs: DataFrame, tree: dict | None, by: str = "type") -> DataFra
     One boolean column for each narrowed group, then conditional counts: no query for each facet.
     """
     own = filters.groups(tree)
-    marked = docs.withColumns({"_full": filters.build(tree), **{f"_without_{i}": filters.build(filters.prune(tree, g)) for i, g in enumerate(own)}})
+    marked = docs.withColumns({"_full": filters.build(tree, same_element=False), **{f"_without_{i}": filters.build(filters.prune(tree, g), same_element=False) for i, g in enumerate(own)}})
     some = F.col("_full")
     for i in range(len(own)):
         some = some | F.col(f"_without_{i}")

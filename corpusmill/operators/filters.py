@@ -31,12 +31,13 @@ def epoch(value) -> int:
     return int((t if t.tzinfo else t.replace(tzinfo=timezone.utc)).timestamp())
 
 
-def condition(c: dict) -> Column:
+def condition(c: dict, arrays: tuple[str, ...] = ("labels",)) -> Column:
+    """One condition; a label field means any of the ``arrays``, and its negation none of them."""
     field, op, value = c["field"], c["op"], c["value"]
     if field in LABEL_FIELDS:
         if op not in ("contains", "not_contains"):
             raise ValueError(f"{op} is no operation of {field}")
-        hit = _true(F.exists("labels", lambda x: x[LABEL_FIELDS[field]] == value))
+        hit = reduce(or_, (_true(F.exists(a, lambda x: x[LABEL_FIELDS[field]] == value)) for a in arrays))
         return hit if op == "contains" else ~hit
     if field.startswith("attributes."):  # the map follows the type of the value
         kind = "boolean" if isinstance(value, bool) else "double" if isinstance(value, (int, float)) else "string"
@@ -54,16 +55,17 @@ def condition(c: dict) -> Column:
     raise ValueError(f"unknown field {field}")
 
 
-def build(tree: dict | None) -> Column:
-    """The predicate of a tree. Positive label conditions of an AND group must hold in one element."""
+def build(tree: dict | None, same_element: bool = True, arrays: tuple[str, ...] = ("labels",)) -> Column:
+    """The predicate of a tree. With ``same_element`` (passages and labels) the positive label conditions of an AND group
+    must hold in one element of an array; without (documents) each may hold in another."""
     if not tree:
         return F.lit(True)
     if "filters" not in tree:
-        return condition(tree)
-    same = [c for c in tree["filters"] if tree["op"] == "and" and c.get("field") in LABEL_FIELDS and c["op"] == "contains"]
-    parts = [build(c) for c in tree["filters"] if c not in same and (c.get("filters") or "field" in c)]
+        return condition(tree, arrays)
+    same = [c for c in tree["filters"] if same_element and tree["op"] == "and" and c.get("field") in LABEL_FIELDS and c["op"] == "contains"]
+    parts = [build(c, same_element, arrays) for c in tree["filters"] if c not in same and (c.get("filters") or "field" in c)]
     if same:
-        parts.append(_true(F.exists("labels", lambda x: reduce(and_, (x[LABEL_FIELDS[c["field"]]] == c["value"] for c in same)))))
+        parts.append(reduce(or_, (_true(F.exists(a, lambda x: reduce(and_, (x[LABEL_FIELDS[c["field"]]] == c["value"] for c in same)))) for a in arrays)))
     return reduce(and_ if tree["op"] == "and" else or_, parts) if parts else F.lit(True)
 
 

@@ -148,7 +148,7 @@ def r03(spark, d):
     return _flagged(spark, d).select("query_id", *KEYS, F.round(scores.multiplicative(F.col("score"), F.col("topic"), _flags()), 4).alias("score"))
 
 
-@query("r05_additive", _FLAGGED + " SELECT query_id, document_id, idx, score AS text_score, round(0.15 * h + 0.35 * t + 0.5 * r, 6) AS penalty, CAST(topics AS DOUBLE) AS topic_score, round(score - (0.15 * h + 0.35 * t + 0.5 * r) + topics, 6) AS relevance FROM fl")
+@query("r05_additive", _FLAGGED + " SELECT query_id, document_id, idx, score AS text_score, CAST(round(0.15 * h + 0.35 * t + 0.5 * r, 6) AS DOUBLE) AS penalty, CAST(topics AS DOUBLE) AS topic_score, round(score - (0.15 * h + 0.35 * t + 0.5 * r) + topics, 6) AS relevance FROM fl")
 def r05(spark, d):
     """With every component beside the score."""
     return _flagged(spark, d).select("query_id", *KEYS, F.col("score").alias("text_score"), F.round(scores.penalty(_flags()), 6).alias("penalty"), F.col("topic").alias("topic_score"), F.round(scores.additive(F.col("score"), F.col("topic"), _flags()), 6).alias("relevance"))
@@ -161,7 +161,7 @@ def r07(spark, d):
     return _counts(spark, d, ["document_id"]).select("document_id", F.round(scores.document_topics(F.col("counts"), topics, 2.0), 6).alias("score"))
 
 
-@query("r08_label_boost", "SELECT doc_id, CASE WHEN lang = 'en' THEN 0.2 ELSE 0 END AS boost FROM documents")
+@query("r08_label_boost", "SELECT doc_id, CAST(CASE WHEN lang = 'en' THEN 0.2 ELSE 0 END AS DOUBLE) AS boost FROM documents")
 def r08(spark, d):
     return fx.documents(spark, d).select("doc_id", scores.label_boost(F.col("labels"), F.lit("language::en")).alias("boost"))
 
