@@ -62,8 +62,11 @@ def vocabulary(wins: DataFrame) -> DataFrame:
 
 def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """Stores the postings (tid, doc_id, row, pos) of the terms (term, tid); row tells texts of one doc_id apart."""
+    # the hash and the words are made before the text is opened up: beside the explode they would be made, or the text
+    # carried, for each of its words. No list is empty, and the outer form keeps the words from being made for a filter.
     text = F.coalesce("text", F.lit(""))
-    found = docs.select("doc_id", F.xxhash64("text").alias("row"), F.posexplode(F.concat(words(text), F.array(F.lit(END)))).alias("pos", "term"))
+    parted = docs.select("doc_id", F.xxhash64("text").alias("row"), F.concat(words(text), F.array(F.lit(END))).alias("w"))
+    found = parted.select("doc_id", "row", F.posexplode_outer("w").alias("pos", "term"))
     return written(found.join(maybe_broadcast(terms), "term").select("tid", "doc_id", "row", "pos"))
 
 
