@@ -59,7 +59,10 @@ def tree_lines(docs: DataFrame) -> DataFrame:
         return let(masked(raw), of)
 
     lines = F.transform(F.split("text", "\n"), lambda raw: let(normal(raw), place))
-    return docs.select("doc_id", F.xxhash64("text").alias("row"), F.posexplode(lines).alias("pos", "x")).select("doc_id", "row", "pos", "x.*").where(F.col("tokens") >= LEAST_TOKENS)
+    # the text's hash is made before its lines are opened up; beside the explode it would be made for each of them. The
+    # outer form keeps the lines from being made for a filter; the null of a text without lines has no tokens.
+    parted = docs.select("doc_id", F.xxhash64("text").alias("row"), lines.alias("x"))
+    return parted.select("doc_id", "row", F.posexplode_outer("x").alias("pos", "x")).select("doc_id", "row", "pos", "x.*").where(F.col("tokens") >= LEAST_TOKENS)
 
 
 def templates(docs: DataFrame, lines: DataFrame, distinct: DataFrame) -> DataFrame:
