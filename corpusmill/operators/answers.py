@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import filters, search
+from . import facets, filters, search
 
 
 def paged(scored: DataFrame, keys: list[str], size: int, number: int = 1) -> DataFrame:
@@ -35,3 +35,9 @@ def labels_named(labels: DataFrame, queries: DataFrame, size: int = 10) -> DataF
     hits = labels.join(F.broadcast(queries), place.isNotNull()).select("query_id", "id", place.alias("place"), low.alias("name"))
     ranked = hits.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("place", "name", "id")))
     return ranked.where(F.col("rank") <= size).select("query_id", "id", "rank")
+
+
+def bundle(docs: DataFrame, tree: dict | None, order: list, size: int, number: int = 1, by: tuple[str, ...] = ("type",)) -> dict[str, DataFrame]:
+    """What one request shows: ``hits`` (a page with the total), ``aggregations`` of the hits and the facets asked for."""
+    parts = {"hits": facets.page(docs, tree, order, size, number), "aggregations": facets.flat(docs, tree)}
+    return parts | {f"facets_{b}": facets.disjunctive(docs, tree, by=b) for b in by}

@@ -31,6 +31,56 @@ def reference_list(content: Column) -> Column:
     return F.coalesce((n >= LEAST_WORDS) & few & (reduce(add, (s.cast("int") for s in signals)) >= SIGNALS), F.lit(False))
 
 
+#: Patterns and limits of a contents listing. Fixed values.
+LOCATOR_LINE = r"^[\s.·\-–—]*(\d{1,3}|[ivxlcdm]{1,8}|[IVXLCDM]{1,8})[\s.·]*$"
+SECTION_LINE = r"^\(?\d{1,2}(?:\.[1-9]\d?){2,}\.?\)?$"
+DATA_CELL = r"(?i)^(?:[\d\s.,;:%()\[\]<>≤≥=+\-–—/*'\"$€£¥&]+|(?:NE|NO|NA|N/A|IE|NC|C|X|nil|na|-|—|–|\.)\.?)$"
+TRAILING_LOCATOR = r"^(.*?[A-Za-z\)]\.?[\s.·]+)(\d{1,3}|[ivxlcdm]{2,8}|[IVXLCDM]{1,8})\.?$"
+HIERARCHICAL = r"^\(?\d{1,2}(?:\.[1-9]\d?)+\.?\)?(?:\s+[A-Za-z(]|$)"
+FLAT_NUMBER = r"(?i)^(?:\d{1,2}[.)]?|[IVXLCDM]{1,5}[.)]|[A-Za-z][.)]|\((?:[a-z]|[ivx]{1,4}|\d{1,2})\))\s+\S|^(?:chapter|annex|annexe|appendix|appendices|section|part|volume)\s+[\dIVXLCA-Z]"
+FRONT_MATTER = r"(?im)table of contents|^\s*contents\b|list of (?:tables|figures|acronyms|abbreviations|annexes|appendices|boxes)|table of authorities"
+ENTRY_WORD = r"(?i)\b(?:foreword|preface|acknowledge?ments?|executive summary|introduction|conclusions?|references|bibliography|glossary|annexe?|appendix|abbreviations|acronyms|chapter|section|summary|overview|background)\b"
+PROSE, SENTENCE_END, CLAUSE_END = r"[.?;:]\s+[a-z]", r"[.;:,]$", r"[;,:]$"
+ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}
+LEAST_LINES, LEAST_ENTRIES, LAST_PAGE, TITLE_WORDS, SENTENCE_WORDS = 4, 5, 10, 25, 15
+SHARES = {"titles": 0.75, "sentences": 0.30, "data": 0.25, "clauses": 0.20, "equations": 0.20, "hierarchical": 0.35, "words": 0.25, "flat": 0.65, "pages": 0.40, "distinct": 0.80}
+
+
+def folio(token: Column) -> Column:
+    """A page number in figures or in Roman numerals; null for anything else."""
+    digits = F.create_map(*(F.lit(x) for kv in ROMAN.items() for x in kv))
+    values = F.transform(F.split(F.reverse(F.lower(token)), ""), lambda c: F.try_element_at(digits, c))
+    # read from the right, a numeral less than one before it is taken off
+    step = lambda a, v: F.struct((a["n"] + F.when(v < a["most"], -v).otherwise(v)).alias("n"), F.greatest(a["most"], v).alias("most"))
+    roman = F.aggregate(values, F.struct(F.lit(0).alias("n"), F.lit(0).alias("most")), step)["n"]
+    return F.when(token.rlike(r"^\d+$"), token.try_cast("int")).when(token.rlike("(?i)^[ivxlcdm]+$"), roman)
+
+
+def contents_listings(passages: DataFrame, content: str = "content", page: str = "page_number") -> DataFrame:
+    """Adds looks_like_table_of_contents: front matter of enough lines that look like titles, is neither table nor prose, and
+    has at least one mark of a listing. A null page is no veto, a null text no listing. The lines are told apart once,
+    then judged by their shares."""
+    has = lambda pattern: lambda x: x.rlike(f"(?U){pattern}")
+    number = lambda x: folio(F.regexp_extract(x, f"(?U){LOCATOR_LINE}", 1))
+    kind = lambda x: F.when(has(SECTION_LINE)(x), "section").when(number(x) != 0, "folio").when(has(LOCATOR_LINE)(x) | has(DATA_CELL)(x), "data").otherwise("entry")
+    lines = F.filter(F.transform(F.split(content, "\n"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
+    told = passages.withColumn("_l", F.transform(lines, lambda x: F.struct(x.alias("line"), kind(x).alias("kind"))))
+    of = lambda k: F.filter("_l", lambda x: x["kind"] == k)
+    told = told.withColumns({"_e": F.transform(of("entry"), lambda x: x["line"]), "_data": F.size(of("data")), "_sections": F.size(of("section"))})
+    ends = F.transform("_e", lambda x: F.struct(F.regexp_replace(F.regexp_extract(x, f"(?U){TRAILING_LOCATOR}", 1), "[ .·]+$", "").alias("title"), folio(F.regexp_extract(x, f"(?U){TRAILING_LOCATOR}", 2)).alias("page")))
+    told = told.withColumn("_ends", F.filter(ends, lambda x: x["page"] != 0))
+    n, n_words = F.size("_e"), lambda x: F.regexp_count(x, F.lit(r"(?U)\S+"))
+    share = lambda test: F.try_divide(F.size(F.filter("_e", test)), n)
+    pages, titles = F.transform("_ends", lambda x: x["page"]), F.array_distinct(F.transform("_ends", lambda x: x["title"]))
+    enough = (F.size("_l") >= LEAST_LINES) & (n >= LEAST_ENTRIES) & (share(lambda x: (n_words(x) <= TITLE_WORDS) & ~has(PROSE)(x)) >= SHARES["titles"])
+    vetoes = (F.try_divide("_data", F.size("_l")) > SHARES["data"]) | (share(lambda x: (n_words(x) > SENTENCE_WORDS) & has(SENTENCE_END)(x)) >= SHARES["sentences"]) | (share(has(CLAUSE_END)) >= SHARES["clauses"]) | (share(has("=")) >= SHARES["equations"])
+    climbing = (F.try_divide(F.size("_ends"), n) >= SHARES["pages"]) & (F.try_divide(F.size(titles), F.size("_ends")) >= SHARES["distinct"]) & (pages == F.array_sort(pages))
+    numbered = F.try_divide(F.size(F.filter("_e", has(HIERARCHICAL))) + F.col("_sections"), n) >= SHARES["hierarchical"]
+    marks = F.col(content).rlike(f"(?U){FRONT_MATTER}") | numbered | (share(has(ENTRY_WORD)) >= SHARES["words"]) | (share(has(FLAT_NUMBER)) >= SHARES["flat"]) | climbing
+    front = F.coalesce(F.col(page) <= LAST_PAGE, F.lit(True))
+    return told.withColumn("looks_like_table_of_contents", F.coalesce(front & enough & ~vetoes & marks, F.lit(False))).drop("_l", "_e", "_data", "_sections", "_ends")
+
+
 def evaluation(rows: DataFrame, slices: dict[str, Column]) -> DataFrame:
     """(slice, precision, recall, f1, false_positives, false_negatives) of columns label and predicted (booleans)."""
     each = F.explode(F.array(*(F.struct(F.lit(k).alias("slice"), F.coalesce(c, F.lit(False)).alias("inside")) for k, c in slices.items()))).alias("x")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import search
+
 PRINCIPAL = "status::Principal"
 MEMBERSHIP = ("member_of", "is_version_of")
 
@@ -90,3 +92,34 @@ def all_names(value: Column, alternatives: Column, subconcepts: Column) -> Colum
 
 def latest(rows: DataFrame, key: str, stamp: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max(stamp).alias(stamp))
+
+
+def index_rows(docs: DataFrame, geography: str = "geography", carried: tuple[str, ...] = ("published",)) -> DataFrame:
+    """Index rows of documents (id, title, description, labels, edges, attributes_*): texts without control characters, an
+    empty description null, the labels flat as they are, the values of the ``geography`` relationship, the typed
+    attributes, the ``carried`` columns and the principal's id."""
+    attributes = [c for c in docs.columns if c.startswith("attributes_")]
+    about = F.nullif(search.strip_controls(F.col("description")), F.lit(""))
+    return docs.select("id", search.strip_controls(F.col("title")).alias("title"), about.alias("description"), "labels", values_of(F.col("labels"), geography).alias("geographies"), *attributes, *carried, principal_id(F.col("id"), F.col("labels"), F.col("edges")).alias("principal_id"))
+
+
+def client_passages(rows: DataFrame) -> DataFrame:
+    """Index passages as clients see them: text_block_id, text and type, the page numbers beside the pages, and each label
+    as an edge around its value."""
+    value = lambda x: F.struct(x["id"].alias("id"), x["type"].alias("type"), x["value"].alias("value"))
+    inner = rows.schema["labels"].dataType.elementType.names
+    edge = lambda x: F.struct(value(x).alias("value"), *(x[c].alias(c) for c in inner if c not in ("id", "type", "value")))
+    renamed = {"id": "text_block_id", "content": "text", "content_type": "type", "pages": "pages_with_bounding_boxes"}
+    out = rows.withColumns({"_numbers": F.transform("pages", lambda p: p["number"]), "labels": F.transform("labels", edge)})
+    return out.withColumnsRenamed(renamed).withColumnRenamed("_numbers", "pages")
+
+
+def whole_updates(docs: DataFrame, blocks: DataFrame, prefix: str = "id:documents:documents::") -> DataFrame:
+    """(put, fields) of whole documents (id, title, description, labels): with their blocks (document_id, idx, ...) in order,
+    none where there are none, and the document and its blocks as JSON in ``source``."""
+    entry = F.struct("idx", *(c for c in blocks.columns if c not in ("document_id", "idx")))
+    lists = blocks.groupBy(F.col("document_id").alias("id")).agg(F.sort_array(F.collect_list(entry)).alias("passages"))
+    joined = docs.join(lists, "id", "left").withColumn("passages", F.coalesce("passages", F.array().cast(lists.schema["passages"].dataType)))
+    whole = F.struct("id", *(F.coalesce(c, F.lit("MISSING")).alias(c) for c in ("title", "description")), "labels", "passages")
+    source = F.to_json(whole, {"ignoreNullFields": "false"})
+    return joined.select(F.concat(F.lit(prefix), F.col("id").cast("string")).alias("put"), F.struct("title", "description", "labels", "passages", source.alias("source")).alias("fields"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from datetime import date, timedelta
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -81,3 +83,38 @@ def latency_quantiles(buckets: DataFrame, shares: list[float]) -> DataFrame:
     steps = buckets.withColumns({"_below": F.coalesce(F.lag("le").over(own), F.lit(0.0)), "_before": F.coalesce(F.lag("count").over(own), F.lit(0)), "_all": F.max("count").over(W.partitionBy("window"))})
     at = {f"q{round(100 * s)}": F.min(F.when(F.col("count") >= s * F.col("_all"), F.col("_below") + (F.col("le") - F.col("_below")) * F.try_divide(s * F.col("_all") - F.col("_before"), F.col("count") - F.col("_before")))) for s in shares}
     return steps.groupBy("window").agg(*(e.alias(k) for k, e in at.items()))
+
+
+def top_click_through_dwell(events: DataFrame, now: Column, click=None, dwell: int = 30, most: int = 5) -> DataFrame:
+    """Of the users with a search page, those whose click on one of the first ``most`` results leads to a document page on
+    which, or on whose family page right after it, they stay ``dwell`` seconds; the last page lasts until ``now``.
+
+    Pages look ahead in one window, and a click finds the next document page in another over the same users' events."""
+    click = (F.col("event") == "$autocapture") & on_search() if click is None else click
+    own = W.partitionBy("distinct_id").orderBy("ts", "event_id")
+    views = events.where((F.col("event") == "$pageview") & F.col("consent").isNotNull())
+    clicks = events.where(click & (F.col("position") <= most))
+    after = {"_u1": F.lead("url", 1).over(own), "_t1": F.lead("ts", 1).over(own), "_t2": F.lead("ts", 2).over(own)}
+    lasts = lambda start, end: F.unix_timestamp(F.coalesce(end, now)) - F.unix_timestamp(start) >= dwell
+    stays = lasts(F.col("ts"), F.col("_t1")) | F.coalesce(F.col("_u1").like("/documents/%"), F.lit(False)) & lasts(F.col("_t1"), F.col("_t2"))
+    pages = views.withColumns(after).select("distinct_id", "ts", F.lit(False).alias("clicked"), on_search().alias("on_search"), F.when(F.col("url").like("/document/%"), F.struct("ts", "event_id", stays.alias("stays"))).alias("page"))
+    both = pages.unionByName(clicks.select("distinct_id", "ts", F.lit(True).alias("clicked"), F.lit(False).alias("on_search"), F.lit(None).cast(pages.schema["page"].dataType).alias("page")))
+    later = W.partitionBy("distinct_id").orderBy(-F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(W.unboundedPreceding, -1)
+    led = both.withColumn("_hit", F.col("clicked") & F.coalesce(F.min("page").over(later)["stays"], F.lit(False)))
+    users = led.groupBy("distinct_id").agg(F.bool_or("on_search").alias("_search"), F.bool_or("_hit").alias("_hit")).where("_search")
+    return _one(users, f"top_{most}_click_through_dwell_{dwell}", F.count_if("_hit"), F.count("*"))
+
+
+def periods(today: Column) -> dict[str, Column]:
+    """The days that figures default to: the previous month, and for retention its first day or the Friday before where
+    that is a weekend."""
+    first = F.trunc(F.add_months(today, -1), "month")
+    weekend = F.when(F.weekday(first) == 5, 1).when(F.weekday(first) == 6, 2).otherwise(0)
+    return {"date_from": first, "date_to": F.last_day(first), "retention_date": F.date_sub(first, weekend)}
+
+
+def old_enough(first: date, days: int, today: date) -> date:
+    """``first``, refused unless the users had ``days`` to come back until ``today``."""
+    if first > today - timedelta(days=days):
+        raise ValueError(f"{first} is not {days} days before {today}")
+    return first

@@ -75,3 +75,16 @@ def label_score(value: Column, alternative: Column, sub: Column, proximity: Colu
     """3 (value + proximity / 3 + completeness / 3) and the best alternative and subconcept, by the root of how much of
     the query they cover."""
     return 3 * (value + proximity / 3 + completeness / 3) + (1.5 * alternative + sub) * F.sqrt(query_completeness)
+
+
+#: Weights of a document's fields. Fixed values.
+FIELDS = {"title": 3.0, "description": 1.0, "passages": 1.0, "geographies": 1.0, "identifiers": 10000.0}
+
+
+def document_score(ranks: dict[str, Column], proximity: Column, completeness: Column, topic: Column, weights: dict[str, float] = FIELDS) -> dict[str, Column]:
+    """The components of a document's score and their sum, ``score``. ``ranks`` of the fields (title_synonyms among them, of
+    weight 1) that the index has; the title also counts how near and how whole it is matched."""
+    parts = {f"{k}_score": weights.get(k, 1.0) * c.cast("double") for k, c in ranks.items()}
+    parts["title_score"] = parts.get("title_score", F.lit(0.0)) + proximity + completeness
+    parts["topic_score"] = topic
+    return parts | {"score": reduce(add, parts.values())}

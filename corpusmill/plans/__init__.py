@@ -1,5 +1,5 @@
 """Importing this package fills the registry."""
 
-from . import answers, corpus, judging, more, registry
+from . import answers, build, corpus, judging, more, registry
 
-__all__ = ["answers", "corpus", "judging", "more", "registry"]
+__all__ = ["answers", "build", "corpus", "judging", "more", "registry"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusmill.operators import relevance, search, tables, timeline
+from corpusmill.operators import relevance, search, selection, tables, timeline
 from corpusmill.sources import jsonl
 
 from . import fixtures as fx
@@ -112,7 +112,7 @@ def a16_corpus_frequencies(spark, d):
 @query("n03_percent_ranks", _COUNTS + ", m AS (SELECT document_id, topic, count(*) AS mentions FROM passage_topics GROUP BY ALL) SELECT document_id, topic, round(percent_rank() OVER (PARTITION BY topic ORDER BY mentions), 6) AS share FROM m")
 def n03_percent_ranks(spark, d):
     counts = fx.passage_topics(spark, d).groupBy("document_id", "topic").agg(F.count("*").alias("mentions"))
-    return counts.select("document_id", "topic", F.round(F.percent_rank().over(W.partitionBy("topic").orderBy("mentions")), 6).alias("share"))
+    return selection.percent_ranks(counts, "topic", "mentions", "share").select("document_id", "topic", F.round("share", 6).alias("share"))
 
 
 @query("e03_positions", _COUNTS + ", n AS (SELECT document_id, count(*) AS total FROM passages GROUP BY 1) SELECT document_id, topic, count(*) FILTER (WHERE page_number < 3) AS first_pages, count(*) FILTER (WHERE 5 * idx < total) AS first_fifth, min(page_number) AS earliest_page FROM passage_topics JOIN n USING (document_id) GROUP BY ALL")

@@ -2,12 +2,13 @@
 
 import json
 import zlib
+from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.operators import analysis, derive, detectors, documents, facets, feeds, filters, metrics, scores, updates
-from corpusmill.sources import jsonl, readers
+from corpusmill.operators import analysis, derive, detectors, documents, facets, feeds, filters, labels, metrics, nearness, runs, scores, selection, updates
+from corpusmill.sources import jsonl, readers, shards
 from corpusmill.streaming import passages as streams
 
 
@@ -176,3 +177,61 @@ def test_streams(spark, tmp_path):
 def test_unknown_field_raises():
     with pytest.raises(ValueError):
         filters.build({"op": "and", "filters": [{"field": "x", "op": "contains", "value": 1}]})
+
+
+def test_contents_listings(spark):
+    listing = "Foreword ii\nThe state of the seas .... 3\nWhat was done .... 7\nWhat is left .... 12\nThanks to all xv"
+    falling = "The seas .... 30\nThe lakes .... 20\nThe rivers .... 12\nThe wells .... 7\nThe rain .... 3"
+    numbered = "3.1 Seas\n3.2 Lakes\n3.3 Rivers\n3.4 Wells\n3.5 Rain"
+    table = "Seas\n1.0\n2.0\nLakes\n3.0\nRivers\nWells\nRain\nContents\n4.5\n6.1"
+    equations = "Contents\na = b here\nc = d here\nthe sea\nthe lake\nthe rain"
+    split = "Seas of old\n3\nLakes of old\n7\n3.1.2\n3.1.3\nRivers of old\nWells of old\nRain of old"
+    rows = [("a", listing, None), ("b", listing, 11), ("c", falling, 1), ("d", numbered, 10), ("e", table, 1), ("f", equations, 1), ("g", split, 1), ("h", None, 1), ("i", "", None)]
+    got = detectors.contents_listings(spark.createDataFrame(rows, "k string, content string, page_number int")).where("looks_like_table_of_contents")
+    assert {r.k for r in got.collect()} == {"a", "d", "g"}
+
+
+def test_folios(spark):
+    assert [one(spark, detectors.folio(F.lit(t))) for t in ("12", "xiv", "MCM", "iiv", "", "x1")] == [12, 14, 1900, 3, None, None]
+
+
+def test_entities_of_odd_shapes(spark):
+    rows = [("Q1", '{"labels": {"en": {"value": "seas"}}, "aliases": [], "descriptions": [], "claims": []}'), ("Q2", '{"labels": []}'), ("Q3", "no json"), ("Q4", None), ("Q5", '{"labels": {"en": {"value": ""}}}')]
+    got = labels.concepts(spark.createDataFrame(rows, "id string, json string")).collect()
+    assert [(r.id, r.preferred_label, r.alternative_labels, r.description, r.negative_labels) for r in got] == [("Q1", "seas", [], None, [])]
+
+
+def test_shards_are_bounded_and_stale_ones_go(spark, tmp_path):
+    path = str(tmp_path / "out")
+    rows = spark.range(4000).select("id", F.lit("x" * 50).alias("t"))
+    assert shards.write_shards(rows, path, 20_000) > 10
+    first = list((tmp_path / "out").glob("*.json"))
+    assert max(f.stat().st_size for f in first) < 40_000
+    assert shards.write_shards(rows.limit(100), path, 20_000) == 1 and len(list((tmp_path / "out").glob("*.json"))) == 1
+    assert shards.write_shards(rows.limit(0), path) == 1
+    shards.write_results(spark.sql("SELECT 1 AS a, CAST(NULL AS STRING) AS b"), str(tmp_path / "r"))
+    assert [json.loads(x) for f in (tmp_path / "r").glob("*.json") for x in f.read_text().splitlines()] == [{"a": 1, "b": None}]
+
+
+def test_run_ids_depend_on_the_outcomes_only(spark):
+    rows = [("e", 1, True), ("e", 2, False), ("f", 1, True)]
+    ids = lambda r: {x.engine: x.run_id for x in runs.run_ids(spark.createDataFrame(r, "engine string, case_id int, passed boolean")).collect()}
+    assert ids(rows) == ids(rows[::-1]) and ids(rows)["e"] != ids([("e", 1, True), ("e", 2, True)])["e"] and len(ids(rows)["e"]) == 8
+
+
+def test_percent_ranks_with_ties_and_one_row(spark):
+    rows = spark.createDataFrame([("a", 1), ("a", 1), ("a", 5), ("b", 2)], "g string, v int")
+    assert sorted((r.g, r.v, r.p) for r in selection.percent_ranks(rows, "g", "v", "p").collect()) == [("a", 1, 0.0), ("a", 1, 0.0), ("a", 5, 1.0), ("b", 2, 0.0)]
+
+
+def test_nearest_are_bounded_and_matches_stay(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0], False), (2, [1.0, 0.1], False), (3, [0.0, 1.0], True), (4, [0.0, -1.0], False), (5, [0.0, 0.0], False)], "id int, v array<double>, m boolean")
+    asked = spark.createDataFrame([(7, [1.0, 0.0])], "query_id int, query_vector array<double>")
+    got = nearness.hybrid(rows, "id", "v", F.col("m"), asked, most=1).collect()
+    assert sorted((r.id, r.near, r.matched) for r in got) == [(1, True, False), (3, False, True)]
+
+
+def test_retention_needs_time():
+    with pytest.raises(ValueError):
+        metrics.old_enough(date(2024, 1, 10), 30, date(2024, 1, 31))
+    assert metrics.old_enough(date(2024, 1, 1), 30, date(2024, 1, 31)) == date(2024, 1, 1)

@@ -5,7 +5,7 @@ from corpusmill.operators import filters
 from corpusmill.plans import registry
 
 DIR = "/root/testdata/sf0.001"
-TABLES = ["events", "documents", "labels", "nation", "region"]
+TABLES = ["events", "documents", "labels", "nation", "region", "customer", "embeddings", "orders"]
 
 
 @pytest.fixture(scope="module")
