@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html, jaccard, language, linededup, quality, sharding, tokenfile, warc
+from . import bpe, collocations, decontaminate, html, jaccard, language, linededup, packing, quality, sharding, tokenfile, warc
 from .common import table
 from .oracle import ORACLE_SQL  # noqa: F401
 
@@ -57,6 +58,15 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sequences = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return sequences.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_warc, op3_line_dedup, op4_quality, op5_token_file, op6_jaccard_join, op7_language, op8_html, op9_decontaminate, op10_bpe)
+    f.__name__: f for f in (op1_sharding, op2_warc, op3_line_dedup, op4_quality, op5_token_file, op6_jaccard_join, op7_language, op8_html, op9_decontaminate, op10_bpe, op12_collocations, op13_packing)
 }
