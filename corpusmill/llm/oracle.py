@@ -117,4 +117,21 @@ kept AS (SELECT least.* FROM least LEFT JOIN longer ON longer.lang = least.lang
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept JOIN n USING (lang) QUALIFY rank <= 2000
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_warc": WARC, "op4_quality": _quality(), "op6_jaccard_join": JACCARD, "op9_decontaminate": DECONTAMINATE, "op12_collocations": COLLOCATIONS}
+VARIANTS = r"""
+WITH RECURSIVE steps AS (SELECT i AS byte, i AS c, 0 AS k FROM range(256) t(i) UNION ALL SELECT byte, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8),
+t AS (SELECT list(c ORDER BY byte) AS t FROM steps WHERE k = 8),
+r AS (SELECT doc_id, run, count(*) AS m FROM (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{00C0}-\x{00FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents) WHERE length(run) >= 6 GROUP BY ALL),
+bytes AS (SELECT run, m, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)] ELSE [195, unicode(x) - 64] END)) AS b FROM r),
+h AS (SELECT run, m, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t.t[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM bytes, t),
+words AS MATERIALIZED (SELECT word, CAST(sum(m) AS BIGINT) AS n FROM (SELECT m, CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM h) WHERE length(word) >= 6 GROUP BY word HAVING sum(m) >= 5),
+cut AS MATERIALIZED (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM words, unnest(generate_series(1, length(word))) AS u(i)),
+near AS MATERIALIZED (SELECT DISTINCT x.word AS a, y.word AS b FROM cut x JOIN cut y ON x.rest = y.rest AND x.i = y.i AND x.word <> y.word
+  UNION SELECT cut.word, words.word FROM cut JOIN words ON words.word = cut.rest UNION SELECT words.word, cut.word FROM cut JOIN words ON words.word = cut.rest),
+best AS (SELECT a, count(*) AS n_near, max(n) AS top, min_by(b, (-n, b)) AS b FROM near JOIN words ON words.word = b GROUP BY a),
+f AS MATERIALIZED (SELECT words.word, CASE WHEN top >= 5 * n THEN b END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 5 * n THEN top END AS form_n FROM words LEFT JOIN best ON best.a = words.word),
+walk AS (SELECT word, word AS root, 0 AS k FROM f UNION ALL SELECT walk.word, f.form, k + 1 FROM walk JOIN f ON f.word = walk.root WHERE f.form IS NOT NULL),
+ends AS (SELECT word, max_by(root, k) AS root FROM walk GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN ends USING (word)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_warc": WARC, "op4_quality": _quality(), "op6_jaccard_join": JACCARD, "op9_decontaminate": DECONTAMINATE, "op11_variants": VARIANTS, "op12_collocations": COLLOCATIONS}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, collocations, decontaminate, html, jaccard, language, linededup, packing, quality, sharding, tokenfile, warc
+from . import bpe, collocations, decontaminate, html, jaccard, language, linededup, packing, quality, sharding, tokenfile, variants, warc
 from .common import table
 from .oracle import ORACLE_SQL  # noqa: F401
 
@@ -58,6 +58,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group(table(spark, sf_dir, "documents"))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
@@ -68,5 +72,5 @@ def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_warc, op3_line_dedup, op4_quality, op5_token_file, op6_jaccard_join, op7_language, op8_html, op9_decontaminate, op10_bpe, op12_collocations, op13_packing)
+    f.__name__: f for f in (op1_sharding, op2_warc, op3_line_dedup, op4_quality, op5_token_file, op6_jaccard_join, op7_language, op8_html, op9_decontaminate, op10_bpe, op11_variants, op12_collocations, op13_packing)
 }
