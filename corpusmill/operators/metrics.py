@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import timeline
+
 
 def on_search():
     """Whether an event is on a search page."""
@@ -35,10 +37,18 @@ def users_without_results(events: DataFrame) -> DataFrame:
     return _one(events.where((F.col("event") == "$pageview") & on_search()), "users_without_results", F.count_distinct(F.when(F.col("hits") == 0, F.col("distinct_id"))), F.count_distinct("distinct_id"))
 
 
-def retention(events: DataFrame, days: int, returning=None) -> DataFrame:
-    """Searchers of the log's first day that come back after that day and within ``days`` in another session."""
-    day = events.agg(F.to_date(F.min("ts")).alias("_day"))  # one row
-    searches = events.join(F.broadcast(day)).where(on_search() & (F.to_date("ts") == F.col("_day")))
+def _on(events: DataFrame, day: date | None) -> DataFrame:
+    """The events of a day, or of the log's first one."""
+    if day is not None:
+        start = F.lit(day).cast("timestamp_ntz")
+        return events.where((F.col("ts") >= start) & (F.col("ts") < start + F.expr("interval 1 day")))
+    first = events.agg(F.to_date(F.min("ts")).alias("_day"))  # one row
+    return events.join(F.broadcast(first)).where(F.to_date("ts") == F.col("_day"))
+
+
+def retention(events: DataFrame, days: int, returning=None, day: date | None = None) -> DataFrame:
+    """Searchers of a day (None: the log's first) that come back after that day and within ``days`` in another session."""
+    searches = _on(events, day).where(on_search())
     first = searches.groupBy("distinct_id").agg(F.min("ts").alias("_first"), F.min_by("session_id", F.struct("ts", "event_id")).alias("_session"))
     later = events if returning is None else events.where(returning)
     back = first.join(later.select("distinct_id", "ts", "session_id"), "distinct_id", "left").withColumn("_back", (F.col("ts") > F.date_trunc("day", "_first") + F.expr("interval 1 day")) & (F.col("ts") < F.col("_first") + F.expr(f"interval {days} days")) & (F.col("session_id") != F.col("_session")))
@@ -48,9 +58,10 @@ def retention(events: DataFrame, days: int, returning=None) -> DataFrame:
 def click_through(events: DataFrame, dwell: int | None = None) -> DataFrame:
     """Searching users whose search page is followed by a document page, directly or through a family page, on which
     they stay ``dwell`` seconds (None: any time and directly only). The last page has no dwell."""
-    own = W.partitionBy("distinct_id").orderBy("ts", "event_id")
-    views = events.where((F.col("event") == "$pageview") & F.col("consent"))
-    steps = views.withColumns({**{f"_u{i}": F.lead("url", i).over(own) for i in (1, 2)}, **{f"_t{i}": F.lead("ts", i).over(own) for i in (1, 2, 3)}})
+    views = events.where((F.col("event") == "$pageview") & F.col("consent")).select("distinct_id", "ts", "event_id", "url")
+    after = lambda i, c: F.get("next", i - 1)[c]
+    steps = timeline.following(views, ["ts", "url"], 3 if dwell is not None else 1)
+    steps = steps.withColumns({**{f"_u{i}": after(i, "url") for i in (1, 2)}, **{f"_t{i}": after(i, "ts") for i in (1, 2, 3)}})
     if dwell is None:
         hit = F.col("_u1").like("/document/%")
     else:
@@ -59,21 +70,50 @@ def click_through(events: DataFrame, dwell: int | None = None) -> DataFrame:
     return _one(steps.where(on_search()), "click_through" if dwell is None else f"click_through_dwell_{dwell}", F.count_distinct(F.when(hit, F.col("distinct_id"))), F.count_distinct("distinct_id"))
 
 
-def non_searcher_retention(events: DataFrame, days: int = 29) -> DataFrame:
-    """Users of the log's first day without a search on it that come back after that day and within ``days`` in another
-    session."""
-    day = events.agg(F.to_date(F.min("ts")).alias("_day"))  # one row
-    own = events.join(F.broadcast(day)).where(F.to_date("ts") == F.col("_day")).groupBy("distinct_id")
+def non_searcher_retention(events: DataFrame, days: int = 29, day: date | None = None) -> DataFrame:
+    """Users of a day (None: the log's first) without a search on it that come back after that day and within ``days`` in
+    another session."""
+    own = _on(events, day).groupBy("distinct_id")
     first = own.agg(F.min("ts").alias("_first"), F.min_by("session_id", F.struct("ts", "event_id")).alias("_session"), F.count_if(on_search()).alias("_searches")).where("_searches = 0")
     back = first.join(events.select("distinct_id", "ts", "session_id"), "distinct_id", "left").withColumn("_back", (F.col("ts") > F.date_trunc("day", "_first") + F.expr("interval 1 day")) & (F.col("ts") < F.col("_first") + F.expr(f"interval {days} days")) & (F.col("session_id") != F.col("_session")))
     return _one(back, f"non_searcher_retention_{days}", F.count_distinct(F.when(F.col("_back"), F.col("distinct_id"))), F.count_distinct("distinct_id"))
 
 
+#: Purposes of buttons and texts of links that count as a click on a result whatever its place. Fixed values.
+PURPOSES = ["search-result-family-passage"]
+LINK_TEXTS = ["View full summary and timeline", "View overview", "View all matches highlighted in document"]
+#: First day whose clicks carry their place. Fixed value.
+CLICKS_SINCE = date(2026, 1, 29)
+
+
+def result_click(most: int = 5) -> Column:
+    """Whether an event (columns position, purpose, link_text) is a click on one of the first ``most`` results, on a passage
+    of one or on one of the links beside it."""
+    has = lambda c: F.coalesce(c, F.lit(False))
+    place = F.col("position").between(1, most)
+    return (F.col("event") == "$autocapture") & on_search() & (has(place) | has(F.col("purpose").isin(PURPOSES)) | has(F.col("link_text").isin(LINK_TEXTS)))
+
+
+def since(first: date, least: date = CLICKS_SINCE) -> date:
+    """``first``, refused where the log does not have what a figure needs yet."""
+    if first < least:
+        raise ValueError(f"{first} is before {least}")
+    return first
+
+
 def top_click_through(events: DataFrame, click=None, most: int = 5) -> DataFrame:
-    """Of the searching users, those with a click on one of the first ``most`` results."""
-    click = (F.col("event") == "$autocapture") if click is None else click
-    place = F.when(click & (F.col("position") <= most), F.col("distinct_id"))
-    return _one(events, f"top_{most}_click_through", F.count_distinct(place), F.count_distinct(F.when(on_search(), F.col("distinct_id"))))
+    """Of the searching users, those with a click on one of the first ``most`` results. ``click`` is the whole condition
+    of such a click; by default any recorded one whose place is among them."""
+    click = (F.col("event") == "$autocapture") & (F.col("position") <= most) if click is None else click
+    return _one(events, f"top_{most}_click_through", F.count_distinct(F.when(click, F.col("distinct_id"))), F.count_distinct(F.when(on_search(), F.col("distinct_id"))))
+
+
+def result_click_through(events: DataFrame, first: date, most: int = 5, least: date = CLICKS_SINCE) -> DataFrame:
+    """Of the users with a view of a search page from ``first`` on, those with a click on a result; refused before ``least``."""
+    own = events.where(F.col("ts") >= F.lit(since(first, least)).cast("timestamp_ntz"))
+    search = (F.col("event") == "$pageview") & F.col("consent").isNotNull() & on_search()
+    users = own.groupBy("distinct_id").agg(F.bool_or(search).alias("_search"), F.bool_or(result_click(most)).alias("_hit")).where("_search")
+    return _one(users, f"top_{most}_result_click_through", F.count_if("_hit"), F.count("*"))
 
 
 def latency_quantiles(buckets: DataFrame, shares: list[float]) -> DataFrame:
@@ -89,19 +129,18 @@ def top_click_through_dwell(events: DataFrame, now: Column, click=None, dwell: i
     """Of the users with a search page, those whose click on one of the first ``most`` results leads to a document page on
     which, or on whose family page right after it, they stay ``dwell`` seconds; the last page lasts until ``now``.
 
-    Pages look ahead in one window, and a click finds the next document page in another over the same users' events."""
+    Pages look ahead, and each click finds the next document page by an as-of join; a user of any number of events is
+    split for both."""
     click = (F.col("event") == "$autocapture") & on_search() if click is None else click
-    own = W.partitionBy("distinct_id").orderBy("ts", "event_id")
-    views = events.where((F.col("event") == "$pageview") & F.col("consent").isNotNull())
-    clicks = events.where(click & (F.col("position") <= most))
-    after = {"_u1": F.lead("url", 1).over(own), "_t1": F.lead("ts", 1).over(own), "_t2": F.lead("ts", 2).over(own)}
+    views = events.where((F.col("event") == "$pageview") & F.col("consent").isNotNull()).select("distinct_id", "ts", "event_id", "url")
     lasts = lambda start, end: F.unix_timestamp(F.coalesce(end, now)) - F.unix_timestamp(start) >= dwell
-    stays = lasts(F.col("ts"), F.col("_t1")) | F.coalesce(F.col("_u1").like("/documents/%"), F.lit(False)) & lasts(F.col("_t1"), F.col("_t2"))
-    pages = views.withColumns(after).select("distinct_id", "ts", F.lit(False).alias("clicked"), on_search().alias("on_search"), F.when(F.col("url").like("/document/%"), F.struct("ts", "event_id", stays.alias("stays"))).alias("page"))
-    both = pages.unionByName(clicks.select("distinct_id", "ts", F.lit(True).alias("clicked"), F.lit(False).alias("on_search"), F.lit(None).cast(pages.schema["page"].dataType).alias("page")))
-    later = W.partitionBy("distinct_id").orderBy(-F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(W.unboundedPreceding, -1)
-    led = both.withColumn("_hit", F.col("clicked") & F.coalesce(F.min("page").over(later)["stays"], F.lit(False)))
-    users = led.groupBy("distinct_id").agg(F.bool_or("on_search").alias("_search"), F.bool_or("_hit").alias("_hit")).where("_search")
+    one, two = F.get("next", 0), F.get("next", 1)
+    stays = lasts(F.col("ts"), one["ts"]) | F.coalesce(one["url"].like("/documents/%"), F.lit(False)) & lasts(one["ts"], two["ts"])
+    pages = timeline.following(views, ["ts", "url"], 2).where(F.col("url").like("/document/%")).select("distinct_id", "ts", "event_id", stays.alias("stays"))
+    clicks = events.where(click & (F.col("position") <= most)).select("distinct_id", "ts")
+    led = timeline.as_of(clicks, pages, "distinct_id", forward=True, strict=True, ties=["event_id"], name="page").select("distinct_id", F.lit(False).alias("_search"), F.coalesce("page.stays", F.lit(False)).alias("_hit"))
+    both = views.select("distinct_id", on_search().alias("_search"), F.lit(False).alias("_hit")).unionByName(led)
+    users = both.groupBy("distinct_id").agg(F.bool_or("_search").alias("_search"), F.bool_or("_hit").alias("_hit")).where("_search")
     return _one(users, f"top_{most}_click_through_dwell_{dwell}", F.count_if("_hit"), F.count("*"))
 
 

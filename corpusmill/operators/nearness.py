@@ -33,6 +33,31 @@ def proximity(rows: DataFrame, keys: list[str], text: str, pairs: DataFrame, rea
     return near.groupBy("query_id", *keys).agg(F.sum("_near").alias("_sum")).join(F.broadcast(counts), "query_id").select("query_id", *keys, (F.col("_sum") / F.col("_pairs")).alias("proximity"))
 
 
+def of_places(words: Column, places, reach: int = REACH) -> Column:
+    """The same for one row that has its words' places: ``places(word)`` is a sorted array. The mean is over neighbours
+    among the different ``words``; 0 where there is but one word.
+
+    The places of both neighbours are merged and read once, so that a word of many places costs no more than they are.
+    """
+    worth = lambda gap: F.greatest(F.coalesce(1 - (gap - 1) / F.lit(reach), F.lit(0.0)), F.lit(0.0))
+    none = F.lit(None).cast("int")
+
+    def near(a: Column, b: Column) -> Column:
+        marked = lambda w, role: F.transform(places(w), lambda p: F.struct(p.alias("pos"), F.lit(role).alias("role")))
+        placed = F.array_sort(F.concat(marked(a, 0), marked(b, 1)))
+        start = F.struct(none.alias("a"), none.alias("b"), none.alias("ahead"), none.alias("back"))
+        step = lambda s, x: F.struct(
+            F.when(x["role"] == 0, x["pos"]).otherwise(s["a"]).alias("a"), F.when(x["role"] == 1, x["pos"]).otherwise(s["b"]).alias("b"),
+            F.when(x["role"] == 1, F.least(s["ahead"], x["pos"] - s["a"])).otherwise(s["ahead"]).alias("ahead"), F.when(x["role"] == 0, F.least(s["back"], x["pos"] - s["b"])).otherwise(s["back"]).alias("back"),
+        )
+        return F.aggregate(placed, start, step, lambda s: F.greatest(worth(s["ahead"]), REVERSED * worth(s["back"])))
+
+    unlike = F.array_distinct(words)
+    n = F.greatest(F.size(unlike) - 1, F.lit(0))
+    each = F.zip_with(F.slice(unlike, 1, n), F.slice(unlike, 2, n), near)
+    return F.coalesce(F.try_divide(F.aggregate(each, F.lit(0.0), lambda s, v: s + v), n), F.lit(0.0))
+
+
 def angle(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda i, j: i.cast("double") * j), F.lit(0.0), lambda s, v: s + v)
     return F.acos(F.least(F.greatest(F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b))), F.lit(-1.0)), F.lit(1.0)))

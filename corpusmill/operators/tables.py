@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -22,3 +23,12 @@ def kept(df: DataFrame) -> DataFrame:
     path = shared_folder(df.sparkSession, "step")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Tables of at most so many rows are broadcast after they were counted.
+BROADCAST_ROWS = 200_000
+
+
+def measured(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A broadcast hint only if ``df``, a kept table of narrow rows, has at most ``most`` rows; else a join shuffles it."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

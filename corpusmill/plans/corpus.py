@@ -92,10 +92,12 @@ def f12(spark, d):
     return fx.documents(spark, d).where(filters.build(tree)).select("doc_id")
 
 
-@query("f13_label_prefix", "SELECT n_nationkey FROM nation WHERE starts_with(lower(n_name), 'i') OR starts_with('land of ' || lower(n_name), 'land of j')")
+@query("f13_label_prefix", "SELECT doc_id FROM documents WHERE starts_with(lower(text), 'th') OR starts_with('doc ' || source, 'doc src1')")
 def f13(spark, d):
-    other = F.array(F.concat(F.lit("Land of "), "n_name"))
-    return fx.table(spark, d, "nation").where(filters.named(F.col("n_name"), other, "I") | filters.named(F.col("n_name"), other, "land of J")).select("n_nationkey")
+    """Documents named by their first word, with their source as another name."""
+    docs = fx.table(spark, d, "documents")
+    other = F.array(F.concat(F.lit("Doc "), "source"))
+    return docs.where(filters.named(F.col("text"), other, "TH") | filters.named(F.col("text"), other, "doc SRC1")).select("doc_id")
 
 
 _STOP = "(" + ", ".join(f"'{w}'" for w in analysis.STOPWORDS) + ")"
@@ -166,7 +168,7 @@ def r08(spark, d):
     return fx.documents(spark, d).select("doc_id", scores.label_boost(F.col("labels"), F.lit("language::en")).alias("boost"))
 
 
-@query("r10_blended", _COUNTS + " SELECT document_id, round(5 * sum(CASE topic WHEN 'Q1' THEN 0.99 * n WHEN 'Q2' THEN 0.5 * n ELSE 0 END) + 2 * sum(CASE topic WHEN 'Q1' THEN 0.99 * n WHEN 'Q2' THEN 0.5 * n ELSE 0 END), 6) AS score FROM c GROUP BY 1")
+@query("r10_blended", _COUNTS + " SELECT document_id, CAST(round(5 * sum(CASE topic WHEN 'Q1' THEN 0.99 * n WHEN 'Q2' THEN 0.5 * n ELSE 0 END) + 2 * sum(CASE topic WHEN 'Q1' THEN 0.99 * n WHEN 'Q2' THEN 0.5 * n ELSE 0 END), 6) AS DOUBLE) AS score FROM c GROUP BY 1")
 def r10(spark, d):
     return _counts(spark, d, ["document_id"]).select("document_id", F.round(scores.blended(F.col("counts"), F.col("counts"), {"Q1": 0.99, "Q2": 0.5}, 5.0, 2.0), 6).alias("score"))
 
