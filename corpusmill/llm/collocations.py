@@ -21,6 +21,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -29,7 +30,6 @@ from pyspark.sql import functions as F
 
 from .arrays import BASE, U64, _LOWER, mix, spans_hash, utf8
 from .common import maybe_broadcast, release, small_batches, tidy, written
-from .jaccard import CHUNK, sketch
 
 #: Candidates occur so often at least.
 LEAST = 10
@@ -39,6 +39,8 @@ SUBSUMED = 50
 TOP = 2000
 #: Cells of the sketch, within these bounds; between them 256 for each document.
 CELLS = (1 << 16, 1 << 24)
+#: Cells of the sketch that are added up together.
+CHUNK = 1 << 14
 #: Occurrences of a prefix for each of its chunks.
 STRIPE = 100_000
 #: Rows and bytes of a text batch, whose stripes are built together.
@@ -139,8 +141,25 @@ def frequencies(docs: DataFrame, cells: int) -> np.ndarray:
         if parts:
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in parts], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], ["task", "chunk", "counts"])
 
+    def add(group: pd.DataFrame) -> np.ndarray:
+        total = np.zeros(CHUNK, np.int64)
+        for x in group.counts:
+            part = np.frombuffer(zlib.decompress(x), np.int64)
+            total[: len(part)] += part
+        return total
+
+    def some(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"chunk": [group.chunk.iloc[0]], "counts": [zlib.compress(add(group).tobytes(), 1)]})
+
+    def every(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"chunk": [group.chunk.iloc[0]], "codes": [code(add(group)).tobytes()]})
+
     rows = docs.withColumn("_task", F.spark_partition_id()).mapInArrow(run, "task int, chunk int, counts binary")
-    return code(sketch(rows, cells // 2))
+    parts = rows.select(F.expr("task div 128").alias("part"), "chunk", "counts").groupBy("part", "chunk").applyInPandas(some, "chunk int, counts binary")
+    out = np.zeros(cells, np.uint8)  # a byte for each cell, whatever the table
+    for r in parts.groupBy("chunk").applyInPandas(every, "chunk int, codes binary").collect():
+        out[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.codes, np.uint8)[: max(0, cells - r.chunk * CHUNK)]
+    return out
 
 
 def _rows(langs: pa.Array, vocab: pa.Array, lang: np.ndarray, w1: np.ndarray, w2: np.ndarray | None, chunk: np.ndarray, total: np.ndarray, ends: np.ndarray, nexts: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
