@@ -35,7 +35,7 @@ GROUPS = 32
 ORDER = "eainrtosldcumhgpbfvkwyzxjq"
 LEVELS = np.array([*(ord(c) % GROUPS for c in ORDER), *(g for g in range(GROUPS) if g not in {ord(c) % GROUPS for c in ORDER})])
 #: Words of a subtree, and the most levels that name one.
-SUBTREE, DEPTH = 20_000, 6
+SUBTREE, DEPTH = 5_000, 8
 #: A node of at most so many vectors is searched without going down further.
 NODE = 48
 #: Longer words are verified one by one.
