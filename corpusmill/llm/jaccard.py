@@ -1,10 +1,13 @@
 """Exact Jaccard join of word-shingle sets, as components of linked documents.
 
-Documents with equal sets are one node. The shingles have one global order: by frequency rank (from a count
+Documents with equal sets are one node. A node's name is a 64-bit hash of its set; names that a second hash shows to
+stand for different sets are given anew, so that 128 bits tell sets apart. The shingles have one global order: by frequency rank (from a count
 sketch over all documents), then by hash. A node's prefix is as long as needed so that two sets of the asked
 similarity must share, inside their prefixes, one shingle of the rare level or k shingles of one class of a
-frequent level; rare shingles are indexed alone, those of frequent classes as combinations of k. Candidates are
-then verified on the whole sets.
+frequent level; rare shingles are indexed alone, those of frequent classes as combinations of k. Of small sets, a shingle
+that more than ``HOT`` documents have is indexed together with each of the prefix's next ones, one more included: similar
+sets share two shingles of prefixes that are longer by one, so that texts with one frequent shingle do not all meet.
+Candidates are then verified on the whole sets.
 
 Why nothing is lost: let x and y share at least ``least(x)`` shingles, and x's prefix end first in the order. At most
 e = |x| - least(x) of its shingles are missing in y, and y's prefix holds all shingles of y that x's prefix holds.
@@ -18,7 +21,8 @@ still in different components. An entry drops the nodes that can be similar to n
 shingles are left behind the entry's place in the order for any size that the entry has. A pair is not verified if
 its sizes or places forbid a link, if the distances to a common pivot differ by more than similar sets' can, or if
 parity bitmaps differ in more bits than similar sets have shingles of their own. Entries of the same centre are folded into one, and entries with the same
-nodes are met once. Hot entries are salted by the sketched frequency.
+nodes are met once. Hot entries are salted by the sketched frequency, and where pairs of one entry are left at last, by
+its size: each share of its nodes meets the others in a task of its own.
 
 Null and empty texts have no shingles and their own component; null doc_ids are never linked and get a null
 component; rows that repeat a doc_id share its fate. An empty table gives no rows.
@@ -50,8 +54,10 @@ CELLS = (1 << 18, 1 << 23)
 LEVELS = {2: 6, 3: 12}
 #: Sets that may be similar to one of fewer shingles use single shingles only.
 SMALL = 32
-#: Rows of an index entry that share one salt.
-SALT_ROWS = 20_000
+#: Documents of a shingle that a small set does not index alone.
+HOT = 1000
+#: Rows of an index entry that share one salt, and nodes of an entry whose pairs meet in one task.
+SALT_ROWS, MEETING = 20_000, 2_000
 #: Ratio of the sizes that fall into one class of an entry.
 STEP = 1.02
 CHUNK = 1 << 14
@@ -73,21 +79,56 @@ def _sets(batch: pa.RecordBatch):
         yield i, *shingle_sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], WIDTH)
 
 
-def _nodes(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A 64-bit name of each set."""
+def _sums(sets: np.ndarray, at: np.ndarray, seed: int) -> np.ndarray:
     sums = np.zeros(len(sets) + 1, U64)
-    np.cumsum(mix(sets ^ U64(0x5851F42D4C957F2D)), out=sums[1:])
+    np.cumsum(mix(sets ^ U64(seed)), out=sums[1:])
     return mix(sums[at[1:]] - sums[at[:-1]] + np.diff(at).astype(U64)).view(np.int64)
 
 
+def _names(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each set."""
+    return _sums(sets, at, 0x5851F42D4C957F2D)
+
+
+def _twins(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Another one."""
+    return _sums(sets, at, 0x14057B7EF767814F)
+
+
+#: The names that different sets share, by their second hash, and what they are called instead.
+Anew = dict[tuple[int, int], int]
+
+
+def _nodes(sets: np.ndarray, at: np.ndarray, anew: Anew) -> np.ndarray:
+    """The name of each set."""
+    names = _names(sets, at)
+    if anew:
+        again = np.flatnonzero(np.isin(names, np.fromiter({k for k, _ in anew}, np.int64)))
+        if len(again):
+            twins = _twins(sets, at)
+            names = names.copy()
+            for i in again.tolist():
+                names[i] = anew[int(names[i]), int(twins[i])]
+    return names
+
+
+def clashes(profiled: DataFrame) -> Anew:
+    """Names of several sets: among n sets some n * n / 2**65, so a handful even of 1e10."""
+    twice = profiled.where("node is not null").groupBy("node").agg(F.min("twin").alias("_lo"), F.max("twin").alias("_hi")).where("_lo <> _hi").select("node")
+    if twice.isEmpty():
+        return {}
+    rows = profiled.join(twice, "node").select("node", "twin").distinct().collect()
+    return {(r.node, r.twin): int(mix(np.array([r.node ^ (r.twin << 1 & (1 << 63) - 1)], np.int64).view(U64) + U64(1)).view(np.int64)[0]) for r in rows}
+
+
 def _cells(sets: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
     bits = U64(cells.bit_length() - 1)
     return (sets >> (U64(64) - bits)).astype(np.int64), (mix(sets) >> (U64(64) - bits)).astype(np.int64)
 
 
 def profile(docs: DataFrame, cells: int) -> DataFrame:
-    """Rows (doc_id, n, node) of the documents, and rows (task, chunk, counts) of the tasks' count sketches."""
-    schema = "doc_id long, n int, node long, task int, chunk int, counts binary"
+    """Rows (doc_id, n, node, twin) of the documents, and rows (task, chunk, counts) of the tasks' count sketches."""
+    schema = "doc_id long, n int, node long, twin long, task int, chunk int, counts binary"
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches):
@@ -101,11 +142,11 @@ def profile(docs: DataFrame, cells: int) -> DataFrame:
                     np.add.at(counts, cell + k * cells, np.uint32(1))
                 m = len(at) - 1
                 none = pa.nulls(m, pa.int32())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, m), pa.array(np.diff(at), pa.int32()), pa.array(_nodes(sets, at)), none, none, pa.nulls(m, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, m), pa.array(np.diff(at), pa.int32()), pa.array(_names(sets, at)), pa.array(_twins(sets, at)), none, none, pa.nulls(m, pa.binary())], names)
         used = [c for c in range(0, 2 * cells, CHUNK) if counts[c : c + CHUNK].any()]
         if used:
-            rows = [(None, None, None, task, c // CHUNK, zlib.compress(counts[c : c + CHUNK].astype(np.int64).tobytes(), 1)) for c in used]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names)
+            rows = [(None, None, None, None, task, c // CHUNK, zlib.compress(counts[c : c + CHUNK].astype(np.int64).tobytes(), 1)) for c in used]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names)
 
     return docs.withColumn("_task", F.spark_partition_id()).mapInArrow(run, schema)
 
@@ -151,7 +192,21 @@ def _long_prefix(one: np.ndarray, level: np.ndarray, count: np.ndarray, band: in
     return out
 
 
-def signatures(docs: DataFrame, counts: np.ndarray, cells: int) -> DataFrame:
+def _small_prefix(one: np.ndarray, count: np.ndarray, need: int) -> list[tuple[int, int, int]]:
+    """(signature, frequency, most) of one small set in the global order: shingles of its prefix, frequent ones with each
+    of those behind them, up to one beyond the prefix."""
+    alone = mix(one[: need + 1] + U64(1))
+    out = []
+    for p in range(need):
+        if count[p] <= HOT:
+            out.append((int(alone[p]), int(count[p]), len(one) - p))
+        else:
+            both = mix(alone[p] * U64(0x5851F42D4C957F2D) + alone[p + 1 :])
+            out += ((int(h), int(min(count[p], c)), len(one) - p) for h, c in zip(both, count[p + 1 : need + 1], strict=True))
+    return out
+
+
+def signatures(docs: DataFrame, counts: np.ndarray, cells: int, anew: Anew) -> DataFrame:
     """Index entries (sig, salts, node, n, most) of the documents' sets.
 
     ``most`` bounds the overlap with a set whose first common shingle is that of the entry: the shingles from it on.
@@ -168,7 +223,7 @@ def signatures(docs: DataFrame, counts: np.ndarray, cells: int) -> DataFrame:
             for _, sets, at in _sets(b):
                 if not len(sets):
                     continue
-                n, nodes = np.diff(at), _nodes(sets, at)
+                n, nodes = np.diff(at), _nodes(sets, at, anew)
                 first, second = _cells(sets, cells)
                 count = np.minimum(counts[:cells][first], counts[cells:][second])
                 rank = np.minimum(2 * np.log2(count / mean + 1), 31).astype(np.uint8)
@@ -186,11 +241,18 @@ def signatures(docs: DataFrame, counts: np.ndarray, cells: int) -> DataFrame:
                         continue
                     order = i + np.argsort(key[i:j], kind="stable")
                     first = order[: need[r]]
-                    if small := SIMILARITY * n[r] < 100 * SMALL:  # single shingles of any level, apart from the others
-                        sigs.append(mix(sets[first] + U64(1)))
+                    if small := SIMILARITY * n[r] < 100 * SMALL:  # shingles of any level, apart from the others
+                        if (count[first] > HOT).any():
+                            found = _small_prefix(sets[order], count[order], int(need[r]))
+                            sigs.append(np.fromiter((x[0] for x in found), U64, len(found)))
+                            salts.append(np.fromiter((x[1] for x in found), np.int64, len(found)))
+                            who.append(np.full(len(found), r))
+                            most.append(np.fromiter((x[2] for x in found), np.int64, len(found)))
+                        else:
+                            sigs.append(mix(sets[first] + U64(1)))
                     elif alone[r]:
                         sigs.append(sets[first])
-                    if small or alone[r]:
+                    if len(sigs) > len(salts):
                         salts.append(count[first])
                         who.append(np.full(len(first), r))
                         most.append(n[r] - np.arange(len(first)))
@@ -312,8 +374,13 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     cells = min(max(CELLS[0], 1 << max(0, 16 * docs.count() - 1).bit_length()), CELLS[1])
     profiled = written(profile(docs, cells))
     counts = sketch(profiled, cells)
-    docs_nodes = profiled.where("node is not null").select("doc_id", "n", "node")
-    entries = signatures(docs, counts, cells).withColumn("salt", F.pmod("node", "salts")).repartition("sig", "salt").dropDuplicates(["sig", "salt", "node"])
+    anew = clashes(profiled)
+    docs_nodes = profiled.where("node is not null").select("doc_id", "n", "node", "twin")
+    if anew:
+        again = spark.createDataFrame([(a, b, to) for (a, b), to in anew.items()], "node long, twin long, _to long")
+        docs_nodes = docs_nodes.join(F.broadcast(again), ["node", "twin"], "left").withColumn("node", F.coalesce("_to", "node"))
+    docs_nodes = docs_nodes.select("doc_id", "n", "node")
+    entries = signatures(docs, counts, cells, anew).withColumn("salt", F.pmod("node", "salts")).repartition("sig", "salt").dropDuplicates(["sig", "salt", "node"])
     one = W.partitionBy("sig", "salt")
     shared = entries.withColumn("size", F.count("*").over(one)).where("size > 1 or salts > 1")
     # a salted entry's nodes may have their like under another salt
@@ -341,7 +408,7 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             for _, sets, at in _sets(b):
                 if m := len(at) - 1:
                     words = parities(sets, at)
-                    columns = [pa.array(_nodes(sets, at)), pa.array([sets[at[r] : at[r + 1]].tobytes() for r in range(m)], pa.binary()), *(pa.array(words[:, k].copy()) for k in range(WORDS))]
+                    columns = [pa.array(_nodes(sets, at, anew)), pa.array([sets[at[r] : at[r + 1]].tobytes() for r in range(m)], pa.binary()), *(pa.array(words[:, k].copy()) for k in range(WORDS))]
                     yield pa.RecordBatch.from_arrays(columns, ["node", "shingles", *odd])
 
     odd = [f"odd{k}" for k in range(WORDS)]
@@ -369,11 +436,15 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         if last:  # all that is left between components
             rest = merged(rest).join(pivots, "node", "left").withColumns({"pivot": F.coalesce("pivot", "node"), "off": F.coalesce("off", F.lit(0.0))})
             rest = written(rest.join(sets.select("node", *odd), "node"))
-            x, y = (rest.select("sig", F.col("node").alias(c), *(F.col(v).alias(f"{v}_{c}") for v in ("component", "n", "most", "pivot", "off", *odd))) for c in "ab")
+            large = written(rest.groupBy("sig").agg(F.count("*").alias("_m")).where(F.col("_m") > MEETING).select("sig", F.ceil(F.col("_m") / MEETING).cast("int").alias("_shares")))
+            rest = rest.join(maybe_broadcast(large), "sig", "left").withColumn("_shares", F.coalesce("_shares", F.lit(1)))
+            x, y = (rest.select("sig", "_shares", F.col("node").alias(c), *(F.col(v).alias(f"{v}_{c}") for v in ("component", "n", "most", "pivot", "off", *odd))) for c in "ab")
+            x = x.withColumn("_share", F.pmod(F.xxhash64("a"), "_shares").cast("int")).drop("_shares")
+            y = y.withColumn("_share", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1))).drop("_shares")
             near = f"component_a <> component_b and a < b and {possible('n_a', 'n_b', 'most_a', 'most_b')}"
             near += f" and (pivot_a <> pivot_b or abs(off_a - off_b) <= {(100 - SIMILARITY) / 100} + 1e-9)"
             near += f" and {100 + SIMILARITY} * ({' + '.join(f'bit_count({o}_a ^ {o}_b)' for o in odd)}) <= {100 - SIMILARITY} * (n_a + n_b)"
-            more = more.union(written(measured(x.join(y, "sig").where(near).select("a", "b").distinct(), sets).where("linked").select("a", "b")))
+            more = more.union(written(measured(x.join(y, ["sig", "_share"]).where(near).select("a", "b").distinct(), sets).where("linked").select("a", "b")))
         if not more.isEmpty():
             links = written(links.union(more))
             labels = components(links)
