@@ -1,5 +1,5 @@
 """Importing this package fills the registry."""
 
-from . import answers, build, corpus, fielded, judging, more, registry, timelines
+from . import answers, build, corpus, fielded, judging, more, predictors, registry, timelines
 
-__all__ = ["answers", "build", "corpus", "fielded", "judging", "more", "registry", "timelines"]
+__all__ = ["answers", "build", "corpus", "fielded", "judging", "more", "predictors", "registry", "timelines"]
