@@ -51,7 +51,7 @@ def features(topics: DataFrame, passages: DataFrame, stats: DataFrame | None = N
     dense = own.groupBy(*BY).agg(F.max(F.col("_in") / F.col("_size")).alias("max_section_density"))
     out = whole.join(dense, BY, "left").withColumns({"max_section_density": F.coalesce("max_section_density", F.lit(0.0)), "density": F.col("mentions") / F.col("total"), "earliness": 1 - F.col("first_idx") / F.col("total"), "lognorm": 1 + F.ln("mentions")})
     out = out.join(stats, "topic", "left") if stats is not None else out.withColumns({c: F.lit(None).cast("long") for c in ("n_documents", "document_frequency", "n_passages", "collection_frequency")})
-    idf = lambda n, f: F.coalesce(F.greatest(F.ln(F.col(n) / (1 + F.col(f))), F.lit(0.0)), F.lit(1.0))
+    idf = lambda n, f: F.when(F.col(n).isNull() | F.col(f).isNull(), 1.0).otherwise(F.greatest(F.ln(F.col(n) / (1 + F.col(f))), F.lit(0.0)))
     weights = {"df": idf("n_documents", "document_frequency"), "cf": idf("n_passages", "collection_frequency")}
     tf_idf = {f"{tf}_{k}": F.col(c) * w for tf, c in (("count", "mentions"), ("density", "density"), ("lognorm", "lognorm")) for k, w in weights.items()}
     return out.select(*BY, "mentions", "density", "max_per_page", "max_section_density", "earliness", "first_page", "first_fraction", "decayed", *(f"first_{n}_pages" for n in openings), *(f"first_{n}_pages_density" for n in openings), *(c.alias(k) for k, c in tf_idf.items()))
