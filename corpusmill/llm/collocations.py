@@ -6,10 +6,11 @@ stripes hold all that is asked: the extensions (phrases of two and three words),
 word occurs, followed by whatever) and the subsumption maxima (the most frequent extension of a phrase to either side).
 The empty prefix's total is the number of words.
 
-A sketch of bounded size is counted beforehand: a cell is at least the count of each word or pair that falls on it, so
-that what stands in a cell below ``least`` cannot be or extend a candidate and is not shipped. A full sketch holds
-nothing back; results are the same. A prefix is split by its next words' hashes into as many chunks as its cell, which
-all tasks see alike, asks for, so that no stripe outgrows a task.
+Stripes of words come first, then those of pairs; words that occur less than ``least`` times are left out of both, and
+pairs that do out of the second. Tasks know them by tables of bounded size: a sketch of the words' counts, each cell at
+least the count of any word that falls on it, and a map of the pairs that were found frequent. A full table holds nothing
+back; results are the same. A prefix is split by its next words' hashes into as many chunks as its cell, which all tasks
+see alike, asks for, so that no stripe outgrows a task.
 
 Null texts are empty, a null language is ``und``; an empty table gives no rows, repeated rows count again, and other
 columns, of whatever name, are not read. Texts of any length are read in blocks that end where a piece ends. Ties are
@@ -37,18 +38,21 @@ LEAST = 10
 SUBSUMED = 50
 #: Phrases returned for each language.
 TOP = 2000
-#: Cells of the sketch, within these bounds; between them 256 for each document.
-CELLS = (1 << 16, 1 << 24)
+#: Cells of the word sketch, within these bounds and between them 32 for each document; and of the map of pairs.
+CELLS, PAIR_CELLS = (1 << 16, 1 << 22), (1 << 16, 1 << 24)
 #: Cells of the sketch that are added up together.
 CHUNK = 1 << 14
 #: Occurrences of a prefix for each of its chunks.
 STRIPE = 100_000
 #: Rows and bytes of a text batch, whose stripes are built together.
 ROWS, BLOCK = 10_000, 8 << 20
-STRIPES = "lang string, w1 string, w2 string, chunk int, total long, nexts array<string>, counts array<long>"
+#: A stripe on its way: next words one after the other, each with a blank behind it, and their counts as 64-bit integers.
+STRIPES = "lang string, w1 string, w2 string, chunk int, total long, nexts string, counts binary"
+#: A merged one.
+MERGED = "lang string, w1 string, w2 string, chunk int, total long, nexts array<string>, counts array<long>"
 _NAMES = [x.split()[0] for x in STRIPES.split(", ")]
 _KEYS = _NAMES[:4]
-_TYPES = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64())]
+_TYPES = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.binary()]
 #: What a byte is: part of a word, a blank between words, or the end of a piece.
 _KIND = np.zeros(256, np.uint8)
 _KIND[[0x20, 9]] = 1
@@ -75,8 +79,8 @@ class Block:
         piece = np.cumsum(kind == 2)[start]
         self.joined = np.zeros(len(start), bool)
         self.joined[:-1] = (piece[1:] == piece[:-1]) & (row[1:] == row[:-1])
-        data, at = utf8(self.vocab)
-        self.hashes = spans_hash(data, at[:-1], np.diff(at))
+        self.hashes = spans_hash(*_spans(self.vocab))
+        self.spaced = pc.binary_join_element_wise(self.vocab, "", " ")
 
 
 def blocks(batch: pa.RecordBatch):
@@ -99,15 +103,6 @@ def blocks(batch: pa.RecordBatch):
         i = j
 
 
-def _gram_hashes(block: Block, langs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of (lang, word) and of (lang, word, next word) at each place."""
-    data, at = utf8(langs)
-    one = mix(block.hashes[block.ids] ^ (spans_hash(data, at[:-1], np.diff(at)) * U64(BASE))[block.lang])
-    two = np.zeros(len(one), U64)
-    two[:-1] = mix(one[:-1] * U64(BASE) + block.hashes[block.ids[1:]])
-    return one, two
-
-
 def _cell(hashes: np.ndarray, cells: int) -> np.ndarray:
     return (hashes >> U64(64 - (cells.bit_length() - 1))).astype(np.int64)
 
@@ -124,22 +119,8 @@ def chunks(codes: np.ndarray) -> np.ndarray:
     return 1 + (at_most // STRIPE).astype(np.int64)
 
 
-def frequencies(docs: DataFrame, cells: int) -> np.ndarray:
-    """The sketch of all words and pairs of neighbours, coded."""
-
-    def run(batches):
-        release()
-        counts = np.zeros(cells, np.uint32)
-        task = 0
-        for b in batches:
-            task = b.column(2)[0].as_py() if b.num_rows else task
-            for block, langs in blocks(b):
-                one, two = _gram_hashes(block, langs)
-                for h in (one, two[block.joined]):
-                    np.add.at(counts, _cell(h, cells), np.uint32(1))
-        parts = [(task, c // CHUNK, zlib.compress(counts[c : c + CHUNK].astype(np.int64).tobytes(), 1)) for c in range(0, cells, CHUNK) if counts[c : c + CHUNK].any()]
-        if parts:
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in parts], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], ["task", "chunk", "counts"])
+def _table(rows: DataFrame, cells: int) -> np.ndarray:
+    """Coded sums of the tasks' tables, rows (task, chunk, counts): a byte for each cell, whatever the input."""
 
     def add(group: pd.DataFrame) -> np.ndarray:
         total = np.zeros(CHUNK, np.int64)
@@ -154,109 +135,168 @@ def frequencies(docs: DataFrame, cells: int) -> np.ndarray:
     def every(group: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"chunk": [group.chunk.iloc[0]], "codes": [code(add(group)).tobytes()]})
 
-    rows = docs.withColumn("_task", F.spark_partition_id()).mapInArrow(run, "task int, chunk int, counts binary")
     parts = rows.select(F.expr("task div 128").alias("part"), "chunk", "counts").groupBy("part", "chunk").applyInPandas(some, "chunk int, counts binary")
-    out = np.zeros(cells, np.uint8)  # a byte for each cell, whatever the table
+    out = np.zeros(cells, np.uint8)
     for r in parts.groupBy("chunk").applyInPandas(every, "chunk int, codes binary").collect():
         out[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.codes, np.uint8)[: max(0, cells - r.chunk * CHUNK)]
     return out
 
 
-def _rows(langs: pa.Array, vocab: pa.Array, lang: np.ndarray, w1: np.ndarray, w2: np.ndarray | None, chunk: np.ndarray, total: np.ndarray, ends: np.ndarray, nexts: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+def _chunked(counts: np.ndarray, task: int):
+    parts = [(task, c // CHUNK, zlib.compress(counts[c : c + CHUNK].astype(np.int64).tobytes(), 1)) for c in range(0, len(counts), CHUNK) if counts[c : c + CHUNK].any()]
+    if parts:
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in parts], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], ["task", "chunk", "counts"])
+
+
+def word_sketch(docs: DataFrame, cells: int) -> np.ndarray:
+    """The coded counts of all words."""
+
+    def run(batches):
+        release()
+        counts = np.zeros(cells, np.uint32)
+        task = 0
+        for b in batches:
+            task = b.column(2)[0].as_py() if b.num_rows else task
+            for block, langs in blocks(b):
+                key, many = np.unique(block.lang.astype(np.int64) * len(block.vocab) + block.ids, return_counts=True)
+                if len(key):
+                    np.add.at(counts, _cell(_word_hashes(block, langs, *np.divmod(key, len(block.vocab))), cells), many.astype(np.uint32))
+        yield from _chunked(counts, task)
+
+    return _table(docs.withColumn("_task", F.spark_partition_id()).mapInArrow(run, "task int, chunk int, counts binary"), cells)
+
+
+def pair_map(pairs: DataFrame, cells: int) -> np.ndarray:
+    """Which cells the pairs (lang, w1, w2) fall on."""
+
+    def run(batches):
+        release()
+        seen = np.zeros(cells, np.uint8)
+        task = 0
+        for b in batches:
+            task = b.column(3)[0].as_py() if b.num_rows else task
+            lang, one, two = (spans_hash(*_spans(b.column(k))) for k in range(3))
+            seen[_cell(_pair_hash(mix(one ^ lang * U64(BASE)), two), cells)] = 1
+        yield from _chunked(seen, task)
+
+    return _table(pairs.select("lang", "w1", "w2", F.spark_partition_id().alias("_task")).mapInArrow(run, "task int, chunk int, counts binary"), cells)
+
+
+def _spans(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    data, at = utf8(column)
+    return data, at[:-1], np.diff(at)
+
+
+def _word_hashes(block: Block, langs: pa.Array, lang: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    return mix(block.hashes[ids] ^ (spans_hash(*_spans(langs)) * U64(BASE))[lang])
+
+
+def _pair_hash(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """From the first word's hash with its language and the second word's own."""
+    return mix(one * U64(BASE) + two)
+
+
+def _stripes(langs: pa.Array, block: Block, lang: np.ndarray, w1: np.ndarray | None, w2: np.ndarray | None, chunk: np.ndarray, total: np.ndarray, ends: np.ndarray, nexts: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
     """A stripe for each lang, w1 and w2; its entries end at ``ends``."""
     m = len(lang)
-    offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
-    one = vocab.take(pa.array(w1)) if len(w1) else pa.array([""] * m, pa.string())
-    two = vocab.take(pa.array(w2)) if w2 is not None else pa.array([""] * m, pa.string())
-    lists = pa.ListArray.from_arrays(offsets, vocab.take(pa.array(nexts))), pa.ListArray.from_arrays(offsets, pa.array(counts.astype(np.int64)))
-    return pa.RecordBatch.from_arrays([langs.take(pa.array(lang)), one, two, pa.array(chunk.astype(np.int32)), pa.array(total.astype(np.int64)), *lists], _NAMES)
+    none = pa.array([""] * m, pa.string())
+    words = block.spaced.take(pa.array(nexts))
+    data, at = utf8(words)
+    rows = np.concatenate([[0], ends]).astype(np.int64)
+    joined = pa.Array.from_buffers(pa.string(), m, [None, pa.py_buffer(at[rows].astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+    packed = pa.Array.from_buffers(pa.binary(), m, [None, pa.py_buffer((8 * rows).astype(np.int32)), pa.py_buffer(counts.astype("<i8"))])
+    ones, twos = (none if w is None else block.vocab.take(pa.array(w)) for w in (w1, w2))
+    return pa.RecordBatch.from_arrays([langs.take(pa.array(lang)), ones, twos, pa.array(chunk.astype(np.int32)), pa.array(total.astype(np.int64)), joined, packed], _NAMES)
 
 
 def _striped(prefix: np.ndarray, nexts: np.ndarray, parts: np.ndarray, block: Block) -> tuple[np.ndarray, ...]:
     """(place of a prefix's first entry, chunk, end of entries, next words, counts) of each stripe of the occurrences."""
-    v = len(block.vocab)
+    v, most = len(block.vocab), int(parts.max(initial=1))
     _, first, inverse = np.unique(prefix, return_index=True, return_inverse=True)
-    split = np.zeros(len(prefix), np.int64)
-    if parts.max(initial=1) > 1:
-        split = (block.hashes[nexts] % parts.astype(U64)).astype(np.int64)
-    stripes, own = np.unique(inverse * int(parts.max(initial=1)) + split, return_inverse=True)
+    split = (block.hashes[nexts] % parts.astype(U64)).astype(np.int64) if most > 1 else 0
+    stripes, own = np.unique(inverse * most + split, return_inverse=True)
     entry, count = np.unique(own * v + nexts, return_counts=True)
     ends = np.searchsorted(entry // v, np.arange(len(stripes)), "right")
-    which, chunk = np.divmod(stripes, int(parts.max(initial=1)))
+    which, chunk = np.divmod(stripes, most)
     return first[which], chunk, ends, entry % v, count
 
 
-def stripes(docs: DataFrame, codes: np.ndarray, least: int = LEAST) -> DataFrame:
-    """The stripes of each block of texts: of the empty prefix, of words and of pairs."""
-    shared = docs.sparkSession.sparkContext.broadcast(codes)
-    cells = len(codes)
+def stripes(docs: DataFrame, codes: np.ndarray, least: int = LEAST, known: np.ndarray | None = None) -> DataFrame:
+    """The stripes of each block of texts: of the empty prefix and of words, or with the map of frequent pairs those of pairs."""
+    shared = docs.sparkSession.sparkContext.broadcast((codes, known))
 
     def run(batches):
         release()
-        codes, none = shared.value, np.zeros(0, np.int64)
+        codes, known = shared.value
+        none, cells = np.zeros(0, np.int64), len(codes)
         for b in batches:
             for block, langs in blocks(b):
                 if not len(block.ids):
                     continue
                 ids, lang, v = block.ids, block.lang.astype(np.int64), len(block.vocab)
-                one, two = (codes[_cell(h, cells)] for h in _gram_hashes(block, langs))
-                word = one >= least
+                key, first, inverse, total = np.unique(lang * v + ids, return_index=True, return_inverse=True, return_counts=True)
+                hashes = _word_hashes(block, langs, lang[first], ids[first])
+                cell = codes[_cell(hashes, cells)]
+                word = (cell >= least)[inverse]
                 pair = np.zeros(len(ids), bool)
-                pair[:-1] = block.joined[:-1] & (two[:-1] >= least) & word[:-1] & word[1:]
-                n = np.bincount(lang, minlength=len(langs))
-                used = np.flatnonzero(n)
-                yield _rows(langs, block.vocab, used, none, None, np.zeros(len(used)), n[used], np.zeros(len(used)), none, none)
-                key, first, total = np.unique((lang * v + ids)[word], return_index=True, return_counts=True)
-                if len(key):
-                    yield _rows(langs, block.vocab, key // v, key % v, None, np.zeros(len(key)), total, np.zeros(len(key)), none, none)
-                at = np.flatnonzero(pair)
+                pair[:-1] = block.joined[:-1] & word[:-1] & word[1:]
+                if known is None:
+                    n = np.bincount(lang, minlength=len(langs))
+                    used = np.flatnonzero(n)
+                    yield _stripes(langs, block, used, None, None, np.zeros(len(used)), n[used], np.zeros(len(used)), none, none)
+                    keep = cell >= least
+                    at = first[keep]
+                    yield _stripes(langs, block, lang[at], ids[at], None, np.zeros(len(at)), total[keep], np.zeros(len(at)), none, none)
+                    at = np.flatnonzero(pair)
+                    prefix, parts = inverse[at], chunks(cell)[inverse[at]]
+                    nexts = ids[at + 1]
+                else:
+                    at = np.flatnonzero(pair)
+                    pair[at] = known[_cell(_pair_hash(hashes[inverse[at]], block.hashes[ids[at + 1]]), len(known))] > 0
+                    at = np.flatnonzero(pair[:-1] & pair[1:])
+                    prefix, parts = inverse[at] * v + ids[at + 1], np.minimum(*(chunks(cell)[inverse[at + k]] for k in (0, 1)))
+                    nexts = ids[at + 2]
                 if len(at):
-                    first, chunk, ends, nexts, counts = _striped((lang * v + ids)[at], ids[at + 1], chunks(one[at]), block)
+                    first, chunk, ends, nexts, counts = _striped(prefix, nexts, parts, block)
                     at = at[first]
-                    yield _rows(langs, block.vocab, lang[at], ids[at], None, chunk, np.zeros(len(at)), ends, nexts, counts)
-                at = np.flatnonzero(pair[:-1] & pair[1:])
-                if len(at):
-                    first, chunk, ends, nexts, counts = _striped((lang[at] * v + ids[at]) * v + ids[at + 1], ids[at + 2], chunks(two[at]), block)
-                    at = at[first]
-                    yield _rows(langs, block.vocab, lang[at], ids[at], ids[at + 1], chunk, np.zeros(len(at)), ends, nexts, counts)
+                    yield _stripes(langs, block, lang[at], ids[at], None if known is None else ids[at + 1], chunk, np.zeros(len(at)), ends, nexts, counts)
 
     return docs.mapInArrow(run, STRIPES)
 
 
-def _elementwise(rows: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray]:
-    """One stripe for each run of rows with equal keys, and the entries' stripe numbers."""
+def _entries(rows: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The next words of all stripes one after the other, how many each has, and their counts."""
+    raw, at = utf8(rows.column(5))
+    blank = raw == 32
+    before = np.concatenate([[0], np.cumsum(blank)])
+    ends = np.cumsum(~blank)[blank]
+    words = pa.Array.from_buffers(pa.string(), len(ends), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(raw[~blank])])
+    packed, _ = utf8(rows.column(6))
+    return words, np.diff(before[at]), np.frombuffer(packed.tobytes(), "<i8")
+
+
+def _elementwise(rows: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """One row for each run of rows with equal keys, its total, and of all entries their stripe, word and count."""
     new = np.ones(rows.num_rows, bool)
     new[1:] = False
     for k in range(4):
         c = rows.column(k)
         new[1:] |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
     of = np.cumsum(new) - 1
-    m = int(of[-1]) + 1
-    total = np.zeros(m, np.int64)
+    total = np.zeros(int(of[-1]) + 1, np.int64)
     np.add.at(total, of, rows.column(4).to_numpy())
-    lists = rows.column(5)
-    size = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-    coded = pc.list_flatten(lists).dictionary_encode()
+    words, size, counts = _entries(rows)
+    coded = words.dictionary_encode()
     v = max(1, len(coded.dictionary))
     entry, inverse = np.unique(np.repeat(of, size) * v + coded.indices.to_numpy(), return_inverse=True)
-    counts = np.zeros(len(entry), np.int64)
-    np.add.at(counts, inverse, pc.list_flatten(rows.column(6)).to_numpy())
-    heads = rows.take(pa.array(np.flatnonzero(new)))
-    return _with(heads, total, entry // v, coded.dictionary.take(pa.array(entry % v)), counts), entry // v
-
-
-def _with(heads: pa.RecordBatch, total: np.ndarray, of: np.ndarray, nexts: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
-    offsets = pa.array(np.searchsorted(of, np.arange(heads.num_rows + 1)).astype(np.int32))
-    return pa.RecordBatch.from_arrays([*(heads.column(k) for k in range(4)), pa.array(total), pa.ListArray.from_arrays(offsets, nexts), pa.ListArray.from_arrays(offsets, pa.array(counts))], _NAMES)
+    sums = np.zeros(len(entry), np.int64)
+    np.add.at(sums, inverse, counts)
+    return rows.take(pa.array(np.flatnonzero(new))), total, entry // v, coded.dictionary.take(pa.array(entry % v)), sums
 
 
 def merged(parts: DataFrame, least: int = LEAST) -> DataFrame:
-    """The elementwise sum of the stripes of each prefix and chunk, without entries below ``least``."""
-
-    def frequent(rows: pa.RecordBatch, of: np.ndarray) -> pa.RecordBatch:
-        counts = pc.list_flatten(rows.column(6)).to_numpy()
-        keep = counts >= least
-        return _with(rows, rows.column(4).to_numpy(), of[keep], pc.list_flatten(rows.column(5)).filter(pa.array(keep)), counts[keep])
+    """The elementwise sum of the stripes of each prefix and chunk, without entries below ``least`` and stripes without
+    any entry or total."""
 
     def run(batches):
         release()
@@ -266,15 +306,25 @@ def merged(parts: DataFrame, least: int = LEAST) -> DataFrame:
                 continue
             b = pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(b.columns, _TYPES, strict=True)], _NAMES)
             both = pa.Table.from_batches([held, b] if held else [b]).combine_chunks().to_batches()[0]
-            rows, of = _elementwise(both)
-            last = rows.num_rows - 1
-            if last:
-                yield frequent(rows.slice(0, last), of[of < last])
-            held = rows.take(pa.array([last]))  # may go on in the next batch
+            heads, total, of, words, counts = _elementwise(both)
+            last = heads.num_rows - 1
+            yield frequent(heads, total, of, words, counts, last)
+            mine = of == last  # may go on in the next batch
+            text = "".join(w + " " for w in words.filter(pa.array(mine)).to_pylist())
+            row = heads.slice(last, 1)
+            held = pa.RecordBatch.from_arrays([*(row.column(k) for k in range(4)), pa.array(total[last:]), pa.array([text]), pa.array([counts[mine].astype("<i8").tobytes()], pa.binary())], _NAMES)
         if held:
-            yield frequent(held, np.zeros(pc.list_value_length(held.column(5))[0].as_py(), np.int64))
+            yield frequent(*_elementwise(held), 1)
+
+    def frequent(heads: pa.RecordBatch, total: np.ndarray, of: np.ndarray, words: pa.Array, counts: np.ndarray, upto: int) -> pa.RecordBatch:
+        keep = (counts >= least) & (of < upto)
+        rows = np.flatnonzero((total[:upto] > 0) | np.isin(np.arange(upto), of[keep]))
+        offsets = pa.array(np.searchsorted(of[keep], np.append(rows, upto)).astype(np.int32))
+        lists = pa.ListArray.from_arrays(offsets, words.filter(pa.array(keep))), pa.ListArray.from_arrays(offsets, pa.array(counts[keep]))
+        some = heads.take(pa.array(rows))
+        return pa.RecordBatch.from_arrays([*(some.column(k) for k in range(4)), pa.array(total[rows]), *lists], _NAMES)
 
-    return parts.repartition(*_KEYS).sortWithinPartitions(*_KEYS).mapInArrow(run, STRIPES)
+    return parts.repartition(*_KEYS).sortWithinPartitions(*_KEYS).mapInArrow(run, MERGED)
 
 
 def scored(a: str, left: str, right: str) -> str:
@@ -287,27 +337,29 @@ def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", least:
     """lang, rank, phrase, a, l, r, n and score of each language's first phrases."""
     spark = docs.sparkSession
     docs = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).alias("text"))
-    cells = min(max(CELLS[0], 1 << max(0, 256 * docs.count() - 1).bit_length()), CELLS[1])
+    n_docs = docs.count()
+    sized = lambda bounds, each: min(max(bounds[0], 1 << max(0, each * n_docs - 1).bit_length()), bounds[1])
     small_batches(spark, ROWS)
-    codes = frequencies(docs, cells)
+    codes = word_sketch(docs, sized(CELLS, 32))
     found = written(merged(stripes(docs, codes, least), least))
 
     totals = written(found.where("w2 = ''").groupBy("lang", "w1").agg(F.sum("total").alias("f")).where(f"f >= {least} or w1 = ''"))
     n = totals.where("w1 = ''").select("lang", F.col("f").alias("n"))  # one row for each language
-    entries = found.select("lang", "w1", "w2", F.explode(F.arrays_zip("nexts", "counts")).alias("e")).select("lang", "w1", "w2", F.col("e.nexts").alias("next"), F.col("e.counts").alias("a"))
+    opened = lambda df: df.select("lang", "w1", "w2", F.explode(F.arrays_zip("nexts", "counts")).alias("e")).select("lang", "w1", "w2", F.col("e.nexts").alias("next"), F.col("e.counts").alias("a"))
     size = maybe_broadcast(totals)
     first, second = size.select("lang", "w1", F.col("f").alias("f1")), size.select("lang", F.col("w1").alias("w2"), F.col("f").alias("f2"))
-    pairs = entries.where("w2 = ''").select("lang", "w1", F.col("next").alias("w2"), "a").join(first, ["lang", "w1"]).join(second, ["lang", "w2"])
+    pairs = opened(found).select("lang", "w1", F.col("next").alias("w2"), "a").join(first, ["lang", "w1"]).join(second, ["lang", "w2"])
     pairs = written(pairs.select("lang", "w1", "w2", "a", "f1", "f2"))
+    longer = written(merged(stripes(docs, codes, least, pair_map(pairs, sized(PAIR_CELLS, 256))), least))
     known = maybe_broadcast(pairs)
     left = known.select("lang", "w1", "w2", F.col("a").alias("f12"), "f1")
     right = known.select("lang", F.col("w1").alias("w2"), F.col("w2").alias("w3"), F.col("a").alias("f23"), F.col("f2").alias("f3"))
-    triples = entries.where("w2 <> ''").select("lang", "w1", "w2", F.col("next").alias("w3"), "a").join(left, ["lang", "w1", "w2"]).join(right, ["lang", "w2", "w3"])
+    triples = opened(longer).select("lang", "w1", "w2", F.col("next").alias("w3"), "a").join(left, ["lang", "w1", "w2"]).join(right, ["lang", "w2", "w3"])
     triples = written(triples.select("lang", "w1", "w2", "w3", "a", "f1", "f12", "f23", "f3"))
 
     around = triples.select("lang", "w1", "w2", "a").union(triples.select("lang", "w2", "w3", "a"))
-    longer = around.groupBy("lang", "w1", "w2").agg(F.max("a").alias("_longer"))
-    alone = pairs.join(longer, ["lang", "w1", "w2"], "left").where(f"_longer is null or 100 * _longer < {subsumed} * a")
+    extended = around.groupBy("lang", "w1", "w2").agg(F.max("a").alias("_longer"))
+    alone = pairs.join(extended, ["lang", "w1", "w2"], "left").where(f"_longer is null or 100 * _longer < {subsumed} * a")
     twos = alone.select("lang", F.concat_ws(" ", "w1", "w2").alias("phrase"), "a", F.col("f1").alias("l"), F.col("f2").alias("r"), F.expr(scored("a", "f1", "f2")).alias("score"))
     cuts = triples.withColumns({"s1": F.expr(scored("a", "f1", "f23")), "s2": F.expr(scored("a", "f12", "f3"))})
     early = F.col("s1") <= F.col("s2")
