@@ -83,21 +83,22 @@ class Block:
         self.spaced = pc.binary_join_element_wise(self.vocab, "", " ")
 
 
-def blocks(batch: pa.RecordBatch):
-    """(Block, languages) of a batch with columns lang, text; long texts are cut where a piece ends."""
+def blocks(batch: pa.RecordBatch, size: int):
+    """(Block, languages) of a batch with columns lang, text, some ``size`` bytes each; long texts are cut where a piece
+    ends."""
     coded = batch.column(0).dictionary_encode()
     langs, of_row = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
     raw, offsets = utf8(batch.column(1))
     raw = _LOWER[raw]
     i = 0
     while i < len(offsets) - 1:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + BLOCK, "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + size, "right")) - 1)
         part = raw[offsets[i] : offsets[j]]
-        if len(part) <= 2 * BLOCK:
+        if len(part) <= 2 * size:
             yield Block(part, offsets[i : j + 1] - offsets[i], of_row[i:j]), langs
         else:  # one long text
             ends = np.flatnonzero(_KIND[part] == 2)
-            ends = ends[np.unique(np.searchsorted(ends, np.arange(BLOCK, len(part), BLOCK)))[:-1]] if len(ends) else ends
+            ends = ends[np.unique(np.searchsorted(ends, np.arange(size, len(part), size)))[:-1]] if len(ends) else ends
             for a, b in zip([0, *ends.tolist()], [*ends.tolist(), len(part)], strict=True):
                 yield Block(part[a:b], np.array([0, b - a]), of_row[i:j]), langs
         i = j
@@ -113,10 +114,10 @@ def code(counts: np.ndarray) -> np.ndarray:
     return np.where(counts <= 127, counts, np.minimum(high, 255)).astype(np.uint8)
 
 
-def chunks(codes: np.ndarray) -> np.ndarray:
-    """Chunks of the stripes of prefixes with these cells."""
+def chunks(codes: np.ndarray, stripe: int) -> np.ndarray:
+    """Chunks of the stripes of prefixes with these cells, one for each ``stripe`` occurrences."""
     at_most = np.where(codes <= 127, codes, 127 * 2.0 ** ((codes.astype(np.int64) - 127) / 4))
-    return 1 + (at_most // STRIPE).astype(np.int64)
+    return 1 + (at_most // stripe).astype(np.int64)
 
 
 def _table(rows: DataFrame, cells: int) -> np.ndarray:
@@ -150,6 +151,7 @@ def _chunked(counts: np.ndarray, task: int):
 
 def word_sketch(docs: DataFrame, cells: int) -> np.ndarray:
     """The coded counts of all words."""
+    size = BLOCK
 
     def run(batches):
         release()
@@ -157,7 +159,7 @@ def word_sketch(docs: DataFrame, cells: int) -> np.ndarray:
         task = 0
         for b in batches:
             task = b.column(2)[0].as_py() if b.num_rows else task
-            for block, langs in blocks(b):
+            for block, langs in blocks(b, size):
                 key, many = np.unique(block.lang.astype(np.int64) * len(block.vocab) + block.ids, return_counts=True)
                 if len(key):
                     np.add.at(counts, _cell(_word_hashes(block, langs, *np.divmod(key, len(block.vocab))), cells), many.astype(np.uint32))
@@ -224,13 +226,14 @@ def _striped(prefix: np.ndarray, nexts: np.ndarray, parts: np.ndarray, block: Bl
 def stripes(docs: DataFrame, codes: np.ndarray, least: int = LEAST, known: np.ndarray | None = None) -> DataFrame:
     """The stripes of each block of texts: of the empty prefix and of words, or with the map of frequent pairs those of pairs."""
     shared = docs.sparkSession.sparkContext.broadcast((codes, known))
+    size, stripe = BLOCK, STRIPE
 
     def run(batches):
         release()
         codes, known = shared.value
         none, cells = np.zeros(0, np.int64), len(codes)
         for b in batches:
-            for block, langs in blocks(b):
+            for block, langs in blocks(b, size):
                 if not len(block.ids):
                     continue
                 ids, lang, v = block.ids, block.lang.astype(np.int64), len(block.vocab)
@@ -248,13 +251,13 @@ def stripes(docs: DataFrame, codes: np.ndarray, least: int = LEAST, known: np.nd
                     at = first[keep]
                     yield _stripes(langs, block, lang[at], ids[at], None, np.zeros(len(at)), total[keep], np.zeros(len(at)), none, none)
                     at = np.flatnonzero(pair)
-                    prefix, parts = inverse[at], chunks(cell)[inverse[at]]
+                    prefix, parts = inverse[at], chunks(cell, stripe)[inverse[at]]
                     nexts = ids[at + 1]
                 else:
                     at = np.flatnonzero(pair)
                     pair[at] = known[_cell(_pair_hash(hashes[inverse[at]], block.hashes[ids[at + 1]]), len(known))] > 0
                     at = np.flatnonzero(pair[:-1] & pair[1:])
-                    prefix, parts = inverse[at] * v + ids[at + 1], np.minimum(*(chunks(cell)[inverse[at + k]] for k in (0, 1)))
+                    prefix, parts = inverse[at] * v + ids[at + 1], np.minimum(*(chunks(cell, stripe)[inverse[at + k]] for k in (0, 1)))
                     nexts = ids[at + 2]
                 if len(at):
                     first, chunk, ends, nexts, counts = _striped(prefix, nexts, parts, block)

@@ -192,13 +192,13 @@ def _long_prefix(one: np.ndarray, level: np.ndarray, count: np.ndarray, band: in
     return out
 
 
-def _small_prefix(one: np.ndarray, count: np.ndarray, need: int) -> list[tuple[int, int, int]]:
+def _small_prefix(one: np.ndarray, count: np.ndarray, need: int, hot: int) -> list[tuple[int, int, int]]:
     """(signature, frequency, most) of one small set in the global order: shingles of its prefix, frequent ones with each
     of those behind them, up to one beyond the prefix."""
     alone = mix(one[: need + 1] + U64(1))
     out = []
     for p in range(need):
-        if count[p] <= HOT:
+        if count[p] <= hot:
             out.append((int(alone[p]), int(count[p]), len(one) - p))
         else:
             both = mix(alone[p] * U64(0x5851F42D4C957F2D) + alone[p + 1 :])
@@ -213,7 +213,7 @@ def signatures(docs: DataFrame, counts: np.ndarray, cells: int, anew: Anew) -> D
     For combinations, the frequent shingles: sets that share a rare one in their prefixes meet in its entry too.
     """
     shared = docs.sparkSession.sparkContext.broadcast(counts.astype(np.uint32) if counts.max(initial=0) < 1 << 32 else counts)
-    mean = max(1.0, float(counts[:cells].mean()))
+    mean, hot = max(1.0, float(counts[:cells].mean())), HOT
     schema = "sig long, salts int, node long, n int, most int"
 
     def run(batches):
@@ -242,8 +242,8 @@ def signatures(docs: DataFrame, counts: np.ndarray, cells: int, anew: Anew) -> D
                     order = i + np.argsort(key[i:j], kind="stable")
                     first = order[: need[r]]
                     if small := SIMILARITY * n[r] < 100 * SMALL:  # shingles of any level, apart from the others
-                        if (count[first] > HOT).any():
-                            found = _small_prefix(sets[order], count[order], int(need[r]))
+                        if (count[first] > hot).any():
+                            found = _small_prefix(sets[order], count[order], int(need[r]), hot)
                             sigs.append(np.fromiter((x[0] for x in found), U64, len(found)))
                             salts.append(np.fromiter((x[1] for x in found), np.int64, len(found)))
                             who.append(np.full(len(found), r))
