@@ -88,3 +88,15 @@ def evaluation(rows: DataFrame, slices: dict[str, Column]) -> DataFrame:
     sums = inside.groupBy(F.col("x.slice").alias("slice")).agg(F.count_if(F.col("label") & F.col("predicted")).alias("tp"), F.count_if(~F.col("label") & F.col("predicted")).alias("false_positives"), F.count_if(F.col("label") & ~F.col("predicted")).alias("false_negatives"))
     zero, tp, fp, fn = F.lit(0.0), F.col("tp"), F.col("false_positives"), F.col("false_negatives")
     return sums.select("slice", F.coalesce(F.try_divide(tp, tp + fp), zero).alias("precision"), F.coalesce(F.try_divide(tp, tp + fn), zero).alias("recall"), F.coalesce(F.try_divide(2 * tp, 2 * tp + fp + fn), zero).alias("f1"), "false_positives", "false_negatives")
+
+
+def evaluated(rows: DataFrame, said: dict[str, Column], stratum: str = "stratum", label: str = "label") -> DataFrame:
+    """(detector, slice, n, precision, recall, f1, false_positives, false_negatives) of detectors (Columns over ``rows``) over
+    all rows and over each stratum, in one pass; a division by zero is 0."""
+    slices = F.array_compact(F.array(F.lit("all rows"), F.concat(F.lit("stratum "), stratum)))
+    each = [F.struct(F.lit(n).alias("detector"), F.coalesce(c, F.lit(False)).alias("said")) for n, c in said.items()]
+    long = rows.select(F.col(label).alias("_is"), F.explode(slices).alias("slice"), F.array(*each).alias("_each")).select("_is", "slice", F.explode("_each").alias("x")).select("_is", "slice", "x.*")
+    sums = long.groupBy("detector", "slice").agg(F.count("*").alias("n"), F.count_if(F.col("_is") & F.col("said")).alias("_tp"), F.count_if(F.col("said") & ~F.col("_is")).alias("false_positives"), F.count_if(F.col("_is") & ~F.col("said")).alias("false_negatives"))
+    ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    tp, fp, fn = F.col("_tp"), F.col("false_positives"), F.col("false_negatives")
+    return sums.select("detector", "slice", "n", ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"), "false_positives", "false_negatives")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import derive, detectors
@@ -25,6 +25,27 @@ def with_type_flags(passages: DataFrame, content: str = "content", kind: str = "
     return passages.withColumns({"looks_like_short_heading": derive.short_heading(F.col(content), F.col(kind)), "looks_like_reference_list": detectors.reference_list(F.col(content)), "looks_like_questionnaire": derive.questionnaire(F.col(content))})
 
 
+#: The flags of an update record.
+RECORD_FLAGS = ["looks_like_short_heading", "looks_like_table_of_contents", "looks_like_reference_list"]
+
+
+def heading_by_content(content: Column) -> Column:
+    """A short heading as its content alone tells; records do not carry a type."""
+    return derive.short_heading(content, F.lit(""))
+
+
+def with_record_flags(records: DataFrame) -> DataFrame:
+    """Update records (fields.content.assign, fields.pages.assign with numbers) with the detectors' flags among their
+    fields. Contents listings are told from the content and its first page; without pages the page has no say."""
+    rows = records.withColumns({"_content": F.coalesce("fields.content.assign", F.lit("")), "_page": F.array_min(F.transform("fields.pages.assign", lambda p: p["number"]))})
+    rows = detectors.contents_listings(rows, "_content", "_page")
+    flags = {"looks_like_short_heading": heading_by_content(F.col("_content")), "looks_like_table_of_contents": F.col("looks_like_table_of_contents"), "looks_like_reference_list": detectors.reference_list(F.col("_content"))}
+    fields = F.col("fields")
+    for name, flag in flags.items():
+        fields = fields.withField(name, F.struct(F.coalesce(flag, F.lit(False)).alias("assign")))
+    return rows.withColumn("fields", fields).select(*records.columns)
+
+
 def run_summary(runs: DataFrame) -> DataFrame:
     """One row of sums over feed results: input, operation, ok, missing, throttled, their rate and the failed files. A file
     fails only if fewer operations were ok than there were."""
