@@ -33,7 +33,8 @@ BITS = 62
 
 @dataclass(frozen=True)
 class Query:
-    """``order`` is None (by relevance), ``published`` or ``title``; sorted lists have missing values last either way."""
+    """``order`` is None (by relevance), ``title`` or a numeric column such as ``published`` or, of passages, ``idx``; sorted
+    lists have missing values last either way."""
 
     query_id: int
     text: str | None = None
@@ -114,14 +115,20 @@ def index(docs: DataFrame, keys: list[str], fields: dict[str, str], wanted: dict
 
 def answered(
     docs: DataFrame, keys: list[str], queries: list[Query], base: dict[str, list[str]] | None = None, names: dict[str, list[str]] | None = None, fields: dict[str, str] = DEFAULT,
-    arrays: tuple[str, ...] = ("labels",), weights: dict[str, float] = scores.FIELDS, topic_weight: float = 1.0,
+    arrays: tuple[str, ...] = ("labels",), weights: dict[str, float] = scores.FIELDS, topic_weight: float = 1.0, flags: dict[str, str] | None = None,
 ) -> DataFrame:
     """query_id, keys, rank, total_size, the scores of the fields and ``score`` of each query's page.
 
     ``docs``: keys, title and the other ``fields``, geographies and identifiers (arrays of strings), counts (topic to count),
-    published and the label arrays that filters ask for.
+    published and the label arrays that filters ask for; geographies and identifiers may be missing.
+
+    With ``flags`` (penalty to boolean column) the rows are passages: their score is the rank of their fields less the
+    penalties of their flags, and one for each asked topic that they carry; positive conditions of an AND group must hold in
+    one element.
     """
     spark = docs.sparkSession
+    for c in ("geographies", "identifiers"):
+        docs = docs if c in docs.columns else docs.withColumn(c, F.lit(None).cast("array<string>"))
     base = rewriting.rulebase("documents") if base is None else base
     names = rewriting.geographies() if names is None else names
     looks = asked(spark, queries, base, names)
@@ -132,9 +139,11 @@ def answered(
         wanted["geographies"] |= set(q["places"] or [])
         wanted["identifiers"] |= {q["whole"]} - {None, ""}
     topics = sorted({t for q in queries for t in q.topics()})
-    also = [c for c in ("published", "title_key") if c in docs.columns or c == "title_key"]
-    rows = docs.withColumn("title_key", F.lower("title"))
-    known = tables.kept(index(rows, keys, fields, wanted, bitmaps(queries, arrays), topics, also))
+    numeric = sorted({q.order for q in queries} - {None, "title"})
+    rows = docs.withColumn("title_key", F.lower("title") if "title" in docs.columns else F.lit(""))
+    rows = rows.withColumns({f"_by_{c}": F.col(c).cast("double") for c in numeric} | {f"_is_{k}": F.col(c) for k, c in (flags or {}).items()})
+    also = ["title_key", *(f"_by_{c}" for c in numeric), *(f"_is_{k}" for k in flags or {})]
+    known = tables.kept(index(rows, keys, fields, wanted, bitmaps(queries, arrays, flags is not None), topics, also))
 
     # stated queries only: one row of sizes, one for each asked field and term
     n, *lengths = known.agg(F.count("*"), *(F.avg(F.col("sizes")[f]) for f in fields)).first()
@@ -177,11 +186,15 @@ def answered(
         whole = F.coalesce(F.try_divide(F.size(F.filter(F.array_distinct("words"), lambda w: F.size(at("title", w)) > 0)), F.col("unlike")), F.lit(0.0))
     topic = topic_weight * F.aggregate("topics", F.lit(0.0), lambda s, t: s + F.log1p(F.coalesce(F.try_element_at("counts", t), F.lit(0.0))))
     parts = scores.document_score(ranks, near, whole, topic, weights)
+    if flags is not None:
+        text, is_ = reduce(add, (ranks[f] for f in fields)), {k: F.col(f"_is_{k}") for k in flags}
+        carried = topic_weight * F.aggregate("topics", F.lit(0.0), lambda s, t: s + F.least(F.coalesce(F.try_element_at("counts", t), F.lit(0.0)), F.lit(1.0)))
+        parts = {"text_score": text, "penalty": scores.penalty(is_), "topic_score": carried, "score": scores.additive(text, carried, is_)}
     scored = pairs.select("query_id", *keys, *(F.round(c, 6).alias(k) for k, c in parts.items()), "_order", "_down", "_size", "_number", *also)
 
     by = F.when(F.col("_order").isNull(), -F.col("score"))
-    if "published" in also:
-        by = by.when(F.col("_order") == "published", F.when(F.col("_down"), -F.col("published")).otherwise(F.col("published")).cast("double"))
+    for c in numeric:
+        by = by.when(F.col("_order") == c, F.when(F.col("_down"), -F.col(f"_by_{c}")).otherwise(F.col(f"_by_{c}")))
     name = lambda down: F.when((F.col("_order") == "title") & (F.col("_down") == down) & (F.col("title_key") != ""), F.col("title_key"))
     order = [by.asc_nulls_last(), name(False).asc_nulls_last(), name(True).desc_nulls_last(), *keys]
     last = max(q.size * q.number for q in queries)

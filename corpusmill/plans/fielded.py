@@ -173,3 +173,52 @@ def _rules(name: str):
 
 for _name in ("documents", "labels", "passages"):
     query(f"t06_rules_of_{_name}", _rules_sql(_name))(_rules(_name))
+
+
+#: Queries over passages: by relevance with topics, and in reading order.
+PASSAGES = [
+    Query(1, "evs thble of", _all(_has("language::en"), _has("concept::Q1"))),
+    Query(2, "ndc erble", size=25),
+    Query(3, None, _all(_has("concept::Q2"), {"field": "labels.type", "op": "contains", "value": "concept"}), size=15, number=2),
+    Query(4, "nicht thing", _has("agent::src1", "not_contains"), "idx", descending=False, size=30),
+]
+_PASSAGE_ITEMS = [*((1, x) for x in ("evs", "electric car", "electric vehicle", "thble")), *((2, x) for x in ("ndc", "nationally determined contribution", "erble")), *((4, x) for x in ("nicht", "thing"))]
+_WITH_STOP = [(1, "of")]
+
+
+def _passages_sql() -> str:
+    has = "EXISTS (SELECT 1 FROM lab x WHERE x.document_id = p.document_id AND x.idx IN (-1, p.idx) AND x.id = '{}')"
+    allowed = [(1, has.format("language::en") + " AND " + has.format("concept::Q1") + " AND false"), (2, "true"), (3, has.format("concept::Q2")), (4, "NOT " + has.format("agent::src1"))]
+    heading = r"len(regexp_extract_all(content, '[^ \t-\r]+')) BETWEEN 1 AND 11 AND len(regexp_extract_all(content, '[A-Za-z]')) > 0 AND 10 * len(regexp_extract_all(content, '[A-Z]')) >= 9 * len(regexp_extract_all(content, '[A-Za-z]'))"
+    return fx.with_sql("labels", "passages", "passage_topics").rstrip() + f""", lab AS (SELECT doc_id AS document_id, -1 AS idx, id FROM doc_labels UNION ALL SELECT DISTINCT document_id, idx, 'concept::' || topic FROM passage_topics),
+    p AS (SELECT *, {heading} AS heading FROM passages), tok AS (SELECT document_id, idx, {_TOKENS.format(f' AND x NOT IN {_STOP}')} AS t FROM p), it(query_id, item) AS {_values([*_PASSAGE_ITEMS, *_WITH_STOP])},
+    tf AS MATERIALIZED (SELECT document_id, idx, t[i] AS term, len(t) AS size, count(*) AS tf FROM tok, unnest(generate_series(1, len(t))) AS u(i) WHERE t[i] IN (SELECT item FROM it) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), st AS (SELECT count(*) AS n, avg(len(t)) AS a FROM tok),
+    w AS (SELECT query_id, item, a, ln(1 + (n - coalesce(df, 0) + 0.5) / (coalesce(df, 0) + 0.5)) AS idf FROM it LEFT JOIN df ON term = item, st), whole AS (SELECT query_id, sum(idf) AS s FROM w GROUP BY 1),
+    r AS (SELECT query_id, document_id, idx, sum(idf * tf / (tf + 1.2 * (1 - 0.4 + 0.4 * size / a))) / any_value(s) AS rank FROM w JOIN tf ON term = item JOIN whole USING (query_id) GROUP BY ALL),
+    hit AS (SELECT query_id, document_id, idx, rank FROM r UNION ALL SELECT 3, document_id, idx, 0 FROM p),
+    ok AS ({' UNION ALL '.join(f'SELECT {q} AS query_id, document_id, idx FROM p WHERE {c}' for q, c in allowed)}),
+    tp AS (SELECT 3 AS query_id, document_id, idx, 1 AS topic FROM passage_topics WHERE topic = 'Q2' GROUP BY ALL),
+    z AS (SELECT hit.query_id, hit.document_id, hit.idx, rank, CASE WHEN heading THEN 0.15 ELSE 0 END AS pen, coalesce(topic, 0) AS topic FROM hit JOIN ok USING (query_id, document_id, idx) JOIN p USING (document_id, idx) LEFT JOIN tp USING (query_id, document_id, idx)),
+    o AS (SELECT *, round(rank - pen + topic, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN query_id = 4 THEN idx ELSE -round(rank - pen + topic, 6) END, document_id, idx) AS place, count(*) OVER (PARTITION BY query_id) AS total_size FROM z)
+    SELECT CAST(query_id AS BIGINT) AS query_id, document_id, idx, CAST(place AS INTEGER) AS rank, total_size, CAST(round(rank, 6) AS DOUBLE) AS text_score, CAST(pen AS DOUBLE) AS penalty, CAST(topic AS DOUBLE) AS topic_score, CAST(score AS DOUBLE) AS score
+    FROM o WHERE place > CASE query_id WHEN 3 THEN 15 ELSE 0 END AND place <= CASE query_id WHEN 1 THEN 10 WHEN 2 THEN 25 ELSE 30 END"""
+
+
+@query("x03_fielded_passages", _passages_sql())
+def x03_fielded(spark, d):
+    """Passages with the detectors' own flags, filters in one element, topics that they carry, and reading order."""
+    from corpusmill.operators import detectors, feeds
+
+    rows = detectors.contents_listings(fx.passages(spark, d), "content", "page_number")
+    rows = rows.withColumns({"heading": feeds.heading_by_content(F.col("content")), "listing": F.col("looks_like_table_of_contents"), "references": detectors.reference_list(F.col("content"))})
+    labels = fx.documents(spark, d).select(F.col("doc_id").alias("document_id"), "labels")
+    concept = lambda k: F.struct(F.concat(F.lit("concept::"), k).alias("id"), F.lit("concept").alias("type"), k.alias("value"), F.lit("concept").alias("relationship"))
+    rows = rows.join(labels, "document_id").join(_counts(spark, d, ["document_id", "idx"]), ["document_id", "idx"], "left").withColumn("concepts", F.transform(F.map_keys("counts"), concept))
+    return fielded.answered(rows, ["document_id", "idx"], PASSAGES, rewriting.rulebase("passages"), {}, {"content": "passage"}, ("labels", "concepts"), flags={"heading": "heading", "contents": "listing", "references": "references"})
+
+
+@query("a07_flat_facets_with_concepts", fx.with_sql("labels", "passages", "passage_topics") + "SELECT key, count(DISTINCT doc_id) AS count FROM (SELECT doc_id, type || '::' || value AS key FROM doc_labels UNION ALL SELECT document_id, 'concept::' || topic FROM passage_topics) GROUP BY 1")
+def a07_concepts(spark, d):
+    from corpusmill.operators import facets
+
+    return facets.flat(fielded_documents(spark, d), arrays=("labels", "concepts"))
