@@ -5,7 +5,9 @@ added up; their ratios to the path's number of blocks are smoothed over neighbou
 and held against a threshold. The element around all blocks of the winning paths, or the article around most of
 them, is the content node; its other blocks (headings, short paragraphs) are kept unless they stand in menus, forms,
 notices, adverts, comments and the like, or, without an article, on paths of links. A form or the like that holds
-most of the page's text is no such place.
+most of the page's text is no such place. Inside an article, elements whose class or id has but a word that articles are
+about as well (a notice, a share, related work), its header and dialogs are content if their own paths' ratios are like the best one's; the class
+of a single paragraph does not count at all.
 
 Null or empty pages give an empty text, an empty table no rows; repeated rows are worked out alike; further columns are
 kept, but for ``text`` and ``n_chars``, which are replaced. Tags that are never closed, quotes without an end and
@@ -37,10 +39,15 @@ AWAY = set("aside button dialog fieldset footer form head header menu nav option
 HEADING = {f"h{i}" for i in range(1, 7)}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
+#: Words in classes and ids of places that are never content.
 HINTS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|breadcrumb|breadcrumbs|byline|comment|comments|consent|cookie|cookies|copyright|disclaimer|disqus|footer|foot|gdpr|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notification|pager|pagination|paywall|popup|promo|promotion|recommended|related|replies|respond|search|share|sharing|sidebar|signup|skip|social|sponsor|sponsored|subscribe|subscription|teaser|toolbar|widget)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|breadcrumb|breadcrumbs|comment|comments|consent|cookie|cookies|disqus|footer|foot|gdpr|login|masthead|menu|modal|nav|navbar|navigation|newsletter|pager|pagination|paywall|popup|promo|promotion|recommended|replies|respond|sharing|sidebar|signup|sponsor|sponsored|subscribe|subscription|toolbar|widget)(?:$|[\s_-])",
     re.I,
 )
+#: Words that name places beside an article, but within one may as well be what it is about: there their paths' ratios tell.
+DOUBTS = re.compile(r"(?:^|[\s_-])(?:banner|byline|copyright|disclaimer|notice|notification|related|search|share|skip|social|teaser)(?:$|[\s_-])", re.I)
+#: Elements whose classes do not name a place of the page, but what one paragraph is.
+PARAGRAPHS = set("blockquote dd dt figcaption h1 h2 h3 h4 h5 h6 li p pre td th".split())
 #: Classes that name what a layout has or lacks.
 LAYOUT = re.compile(r"(?<!\S)(?:has|no|with|without)[_-]\S+", re.I)
 #: Elements that never hold the content, whatever their share of the text.
@@ -61,10 +68,11 @@ MARK = re.compile(r"[\"'>]")
 class Node:
     """An open or closed element; the nodes of a page stand in the order of their start tags."""
 
-    __slots__ = ("away", "hidden", "name", "number", "own", "parent", "path")
+    __slots__ = ("away", "doubted", "hidden", "name", "number", "own", "parent", "path", "within")
 
-    def __init__(self, number: int, name: str, path: int, parent: Node | None, own: bool, hidden: bool) -> None:
-        self.number, self.name, self.path, self.parent, self.own, self.hidden, self.away = number, name, path, parent, own, hidden, False
+    def __init__(self, number: int, name: str, path: int, parent: Node | None, own: bool, hidden: bool, doubted: bool = False) -> None:
+        self.number, self.name, self.path, self.parent, self.own, self.hidden, self.away, self.doubted = number, name, path, parent, own, hidden, False, doubted
+        self.within = name in ("article", "main") or parent is not None and parent.within
 
 
 def tokens(page: str):
@@ -122,6 +130,8 @@ def _away(name: str, attributes: str) -> bool:
     """Whether an element is no content by its name, class, id or role."""
     if name in AWAY:
         return True
+    if attributes and _doubted(name, attributes):
+        return True
     for m in ATTRIBUTE.finditer(attributes) if attributes else ():
         key, value = m[1].lower(), (m[2] or "").strip("\"'")
         if key in ("class", "id") and name not in ("html", "body", "article", "main") and HINTS.search(LAYOUT.sub(" ", value)):
@@ -133,6 +143,19 @@ def _away(name: str, attributes: str) -> bool:
     return False
 
 
+def _doubted(name: str, attributes: str) -> bool:
+    """Whether only words of DOUBTS in its class or id keep an element away."""
+    values = [(m[2] or "").strip("\"'") for m in ATTRIBUTE.finditer(attributes) if m[1].lower() in ("class", "id")]
+    return name not in ("html", "body", "article", "main") and any(DOUBTS.search(LAYOUT.sub(" ", v)) for v in values)
+
+
+def _in_doubt(name: str, attributes: str) -> bool:
+    """Whether an element inside an article is away for nothing but a word that articles are about as well, or as the
+    article's own header or a dialog of it."""
+    rest = ATTRIBUTE.sub(lambda m: "" if m[1].lower() in ("class", "id") and not HINTS.search(LAYOUT.sub(" ", (m[2] or "").strip("\"'"))) else m[0], attributes)
+    return not _away("div" if name in ("header", "dialog") else name, rest)
+
+
 class Page:
     """The nodes of a page and its blocks (text, node, characters inside links), in page order."""
 
@@ -185,8 +208,12 @@ class Page:
                 elif name not in INLINE and stack[-1].name == "p":
                     cut(len(stack) - 1)
                 top, own = stack[-1], _away(name, attributes)
-                path = self.paths.setdefault((top.path, name), len(self.paths) + 1)
-                node = Node(len(self.nodes), name, path, top, own, own and HIDDEN.search(attributes) is not None)
+                doubted = own and top.within and _in_doubt(name, attributes)
+                if doubted and name in PARAGRAPHS:
+                    own = doubted = False
+                # a place in doubt has paths of its own, so that its ratios can be told from those of others
+                path = self.paths.setdefault((top.path, f"{name}?" if doubted else name), len(self.paths) + 1)
+                node = Node(len(self.nodes), name, path, top, own, own and HIDDEN.search(attributes) is not None, doubted)
                 self.nodes.append(node)
                 places[name].append(len(stack))
                 stack.append(node)
@@ -232,9 +259,8 @@ def keep_wrappers(page: Page) -> None:
         node.away = node.own or node.parent.away
 
 
-def winning_paths(page: Page) -> tuple[set[int], dict[int, list[int]]]:
-    """The paths whose fused score reaches the threshold, and the totals of each path: blocks, characters, punctuation
-    and characters inside links."""
+def path_scores(page: Page) -> tuple[dict[int, float], dict[int, list[int]]]:
+    """The fused score of each path's ratios, and its totals: blocks, characters, punctuation and characters inside links."""
     totals: dict[int, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
     for text, node, linked in page.blocks:
         if not node.away:
@@ -248,15 +274,36 @@ def winning_paths(page: Page) -> tuple[set[int], dict[int, list[int]]]:
     def smooth(v: list[float]) -> list[float]:
         return [SMOOTH[0] * v[max(i - 1, 0)] + SMOOTH[1] * v[i] + SMOOTH[2] * v[min(i + 1, len(v) - 1)] for i in range(len(v))]
 
-    fused = {p: a * (1 + b) * (1 - totals[p][3] / totals[p][1]) ** 2 * totals[p][1] ** 0.5 for p, a, b in zip(paths, smooth(length), smooth(marks), strict=True)}
+    return {p: a * (1 + b) * (1 - totals[p][3] / totals[p][1]) ** 2 for p, a, b in zip(paths, smooth(length), smooth(marks), strict=True)}, totals
+
+
+def winning_paths(page: Page) -> tuple[set[int], dict[int, list[int]]]:
+    """The paths whose score, weighed by how much text they hold, reaches the threshold, and the totals of each path."""
+    ratios, totals = path_scores(page)
+    fused = {p: v * totals[p][1] ** 0.5 for p, v in ratios.items()}
     limit = SHARE * max(fused.values(), default=0)
     return {p for p, v in fused.items() if v >= limit and v > 0}, totals
 
 
+def settle_doubts(page: Page) -> None:
+    """Places in doubt are tried as content: those go that have no path with a score like that of the best one, whatever
+    amount of text they hold."""
+    for node in page.nodes[1:]:
+        node.away = node.own and not node.doubted or node.parent.away
+    ratios, _ = path_scores(page)
+    limit = SHARE * max(ratios.values(), default=0)
+    like = page.held(lambda n: not n.away and ratios[n.path] >= limit and ratios[n.path] > 0)
+    for node in page.nodes[1:]:
+        if node.doubted and like[node.number]:
+            node.own = False
+        node.away = node.own or node.parent.away
+
+
 def main_text(html: str | None) -> str:
     """The main text of a page; blocks are joined by an empty line."""
     page = Page(html or "")
     keep_wrappers(page)
+    settle_doubts(page)
     chosen, totals = winning_paths(page)
     wins = lambda n: not n.away and n.path in chosen
     weight = page.held(wins)

@@ -230,3 +230,26 @@ def test_utf8_stream_splits_characters():
     raw = "aé漢😀".encode()
     s = bpe.Utf8Stream()
     assert "".join(s.feed(raw[i : i + 1]) for i in range(len(raw))) + s.feed(b"", True) == "aé漢😀"
+
+
+PROBES = ["<p class='search-warrant'>{}</p>", "<div class='notice-of-appeal'><p>{}</p></div>", "<p class='related-work'>{}</p>", "<p id='copyright'>{}</p>", "<p class='share-price'>{}</p>", "<p class='byline'>{}</p>", "<header><p>{}</p></header>", "<dialog><p>{}</p></dialog>", "<section id='disclaimer'>{}</section>"]
+
+
+@pytest.mark.parametrize("probe", PROBES)
+def test_html_keeps_what_an_article_is_about(probe):
+    text = "The court was asked to look at it again, and it did so; the price fell, as had been said before, and rose again."
+    page = f"<body><nav><a href=x>Menu</a></nav><article><h1>Title</h1><p>{LONG}</p>{probe.format(text)}<p>{LONG}</p></article></body>"
+    assert html.main_text(page) == f"Title\n\n{LONG.strip()}\n\n{text}\n\n{LONG.strip()}"
+
+
+@pytest.mark.parametrize("place", ["<div class='share'><a href=x>Post it</a> <a href=y>Send it</a></div>", "<div class='notice'>We use cookies.</div>", "<div class='comments'><p>{}</p></div>", "<aside><p>{}</p></aside>", "<div class='related'><ul><li><a href=x>One</a><li><a href=y>Two</a></ul></div>", "<div class='cookie-notice'><p>{}</p></div>", "<footer><p>{}</p></footer>", "<div class='newsletter notice'><p>{}</p></div>", "<div class='notice' role='banner'>{}</div>", "<div class='notice' hidden>{}</div>"])
+def test_html_still_drops_places_in_an_article(place):
+    text = "Nice text, I like it a lot; it is long enough to look like prose, and has its marks, so it does."
+    assert html.main_text(f"<article><p>{LONG}</p>{place.format(text)}<p>{LONG}</p></article>") == f"{LONG.strip()}\n\n{LONG.strip()}"
+
+
+def test_html_ratios_decide_about_places_in_doubt(monkeypatch):
+    page = f"<article><p>{LONG}</p><div class='notice'>We use cookies.</div><p>{LONG}</p></article>"
+    assert "cookies" not in html.main_text(page)
+    monkeypatch.setattr(html, "SHARE", 0)
+    assert "cookies" in html.main_text(page)
