@@ -1,6 +1,10 @@
 """DuckDB equivalents of the queries that SQL can express; the others are held against brute force in the tests."""
 
-from .quality import FALLBACK, GAMMA, LEAST_DOCS, LEAST_SPREAD, SPREAD
+from .quality import FALLBACK, GAMMA, LEAST_DOCS, SPREAD
+
+#: What one event adds to a document of the median size.
+_EVENTS = {"symbol_share": "1 / {word_chars}", "dup_line_share": "1 / {n_lines}", "repeat_share": "16 / {n_words}", "mean_word": "1 / {n_words}"}
+_SIZES = ["n_lines", "n_words", "word_chars"]
 
 WARC = """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
@@ -35,18 +39,19 @@ b AS (
 
 def _quality() -> str:
     """The base features, the sketches of logarithmic buckets, their quantiles and the verdict."""
-    long = " UNION ALL ".join(f"SELECT lang, source, '{f}' AS feature, {f} AS x FROM b WHERE NOT base_failed" for f in FALLBACK)
+    long = " UNION ALL ".join(f"SELECT lang, source, '{f}' AS feature, CAST({f} AS DOUBLE) AS x FROM b WHERE NOT base_failed" for f in [*FALLBACK, *_SIZES])
     quartiles = ", ".join(f"min(CASE WHEN upto > floor((docs - 1) * {k} / 4.0) THEN CASE WHEN bucket = -1000000 THEN 0.0 ELSE 2 * pow({GAMMA!r}, bucket) / ({GAMMA!r} + 1) END END) AS q{k}" for k in (1, 2, 3))
 
     def quantiles(by: str) -> str:
         keys = f"{by}, " if by else ""
-        return f"SELECT {keys}feature, first(docs) AS docs, {quartiles} FROM (SELECT *, sum(n) OVER (PARTITION BY {keys}feature ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {keys}feature) AS docs FROM (SELECT {keys}feature, bucket, sum(n) AS n FROM sketch GROUP BY ALL)) GROUP BY {keys}feature"
+        sizes = ", ".join(f"max(CASE WHEN feature = '{z}' THEN q2 END) OVER ({f'PARTITION BY {by}' if by else ''}) AS {z}" for z in _SIZES)
+        return f"SELECT *, {sizes} FROM (SELECT {keys}feature, first(docs) AS docs, {quartiles} FROM (SELECT *, sum(n) OVER (PARTITION BY {keys}feature ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {keys}feature) AS docs FROM (SELECT {keys}feature, bucket, sum(n) AS n FROM sketch GROUP BY ALL)) GROUP BY {keys}feature)"
 
-    pick = {q: f"CASE WHEN o.docs >= {LEAST_DOCS} THEN o.{q} WHEN l.docs >= {LEAST_DOCS} THEN l.{q} ELSE e.{q} END" for q in ("q1", "q2", "q3")}
+    pick = {q: f"CASE WHEN o.docs >= {LEAST_DOCS} THEN o.{q} WHEN l.docs >= {LEAST_DOCS} THEN l.{q} ELSE e.{q} END" for q in ("q1", "q2", "q3", *_SIZES)}
     enough = f"(o.docs >= {LEAST_DOCS} OR coalesce(l.docs >= {LEAST_DOCS}, false))"
     low, high = [], []
     for f, (lo, hi) in FALLBACK.items():
-        reach = f"{SPREAD} * greatest({pick['q3']} - {pick['q1']}, {LEAST_SPREAD[f]})"
+        reach = f"{SPREAD} * greatest({pick['q3']} - {pick['q1']}, {_EVENTS[f].format(**pick)}, 0.02 * {pick['q2']})"
         below, above = f"round({pick['q2']} - {reach}, 9)", f"round({pick['q2']} + {reach}, 9)"
         if lo is not None:
             low.append(f"WHEN o.feature = '{f}' THEN CASE WHEN {enough} THEN {below} ELSE least({lo}, {below}) END")

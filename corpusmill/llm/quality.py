@@ -3,7 +3,8 @@
 Each document's features are computed inside its row. Their distributions are kept as mergeable quantile sketches:
 counts of logarithmic buckets of one percent relative error for each language, source and feature, which add up
 to the sketches of a language and of the whole corpus. A group's thresholds come from its own quantiles, or from
-the language's if it has too few documents, and may be stricter or looser than any constant. Only where the language
+the language's if it has too few documents, and may be stricter or looser than any constant: the median and a multiple
+of the distance between the quartiles, at least of what one event makes in a document of the group's median size or the sketch's error. Only where the language
 has too few documents as well do the constants of FALLBACK hold, loosened by the corpus' quantiles. The features are
 then joined with the thresholds and filtered.
 
@@ -29,8 +30,12 @@ GAMMA = (1 + ERROR) / (1 - ERROR)
 LEAST_DOCS = 100
 #: Multiples of the distance between the quartiles that are admitted beyond the median.
 SPREAD = 5.0
-#: feature: distance between the quartiles that is taken at least, for groups most of whose documents are alike.
-LEAST_SPREAD = {"symbol_share": 0.01, "dup_line_share": 0.06, "repeat_share": 0.05, "mean_word": 0.2}
+#: feature: the size that it is a share of, and by how much the least event raises what is counted: a symbol, a line, two
+#: windows of words, a letter. In a document of a group's median size that makes the least distance between the quartiles
+#: that can be told from none, which is taken where most documents of a group are alike; nor can less than the sketches' own
+#: error be told.
+EVENTS = {"symbol_share": ("word_chars", 1), "dup_line_share": ("n_lines", 1), "repeat_share": ("n_words", 2 * WINDOW), "mean_word": ("n_words", 1)}
+SIZES = sorted({size for size, _ in EVENTS.values()})
 #: feature: (lower threshold or None, upper threshold) where group and language have too few documents; the corpus'
 #: quantiles may loosen them.
 FALLBACK = {"symbol_share": (None, 0.08), "dup_line_share": (None, 0.5), "repeat_share": (None, 0.3), "mean_word": (2.0, 20.0)}
@@ -81,33 +86,38 @@ def shares(df: DataFrame) -> DataFrame:
 
 def sketches(df: DataFrame) -> DataFrame:
     """Sketches (lang, source, feature, bucket, n); the counts of any groups add up to the sketch of their union."""
-    long = df.select("lang", "source", F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).alias("x")) for f in FALLBACK))).alias("f")).select("lang", "source", "f.*")
+    long = df.select("lang", "source", F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in [*FALLBACK, *SIZES]))).alias("f")).select("lang", "source", "f.*")
     bucket = F.when(F.col("x") > 0, F.ceil(F.round(F.ln("x") / F.ln(F.lit(GAMMA)), 6))).otherwise(F.lit(ZERO)).cast("int")
     return long.groupBy("lang", "source", "feature", bucket.alias("bucket")).agg(F.count("*").alias("n"))
 
 
 def quantiles(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """docs and the quartiles q1, q2, q3 of each group's features."""
+    """docs and the quartiles q1, q2, q3 of each group's features, beside the medians of its sizes."""
     merged = sketch.groupBy(*by, "feature", "bucket").agg(F.sum("n").alias("n"))
     own = W.partitionBy(*by, "feature")
     ranked = merged.withColumn("upto", F.sum("n").over(own.orderBy("bucket"))).withColumn("docs", F.sum("n").over(own))
     value = F.when(F.col("bucket") == ZERO, F.lit(0.0)).otherwise(2 * F.pow(F.lit(GAMMA), F.col("bucket")) / (GAMMA + 1))
     at = {f"q{k}": F.min(F.when(F.col("upto") > F.floor((F.col("docs") - 1) * k / 4), value)).alias(f"q{k}") for k in (1, 2, 3)}
-    return ranked.groupBy(*by, "feature").agg(F.first("docs").alias("docs"), *at.values())
+    out = ranked.groupBy(*by, "feature").agg(F.first("docs").alias("docs"), *at.values())
+    # a group has a row for each feature and size
+    group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
+    return out.withColumns({s: F.max(F.when(F.col("feature") == s, F.col("q2"))).over(group) for s in SIZES}).where(F.col("feature").isin(list(FALLBACK)))
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
     """(lang, source, feature, low, high) of every group."""
+    taken = ["q1", "q2", "q3", *SIZES]
     own = quantiles(sketch, ["lang", "source"])
-    by_lang = quantiles(sketch, ["lang"]).select("lang", "feature", *(F.col(c).alias(f"l_{c}") for c in ("docs", "q1", "q2", "q3")))
-    every = quantiles(sketch, []).select("feature", *(F.col(c).alias(f"e_{c}") for c in ("docs", "q1", "q2", "q3")))
+    by_lang = quantiles(sketch, ["lang"]).select("lang", "feature", *(F.col(c).alias(f"l_{c}") for c in ("docs", *taken)))
+    every = quantiles(sketch, []).select("feature", *(F.col(c).alias(f"e_{c}") for c in ("docs", *taken)))
     # the sketches of the corpus are one row for each feature
     both = own.join(by_lang, (own.lang.eqNullSafe(by_lang.lang)) & (own.feature == by_lang.feature), "left").drop(by_lang.lang).drop(by_lang.feature).join(F.broadcast(every), "feature", "left")
     enough = (F.col("docs") >= LEAST_DOCS) | F.coalesce(F.col("l_docs") >= LEAST_DOCS, F.lit(False))
-    pick = {q: F.when(F.col("docs") >= LEAST_DOCS, F.col(q)).when(F.col("l_docs") >= LEAST_DOCS, F.col(f"l_{q}")).otherwise(F.col(f"e_{q}")) for q in ("q1", "q2", "q3")}
+    pick = {q: F.when(F.col("docs") >= LEAST_DOCS, F.col(q)).when(F.col("l_docs") >= LEAST_DOCS, F.col(f"l_{q}")).otherwise(F.col(f"e_{q}")) for q in taken}
     low, high = F.lit(None).cast("double"), F.lit(None).cast("double")
     for f, (lo, hi) in FALLBACK.items():
-        reach = SPREAD * F.greatest(pick["q3"] - pick["q1"], F.lit(LEAST_SPREAD[f]))
+        size, event = EVENTS[f]
+        reach = SPREAD * F.greatest(pick["q3"] - pick["q1"], event / pick[size], 2 * ERROR * pick["q2"])
         below, above = F.round(pick["q2"] - reach, 9), F.round(pick["q2"] + reach, 9)
         if lo is not None:
             low = F.when(F.col("feature") == f, F.when(enough, below).otherwise(F.least(F.lit(lo), below))).otherwise(low)

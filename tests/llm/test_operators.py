@@ -253,3 +253,21 @@ def test_html_ratios_decide_about_places_in_doubt(monkeypatch):
     assert "cookies" not in html.main_text(page)
     monkeypatch.setattr(html, "SHARE", 0)
     assert "cookies" in html.main_text(page)
+
+
+def test_quality_thresholds_follow_the_sizes_and_spreads_of_their_group(spark):
+    """Two groups with the same rare symbols, one of short and one of long documents, one with a spread of its own."""
+    plan = [("short", 30, 0), ("long", 600, 0), ("spread", 60, 8)]
+    rows = []
+    for source, n, extra in plan:
+        for i in range(150):
+            rows.append((len(rows), " ".join(words(len(rows), n)) + " " + "#" * (i % (extra + 1)), "en", source))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    sketch = quality.sketches(quality.shares(quality.features(df)))
+    high = {r.source: r.high for r in quality.thresholds(sketch).where("feature = 'symbol_share'").collect()}
+    assert high["long"] < high["short"] < high["spread"]
+    assert high["short"] == pytest.approx(5 / (30 * 4.7), rel=0.1) and high["long"] == pytest.approx(5 / (600 * 4.7), rel=0.1)
+    # by plain quartiles
+    shares = np.array([(i % 9) / len("".join(words(300 + i, 60)) + "#" * (i % 9)) for i in range(150)])
+    q1, q2, q3 = np.quantile(shares, [0.25, 0.5, 0.75])
+    assert high["spread"] == pytest.approx(q2 + 5 * (q3 - q1), rel=0.1)
