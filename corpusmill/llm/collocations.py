@@ -247,9 +247,7 @@ def stripes(docs: DataFrame, codes: np.ndarray, least: int = LEAST, known: np.nd
                     n = np.bincount(lang, minlength=len(langs))
                     used = np.flatnonzero(n)
                     yield _stripes(langs, block, used, None, None, np.zeros(len(used)), n[used], np.zeros(len(used)), none, none)
-                    keep = cell >= least
-                    at = first[keep]
-                    yield _stripes(langs, block, lang[at], ids[at], None, np.zeros(len(at)), total[keep], np.zeros(len(at)), none, none)
+                    alone = cell >= least  # words whose total has no stripe of theirs to go with
                     at = np.flatnonzero(pair)
                     prefix, parts = inverse[at], chunks(cell, stripe)[inverse[at]]
                     nexts = ids[at + 1]
@@ -260,9 +258,17 @@ def stripes(docs: DataFrame, codes: np.ndarray, least: int = LEAST, known: np.nd
                     prefix, parts = inverse[at] * v + ids[at + 1], np.minimum(*(chunks(cell, stripe)[inverse[at + k]] for k in (0, 1)))
                     nexts = ids[at + 2]
                 if len(at):
-                    first, chunk, ends, nexts, counts = _striped(prefix, nexts, parts, block)
-                    at = at[first]
-                    yield _stripes(langs, block, lang[at], ids[at], None if known is None else ids[at + 1], chunk, np.zeros(len(at)), ends, nexts, counts)
+                    place, chunk, ends, nexts, counts = _striped(prefix, nexts, parts, block)
+                    at = at[place]
+                    sums = np.zeros(len(at), np.int64)
+                    if known is None:
+                        own = inverse[at]
+                        sums[chunk == 0] = total[own[chunk == 0]]
+                        alone[own[chunk == 0]] = False
+                    yield _stripes(langs, block, lang[at], ids[at], None if known is None else ids[at + 1], chunk, sums, ends, nexts, counts)
+                if known is None:
+                    at = first[alone]
+                    yield _stripes(langs, block, lang[at], ids[at], None, np.zeros(len(at)), total[alone], np.zeros(len(at)), none, none)
 
     return docs.mapInArrow(run, STRIPES)
 
