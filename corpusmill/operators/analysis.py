@@ -69,8 +69,12 @@ def any_phrase(text: Column, phrases: Column, profile: str = "passage") -> Colum
 
 
 def highlighted(text: Column, terms: list[str]) -> Column:
-    """The text with each whole word of ``terms`` in <hi> tags, whatever its case."""
-    return F.regexp_replace(text, rf"(?iU)\b({'|'.join(terms)})\b", "<hi>$1</hi>")
+    """The text with each whole word of ``terms`` in <hi> tags, whatever its case; terms are taken literally."""
+    literal = sorted({t for t in terms if t}, key=lambda t: (-len(t), t))  # of terms at one place the longest
+    if not literal:
+        return text
+    quoted = "|".join("\\Q" + t.replace("\\E", "\\E\\\\E\\Q") + "\\E" for t in literal)
+    return F.regexp_replace(text, rf"(?iu)(?<![\p{{L}}\p{{N}}_])({quoted})(?![\p{{L}}\p{{N}}_])", "<hi>$1</hi>")
 
 
 def matched_passages(passages: DataFrame, content: str, terms: list[str]) -> DataFrame:

@@ -22,6 +22,20 @@ def principal_id(own: Column, labels: Column, edges: Column) -> Column:
     return F.when(F.exists(labels, lambda x: x["id"] == PRINCIPAL), own).otherwise(target)
 
 
+def several_principals(edges: Column) -> Column:
+    """Whether a document's edges name more than one candidate for its principal; the first one counts."""
+    targets = F.array_distinct(F.transform(F.filter(edges, lambda x: x["type"].isin(*MEMBERSHIP)), lambda x: x["value"]))
+    return F.coalesce(F.size(targets) > 1, F.lit(False))
+
+
+def concept_counts(mentions: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """keys, concept_id, mentions (repeats count), the name that was seen last by ``order``, and the ids of the passages in
+    order of ``mentions`` (keys, concept_id, name, passage_id)."""
+    place = F.struct(*order, "passage_id")
+    ids = F.array_join(F.transform(F.sort_array(F.collect_list(place)), lambda x: x["passage_id"].cast("string")), "::")
+    return mentions.groupBy(*keys, "concept_id").agg(F.count("*").alias("mentions"), F.max_by("name", F.struct(*order)).alias("name"), ids.alias("passage_ids"))
+
+
 def facet_keys(labels: Column) -> Column:
     """The composite keys of each label: type::value, type::id::value and relationship::id::value."""
     return F.transform(labels, lambda x: F.struct(F.concat_ws("::", x["type"], x["value"]).alias("flat"), F.concat_ws("::", x["type"], x["id"], x["value"]).alias("by_type"), F.concat_ws("::", x["relationship"], x["id"], x["value"]).alias("by_relationship")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import derive
+
 #: The property whose values are negative labels. Fixed value.
 NEGATIVE = "P9"
 _NO_NAMES = "array<string>"
@@ -66,3 +68,9 @@ def of_concepts(rows: DataFrame, parents: DataFrame | None = None) -> DataFrame:
     """Concepts as label rows, named ``concept::`` and their id."""
     named = rows.withColumns({"id": F.concat(F.lit("concept::"), "id"), "type": F.lit("concept"), "value": F.col("preferred_label")})
     return label_rows(named, parents)
+
+
+def deduplicated(labels: DataFrame, concepts: DataFrame, key: str = "id", order: list[str] = ()) -> DataFrame:
+    """One row for each id: concepts override document labels, and of one kind the last by ``order`` counts."""
+    both = labels.withColumn("_concept", F.lit(0)).unionByName(concepts.withColumn("_concept", F.lit(1)))
+    return derive.last_writer(both, key, ["_concept", *order]).drop("_concept")

@@ -13,6 +13,20 @@ def sections(passages: DataFrame) -> DataFrame:
     return passages.withColumn("section_id", F.sum(F.when(F.col("type") == "sectionHeading", 1).otherwise(0)).over(own))
 
 
+def topic_shares(topics: DataFrame, passages: DataFrame) -> DataFrame:
+    """(document_id, topic, n_passages, share): of a document's passages, those with the topic, whatever the case of its name
+    and the blanks around it."""
+    total = passages.groupBy("document_id").agg(F.count("*").alias("total"))
+    found = topics.groupBy("document_id", F.lower(F.trim("topic")).alias("topic")).agg(F.count_distinct("idx").alias("n_passages"))
+    return found.join(total, "document_id").select("document_id", "topic", "n_passages", F.try_divide("n_passages", "total").alias("share"))
+
+
+def sizes(passages: DataFrame) -> DataFrame:
+    """(document_id, kind, part, n): how many passages each page and each section of a document has."""
+    part = F.explode(F.array(F.struct(F.lit("page").alias("kind"), F.col("page_number").cast("long").alias("part")), F.struct(F.lit("section").alias("kind"), F.col("section_id").cast("long").alias("part")))).alias("p")
+    return sections(passages).select("document_id", part).groupBy("document_id", "p.kind", "p.part").agg(F.count("*").alias("n"))
+
+
 def mention_features(topics: DataFrame, passages: DataFrame) -> DataFrame:
     """Per (document, topic): mentions, density, max_per_page, first_idx, earliness and decayed."""
     totals = passages.groupBy("document_id").agg(F.count("*").alias("total"), F.max("page_number").alias("max_page"))

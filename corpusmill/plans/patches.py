@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusmill.operators import counters, detectors, feeds, tables, updates
+from corpusmill.operators import counters, detectors, documents, feeds, labels, relevance, tables, updates
 from corpusmill.sources import jsonl, nested
 
 from . import fixtures as fx
@@ -120,3 +120,37 @@ def d07_by_stratum(spark, d):
     rows = fx.passages(spark, d).select("content", (F.col("type") == "sectionHeading").alias("label"), F.when(page == 0, "front").when(page < 3, "early").otherwise("late").alias("stratum"))
     out = detectors.evaluated(rows, {"short_heading": feeds.heading_by_content(F.col("content")), "questionnaire": feeds.derive.questionnaire(F.col("content"))})
     return out.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
+
+
+@query("a01_counts_with_names", fx.with_sql("passages", "passage_topics") + "SELECT document_id, topic AS concept_id, count(*) AS mentions, arg_max('name of ' || topic || ' in ' || idx, idx) AS name, string_agg(CAST(idx AS VARCHAR), '::' ORDER BY idx) AS passage_ids FROM passage_topics GROUP BY ALL")
+def a01_names(spark, d):
+    named = fx.passage_topics(spark, d).select("document_id", F.col("topic").alias("concept_id"), F.concat(F.lit("name of "), "topic", F.lit(" in "), "idx").alias("name"), "idx", F.col("idx").alias("passage_id"))
+    return documents.concept_counts(named, ["document_id"], ["idx"])
+
+
+@query("a06_concepts_override", "SELECT id, value, 'concept' AS kind FROM (SELECT source AS id, max(doc_id) AS value FROM documents WHERE lang = 'en' AND source IS NOT NULL GROUP BY 1) UNION ALL SELECT source, max(doc_id), 'label' FROM documents WHERE source IS NOT NULL GROUP BY 1 HAVING count(*) FILTER (WHERE lang = 'en') = 0")
+def a06_precedence(spark, d):
+    docs = fx.table(spark, d, "documents").where("source is not null")
+    of = lambda kind: (F.col("source").alias("id"), F.col("doc_id").alias("value"), F.lit(kind).alias("kind"))
+    return labels.deduplicated(docs.select(*of("label")), docs.where("lang = 'en'").select(*of("concept")), "id", ["value"])
+
+
+@query("p05_several_principals", "SELECT doc_id, doc_id - doc_id % 2 <> doc_id - doc_id % 3 AS several FROM documents")
+def p05_several(spark, d):
+    """Edges to the numbers' multiples of 2 and 3 below, as candidates."""
+    n = F.col("doc_id")
+    edge = lambda k, t: F.struct(F.lit(k).alias("type"), t.cast("string").alias("value"))
+    edges = F.array(edge("member_of", n - n % 2), edge("is_version_of", n - n % 3), edge("other", n))
+    return fx.table(spark, d, "documents").select("doc_id", documents.several_principals(edges).alias("several"))
+
+
+@query("a14_shares_of_named_topics", fx.with_sql("passages", "passage_topics") + ", n AS (SELECT document_id, count(*) AS total FROM passages GROUP BY 1) SELECT document_id, lower(topic) AS topic, count(DISTINCT idx) AS n_passages, round(count(DISTINCT idx) / any_value(total), 6) AS share FROM passage_topics JOIN n USING (document_id) GROUP BY ALL")
+def a14_named(spark, d):
+    name = F.when(F.col("idx") % 2 == 0, F.concat(F.lit(" "), "topic")).otherwise(F.concat(F.lower("topic"), F.lit("  ")))
+    out = relevance.topic_shares(fx.passage_topics(spark, d).withColumn("topic", name), fx.passages(spark, d))
+    return out.withColumn("share", F.round("share", 6))
+
+
+@query("a15_page_and_section_sizes", fx.with_sql("passages") + ", s AS (SELECT *, CAST(sum(CASE WHEN type = 'sectionHeading' THEN 1 ELSE 0 END) OVER (PARTITION BY document_id ORDER BY idx ROWS UNBOUNDED PRECEDING) AS BIGINT) AS section_id FROM passages) SELECT document_id, 'page' AS kind, CAST(page_number AS BIGINT) AS part, count(*) AS n FROM s GROUP BY ALL UNION ALL SELECT document_id, 'section', section_id, count(*) FROM s GROUP BY ALL")
+def a15_sizes(spark, d):
+    return relevance.sizes(fx.passages(spark, d))

@@ -32,6 +32,8 @@ def test_currency(spark):
 
 def test_highlight(spark):
     assert one(spark, analysis.highlighted(F.lit("A Thing, things and thing."), ["thing"])) == "A <hi>Thing</hi>, things and <hi>thing</hi>."
+    assert one(spark, analysis.highlighted(F.lit("C++ (or C) and É, CC"), ["c++", "c", "(", "é"])) == "<hi>C++</hi> (or <hi>C</hi>) and <hi>É</hi>, CC"
+    assert one(spark, analysis.highlighted(F.lit("a.b acb"), ["a.b"])) == "<hi>a.b</hi> acb" and one(spark, analysis.highlighted(F.lit("a"), [])) == "a"
 
 
 def test_control_characters_and_values(spark):
