@@ -68,6 +68,20 @@ def any_phrase(text: Column, phrases: Column, profile: str = "passage") -> Colum
     return F.exists(phrases, lambda p: padded.contains(F.concat(F.lit(" "), p, F.lit(" "))))
 
 
+def exact_phrase(text: Column, phrase: str | Column) -> Column:
+    """Whether the words of the phrase stand in the text as they are: no stems, no stop words left out."""
+    padded = lambda c: F.concat(F.lit(" "), F.array_join(words(c), " "), F.lit(" "))
+    asked = padded(F.lit(phrase) if isinstance(phrase, str) else phrase)
+    return (asked != "  ") & padded(text).contains(asked)
+
+
+def label_matches(value: Column, description: Column, query: str) -> Column:
+    """Whether any word of the query is in a label's value or its description, whatever the case."""
+    asked = F.array(*map(F.lit, sorted(set(query.lower().split()))))
+    have = F.concat(words(F.coalesce(value, F.lit(""))), words(F.coalesce(description, F.lit(""))))
+    return F.arrays_overlap(have, asked)
+
+
 def highlighted(text: Column, terms: list[str]) -> Column:
     """The text with each whole word of ``terms`` in <hi> tags, whatever its case; terms are taken literally."""
     literal = sorted({t for t in terms if t}, key=lambda t: (-len(t), t))  # of terms at one place the longest

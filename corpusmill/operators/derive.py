@@ -55,11 +55,13 @@ def closure(edges: DataFrame) -> DataFrame:
     return paths
 
 
-def direct_parents(paths: DataFrame) -> DataFrame:
-    """(descendant, ancestor) without any other ancestor of the descendant in between."""
+def direct_parents(paths: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(descendant, ancestor) without any other ancestor of the descendant in between; only ancestors among ``known``, the
+    ids of the concepts that exist, if they are given."""
     upper, lower = paths.select("ancestor", F.col("descendant").alias("_via")), paths.select(F.col("ancestor").alias("_via"), "descendant")
     longer = upper.join(lower, "_via").where("_via <> ancestor and _via <> descendant").select("ancestor", "descendant").distinct()
-    return paths.join(longer, ["ancestor", "descendant"], "left_anti").select("descendant", "ancestor")
+    direct = paths.join(longer, ["ancestor", "descendant"], "left_anti").select("descendant", "ancestor")
+    return direct if known is None else direct.join(known.select(F.col(known.columns[0]).alias("ancestor")), "ancestor", "left_semi").select("descendant", "ancestor")
 
 
 def last_writer(rows: DataFrame, key: str, order: list[str]) -> DataFrame:

@@ -69,6 +69,11 @@ def cross_validated(swept: DataFrame, fold: Column, folds: int) -> DataFrame:
     return both.groupBy("fold").agg(F.max_by(F.struct("key", "low", "high", "held_out"), order).alias("_b")).select("fold", "_b.*")
 
 
+def over_folds(validated: DataFrame, by: list[str] = ()) -> DataFrame:
+    """(by, mean, deviation, folds) of the folds' held-out scores; the deviation is that of all folds, not of a sample."""
+    return validated.groupBy(*by).agg(F.avg("held_out").alias("mean"), F.stddev_pop("held_out").alias("deviation"), F.count("*").alias("folds"))
+
+
 def ranking_score(feature: Column, floor: Column, smaller_is_better: bool = False) -> Column:
     """A feature as a score, negated where less is better; rows without it come below the ``floor``, the least score."""
     return F.coalesce(-feature if smaller_is_better else feature, floor - 1)

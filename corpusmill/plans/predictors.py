@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusmill.operators import predictors, relevance
+from corpusmill.operators import analysis, derive, predictors, relevance, tuning
 
 from . import fixtures as fx
-from .registry import query
+from .corpus import _TOKENS, _swept
+from .judging import _TREE, _edges
+from .registry import ORACLE_SQL, query
 
 _PLACES = fx.with_sql("passages", "passage_topics") + """, sec AS (SELECT *, CAST(sum(CASE WHEN type = 'sectionHeading' THEN 1 ELSE 0 END) OVER (PARTITION BY document_id ORDER BY idx ROWS UNBOUNDED PRECEDING) AS BIGINT) AS section_id FROM passages),
     m AS (SELECT t.*, section_id FROM passage_topics t JOIN sec USING (document_id, idx)),
@@ -92,3 +94,27 @@ def a22_registry(spark, d):
     rows = predictors.stacked(_examples(spark, d), _features(spark, d)).withColumn("value", F.round("value", 9))
     out = predictors.leaderboard(rows)
     return out.select("predictor", *(F.round(m, 6).alias(m) for m in _METRICS), "positives", F.col("support").cast("long").alias("support"), "n_documents", "n_topics", "place_f1", "place_binary", "place_ndcg")
+
+
+@query("e10_over_folds", f"SELECT round(avg(held_out), 4) AS mean, round(stddev_pop(held_out), 4) AS deviation, count(*) AS folds FROM ({ORACLE_SQL['e10_cross_validation']})")
+def e10_over_folds(spark, d):
+    out = tuning.over_folds(tuning.cross_validated(_swept(spark, d), F.col("doc_id") % 5, 5))
+    return out.select(F.round("mean", 4).alias("mean"), F.round("deviation", 4).alias("deviation"), "folds")
+
+
+@query("j18_known_parents", _TREE + "SELECT DISTINCT child AS descendant, parent AS ancestor FROM e WHERE parent IN (SELECT doc_id FROM documents WHERE lang = 'en')")
+def j18_known(spark, d):
+    """Direct parents that are documents of a language, as concepts that exist."""
+    return derive.direct_parents(derive.closure(_edges(spark, d)), fx.table(spark, d, "documents").where("lang = 'en'").select("doc_id"))
+
+
+@query("t10_exact_passages", fx.with_sql("passages") + f"SELECT document_id, idx FROM (SELECT document_id, idx, ' ' || array_to_string({_TOKENS.format('')}, ' ') || ' ' AS t FROM passages) WHERE contains(t, ' of the ')")
+def t10_exact(spark, d):
+    return fx.passages(spark, d).where(analysis.exact_phrase(F.col("content"), "Of, the")).select("document_id", "idx")
+
+
+@query("t10_label_matches", f"SELECT doc_id FROM (SELECT doc_id, {_TOKENS.format('').replace('content', 'd')} AS t FROM (SELECT doc_id, coalesce(source, '') || ' ' || coalesce(string_split(text, chr(10))[1], '') AS d FROM documents)) WHERE len(list_intersect(t, ['src3', 'inti'])) > 0")
+def t10_labels(spark, d):
+    """Documents as labels: the source as value, the first line as description."""
+    docs = fx.table(spark, d, "documents")
+    return docs.where(analysis.label_matches(F.col("source"), F.get(F.split("text", "\n"), 0), "INTI src3")).select("doc_id")

@@ -16,7 +16,8 @@ def derived(spark: SparkSession, folder: str, schema: str) -> DataFrame:
 
 def apply_stream(changes: DataFrame, base: str, key: str, checkpoint: str, target: str) -> StreamingQuery:
     """Applies each batch of partial updates to the newest version of a table: version n+1 is written below ``target``
-    before the batch is committed, and a batch that is run again overwrites it."""
+    before the batch is committed, and a batch that is run again overwrites it. Each batch writes the table anew, which
+    suits small ones; ``patched`` rewrites the buckets that a batch touches only."""
 
     def one(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
