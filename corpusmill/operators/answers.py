@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import facets, filters, search
+from . import facets, filters, search, tables
 
 
 def paged(scored: DataFrame, keys: list[str], size: int, number: int = 1) -> DataFrame:
@@ -29,10 +29,10 @@ def answered(rows: DataFrame, keys: list[str], text: str, queries: DataFrame, tr
 
 def labels_named(labels: DataFrame, queries: DataFrame, size: int = 10) -> DataFrame:
     """(query_id, id, rank): labels whose value is the query, then those that begin with it, then those whose other names
-    do, then those that hold it anywhere. ``queries`` (query_id, q), lower-case, is stated by the caller."""
+    do, then those that hold it anywhere. ``queries`` (query_id, q), lower-case, is a stated table of bounded size."""
     low, q = F.lower("value"), F.col("q")
     place = F.when(low == q, 0).when(low.startswith(q), 1).when(F.exists("alternatives", lambda x: F.lower(x).startswith(q)), 2).when(low.contains(q), 3)
-    hits = labels.join(F.broadcast(queries), place.isNotNull()).select("query_id", "id", place.alias("place"), low.alias("name"))
+    hits = labels.join(tables.stated(queries), place.isNotNull()).select("query_id", "id", place.alias("place"), low.alias("name"))
     ranked = hits.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("place", "name", "id")))
     return ranked.where(F.col("rank") <= size).select("query_id", "id", "rank")
 

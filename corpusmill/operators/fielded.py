@@ -168,7 +168,7 @@ def answered(
         "_i int, query_id long, items array<string>, words array<string>, names array<string>, whole string, topics array<string>, _order string, _down boolean, _size int, _number int",
     )
     weight = {f: F.create_map(*(x for t in sorted(wanted[f]) for x in (F.lit(t), idf(f, t)))) if wanted[f] else None for f in fields}
-    pairs = pairs.join(F.broadcast(listed), "_i")  # the stated queries
+    pairs = pairs.join(tables.stated(listed), "_i")
     at = lambda f, t: F.coalesce(F.try_element_at("places", F.concat(F.lit(f"{f}:"), t)), none)
 
     def rank(f: str, terms: str) -> Column:

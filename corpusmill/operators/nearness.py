@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import search
+from . import search, tables
 
 #: Words within which two neighbours of a query count as near, and the worth of the wrong order.
 REACH, REVERSED = 10, 0.5
@@ -18,11 +18,12 @@ def proximity(rows: DataFrame, keys: list[str], text: str, pairs: DataFrame, rea
     """(query_id, keys, proximity): the mean over a query's neighbouring words of how near they come in the row, from 1 (next
     to each other, in order) down to 0 (``reach`` words apart or one missing).
 
-    ``pairs`` (query_id, pair, first, second) is stated by the caller. Each word looks back to the last place of its
+    ``pairs`` (query_id, pair, first, second) is counted, and broadcast if it is small. Each word looks back to the last place of its
     neighbour in one window over the row's own places of both; places are not joined with each other.
     """
+    small = tables.hint(pairs, tables.BROADCAST_ROWS // 2)  # two ends each
     ends = pairs.select("query_id", "pair", F.explode(F.array(F.struct(F.col("first").alias("term"), F.lit(0).alias("role")), F.struct(F.col("second").alias("term"), F.lit(1).alias("role")))).alias("x")).select("query_id", "pair", "x.*")
-    places = rows.select(*keys, F.posexplode(search.tokens(F.col(text))).alias("pos", "term")).join(F.broadcast(ends), "term")
+    places = rows.select(*keys, F.posexplode(search.tokens(F.col(text))).alias("pos", "term")).join(small(ends), "term")
     before = W.partitionBy("query_id", "pair", *keys).orderBy("pos", "role").rowsBetween(W.unboundedPreceding, -1)
     other = lambda role: F.col("pos") - F.last(F.when(F.col("role") == 1 - role, F.col("pos")), ignorenulls=True).over(before)
     gaps = places.withColumns({"_ahead": F.when(F.col("role") == 1, other(1)), "_back": F.when(F.col("role") == 0, other(0))})
@@ -30,7 +31,7 @@ def proximity(rows: DataFrame, keys: list[str], text: str, pairs: DataFrame, rea
     each = gaps.groupBy("query_id", "pair", *keys).agg(F.min("_ahead").alias("_ahead"), F.min("_back").alias("_back"))
     near = each.withColumn("_near", F.greatest(worth(F.col("_ahead")), REVERSED * worth(F.col("_back"))))
     counts = pairs.groupBy("query_id").agg(F.count("*").alias("_pairs"))  # one row for each stated query
-    return near.groupBy("query_id", *keys).agg(F.sum("_near").alias("_sum")).join(F.broadcast(counts), "query_id").select("query_id", *keys, (F.col("_sum") / F.col("_pairs")).alias("proximity"))
+    return near.groupBy("query_id", *keys).agg(F.sum("_near").alias("_sum")).join(small(counts), "query_id").select("query_id", *keys, (F.col("_sum") / F.col("_pairs")).alias("proximity"))
 
 
 def of_places(words: Column, places, reach: int = REACH) -> Column:
@@ -65,10 +66,10 @@ def angle(a: Column, b: Column) -> Column:
 
 def hybrid(rows: DataFrame, key: str, vector: str, matched: Column, queries: DataFrame, distance=angle, farthest: float = DISTANCE, most: int = NEIGHBOURS) -> DataFrame:
     """(query_id, key, distance, near, matched): rows whose words match, and each query's nearest ``most`` rows within
-    ``farthest``. ``queries`` (query_id, query_vector) is stated by the caller and broadcast; ``matched`` may use its
+    ``farthest``. ``queries`` (query_id, query_vector) is a stated table of bounded size (``vectors`` is for more); ``matched`` may use its
     columns. Each row is compared with the stated queries only; ``distance`` is the metric."""
     away = F.round(distance(F.col(vector), F.col("query_vector")), 6)
-    hits = rows.join(F.broadcast(queries), F.coalesce(matched, F.lit(False)) | (away <= farthest)).select("query_id", key, away.alias("distance"), F.coalesce(matched, F.lit(False)).alias("matched"))
+    hits = rows.join(tables.stated(queries), F.coalesce(matched, F.lit(False)) | (away <= farthest)).select("query_id", key, away.alias("distance"), F.coalesce(matched, F.lit(False)).alias("matched"))
     close = F.col("distance") <= farthest
     place = F.row_number().over(W.partitionBy("query_id").orderBy("distance", key))
     nearest = hits.where(close).withColumn("_place", place).where(F.col("_place") <= most).withColumn("near", F.lit(True)).drop("_place")

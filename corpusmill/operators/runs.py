@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import tables
+
 
 def _f1(hit, said, real):
     return F.coalesce(F.try_divide(2.0 * F.count_if(hit), F.count_if(said) + F.count_if(real)), F.lit(0.0))
@@ -45,9 +47,9 @@ def disagreements(rows: DataFrame, by: str) -> DataFrame:
 
 def suite(engines: DataFrame, cases: DataFrame, outcomes: DataFrame) -> DataFrame:
     """(engine, case_id, category, terms, passed, n_results): every case for every engine. A case that an engine has no
-    outcome for (engine, case_id, passed, n_results), such as an error, failed with no results. ``engines`` is stated
-    by the caller."""
-    every = cases.select("case_id", "category", "terms").join(F.broadcast(engines))
+    outcome for (engine, case_id, passed, n_results), such as an error, failed with no results. ``engines`` is a
+    stated table of bounded size."""
+    every = cases.select("case_id", "category", "terms").join(tables.stated(engines))
     joined = every.join(outcomes, ["engine", "case_id"], "left")
     return joined.select("engine", "case_id", "category", "terms", F.coalesce("passed", F.lit(False)).alias("passed"), F.coalesce("n_results", F.lit(0)).alias("n_results"))
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import tables
+
 #: Length normalisation and term saturation of the ranking.
 B, K1 = 0.4, 1.2
 
@@ -36,17 +38,18 @@ def strip_controls(text: Column) -> Column:
 def bm25(rows: DataFrame, keys: list[str], text: str, queries: DataFrame) -> DataFrame:
     """query_id, keys and score of all rows that share a term with a query.
 
-    ``queries`` (query_id, term) is stated by the caller and broadcast; only postings of its terms are shuffled.
+    ``queries`` (query_id, term) is counted, and broadcast if it is small; only postings of its terms are shuffled.
     """
+    small = tables.hint(queries)
     sized = rows.select(*keys, tokens(F.col(text)).alias("_t")).withColumn("_len", F.size("_t"))
     stats = sized.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"))  # one row
-    wanted = F.broadcast(queries.select("term").distinct())
+    wanted = small(queries.select("term").distinct())
     postings = sized.select(*keys, "_len", F.explode("_t").alias("term")).join(wanted, "term").groupBy(*keys, "_len", "term").agg(F.count("*").alias("_tf"))
     frequency = postings.groupBy("term").agg(F.count("*").alias("_df"))
     idf = F.log(1 + (F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
     part = idf * F.col("_tf") * (K1 + 1) / (F.col("_tf") + K1 * (1 - B + B * F.col("_len") / F.col("_avg")))
-    weighed = frequency.join(F.broadcast(queries), "term").join(F.broadcast(stats))
-    return postings.join(F.broadcast(weighed), "term").groupBy("query_id", *keys).agg(F.sum(part).alias("score"))
+    weighed = frequency.join(small(queries), "term").join(F.broadcast(stats))
+    return postings.join(small(weighed), "term").groupBy("query_id", *keys).agg(F.sum(part).alias("score"))
 
 
 def top(scored: DataFrame, keys: list[str], k: int) -> DataFrame:
