@@ -70,13 +70,13 @@ class Block:
         firsts = offsets[:-1][offsets[:-1] < len(raw)]
         begins[firsts] = word[firsts]
         start = np.flatnonzero(begins)
-        before = np.append(np.cumsum(word)[start] - 1, word.sum()).astype(np.int32)
+        before = np.append(np.cumsum(word, dtype=np.int32)[start] - 1, word.sum()).astype(np.int32)
         words = pa.Array.from_buffers(pa.string(), len(start), [None, pa.py_buffer(before), pa.py_buffer(raw[word])])
         coded = words.dictionary_encode()
         self.vocab, self.ids = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
         row = np.searchsorted(offsets, start, "right") - 1
         self.lang = langs[row]
-        piece = np.cumsum(kind == 2)[start]
+        piece = np.cumsum(kind == 2, dtype=np.int32)[start]
         self.joined = np.zeros(len(start), bool)
         self.joined[:-1] = (piece[1:] == piece[:-1]) & (row[1:] == row[:-1])
         self.hashes = spans_hash(*_spans(self.vocab))
@@ -277,8 +277,8 @@ def _entries(rows: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """The next words of all stripes one after the other, how many each has, and their counts."""
     raw, at = utf8(rows.column(5))
     blank = raw == 32
-    before = np.concatenate([[0], np.cumsum(blank)])
-    ends = np.cumsum(~blank)[blank]
+    before = np.concatenate([[0], np.cumsum(blank, dtype=np.int32)])
+    ends = np.cumsum(~blank, dtype=np.int32)[blank]
     words = pa.Array.from_buffers(pa.string(), len(ends), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(raw[~blank])])
     packed, _ = utf8(rows.column(6))
     return words, np.diff(before[at]), np.frombuffer(packed.tobytes(), "<i8")
