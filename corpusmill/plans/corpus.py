@@ -257,7 +257,7 @@ def n04(spark, d):
 def n05(spark, d):
     counts = fx.table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"))
     places = counts.select("n").distinct().withColumn("place", F.dense_rank().over(W.orderBy("n")))  # one row for each distinct count
-    return counts.join(F.broadcast(places), "n").select("source", "n", "place")
+    return counts.join(places, "n").select("source", "n", "place")
 
 
 @query("n07_first_of_group", "SELECT lang, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY CASE WHEN doc_id % 7 <> 0 THEN n_chars END NULLS LAST, doc_id) AS k FROM documents) WHERE k = 1")
