@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import derive, detectors
+from . import derive, detectors, documents
 
 
 def labels_from_topics(records: DataFrame) -> DataFrame:
@@ -46,6 +46,24 @@ def with_record_flags(records: DataFrame) -> DataFrame:
     return rows.withColumn("fields", fields).select(*records.columns)
 
 
+#: What a document reference and the serialised text of a passage under a heading begin with. Fixed values.
+DOCUMENT, SECTION = "id:documents:documents::", "Section context: this excerpt is from the section titled '"
+
+
+def derived(records: DataFrame) -> DataFrame:
+    """Update records of passages with all that is derived from their own fields: labels and concept_counts from topics, the
+    document_ref, heading_text where the serialised text has one (else what the record says), and the detectors' flags.
+
+    The fields are document_id, content, serialised_text, pages and topics, each with its value to assign.
+    """
+    rows = labels_from_topics(records)
+    ref = documents.reference(DOCUMENT, F.col("fields.document_id.assign"))
+    heading = documents.heading_from_serialised(F.col("fields.serialised_text.assign"), F.nullif(F.col("fields.content.assign"), F.lit("")), SECTION)
+    given = F.col("fields.heading_text") if "heading_text" in rows.schema["fields"].dataType.names else F.lit(None).cast("struct<assign: string>")
+    fields = F.col("fields").withField("document_ref", F.when(ref.isNotNull(), F.struct(ref.alias("assign")))).withField("heading_text", F.when(heading.isNotNull(), F.struct(heading.alias("assign"))).otherwise(given))
+    return with_record_flags(rows.withColumn("fields", fields))
+
+
 def run_summary(runs: DataFrame) -> DataFrame:
     """One row of sums over feed results: input, operation, ok, missing, throttled, their rate and the failed files. A file
     fails only if fewer operations were ok than there were."""

@@ -154,3 +154,23 @@ def a14_named(spark, d):
 @query("a15_page_and_section_sizes", fx.with_sql("passages") + ", s AS (SELECT *, CAST(sum(CASE WHEN type = 'sectionHeading' THEN 1 ELSE 0 END) OVER (PARTITION BY document_id ORDER BY idx ROWS UNBOUNDED PRECEDING) AS BIGINT) AS section_id FROM passages) SELECT document_id, 'page' AS kind, CAST(page_number AS BIGINT) AS part, count(*) AS n FROM s GROUP BY ALL UNION ALL SELECT document_id, 'section', section_id, count(*) FROM s GROUP BY ALL")
 def a15_sizes(spark, d):
     return relevance.sizes(fx.passages(spark, d))
+
+
+@query(
+    "s07_derived_records",
+    fx.with_sql("passages", "passage_topics")
+    + r""", t AS (SELECT document_id, idx, count(*) AS n, string_agg(DISTINCT 'concept::' || topic, ',' ORDER BY 'concept::' || topic) AS ids FROM passage_topics GROUP BY ALL)
+    SELECT document_id || '-' || idx AS key, 'id:documents:documents::' || document_id AS document_ref, CASE WHEN idx % 2 = 1 AND content <> '' THEN 'Part ' || idx END AS heading_text, coalesce(n, 0) AS labels, coalesce(ids, '') AS concepts,
+      len(regexp_extract_all(content, '[^ 	-]+')) BETWEEN 1 AND 11 AND len(regexp_extract_all(content, '[A-Za-z]')) > 0 AND 10 * len(regexp_extract_all(content, '[A-Z]')) >= 9 * len(regexp_extract_all(content, '[A-Za-z]')) AS heading
+    FROM passages LEFT JOIN t USING (document_id, idx)""",
+)
+def s07_derived(spark, d):
+    """Exported update records of passages, written as lines, read and completed."""
+    topic = F.struct(F.col("topic").alias("concept_id"), F.array(F.concat(F.lit('Classifier("'), "topic", F.lit('")'))).alias("labellers"))
+    topics = fx.passage_topics(spark, d).groupBy("document_id", "idx").agg(F.collect_list(topic).alias("topics"))
+    serialised = F.when(F.col("idx") % 2 == 1, F.concat(F.lit(feeds.SECTION), F.lit("Part "), "idx", F.lit("'. "), "content")).otherwise(F.col("content"))
+    rows = fx.passages(spark, d).join(topics, ["document_id", "idx"], "left").withColumns({"key": F.concat_ws("-", "document_id", "idx"), "document_id": F.col("document_id").cast("string"), "serialised_text": serialised, "pages": F.array(F.struct(F.col("page_number").alias("number"))), "topics": F.coalesce("topics", F.array())})
+    path = tables.shared_folder(spark, "exported")
+    jsonl.write_updates(jsonl.update_records(rows, F.col("key"), ["document_id", "content", "serialised_text", "pages", "topics"]), path)
+    done = feeds.derived(jsonl.read_records(spark, path, jsonl.PASSAGE_FIELDS)).select("update", "fields.*")
+    return done.select(F.col("update").alias("key"), F.col("document_ref.assign").alias("document_ref"), F.col("heading_text.assign").alias("heading_text"), F.size("labels.assign").cast("long").alias("labels"), F.array_join(F.array_sort(F.map_keys("concept_counts.assign")), ",").alias("concepts"), F.col("looks_like_short_heading.assign").alias("heading"))

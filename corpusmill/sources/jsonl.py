@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Members of a topic, and fields of a passage's update record as they are exported.
+TOPIC = "struct<concept_id: string, classifier_id: string, end_index: double, labelled_text: string, labellers: array<string>, prediction_probability: double, start_index: double, timestamps: array<string>>"
+PASSAGE_FIELDS = f"document_id string, content string, serialised_text string, pages array<struct<number: int>>, topics array<{TOPIC}>"
+
+
 def write_updates(updates: DataFrame, path: str, per_file: int = 200_000, compressed: bool = False) -> None:
     """At most ``per_file`` records in a file; a failed job leaves nothing published."""
     out = updates.write.option("maxRecordsPerFile", per_file)
