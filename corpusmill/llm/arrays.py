@@ -127,3 +127,13 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, width: int = 5) -> tuple[
     kept = np.zeros(len(out) + 1, np.int64)
     np.cumsum(new, out=kept[1:])
     return out[new], kept[at]
+
+
+def code(counts: np.ndarray) -> np.ndarray:
+    """Counts in a byte, rounded up: exact up to 127, then in quarter octaves."""
+    high = 127 + np.ceil(4 * np.log2(np.maximum(counts, 127) / 127)).astype(np.int64)
+    return np.where(counts <= 127, counts, np.minimum(high, 255)).astype(np.uint8)
+
+
+#: What each code stands for.
+CODED = np.where(np.arange(256) <= 127, np.arange(256), 127 * 2.0 ** ((np.arange(256) - 127) / 4)).astype(np.int64)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .arrays import BASE, U64, _LOWER, mix, spans_hash, utf8
+from .arrays import _LOWER, BASE, CODED, U64, code, mix, spans_hash, utf8
 from .common import maybe_broadcast, release, small_batches, tidy, written
 
 #: Candidates occur so often at least.
@@ -108,16 +108,9 @@ def _cell(hashes: np.ndarray, cells: int) -> np.ndarray:
     return (hashes >> U64(64 - (cells.bit_length() - 1))).astype(np.int64)
 
 
-def code(counts: np.ndarray) -> np.ndarray:
-    """Counts in a byte, rounded up: exact up to 127, then in quarter octaves."""
-    high = 127 + np.ceil(4 * np.log2(np.maximum(counts, 127) / 127)).astype(np.int64)
-    return np.where(counts <= 127, counts, np.minimum(high, 255)).astype(np.uint8)
-
-
 def chunks(codes: np.ndarray, stripe: int) -> np.ndarray:
     """Chunks of the stripes of prefixes with these cells, one for each ``stripe`` occurrences."""
-    at_most = np.where(codes <= 127, codes, 127 * 2.0 ** ((codes.astype(np.int64) - 127) / 4))
-    return 1 + (at_most // stripe).astype(np.int64)
+    return 1 + CODED[codes] // stripe
 
 
 def _table(rows: DataFrame, cells: int) -> np.ndarray:

@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .arrays import U64, blocks, mix, shingle_sets, utf8
+from .arrays import CODED, U64, blocks, code, mix, shingle_sets, utf8
 from .common import maybe_broadcast, release, small_batches, tidy, written
 from .components import components
 
@@ -151,21 +151,30 @@ def profile(docs: DataFrame, cells: int) -> DataFrame:
     return docs.withColumn("_task", F.spark_partition_id()).mapInArrow(run, schema)
 
 
-def sketch(profiled: DataFrame, cells: int) -> np.ndarray:
-    """The sum of all tasks' sketches, of fixed size; tasks are added up in groups of 128 first."""
+def sketch(profiled: DataFrame, cells: int) -> tuple[np.ndarray, float]:
+    """The sum of all tasks' sketches as a code for each cell, and the mean of the first row of cells; tasks are added up in
+    groups of 128 first. The driver gets a byte for each cell."""
 
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(CHUNK, np.int64)
+    def total(group: pd.DataFrame) -> np.ndarray:
+        out = np.zeros(CHUNK, np.int64)
         for x in group.counts:
-            total += np.frombuffer(zlib.decompress(x), np.int64)
-        return pd.DataFrame({"chunk": [group.chunk.iloc[0]], "counts": [zlib.compress(total.tobytes(), 1)]})
+            out += np.frombuffer(zlib.decompress(x), np.int64)
+        return out
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"chunk": [group.chunk.iloc[0]], "counts": [zlib.compress(total(group).tobytes(), 1)]})
+
+    def last(group: pd.DataFrame) -> pd.DataFrame:
+        sums = total(group)
+        return pd.DataFrame({"chunk": [group.chunk.iloc[0]], "codes": [code(sums).tobytes()], "n": [int(sums.sum())]})
 
     parts = profiled.where("counts is not null").select(F.expr("task div 128").alias("part"), "chunk", "counts")
     once = parts.groupBy("part", "chunk").applyInPandas(add, "chunk int, counts binary")
-    total = np.zeros(2 * cells, np.int64)
-    for r in once.groupBy("chunk").applyInPandas(add, "chunk int, counts binary").collect():
-        total[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(zlib.decompress(r.counts), np.int64)
-    return total
+    codes, n = np.zeros(2 * cells, np.uint8), 0
+    for r in once.groupBy("chunk").applyInPandas(last, "chunk int, codes binary, n long").collect():
+        codes[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.codes, np.uint8)
+        n += r.n if r.chunk * CHUNK < cells else 0
+    return codes, n / cells
 
 
 def _long_prefix(one: np.ndarray, level: np.ndarray, count: np.ndarray, band: int) -> list[tuple[int, int, int]]:
@@ -206,26 +215,26 @@ def _small_prefix(one: np.ndarray, count: np.ndarray, need: int, hot: int) -> li
     return out
 
 
-def signatures(docs: DataFrame, counts: np.ndarray, cells: int, anew: Anew) -> DataFrame:
+def signatures(docs: DataFrame, codes: np.ndarray, mean: float, cells: int, anew: Anew) -> DataFrame:
     """Index entries (sig, salts, node, n, most) of the documents' sets.
 
     ``most`` bounds the overlap with a set whose first common shingle is that of the entry: the shingles from it on.
     For combinations, the frequent shingles: sets that share a rare one in their prefixes meet in its entry too.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(counts.astype(np.uint32) if counts.max(initial=0) < 1 << 32 else counts)
-    mean, hot = max(1.0, float(counts[:cells].mean())), HOT
+    shared = docs.sparkSession.sparkContext.broadcast(codes)
+    mean, hot = max(1.0, mean), HOT
     schema = "sig long, salts int, node long, n int, most int"
 
     def run(batches):
         release()
-        counts = shared.value
+        codes = shared.value
         for b in batches:
             for _, sets, at in _sets(b):
                 if not len(sets):
                     continue
                 n, nodes = np.diff(at), _nodes(sets, at, anew)
                 first, second = _cells(sets, cells)
-                count = np.minimum(counts[:cells][first], counts[cells:][second])
+                count = CODED[np.minimum(codes[:cells][first], codes[cells:][second])]
                 rank = np.minimum(2 * np.log2(count / mean + 1), 31).astype(np.uint8)
                 level = np.ones(len(sets), np.int8)
                 for k, r in LEVELS.items():
@@ -373,14 +382,14 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     cells = min(max(CELLS[0], 1 << max(0, 16 * docs.count() - 1).bit_length()), CELLS[1])
     profiled = written(profile(docs, cells))
-    counts = sketch(profiled, cells)
+    codes, mean = sketch(profiled, cells)
     anew = clashes(profiled)
     docs_nodes = profiled.where("node is not null").select("doc_id", "n", "node", "twin")
     if anew:
         again = spark.createDataFrame([(a, b, to) for (a, b), to in anew.items()], "node long, twin long, _to long")
         docs_nodes = docs_nodes.join(F.broadcast(again), ["node", "twin"], "left").withColumn("node", F.coalesce("_to", "node"))
     docs_nodes = docs_nodes.select("doc_id", "n", "node")
-    entries = signatures(docs, counts, cells, anew).withColumn("salt", F.pmod("node", "salts")).repartition("sig", "salt").dropDuplicates(["sig", "salt", "node"])
+    entries = signatures(docs, codes, mean, cells, anew).withColumn("salt", F.pmod("node", "salts")).repartition("sig", "salt").dropDuplicates(["sig", "salt", "node"])
     one = W.partitionBy("sig", "salt")
     shared = entries.withColumn("size", F.count("*").over(one)).where("size > 1 or salts > 1")
     # a salted entry's nodes may have their like under another salt
