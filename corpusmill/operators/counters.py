@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import metrics, timeline
@@ -29,8 +30,11 @@ def rates(samples: DataFrame, by: list[str], window: str = "5 minutes", step: st
 
 
 def histogram_quantiles(samples: DataFrame, by: list[str], shares: list[float], bound: str = "le", window: str = "5 minutes", step: str | None = None, ts: str = "ts", value: str = "count") -> DataFrame:
-    """(by, window, q<share>) of cumulative buckets that are counters themselves, from their rates."""
+    """(by, window, q<share>) of cumulative buckets that are counters themselves, from their rates. A bucket whose rate is below
+    that of a smaller bound, as a reset may leave it where it went unseen, takes that one's."""
     rated = rates(samples, [*by, bound], window, step, ts, value)
+    # the bounds of one window
+    rated = rated.withColumn("rate", F.max("rate").over(W.partitionBy(*by, "window").orderBy(bound)))
     grouped = rated.select(F.struct(*by, "window").alias("window"), F.col(bound).alias("le"), F.col("rate").alias("count"))
     out = metrics.latency_quantiles(grouped, shares)
     return out.select("window.*", *(c for c in out.columns if c != "window"))

@@ -121,7 +121,7 @@ def latency_quantiles(buckets: DataFrame, shares: list[float]) -> DataFrame:
     from the bound below it; the last bound where it falls beyond."""
     own = W.partitionBy("window").orderBy("le")
     steps = buckets.withColumns({"_below": F.coalesce(F.lag("le").over(own), F.lit(0.0)), "_before": F.coalesce(F.lag("count").over(own), F.lit(0)), "_all": F.max("count").over(W.partitionBy("window"))})
-    at = {f"q{round(100 * s)}": F.min(F.when(F.col("count") >= s * F.col("_all"), F.col("_below") + (F.col("le") - F.col("_below")) * F.try_divide(s * F.col("_all") - F.col("_before"), F.col("count") - F.col("_before")))) for s in shares}
+    at = {f"q{round(100 * s)}": F.min(F.when((F.col("count") >= s * F.col("_all")) & (F.col("_before") < s * F.col("_all")), F.col("_below") + (F.col("le") - F.col("_below")) * F.try_divide(s * F.col("_all") - F.col("_before"), F.col("count") - F.col("_before")))) for s in shares}
     return steps.groupBy("window").agg(*(e.alias(k) for k, e in at.items()))
 
 

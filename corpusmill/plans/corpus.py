@@ -330,7 +330,7 @@ def m09(spark, d):
     fx.with_sql("web_events")
     + """, b AS (SELECT event AS w, le, count(*) FILTER (WHERE k <= le) AS c FROM web_events, (VALUES (10.0), (25.0), (50.0), (100.0)) v(le) GROUP BY ALL),
     s AS (SELECT *, coalesce(lag(le) OVER (PARTITION BY w ORDER BY le), 0) AS below, coalesce(lag(c) OVER (PARTITION BY w ORDER BY le), 0) AS before, max(c) OVER (PARTITION BY w) AS a FROM b)
-    SELECT w AS "window", round(min(CASE WHEN c >= 0.5 * a THEN below + (le - below) * (0.5 * a - before) / nullif(c - before, 0) END), 6) AS q50, round(min(CASE WHEN c >= 0.95 * a THEN below + (le - below) * (0.95 * a - before) / nullif(c - before, 0) END), 6) AS q95 FROM s GROUP BY 1""",
+    SELECT w AS "window", round(min(CASE WHEN c >= 0.5 * a AND before < 0.5 * a THEN below + (le - below) * (0.5 * a - before) / nullif(c - before, 0) END), 6) AS q50, round(min(CASE WHEN c >= 0.95 * a AND before < 0.95 * a THEN below + (le - below) * (0.95 * a - before) / nullif(c - before, 0) END), 6) AS q95 FROM s GROUP BY 1""",
 )
 def a29(spark, d):
     bounds = F.explode(F.array(*(F.lit(x) for x in (10.0, 25.0, 50.0, 100.0)))).alias("le")

@@ -31,13 +31,13 @@ def w04_folded(spark, d):
     return updates.apply_folds(base, updates.fold(log, "doc_id", "at", F.col("make")), "doc_id")
 
 
-_LE = (20.0, 60.0, 150.0, 400.0, 1e9)
+_LE = (20.0, 60.0, 150.0, 400.0, 1000.0)
 _SAMPLES = fx.with_sql("web_events") + f""", m AS (SELECT host, le, date_trunc('minute', ts) AS ts, ts >= TIMESTAMP '2024-01-03' AS later, count(*) FILTER (WHERE value <= le) AS n FROM web_events, (VALUES {', '.join(f'(CAST({x} AS DOUBLE))' for x in _LE)}) v(le) GROUP BY ALL),
     s AS (SELECT host, le, ts, sum(n) OVER (PARTITION BY host, le, later ORDER BY ts) AS c FROM m),
     i AS (SELECT host, le, ts, lag(c) OVER (PARTITION BY host, le ORDER BY ts) AS p, c FROM s),
     g AS (SELECT host, le, ts, CASE WHEN c >= p THEN c - p ELSE c END AS up FROM i WHERE p IS NOT NULL)"""
-_QUANTILES = """, b AS (SELECT *, coalesce(lag(le) OVER o, 0) AS below, coalesce(lag(c) OVER o, 0) AS before, max(c) OVER (PARTITION BY host, w) AS a FROM r WINDOW o AS (PARTITION BY host, w ORDER BY le))
-    SELECT host, w AS "window", """ + ", ".join(f"CAST(round(min(CASE WHEN c >= {q} * a THEN below + (le - below) * ({q} * a - before) / nullif(c - before, 0) END), 6) AS DOUBLE) AS q{round(100 * q)}" for q in (0.5, 0.95, 0.99)) + " FROM b GROUP BY ALL"
+_QUANTILES = """, r2 AS (SELECT * REPLACE (max(c) OVER (PARTITION BY host, w ORDER BY le) AS c) FROM r), b AS (SELECT *, coalesce(lag(le) OVER o, 0) AS below, coalesce(lag(c) OVER o, 0) AS before, max(c) OVER (PARTITION BY host, w) AS a FROM r2 WINDOW o AS (PARTITION BY host, w ORDER BY le))
+    SELECT host, w AS "window", """ + ", ".join(f"CAST(round(min(CASE WHEN c >= {q} * a AND before < {q} * a THEN below + (le - below) * ({q} * a - before) / nullif(c - before, 0) END), 6) AS DOUBLE) AS q{round(100 * q)}" for q in (0.5, 0.95, 0.99)) + " FROM b GROUP BY ALL"
 
 
 def _histograms(spark, d):
@@ -161,7 +161,8 @@ def a15_sizes(spark, d):
     fx.with_sql("passages", "passage_topics")
     + r""", t AS (SELECT document_id, idx, count(*) AS n, string_agg(DISTINCT 'concept::' || topic, ',' ORDER BY 'concept::' || topic) AS ids FROM passage_topics GROUP BY ALL)
     SELECT document_id || '-' || idx AS key, 'id:documents:documents::' || document_id AS document_ref, CASE WHEN idx % 2 = 1 AND content <> '' THEN 'Part ' || idx END AS heading_text, coalesce(n, 0) AS labels, coalesce(ids, '') AS concepts,
-      len(regexp_extract_all(content, '[^ 	-]+')) BETWEEN 1 AND 11 AND len(regexp_extract_all(content, '[A-Za-z]')) > 0 AND 10 * len(regexp_extract_all(content, '[A-Z]')) >= 9 * len(regexp_extract_all(content, '[A-Za-z]')) AS heading
+      len(regexp_extract_all(content, '[^ 	-
+]+')) BETWEEN 1 AND 11 AND len(regexp_extract_all(content, '[A-Za-z]')) > 0 AND 10 * len(regexp_extract_all(content, '[A-Z]')) >= 9 * len(regexp_extract_all(content, '[A-Za-z]')) AS heading
     FROM passages LEFT JOIN t USING (document_id, idx)""",
 )
 def s07_derived(spark, d):

@@ -98,6 +98,20 @@ def test_counters_start_anew(spark):
     assert counters.rates(df, ["s"], step="10 minutes").count() == 1
 
 
+def test_an_unseen_reset_leaves_buckets_in_order(spark):
+    rows = [(1, 10, 5.0), (1, 20, 5.0), (2, 10, 4.0), (2, 20, 6.0), (3, 10, 6.0), (3, 20, 8.0)]
+    df = spark.createDataFrame([("s", f"2024-01-01 00:0{m}:00", float(le), c) for m, le, c in rows], "s string, t string, le double, count double").selectExpr("s", "cast(t as timestamp_ntz) ts", "le", "count")
+    r = counters.histogram_quantiles(df, ["s"], [0.5]).first()
+    assert 0 < r.q50 <= 10
+
+
+def test_quantiles_lie_in_the_bucket_of_their_share(spark):
+    rows = [(10.0, 80), (20.0, 81), (1000.0, 100)]
+    df = spark.createDataFrame([("s", f"2024-01-01 00:0{m}:00", le, c * m) for m in (1, 2) for le, c in rows], "s string, t string, le double, count int").selectExpr("s", "cast(t as timestamp_ntz) ts", "le", "count")
+    r = counters.histogram_quantiles(df, ["s"], [0.5, 0.9, 0.99]).first()
+    assert r.q50 == pytest.approx(6.25) and r.q90 == pytest.approx(20 + 980 * 9 / 19) and r.q99 == pytest.approx(20 + 980 * 18 / 19)
+
+
 def test_dotted_names_and_groups(spark, tmp_path):
     flat = spark.createDataFrame([(1, "T", "u", 2)], ["document_id", "document_metadata.document_title", "document_metadata.source_url", "a.b.c"])
     whole = nested.from_dotted(flat).first()
