@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,8 @@ from .arrays import ragged
 from .common import kept, small_batches
 from .pretokens import PieceCache, classes, documents_ids
 
-#: States and token pairs kept by a worker before it starts anew.
-MOST_STATES = 400_000
+#: States kept by a worker before it starts anew; a state with its moves and token pairs takes some 500 bytes.
+MOST_STATES = 100_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -44,25 +45,46 @@ class Transducer:
         self.longest = max(map(len, ranks))
         self.single = [bytes([i]) for i in range(256)]
         self.begun = {t[:k] for t in ranks for k in range(1, len(t))} | {b""}
+        self.tokens = {i: t for t, i in ranks.items()}
         self.halves: dict[bytes, tuple[bytes, bytes] | None] = {}
         self.clear()
 
     def clear(self) -> None:
-        self.good: set[tuple[bytes, bytes]] = set()
-        self.bad: set[tuple[bytes, bytes]] = set()
-        self.states: list[tuple] = []  # last token, pending bytes, tokens that end at each pending position
-        self.number: dict[tuple, int] = {}
-        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}  # by state * 256 + byte
-        self.ends: list[tuple[int, ...] | None] = []
-        self.state((b"", b"", (None,)))
-
-    def state(self, key: tuple) -> int:
+        self.good: set[int] = set()  # pairs of tokens, as rank << 32 | rank
+        self.bad: set[int] = set()
+        self.states: list[bytes] = []  # packed
+        self.number: dict[bytes, int] = {}
+        self.moves: dict[int, int] = {}  # by state * 256 + byte: emitted << 32 | state
+        self.ends = array("l")  # what a piece that ends there emits, -1 if not asked yet
+        self.emitted: list[tuple[int, ...]] = []
+        self.emits: dict[tuple[int, ...], int] = {}
+        self.emit(())
+        self.state(b"", b"", (None,))
+
+    def emit(self, ids: tuple[int, ...]) -> int:
+        if ids not in self.emits:
+            self.emits[ids] = len(self.emitted)
+            self.emitted.append(ids)
+        return self.emits[ids]
+
+    def state(self, u: bytes | None, p: bytes, ending: tuple) -> int:
+        """The number of the state with a last token, pending bytes and the tokens that end at each pending position. It
+        is kept as one string of bytes: the token, the pending bytes and the lengths of the tokens."""
+        last = 0 if u is None else self.ranks[u] + 2 if u else 1
+        key = last.to_bytes(4, "little") + p + array("H", [len(t) if t else 0 for t in ending[1:]]).tobytes()
         if key not in self.number:
             self.number[key] = len(self.states)
             self.states.append(key)
-            self.ends.append(None)
+            self.ends.append(-1)
         return self.number[key]
 
+    def unpacked(self, number: int) -> tuple[bytes | None, bytes, tuple]:
+        key = self.states[number]
+        m, last = (len(key) - 4) // 3, int.from_bytes(key[:4], "little")
+        p = key[4 : 4 + m]
+        ending = (None, *(p[j - n : j] if n else None for j, n in enumerate(array("H", key[4 + m :]), 1)))
+        return (None if not last else self.tokens[last - 2] if last > 1 else b""), p, ending
+
     def parts(self, token: bytes) -> tuple[bytes, bytes] | None:
         """The two tokens whose merge makes this one; None for a single byte."""
         if token not in self.halves:
@@ -79,7 +101,10 @@ class Transducer:
         """Whether BPE leaves a and b apart: undoes their merges, the latest first, and looks for one across."""
         if not a:
             return True
-        if (a, b) in self.bad:
+        pair = self.ranks[a] << 32 | self.ranks[b]
+        if pair in self.good:
+            return True
+        if pair in self.bad:
             return False
         x, y, limit, good = a, b, len(self.ranks) + 1, True
         while True:
@@ -93,7 +118,7 @@ class Transducer:
                 limit, x = self.ranks[x], px[1]  # at one rank the left merge comes first
             else:
                 limit, y = self.ranks[y] + 1, py[0]
-        (self.good if good else self.bad).add((a, b))
+        (self.good if good else self.bad).add(pair)
         return good
 
     def tail(self, ending: tuple, p: bytes, at: int) -> list[tuple[int, bytes]]:
@@ -104,12 +129,12 @@ class Transducer:
             at -= len(ending[at])
         return out[::-1]
 
-    def step(self, number: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        u, p, ending = self.states[number]
+    def step(self, number: int, byte: int) -> int:
+        u, p, ending = self.unpacked(number)
         ranks, begun, p, m, found = self.ranks, self.begun, p + self.single[byte], len(p) + 1, None
         for s in range(m):
             before = ending[s] if s else u
-            if before is not None and (t := p[s:]) in ranks and ((before, t) in self.good or self.follows(before, t)):
+            if before is not None and (t := p[s:]) in ranks and self.follows(before, t):
                 found = t
                 break
         ending = (*ending, found)
@@ -134,7 +159,7 @@ class Transducer:
             p, ending = p[cut:], tuple(rest)
         if p not in begun:  # no later token starts at the cut
             u = None
-        return self.state((u, p, ending)), emitted
+        return self.emit(emitted) << 32 | self.state(u, p, ending)
 
     def encode(self, piece: bytes) -> list[int]:
         if (whole := self.ranks.get(piece)) is not None:
@@ -146,13 +171,13 @@ class Transducer:
             move = moves.get(at << 8 | byte)
             if move is None:
                 move = moves[at << 8 | byte] = self.step(at, byte)
-            at = move[0]
-            if move[1]:
-                out.extend(move[1])
-        if self.ends[at] is None:
-            _, p, ending = self.states[at]
-            self.ends[at] = tuple(self.ranks[t] for _, t in self.tail(ending, p, len(p)))
-        out.extend(self.ends[at])
+            at = move & 0xFFFFFFFF
+            if move != at:
+                out.extend(self.emitted[move >> 32])
+        if self.ends[at] < 0:
+            _, p, ending = self.unpacked(at)
+            self.ends[at] = self.emit(tuple(self.ranks[t] for _, t in self.tail(ending, p, len(p))))
+        out.extend(self.emitted[self.ends[at]])
         return out
 
 

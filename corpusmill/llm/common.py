@@ -128,6 +128,8 @@ def ascii_lower(c: Column, blanks: str = "") -> Column:
 
 #: What a Python worker keeps from one task to the next: at most one operator's state.
 _KEPT: dict = {}
+#: Blocks of at least so many bytes go back to the system as soon as a worker frees them (the C library's option -3).
+GIVEN_BACK = 1 << 20
 
 
 def kept(key, make: Callable[[], object]):
@@ -139,6 +141,7 @@ def kept(key, make: Callable[[], object]):
         _KEPT.clear()
         gc.collect()
         with contextlib.suppress(OSError, AttributeError):  # gives freed memory back where the C library can
+            ctypes.CDLL(None).mallopt(-3, GIVEN_BACK)
             ctypes.CDLL(None).malloc_trim(0)
         _KEPT[key] = make()
     return _KEPT[key]

@@ -119,10 +119,13 @@ class Pool:
 
 
 class PieceCache:
-    """Ids of pieces; ``encode`` gets a list of new pieces and returns a list of id lists."""
+    """Ids of pieces; ``encode`` gets a list of new pieces and returns a list of id lists.
 
-    def __init__(self, encode, kinds: np.ndarray, most: int = 1_000_000) -> None:
-        self.encode, self.kinds, self.most = encode, kinds, most
+    It starts anew at ``most`` pieces or ``characters`` of them, so that long pieces do not pile up either.
+    """
+
+    def __init__(self, encode, kinds: np.ndarray, most: int = 1_000_000, characters: int = 3_500_000) -> None:
+        self.encode, self.kinds, self.most, self.characters = encode, kinds, most, characters
         self.clear()
 
     def clear(self) -> None:
@@ -150,7 +153,7 @@ class PieceCache:
         cp, first, last, before = pieces(texts, self.kinds)
         size = last - first
         hashes, index, inverse = np.unique(spans_hash(cp.view(np.uint8), 4 * first, 4 * size), return_index=True, return_inverse=True)
-        if len(self.keys) > self.most:
+        if len(self.keys) > self.most or self.texts.used > self.characters:
             self.clear()
         where = np.searchsorted(self.keys, hashes)
         new = np.ones(len(hashes), bool)

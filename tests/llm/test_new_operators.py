@@ -239,3 +239,23 @@ def test_names_that_sets_share_are_told_apart(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "clashes", lambda p: {(r.node, r.twin): i for i, r in enumerate(p.where("node is not null").select("node", "twin").distinct().collect())} if real(p) == {} else {})
     got = {x.doc_id: x.component_id for x in jaccard.link_components(docs(spark, texts)).collect()}
     assert got == {i: i // 2 * 2 for i in range(60)}
+
+
+def test_a_bpe_worker_keeps_little():
+    import tracemalloc
+
+    from corpusmill.llm import bpe, pretokens
+
+    r = random.Random(3)
+    t = bpe.Transducer(bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken")))
+    tracemalloc.start()
+    try:
+        for _ in range(40_000):
+            t.encode(bytes(r.choices(b"etaoinshrdlu", k=9)))
+        assert tracemalloc.get_traced_memory()[0] < 60e6
+    finally:
+        tracemalloc.stop()
+    cache = pretokens.PieceCache(lambda ws: [[1]] * len(ws), bpe._kinds())
+    for i in range(40):
+        cache.ids(["".join(r.choices("abcdef", k=20)) * 20_000 + "xyz"[i % 3]])
+    assert cache.texts.used < 5_000_000
