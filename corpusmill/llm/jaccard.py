@@ -17,7 +17,8 @@ part with the ranges of every size that a similar set can have.
 
 Only links that tell components apart are verified: first each index entry against one centre, then those in
 different components against fresh centres as long as that settles something, at last the pairs of one entry that are
-still in different components. An entry drops the nodes that can be similar to none of its others: too few of their
+still in different components. Whole sets are only shuffled for pairs that parity bitmaps of a bit or two for each shingle
+leave in doubt. An entry drops the nodes that can be similar to none of its others: too few of their
 shingles are left behind the entry's place in the order for any size that the entry has. A pair is not verified if
 its sizes or places forbid a link, if the distances to a common pivot differ by more than similar sets' can, or if
 parity bitmaps differ in more bits than similar sets have shingles of their own. Entries of the same centre are folded into one, and entries with the same
@@ -61,7 +62,8 @@ SALT_ROWS, MEETING = 20_000, 2_000
 #: Ratio of the sizes that fall into one class of an entry.
 STEP = 1.02
 CHUNK = 1 << 14
-#: 64-bit words of a set's parity bitmap.
+#: 64-bit words of a set's parity bitmap in the join of an entry's pairs; before whole sets are met, bitmaps with a bit for
+#: each shingle or more are.
 WORDS = 8
 #: Text that a worker hashes at once.
 BYTES = 1 << 20
@@ -278,26 +280,57 @@ def signatures(docs: DataFrame, codes: np.ndarray, mean: float, cells: int, anew
     return docs.mapInArrow(run, schema)
 
 
+def bitmap(one: np.ndarray) -> bytes:
+    """A parity bitmap of one set as in ``parities``, of as many bits as the next power of two, 64 * WORDS at least."""
+    bits = max(64 * WORDS, 1 << max(0, len(one) - 1).bit_length())
+    spot = (mix(one ^ U64(0x2545F4914F6CDD1D)) & U64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(spot, minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def least_apart(x: bytes, y: bytes) -> int:
+    """Shingles that are in one of two sets only, at least: the larger bitmap is folded to the size of the other."""
+    p, q = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+    while len(q) > len(p):
+        q = q[: len(q) // 2] ^ q[len(q) // 2 :]
+    return int(np.bitwise_count(p ^ q).sum())
+
+
+def beside(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
+    """The pairs (a, b), a written table, with these columns of both nodes."""
+    hint = maybe_broadcast(pairs)
+    left, right = (sets.select(F.col("node").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in columns)) for c in "ab")
+    # only the sets that pairs need are shuffled
+    return left.join(hint, "a").join(right.join(hint, "b"), ["a", "b"]).select("a", "b", *(f"{x}_{c}" for x in columns for c in "ab"))
+
+
 def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) with their Jaccard distance on the whole sets, and whether they are linked."""
-    left, right = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "ab")
+    """The pairs (a, b) with bounds of their Jaccard distance (least, most), and whether they are linked.
+
+    Pairs that their bitmaps forbid to be linked stop there; the others are measured on the whole sets.
+    """
+
+    def bound(batches):
+        release()
+        for b in batches:
+            apart = np.array([least_apart(x, y) for x, y in zip(b.column("bits_a").to_pylist(), b.column("bits_b").to_pylist(), strict=True)], np.int64)
+            both = b.column("m_a").to_numpy().astype(np.int64) + b.column("m_b").to_numpy()
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(2 * apart / (both + apart), pa.float64()), pa.array((100 + SIMILARITY) * apart <= (100 - SIMILARITY) * both)], ["a", "b", "least", "open"])
 
     def run(batches):
         release()
         for b in batches:
             out = []
-            for x, y, p, q in zip(*(b.column(c).to_pylist() for c in ("a", "b", "set_a", "set_b")), strict=True):
+            for x, y, p, q in zip(*(b.column(c).to_pylist() for c in ("a", "b", "shingles_a", "shingles_b")), strict=True):
                 p, q = np.frombuffer(p, U64), np.frombuffer(q, U64)
                 at = np.minimum(np.searchsorted(p, q), len(p) - 1)
                 common = int((p[at] == q).sum())
                 both = len(p) + len(q) - common
-                out.append((x, y, 1 - common / both, 100 * common >= SIMILARITY * both))
-            yield pa.RecordBatch.from_arrays([pa.array([z[k] for z in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.bool_()))], ["a", "b", "distance", "linked"])
+                out.append((x, y, 1 - common / both, 1 - common / both, 100 * common >= SIMILARITY * both))
+            yield pa.RecordBatch.from_arrays([pa.array([z[k] for z in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_()))], ["a", "b", "least", "most", "linked"])
 
-    pairs = written(pairs)
-    hint = maybe_broadcast(pairs)
-    # only the sets that pairs need are shuffled
-    return left.join(hint, "a").join(right.join(hint, "b"), ["a", "b"]).select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long, distance double, linked boolean")
+    bounded = written(beside(written(pairs), sets, "bits", "m").mapInArrow(bound, "a long, b long, least double, open boolean"))
+    exact = beside(bounded.where("open").select("a", "b"), sets, "shingles").mapInArrow(run, "a long, b long, least double, most double, linked boolean")
+    return exact.union(bounded.where("not open").select("a", "b", "least", F.lit(1.0).alias("most"), F.lit(False).alias("linked")))
 
 
 def possible(n: str, m: str, most: str, most_m: str) -> str:
@@ -417,19 +450,20 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             for _, sets, at in _sets(b):
                 if m := len(at) - 1:
                     words = parities(sets, at)
-                    columns = [pa.array(_nodes(sets, at, anew)), pa.array([sets[at[r] : at[r + 1]].tobytes() for r in range(m)], pa.binary()), *(pa.array(words[:, k].copy()) for k in range(WORDS))]
-                    yield pa.RecordBatch.from_arrays(columns, ["node", "shingles", *odd])
+                    ones = [sets[i:j] for i, j in itertools.pairwise(at.tolist())]
+                    columns = [pa.array(_nodes(sets, at, anew)), pa.array([x.tobytes() for x in ones], pa.binary()), pa.array([bitmap(x) for x in ones], pa.binary()), pa.array(np.diff(at), pa.int32()), *(pa.array(words[:, k].copy()) for k in range(WORDS))]
+                    yield pa.RecordBatch.from_arrays(columns, ["node", "shingles", "bits", "m", *odd])
 
     odd = [f"odd{k}" for k in range(WORDS)]
-    sets = wanted.mapInArrow(make, f"node long, shingles binary, {', '.join(f'{o} long' for o in odd)}")
+    sets = wanted.mapInArrow(make, f"node long, shingles binary, bits binary, m int, {', '.join(f'{o} long' for o in odd)}")
     sets = written(sets.dropDuplicates(["node"]) if repeated else sets)
 
     # each node against the centre that it shares most entries with; the centres of a salted entry against its first
     first = written(measured(first, sets))
     links = written(first.union(measured(bridges.distinct(), sets)).where("linked").select("a", "b"))
     labels = components(links)
-    # each node's distance to one pivot, which tells many pairs apart by the triangle inequality
-    pivots = first.select(F.col("b").alias("node"), F.col("a").alias("pivot"), F.col("distance").alias("off"))
+    # bounds of each node's distance to one pivot, which tell many pairs apart by the triangle inequality
+    pivots = first.select(F.col("b").alias("node"), F.col("a").alias("pivot"), F.col("least").alias("off"), F.col("most").alias("far"))
     turn, last = 0, False
     while not last:
         turn += 1
@@ -443,15 +477,15 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         # another round of centres only pays as long as it settles a fair share of the nodes
         last = turn > 1 and 20 * more.count() < n_nodes
         if last:  # all that is left between components
-            rest = merged(rest).join(pivots, "node", "left").withColumns({"pivot": F.coalesce("pivot", "node"), "off": F.coalesce("off", F.lit(0.0))})
+            rest = merged(rest).join(pivots, "node", "left").withColumns({"pivot": F.coalesce("pivot", "node"), "off": F.coalesce("off", F.lit(0.0)), "far": F.coalesce("far", F.lit(0.0))})
             rest = written(rest.join(sets.select("node", *odd), "node"))
             large = written(rest.groupBy("sig").agg(F.count("*").alias("_m")).where(F.col("_m") > MEETING).select("sig", F.ceil(F.col("_m") / MEETING).cast("int").alias("_shares")))
             rest = rest.join(maybe_broadcast(large), "sig", "left").withColumn("_shares", F.coalesce("_shares", F.lit(1)))
-            x, y = (rest.select("sig", "_shares", F.col("node").alias(c), *(F.col(v).alias(f"{v}_{c}") for v in ("component", "n", "most", "pivot", "off", *odd))) for c in "ab")
+            x, y = (rest.select("sig", "_shares", F.col("node").alias(c), *(F.col(v).alias(f"{v}_{c}") for v in ("component", "n", "most", "pivot", "off", "far", *odd))) for c in "ab")
             x = x.withColumn("_share", F.pmod(F.xxhash64("a"), "_shares").cast("int")).drop("_shares")
             y = y.withColumn("_share", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1))).drop("_shares")
             near = f"component_a <> component_b and a < b and {possible('n_a', 'n_b', 'most_a', 'most_b')}"
-            near += f" and (pivot_a <> pivot_b or abs(off_a - off_b) <= {(100 - SIMILARITY) / 100} + 1e-9)"
+            near += f" and (pivot_a <> pivot_b or greatest(off_a - far_b, off_b - far_a) <= {(100 - SIMILARITY) / 100} + 1e-9)"
             near += f" and {100 + SIMILARITY} * ({' + '.join(f'bit_count({o}_a ^ {o}_b)' for o in odd)}) <= {100 - SIMILARITY} * (n_a + n_b)"
             more = more.union(written(measured(x.join(y, ["sig", "_share"]).where(near).select("a", "b").distinct(), sets).where("linked").select("a", "b")))
         if not more.isEmpty():

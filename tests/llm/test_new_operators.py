@@ -259,3 +259,24 @@ def test_a_bpe_worker_keeps_little():
     for i in range(40):
         cache.ids(["".join(r.choices("abcdef", k=20)) * 20_000 + "xyz"[i % 3]])
     assert cache.texts.used < 5_000_000
+
+
+def test_unlike_sets_are_told_apart_before_they_are_met(spark):
+    from corpusmill.llm import jaccard
+
+    r = np.random.default_rng(7)
+    for _ in range(200):
+        x = r.integers(0, 1 << 62, int(r.integers(1, 5000)), np.uint64)
+        y = np.concatenate([x[: int(r.integers(0, len(x) + 1))], r.integers(0, 1 << 62, int(r.integers(1, 3000)), np.uint64)])
+        x, y = np.unique(x), np.unique(y)
+        apart = jaccard.least_apart(jaccard.bitmap(x), jaccard.bitmap(y))
+        assert 0 <= apart <= len(np.setxor1d(x, y)) and jaccard.least_apart(jaccard.bitmap(x), jaccard.bitmap(x)) == 0
+    one = np.sort(r.integers(0, 1 << 62, 6000, np.uint64))
+    near, far = np.sort(np.append(one[:5800], r.integers(0, 1 << 62, 100, np.uint64))), np.sort(np.append(one[:3000], r.integers(0, 1 << 62, 3000, np.uint64)))
+    # only the sets of the near pair are at hand, so a look at the others would fail
+    rows = [(1, one.tobytes(), jaccard.bitmap(one), len(one)), (2, near.tobytes(), jaccard.bitmap(near), len(near)), (3, None, jaccard.bitmap(far), len(far))]
+    sets = spark.createDataFrame([(a, bytearray(b) if b else None, bytearray(c), m) for a, b, c, m in rows], "node long, shingles binary, bits binary, m int")
+    got = {(x.a, x.b): x for x in jaccard.measured(spark.createDataFrame([(1, 2), (1, 3), (2, 3)], "a long, b long"), sets).collect()}
+    assert {k: x.linked for k, x in got.items()} == {(1, 2): True, (1, 3): False, (2, 3): False}
+    exact = {(1, 2): 1 - 5800 / 6100, (1, 3): 1 - 3000 / 9000, (2, 3): 1 - 3000 / 8900}
+    assert all(got[k].least <= d + 1e-12 and d <= got[k].most + 1e-12 for k, d in exact.items()) and got[1, 2].least == got[1, 2].most
