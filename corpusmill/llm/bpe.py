@@ -28,7 +28,11 @@ from .common import kept, small_batches
 from .pretokens import PieceCache, classes, documents_ids
 
 #: States kept by a worker before it starts anew; a state with its moves and token pairs takes some 500 bytes.
-MOST_STATES = 100_000
+MOST_STATES = 60_000
+#: Where a state has no last token: it is of no use any more, or nothing came before.
+NO_TOKEN, BEGIN = -2, -1
+#: Places of the filter that keeps moves out which are asked for once only.
+DOORS = 1 << 21
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -38,28 +42,39 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Transducer:
-    """Encodes pieces of bytes by merge ranks."""
+    """Encodes pieces of bytes by merge ranks.
+
+    A state is one string of bytes: the rank of the last token (four bytes; see ``NO_TOKEN`` and ``BEGIN``), the pending
+    bytes, and for each of them the length of the token that ends there, or 0 (a byte each, or two with long tokens).
+    """
 
     def __init__(self, ranks: dict[bytes, int], most: int = MOST_STATES) -> None:
         self.ranks, self.most = ranks, most
-        self.longest = max(map(len, ranks))
         self.single = [bytes([i]) for i in range(256)]
-        self.begun = {t[:k] for t in ranks for k in range(1, len(t))} | {b""}
+        self.size = "B" if max(map(len, ranks)) < 256 else "H"
+        # for tokens and their beginnings: rank * 2, -2 for no token, and 1 more if a longer token begins so
+        self.known = {t: 2 * i for t, i in ranks.items()}
+        for t in ranks:
+            for k in range(len(t) - 1, 0, -1):
+                if (x := self.known.get(t[:k], -2)) & 1:
+                    break
+                self.known[t[:k]] = x + 1
         self.tokens = {i: t for t, i in ranks.items()}
-        self.halves: dict[bytes, tuple[bytes, bytes] | None] = {}
+        self.halves: dict[int, tuple[int, int] | None] = {}
         self.clear()
 
     def clear(self) -> None:
         self.good: set[int] = set()  # pairs of tokens, as rank << 32 | rank
         self.bad: set[int] = set()
-        self.states: list[bytes] = []  # packed
+        self.states: list[bytes] = []
         self.number: dict[bytes, int] = {}
         self.moves: dict[int, int] = {}  # by state * 256 + byte: emitted << 32 | state
         self.ends = array("l")  # what a piece that ends there emits, -1 if not asked yet
         self.emitted: list[tuple[int, ...]] = []
         self.emits: dict[tuple[int, ...], int] = {}
         self.emit(())
-        self.state(b"", b"", (None,))
+        self.doors, self.opened = bytearray(DOORS), 0
+        self.saved(self.packed(BEGIN, b"", []))
 
     def emit(self, ids: tuple[int, ...]) -> int:
         if ids not in self.emits:
@@ -67,116 +82,145 @@ class Transducer:
             self.emitted.append(ids)
         return self.emits[ids]
 
-    def state(self, u: bytes | None, p: bytes, ending: tuple) -> int:
-        """The number of the state with a last token, pending bytes and the tokens that end at each pending position. It
-        is kept as one string of bytes: the token, the pending bytes and the lengths of the tokens."""
-        last = 0 if u is None else self.ranks[u] + 2 if u else 1
-        key = last.to_bytes(4, "little") + p + array("H", [len(t) if t else 0 for t in ending[1:]]).tobytes()
-        if key not in self.number:
-            self.number[key] = len(self.states)
+    def packed(self, u: int, p: bytes, ends: list[int]) -> bytes:
+        return (u + 2).to_bytes(4, "little") + p + (bytes(ends) if self.size == "B" else array("H", ends).tobytes())
+
+    def saved(self, key: bytes) -> int:
+        """The number of the state."""
+        number = self.number.setdefault(key, len(self.states))
+        if number == len(self.states):
             self.states.append(key)
             self.ends.append(-1)
-        return self.number[key]
+        return number
 
-    def unpacked(self, number: int) -> tuple[bytes | None, bytes, tuple]:
+    def asked(self, key: bytes, byte: int) -> bool:
+        """Whether the state's move was asked for before (or one of the same door): only such moves are saved."""
+        door = (hash(key) ^ byte * 0x9E3779B1) % DOORS
+        if self.doors[door]:
+            return True
+        self.doors[door] = 1
+        self.opened += 1
+        if 2 * self.opened > DOORS:
+            self.doors, self.opened = bytearray(DOORS), 0
+        return False
+
+    def unpacked(self, number: int) -> tuple[int, bytes, list[int]]:
         key = self.states[number]
-        m, last = (len(key) - 4) // 3, int.from_bytes(key[:4], "little")
-        p = key[4 : 4 + m]
-        ending = (None, *(p[j - n : j] if n else None for j, n in enumerate(array("H", key[4 + m :]), 1)))
-        return (None if not last else self.tokens[last - 2] if last > 1 else b""), p, ending
+        m = (len(key) - 4) // (2 if self.size == "B" else 3)
+        return int.from_bytes(key[:4], "little") - 2, key[4 : 4 + m], list(key[4 + m :] if self.size == "B" else array("H", key[4 + m :]))
 
-    def parts(self, token: bytes) -> tuple[bytes, bytes] | None:
+    def parts(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes this one; None for a single byte."""
         if token not in self.halves:
-            have = [token[i : i + 1] for i in range(len(token))]
+            whole = self.tokens[token]
+            have = [self.single[i] for i in whole]
             while len(have) > 2:
-                low = min(((self.ranks[j], i) for i in range(len(have) - 1) if (j := have[i] + have[i + 1]) in self.ranks and len(j) < len(token)), default=None)
+                low = min(((self.ranks[j], i) for i in range(len(have) - 1) if (j := have[i] + have[i + 1]) in self.ranks and len(j) < len(whole)), default=None)
                 if low is None:
                     break
                 have[low[1] : low[1] + 2] = [have[low[1]] + have[low[1] + 1]]
-            self.halves[token] = (have[0], have[1]) if len(have) == 2 else None
+            self.halves[token] = (self.ranks[have[0]], self.ranks[have[1]]) if len(have) == 2 else None
         return self.halves[token]
 
-    def follows(self, a: bytes, b: bytes) -> bool:
+    def follows(self, a: int, b: int) -> bool:
         """Whether BPE leaves a and b apart: undoes their merges, the latest first, and looks for one across."""
-        if not a:
-            return True
-        pair = self.ranks[a] << 32 | self.ranks[b]
+        pair = a << 32 | b
         if pair in self.good:
             return True
         if pair in self.bad:
             return False
-        x, y, limit, good = a, b, len(self.ranks) + 1, True
+        x, y, limit, good, tokens = a, b, len(self.ranks) + 1, True, self.tokens
         while True:
-            if self.ranks.get(x + y, limit) < limit:
+            if self.ranks.get(tokens[x] + tokens[y], limit) < limit:
                 good = False
                 break
             px, py = self.parts(x), self.parts(y)
             if px is None and py is None:
                 break
-            if py is None or px is not None and self.ranks[x] > self.ranks[y]:
-                limit, x = self.ranks[x], px[1]  # at one rank the left merge comes first
+            if py is None or px is not None and x > y:
+                limit, x = x, px[1]  # at one rank the left merge comes first
             else:
-                limit, y = self.ranks[y] + 1, py[0]
+                limit, y = y + 1, py[0]
         (self.good if good else self.bad).add(pair)
         return good
 
-    def tail(self, ending: tuple, p: bytes, at: int) -> list[tuple[int, bytes]]:
-        """The (end, token) that lead from the start of p to the position, in order."""
-        out = []
-        while at:
-            out.append((at, ending[at]))
-            at -= len(ending[at])
-        return out[::-1]
-
-    def step(self, number: int, byte: int) -> int:
-        u, p, ending = self.unpacked(number)
-        ranks, begun, p, m, found = self.ranks, self.begun, p + self.single[byte], len(p) + 1, None
+    def step(self, u: int, p: bytes, ends: list[int], byte: int) -> tuple[tuple[int, ...], int, bytes, list[int]]:
+        """What a state (last token, pending bytes, lengths of the tokens that end there) emits at a byte, and the next state."""
+        known, good, p, m, found = self.known, self.good, p + self.single[byte], len(p) + 1, 0
+        live = []  # ends after which a longer token may still begin
         for s in range(m):
-            before = ending[s] if s else u
-            if before is not None and (t := p[s:]) in ranks and self.follows(before, t):
-                found = t
-                break
-        ending = (*ending, found)
-        live = [j for j in range(m + 1) if ending[j] is not None and p[j:] in begun]
-        if u is not None and p in begun:
-            live.insert(0, 0)
+            n = ends[s - 1] if s else u != NO_TOKEN
+            if not n or (k := known.get(p[s:])) is None:
+                continue
+            if k & 1:
+                live.append(s)
+            if k >= 0 and not found:
+                k >>= 1
+                before = self.ranks[p[s - n : s]] if s else u
+                if before == BEGIN or before << 32 | k in good or self.follows(before, k):
+                    found = m - s
+        ends = [*ends, found]
+        if found:
+            live.append(m)
         while len(live) > 1:  # the last position that every way still open goes through
             at = live.pop()
-            if (back := at - len(ending[at])) not in live:
+            if (back := at - ends[at - 1]) not in live:
                 live.append(back)
                 live.sort()
         cut, emitted = live[0] if live else 0, ()
         if cut:
-            way = self.tail(ending, p, cut)
-            emitted = tuple(ranks[t] for _, t in way)
-            u, rest = way[-1][1], [None]
+            emitted = self.tail(p, ends, cut)
+            u, rest = emitted[-1], []
             for j in range(cut + 1, m + 1):  # ends whose way avoids the cut are of no use any more
-                at = j if ending[j] is not None else 0
+                at = j if ends[j - 1] else 0
                 while at > cut:
-                    at -= len(ending[at])
-                rest.append(ending[j] if at == cut else None)
-            p, ending = p[cut:], tuple(rest)
-        if p not in begun:  # no later token starts at the cut
-            u = None
-        return self.emit(emitted) << 32 | self.state(u, p, ending)
+                    at -= ends[at - 1]
+                rest.append(ends[j - 1] if at == cut else 0)
+            p, ends = p[cut:], rest
+        if p and not known.get(p, 0) & 1:  # no later token starts at the cut
+            u = NO_TOKEN
+        return emitted, u, p, ends
+
+    def tail(self, p: bytes, ends: list[int], at: int) -> tuple[int, ...]:
+        """The tokens that lead from the start of p to the position, in order."""
+        out = []
+        while at:
+            n = ends[at - 1]
+            out.append(self.ranks[p[at - n : at]])
+            at -= n
+        return tuple(out[::-1])
 
     def encode(self, piece: bytes) -> list[int]:
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
         if len(self.states) > self.most:
             self.clear()
-        at, out, moves = 0, [], self.moves
+        at, out, moves, here = 0, [], self.moves, None  # at: the state's number, -1 if it is not saved
         for byte in piece:
-            move = moves.get(at << 8 | byte)
-            if move is None:
-                move = moves[at << 8 | byte] = self.step(at, byte)
-            at = move & 0xFFFFFFFF
-            if move != at:
-                out.extend(self.emitted[move >> 32])
+            if at >= 0:
+                move = moves.get(at << 8 | byte)
+                if move is not None:
+                    at, here = move & 0xFFFFFFFF, None
+                    if move != at:
+                        out.extend(self.emitted[move >> 32])
+                    continue
+                if here is None:
+                    here, key = self.unpacked(at), self.states[at]
+            emitted, *after = self.step(*here, byte)
+            out.extend(emitted)
+            again, was, here = self.asked(key, byte), at, after
+            key = self.packed(*here)
+            if again:
+                at = self.saved(key)
+                if was >= 0:
+                    moves[was << 8 | byte] = (self.emit(emitted) if emitted else 0) << 32 | at
+            else:
+                at = self.number.get(key, -1)
+        if at < 0:
+            return out + list(self.tail(here[1], here[2], len(here[1])))
         if self.ends[at] < 0:
-            _, p, ending = self.unpacked(at)
-            self.ends[at] = self.emit(tuple(self.ranks[t] for _, t in self.tail(ending, p, len(p))))
+            _, p, ends = here or self.unpacked(at)
+            self.ends[at] = self.emit(self.tail(p, ends, len(p)))
         out.extend(self.emitted[self.ends[at]])
         return out
 

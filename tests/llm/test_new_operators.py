@@ -280,3 +280,21 @@ def test_unlike_sets_are_told_apart_before_they_are_met(spark):
     assert {k: x.linked for k, x in got.items()} == {(1, 2): True, (1, 3): False, (2, 3): False}
     exact = {(1, 2): 1 - 5800 / 6100, (1, 3): 1 - 3000 / 9000, (2, 3): 1 - 3000 / 8900}
     assert all(got[k].least <= d + 1e-12 and d <= got[k].most + 1e-12 for k, d in exact.items()) and got[1, 2].least == got[1, 2].most
+
+
+def test_moves_asked_for_once_are_not_saved():
+    import tiktoken
+
+    from corpusmill.llm import bpe
+
+    ranks = bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    r, t = random.Random(4), bpe.Transducer(ranks)
+    rare = ["".join(r.choices("etaoinshrdlu", k=12)) for _ in range(3000)]
+    want, saved = [library.encode_ordinary(x) for x in rare], []
+    for _ in range(3):
+        assert [t.encode(x.encode()) for x in rare] == want
+        saved.append(len(t.states))
+    few = bpe.Transducer(ranks, 50)  # starts anew again and again
+    assert [few.encode(x.encode()) for x in rare[:300]] == want[:300]
+    assert saved[0] < 12_000 < saved[2]
