@@ -2,11 +2,12 @@
 
 Pieces are found on arrays of code points, hashed to 64 bits, looked up in a sorted table and compared with the piece
 that stands there, so that two pieces with one hash never share ids; only pieces not seen before by the worker reach
-the encoder. The table is bounded: when it is full it starts anew.
+the encoder. The table is bounded: when it is full only pieces stay that several blocks had.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 import sys
 import unicodedata
@@ -21,7 +22,9 @@ SPACE, LETTER, NUMBER, OTHER, END = range(5)
 #: Code points of Unicode's White_Space. Fixed values.
 WHITE = [9, 10, 11, 12, 13, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]
 #: Characters in one array; a longer text is cut where a single space stands between two words.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
+#: Characters of a piece that the cache holds.
+LONGEST = 32
 SEPARATOR = sys.maxunicode + 1
 _CUT = re.compile(r"(?<=[a-zA-Z]) (?=[a-zA-Z])")
 
@@ -95,24 +98,30 @@ def pieces(texts: list[str], kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def equal(a: np.ndarray, at_a: np.ndarray, b: np.ndarray, at_b: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Whether a[at_a : at_a + n] equals b[at_b : at_b + n], for each."""
-    differ = np.flatnonzero(a[ragged(at_a, n)] != b[ragged(at_b, n)])
-    out = np.ones(len(n), bool)
-    if len(differ):
-        out[np.searchsorted(np.cumsum(n), differ, "right")] = False
+    """Whether a[at_a : at_a + n] equals b[at_b : at_b + n], for each; of 16-bit items, with three more behind the last."""
+    x, y = (np.ndarray((len(v) - 3,), "<u8", v, strides=(2,)) for v in (a, b))
+    out, left = np.ones(len(n), bool), np.arange(len(n))
+    while len(left):
+        differ = (x[at_a] ^ y[at_b]) & _MASKS[np.minimum(n, 4)]
+        out[left[differ != 0]] = False
+        go = (n > 4) & (differ == 0)
+        left, at_a, at_b, n = left[go], at_a[go] + 4, at_b[go] + 4, n[go] - 4
     return out
 
 
+_MASKS = np.array([(1 << 16 * k) - 1 for k in range(5)], U64)
+
+
 class Pool:
     """An array that grows at its end."""
 
-    def __init__(self) -> None:
-        self.data, self.used = np.zeros(1 << 16, np.uint32), 0
+    def __init__(self, kind=np.uint32) -> None:
+        self.data, self.used = np.zeros(1 << 16, kind), 0
 
     def add(self, values: np.ndarray) -> int:
         """The place of the added values."""
-        while self.used + len(values) > len(self.data):
-            self.data = np.concatenate([self.data, np.zeros(len(self.data), np.uint32)])
+        if self.used + len(values) + 4 > len(self.data):
+            self.data = np.concatenate([self.data[: self.used], np.zeros((self.used >> 2) + len(values) + 4, self.data.dtype)])
         self.data[self.used : self.used + len(values)] = values
         self.used += len(values)
         return self.used - len(values)
@@ -121,60 +130,104 @@ class Pool:
 class PieceCache:
     """Ids of pieces; ``encode`` gets a list of new pieces and returns a list of id lists.
 
-    It starts anew at ``most`` pieces or ``characters`` of them, so that long pieces do not pile up either.
+    Pieces of more than ``LONGEST`` characters or with one beyond 16 bits are encoded in each block anew. At ``most``
+    pieces or ``characters`` of them those go that few blocks had, so that frequent pieces stay.
     """
 
-    def __init__(self, encode, kinds: np.ndarray, most: int = 1_000_000, characters: int = 3_500_000) -> None:
+    def __init__(self, encode, kinds: np.ndarray, most: int = 400_000, characters: int = 4_500_000) -> None:
         self.encode, self.kinds, self.most, self.characters = encode, kinds, most, characters
         self.clear()
 
     def clear(self) -> None:
-        self.keys = np.zeros(0, U64)
-        self.at, self.n, self.text_at, self.text_n = (np.zeros(0, np.int64) for _ in range(4))
-        self.ids_pool, self.texts = Pool(), Pool()
-
-    def _encoded(self, cp: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        self.keys, self.slot = np.zeros(0, U64), np.zeros(0, np.int32)
+        # by slot: ends in the pools, and in how many blocks the piece was
+        self.ids_end, self.text_end, self.blocks = np.zeros(1, np.int32), np.zeros(1, np.int32), np.zeros(0, np.uint8)
+        self.ids_pool, self.texts = Pool(), Pool(np.uint16)
+
+    def _trim(self) -> None:
+        """Keeps at most half of the pieces, those that most blocks had."""
+        n, size = np.diff(self.ids_end), np.diff(self.text_end)
+        least = 2
+        while (stay := self.blocks >= least).sum() > self.most // 2 or size[stay].sum() > self.characters // 2:
+            if least > 255:
+                return self.clear()
+            least *= 2
+        old, (keys, slot) = (self.ids_end, self.ids_pool.data, self.text_end, self.texts.data, self.blocks), (self.keys, self.slot)
+        self.clear()
+        kept = np.flatnonzero(stay)
+        self.ids_pool.add(old[1][ragged(old[0][kept].astype(np.int64), n[kept])])
+        self.texts.add(old[3][ragged(old[2][kept].astype(np.int64), size[kept])])
+        self.ids_end, self.text_end = (np.concatenate([[0], np.cumsum(x[kept])]).astype(np.int32) for x in (n, size))
+        self.blocks = old[4][kept] >> 1
+        here = stay[slot]
+        self.keys, self.slot = keys[here], (np.cumsum(stay) - 1)[slot[here]].astype(np.int32)
+
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pieces one after the other, and their number for each."""
-        lists = self.encode([cp[i:j].tobytes().decode("utf-32-le", "surrogatepass") for i, j in zip(first.tolist(), last.tolist(), strict=True)])
+        lists = self.encode(words)
         n = np.fromiter(map(len, lists), np.int64, len(lists))
-        return np.fromiter((i for ids in lists for i in ids), np.uint32, int(n.sum())), n
-
-    def _add(self, keys: np.ndarray, cp: np.ndarray, first: np.ndarray, last: np.ndarray) -> None:
-        flat, n = self._encoded(cp, first, last)
-        size = last - first
-        at = self.ids_pool.add(flat) + np.cumsum(n) - n
-        text_at = self.texts.add(cp[ragged(first, size)]) + np.cumsum(size) - size
+        return np.fromiter(itertools.chain.from_iterable(lists), np.uint32, int(n.sum())), n
+
+    def _add(self, keys: np.ndarray, short: np.ndarray, said: str, first: np.ndarray, size: np.ndarray) -> None:
+        flat, n = self._encoded([said[i : i + k] for i, k in zip(first.tolist(), size.tolist(), strict=True)])
+        slots = np.arange(len(self.blocks), len(self.blocks) + len(keys), dtype=np.int32)
+        self.ids_end = np.concatenate([self.ids_end, (self.ids_pool.add(flat) + np.cumsum(n)).astype(np.int32)])
+        self.text_end = np.concatenate([self.text_end, (self.texts.add(short[ragged(first, size)]) + np.cumsum(size)).astype(np.int32)])
+        self.blocks = np.concatenate([self.blocks, np.zeros(len(keys), np.uint8)])
         where = np.searchsorted(self.keys, keys)
-        for name, values in (("at", at), ("n", n), ("text_at", text_at), ("text_n", size), ("keys", keys)):
-            setattr(self, name, np.insert(getattr(self, name), where, values))
+        self.keys, self.slot = np.insert(self.keys, where, keys), np.insert(self.slot, where, slots)
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and each text's offsets into them."""
         cp, first, last, before = pieces(texts, self.kinds)
         size = last - first
-        hashes, index, inverse = np.unique(spans_hash(cp.view(np.uint8), 4 * first, 4 * size), return_index=True, return_inverse=True)
+        odd = size > LONGEST
+        wide = np.flatnonzero(cp > 0xFFFF)  # separators as well
+        if len(first):
+            at = np.maximum(np.searchsorted(first, wide, "right") - 1, 0)
+            odd[at[wide < last[at]]] = True
+        cp[cp == SEPARATOR] = 0
+        said = cp.tobytes().decode("utf-32-le", "surrogatepass")
+        short = np.zeros(len(cp) + 4, np.uint16)
+        short[: len(cp)] = cp
+        del cp, wide
+        usual = np.flatnonzero(~odd)
+        start, length = first[usual], size[usual]
+        hashes, index, inverse = np.unique(spans_hash(short.view(np.uint8), 2 * start, 2 * length), return_index=True, return_inverse=True)
         if len(self.keys) > self.most or self.texts.used > self.characters:
-            self.clear()
+            self._trim()
         where = np.searchsorted(self.keys, hashes)
         new = np.ones(len(hashes), bool)
         inside = where < len(self.keys)
         new[inside] = self.keys[where[inside]] != hashes[inside]
         if new.any():
-            self._add(hashes[new], cp, first[index[new]], last[index[new]])
+            self._add(hashes[new], short, said, start[index[new]], length[index[new]])
             where = np.searchsorted(self.keys, hashes)
-        found = where[inverse]
-        same = self.text_n[found] == size
-        same[same] = equal(cp, first[same], self.texts.data, self.text_at[found[same]], size[same])
-        n = self.n[found]
-        at, pool = self.at[found], self.ids_pool.data
-        if not same.all():  # another piece has their hash
-            flat, count = self._encoded(cp, first[~same], last[~same])
-            n[~same] = count
-            at[~same] = self.ids_pool.used + np.cumsum(count) - count
-            pool = np.concatenate([pool[: self.ids_pool.used], flat])
-        out = pool[ragged(at, n)]
+        slots = self.slot[where]
+        self.blocks[slots] = np.minimum(self.blocks[slots], 254) + 1
+        slots = slots[inverse]
+        text_at = self.text_end[slots].astype(np.int64)
+        same = self.text_end[slots + 1] - text_at == length
+        same[same] = equal(short, start[same], self.texts.data, text_at[same], length[same])
+        n, at = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+        at[usual] = self.ids_end[slots]
+        n[usual] = self.ids_end[slots + 1] - at[usual]
+        odd[usual[~same]] = True  # another piece has their hash
         sums = np.zeros(len(n) + 1, np.int64)
+        rest = np.flatnonzero(odd)
+        if not len(rest):
+            np.cumsum(n, out=sums[1:])
+            return self.ids_pool.data[ragged(at, n)], sums[before]
+        number: dict[str, int] = {}
+        which = np.array([number.setdefault(said[i:j], len(number)) for i, j in zip(first[rest].tolist(), last[rest].tolist(), strict=True)])
+        flat, count = self._encoded(list(number))
+        n[rest] = count[which]
         np.cumsum(n, out=sums[1:])
+        at[rest] = 0
+        out = np.zeros(int(sums[-1]), np.uint32)
+        few = np.where(odd, 0, n)
+        out[ragged(sums[:-1], few)] = self.ids_pool.data[ragged(at, few)]
+        out[ragged(sums[rest], n[rest])] = flat[ragged((np.cumsum(count) - count)[which], n[rest])]
         return out, sums[before]
 
 

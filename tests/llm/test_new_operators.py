@@ -282,6 +282,38 @@ def test_unlike_sets_are_told_apart_before_they_are_met(spark):
     assert all(got[k].least <= d + 1e-12 and d <= got[k].most + 1e-12 for k, d in exact.items()) and got[1, 2].least == got[1, 2].most
 
 
+def test_frequent_pieces_stay_when_the_cache_is_full():
+    import collections
+
+    from corpusmill.llm import bpe, pretokens
+
+    r, asked = random.Random(11), collections.Counter()
+
+    def number(words):
+        asked.update(words)
+        return [[len(w), *map(ord, w)] for w in words]
+
+    cache = pretokens.PieceCache(number, bpe._kinds(), most=1500)
+    frequent = ["".join(r.choices("abcdefgh", k=6)) + "z" for _ in range(300)]
+    for i in range(30):
+        words = frequent + ["".join(r.choices("abcdefgh", k=9)) for _ in range(400)] + ["😀", "x" * 100, "y" * 33]
+        r.shuffle(words)
+        ids, at = cache.ids([" ".join(words), None or "", words[i]])
+        want = [i for n, w in enumerate(words) for i in (len(w) + (n > 0), *map(ord, " " * (n > 0) + w))]
+        assert ids[: at[1]].tolist() == want and at[1] == at[2] and ids[at[2] :].tolist() == [len(words[i]), *map(ord, words[i])]
+        assert len(cache.keys) < 3000 and cache.ids_end[-1] == cache.ids_pool.used and cache.text_end[-1] == cache.texts.used
+    assert max(asked[f" {w}"] for w in frequent) <= 3
+
+
+def test_pieces_of_one_hash_keep_their_ids(monkeypatch):
+    from corpusmill.llm import bpe, pretokens
+
+    monkeypatch.setattr(pretokens, "spans_hash", lambda raw, at, n: np.full(len(at), 7, np.uint64))
+    cache = pretokens.PieceCache(lambda ws: [[*map(ord, w)] for w in ws], bpe._kinds())
+    for text in ("one two three one", "twice 漢字 é😀 two", "abcdefghij abcdefghik"):
+        assert cache.ids([text])[0].tolist() == [*map(ord, text)]
+
+
 def test_moves_asked_for_once_are_not_saved():
     import tiktoken
 
