@@ -128,6 +128,17 @@ def _cells(sets: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
     return (sets >> (U64(64) - bits)).astype(np.int64), (mix(sets) >> (U64(64) - bits)).astype(np.int64)
 
 
+def squeezed(counts: np.ndarray) -> bytes:
+    """A chunk of counts in as few bytes each as the largest needs, which go first, compressed by their frequencies only."""
+    kind = np.min_scalar_type(int(counts.max(initial=0)))
+    coder = zlib.compressobj(1, strategy=zlib.Z_HUFFMAN_ONLY if kind.itemsize == 1 else zlib.Z_DEFAULT_STRATEGY)
+    return bytes([kind.itemsize]) + coder.compress(counts.astype(kind).tobytes()) + coder.flush()
+
+
+def unsqueezed(x: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(x[1:]), f"<u{x[0]}").astype(np.int64)
+
+
 def profile(docs: DataFrame, cells: int) -> DataFrame:
     """Rows (doc_id, n, node, twin) of the documents, and rows (task, chunk, counts) of the tasks' count sketches."""
     schema = "doc_id long, n int, node long, twin long, task int, chunk int, counts binary"
@@ -147,7 +158,7 @@ def profile(docs: DataFrame, cells: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, m), pa.array(np.diff(at), pa.int32()), pa.array(_names(sets, at)), pa.array(_twins(sets, at)), none, none, pa.nulls(m, pa.binary())], names)
         used = [c for c in range(0, 2 * cells, CHUNK) if counts[c : c + CHUNK].any()]
         if used:
-            rows = [(None, None, None, None, task, c // CHUNK, zlib.compress(counts[c : c + CHUNK].astype(np.int64).tobytes(), 1)) for c in used]
+            rows = [(None, None, None, None, task, c // CHUNK, squeezed(counts[c : c + CHUNK])) for c in used]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names)
 
     return docs.withColumn("_task", F.spark_partition_id()).mapInArrow(run, schema)
@@ -160,11 +171,11 @@ def sketch(profiled: DataFrame, cells: int) -> tuple[np.ndarray, float]:
     def total(group: pd.DataFrame) -> np.ndarray:
         out = np.zeros(CHUNK, np.int64)
         for x in group.counts:
-            out += np.frombuffer(zlib.decompress(x), np.int64)
+            out += unsqueezed(x)
         return out
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"chunk": [group.chunk.iloc[0]], "counts": [zlib.compress(total(group).tobytes(), 1)]})
+        return pd.DataFrame({"chunk": [group.chunk.iloc[0]], "counts": [squeezed(total(group))]})
 
     def last(group: pd.DataFrame) -> pd.DataFrame:
         sums = total(group)

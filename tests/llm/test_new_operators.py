@@ -330,3 +330,13 @@ def test_moves_asked_for_once_are_not_saved():
     few = bpe.Transducer(ranks, 50)  # starts anew again and again
     assert [few.encode(x.encode()) for x in rare[:300]] == want[:300]
     assert saved[0] < 12_000 < saved[2]
+
+
+def test_sketches_are_squeezed():
+    from corpusmill.llm import jaccard
+
+    r = np.random.default_rng(5)
+    for counts in (r.poisson(1, jaccard.CHUNK), r.poisson(900, jaccard.CHUNK), np.array([0, 1 << 40]), np.array([255, 0]), np.array([256, 65536]), np.zeros(4, np.uint32)):
+        assert jaccard.unsqueezed(jaccard.squeezed(counts)).tolist() == counts.tolist()
+    # a task's counts of one for each cell take about two bits
+    assert len(jaccard.squeezed(r.poisson(1, jaccard.CHUNK).astype(np.uint32))) < 0.3 * jaccard.CHUNK
