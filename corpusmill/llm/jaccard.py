@@ -1,7 +1,8 @@
 """Exact Jaccard join of word-shingle sets, as components of linked documents.
 
-Documents with equal sets are one node. A node's name is a 64-bit hash of its set; names that a second hash shows to
-stand for different sets are given anew, so that 128 bits tell sets apart. The shingles have one global order: by frequency rank (from a count
+Documents with equal sets are one node. Sets are named by a 64-bit hash; names that a second hash shows to
+stand for different sets are given anew, so that 128 bits tell sets apart. A node goes by its smallest doc_id, as ids that
+lie close together take few bytes in a shuffle, or by its set's name where rows of one doc_id have different sets. The shingles have one global order: by frequency rank (from a count
 sketch over all documents), then by hash. A node's prefix is as long as needed so that two sets of the asked
 similarity must share, inside their prefixes, one shingle of the rare level or k shingles of one class of a
 frequent level; rare shingles are indexed alone, those of frequent classes as combinations of k. Of small sets, a shingle
@@ -34,6 +35,7 @@ from __future__ import annotations
 import itertools
 import math
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -43,7 +45,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .arrays import CODED, U64, blocks, code, mix, shingle_sets, utf8
-from .common import maybe_broadcast, release, small_batches, tidy, written
+from .common import BROADCAST_BYTES, maybe_broadcast, release, size_in_bytes, small_batches, tidy, written
 from .components import components
 
 WIDTH = 5
@@ -228,24 +230,45 @@ def _small_prefix(one: np.ndarray, count: np.ndarray, need: int, hot: int) -> li
     return out
 
 
-def signatures(docs: DataFrame, codes: np.ndarray, mean: float, cells: int, anew: Anew) -> DataFrame:
-    """Index entries (sig, salts, node, n, most) of the documents' sets.
+def packed(n: np.ndarray, most: np.ndarray, salts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An entry's n, most and salts in one number, ``most`` in 255ths of n rounded up; n apart where it takes over 16 bits.
+
+    From the lowest byte on, what is the same in most entries comes first, so that the rest lies beside the signature.
+    """
+    large = np.where(n < 1 << 16, 0, n)
+    head = np.where(large > 0, 0, n).astype(U64) << U64(48) | (-(-255 * most // n)).astype(U64) << U64(40) | salts.astype(U64)
+    return head.view(np.int64), large.astype(np.int32)
+
+
+#: SQL for the salts in ``packed``.
+SALTS = f"int(head & {(1 << 40) - 1})"
+
+
+def unpacked(entries: DataFrame) -> DataFrame:
+    """The entries with n, most (not less than it was) and salts instead of head and large."""
+    n = F.when(F.col("large") > 0, F.col("large")).otherwise(F.shiftrightunsigned("head", 48).cast("int"))
+    out = entries.withColumns({"n": n, "salts": F.expr(SALTS)})
+    return out.withColumn("most", F.expr("int((shiftrightunsigned(head, 40) & 255) * n div 255)")).drop("head", "large")
+
+
+def signatures(docs: DataFrame, codes: np.ndarray, mean: float, cells: int, names: Callable[..., np.ndarray]) -> DataFrame:
+    """Index entries (head, sig, node, large) of the documents' sets, see ``unpacked``; ``names`` gives the nodes.
 
     ``most`` bounds the overlap with a set whose first common shingle is that of the entry: the shingles from it on.
     For combinations, the frequent shingles: sets that share a rare one in their prefixes meet in its entry too.
     """
     shared = docs.sparkSession.sparkContext.broadcast(codes)
     mean, hot = max(1.0, mean), HOT
-    schema = "sig long, salts int, node long, n int, most int"
+    schema = "head long, sig long, node long, large int"
 
     def run(batches):
         release()
         codes = shared.value
         for b in batches:
-            for _, sets, at in _sets(b):
+            for row, sets, at in _sets(b):
                 if not len(sets):
                     continue
-                n, nodes = np.diff(at), _nodes(sets, at, anew)
+                n, nodes = np.diff(at), names(b, row, sets, at)
                 first, second = _cells(sets, cells)
                 count = CODED[np.minimum(codes[:cells][first], codes[cells:][second])]
                 rank = np.minimum(2 * np.log2(count / mean + 1), 31).astype(np.uint8)
@@ -286,7 +309,8 @@ def signatures(docs: DataFrame, codes: np.ndarray, mean: float, cells: int, anew
                         who.append(np.full(len(found), r))
                         most.append(np.fromiter((x[2] for x in found), np.int64, len(found)))
                 who = np.concatenate(who)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array((1 + np.concatenate(salts) // SALT_ROWS).astype(np.int32)), pa.array(nodes[who]), pa.array(n[who].astype(np.int32)), pa.array(np.concatenate(most).astype(np.int32))], ["sig", "salts", "node", "n", "most"])
+                head, large = packed(n[who], np.concatenate(most), 1 + np.concatenate(salts) // SALT_ROWS)
+                yield pa.RecordBatch.from_arrays([pa.array(head), pa.array(np.concatenate(sigs).view(np.int64)), pa.array(nodes[who]), pa.array(large)], ["head", "sig", "node", "large"])
 
     return docs.mapInArrow(run, schema)
 
@@ -306,18 +330,19 @@ def least_apart(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(p ^ q).sum())
 
 
-def beside(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
-    """The pairs (a, b), a written table, with these columns of both nodes."""
+def beside(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame], *columns: str) -> DataFrame:
+    """The pairs (a, b), a written table, with these columns of both nodes; ``sets`` gives them for the nodes asked for."""
     hint = maybe_broadcast(pairs)
-    left, right = (sets.select(F.col("node").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in columns)) for c in "ab")
+    left, right = (sets(pairs.select(F.col(c).alias("node"))).select(F.col("node").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in columns)) for c in "ab")
     # only the sets that pairs need are shuffled
     return left.join(hint, "a").join(right.join(hint, "b"), ["a", "b"]).select("a", "b", *(f"{x}_{c}" for x in columns for c in "ab"))
 
 
-def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def measured(pairs: DataFrame, sets: DataFrame, whole: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The pairs (a, b) with bounds of their Jaccard distance (least, most), and whether they are linked.
 
-    Pairs that their bitmaps forbid to be linked stop there; the others are measured on the whole sets.
+    Pairs that their bitmaps forbid to be linked stop there; the others are measured on the whole sets, which ``whole``
+    gives for the nodes asked for, or else are a column of ``sets``.
     """
 
     def bound(batches):
@@ -339,8 +364,8 @@ def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 out.append((x, y, 1 - common / both, 1 - common / both, 100 * common >= SIMILARITY * both))
             yield pa.RecordBatch.from_arrays([pa.array([z[k] for z in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_()))], ["a", "b", "least", "most", "linked"])
 
-    bounded = written(beside(written(pairs), sets, "bits", "m").mapInArrow(bound, "a long, b long, least double, open boolean"))
-    exact = beside(bounded.where("open").select("a", "b"), sets, "shingles").mapInArrow(run, "a long, b long, least double, most double, linked boolean")
+    bounded = written(beside(written(pairs), lambda _: sets, "bits", "m").mapInArrow(bound, "a long, b long, least double, open boolean"))
+    exact = beside(bounded.where("open").select("a", "b"), whole or (lambda _: sets), "shingles").mapInArrow(run, "a long, b long, least double, most double, linked boolean")
     return exact.union(bounded.where("not open").select("a", "b", "least", F.lit(1.0).alias("most"), F.lit(False).alias("linked")))
 
 
@@ -433,7 +458,26 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         again = spark.createDataFrame([(a, b, to) for (a, b), to in anew.items()], "node long, twin long, _to long")
         docs_nodes = docs_nodes.join(F.broadcast(again), ["node", "twin"], "left").withColumn("node", F.coalesce("_to", "node"))
     docs_nodes = docs_nodes.select("doc_id", "n", "node")
-    entries = signatures(docs, codes, mean, cells, anew).withColumn("salt", F.pmod("node", "salts")).repartition("sig", "salt").dropDuplicates(["sig", "salt", "node"])
+    by_doc = docs_nodes.where("doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("_lo"), F.max("node").alias("_hi")).where("_lo <> _hi").isEmpty()
+    if by_doc:
+        stands = written(docs_nodes.groupBy("node").agg(F.min("doc_id").alias("_stand")))
+        docs_nodes = written(docs_nodes.join(stands, "node").select("doc_id", "n", F.col("_stand").alias("node")))
+
+    def names(batch: pa.RecordBatch, row: int, sets: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return batch.column(0).slice(row, len(at) - 1).to_numpy() if by_doc else _nodes(sets, at, anew)
+
+    docs = docs.where("doc_id is not null")
+    entries = signatures(docs, codes, mean, cells, names)
+    if by_doc:  # one document of each set has entries; its copies' go before they are shuffled, or those of shared ones after
+        copies = written(docs_nodes.where("doc_id <> node").select(F.col("doc_id").alias("node")).distinct())
+        few = size_in_bytes(copies) <= BROADCAST_BYTES
+        entries = entries.join(F.broadcast(copies), "node", "left_anti") if few else entries
+    entries = entries.select("head", "sig", "node", "large", F.pmod("node", F.expr(SALTS)).alias("salt")).repartition("sig", "salt").dropDuplicates(["sig", "salt", "node"])
+    if by_doc and not few:
+        met = unpacked(entries).withColumn("size", F.count("*").over(W.partitionBy("sig", "salt"))).where("size > 1 or salts > 1").drop("size")
+        entries = written(met).join(copies, "node", "left_anti")
+    else:
+        entries = unpacked(entries)
     one = W.partitionBy("sig", "salt")
     shared = entries.withColumn("size", F.count("*").over(one)).where("size > 1 or salts > 1")
     # a salted entry's nodes may have their like under another salt
@@ -446,32 +490,44 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     bridges = salted.withColumn("a", F.min("centre").over(W.partitionBy("sig"))).where("a <> centre").select("a", F.col("centre").alias("b"))
     active = written(folded(shared))
 
-    # the sets of nodes in shared entries, made anew from one text each
+    # what tells the sets of nodes in shared entries apart, from one text each
     nodes = written(active.select("node").distinct())
     n_nodes = nodes.count()
-    chosen = docs_nodes.join(maybe_broadcast(nodes), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    chosen = maybe_broadcast(written(chosen.select("doc_id")))
-    wanted = docs.join(chosen, "doc_id", "left_semi")
+    chosen = written(docs_nodes.join(maybe_broadcast(nodes), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
     # several rows of one doc_id may bring a set twice
-    repeated = docs_nodes.join(chosen, "doc_id", "left_semi").count() > n_nodes
+    repeated = docs_nodes.join(maybe_broadcast(chosen.select("doc_id")), "doc_id", "left_semi").count() > n_nodes
 
-    def make(batches):
-        release()
-        for b in batches:
-            for _, sets, at in _sets(b):
-                if m := len(at) - 1:
-                    words = parities(sets, at)
-                    ones = [sets[i:j] for i, j in itertools.pairwise(at.tolist())]
-                    columns = [pa.array(_nodes(sets, at, anew)), pa.array([x.tobytes() for x in ones], pa.binary()), pa.array([bitmap(x) for x in ones], pa.binary()), pa.array(np.diff(at), pa.int32()), *(pa.array(words[:, k].copy()) for k in range(WORDS))]
-                    yield pa.RecordBatch.from_arrays(columns, ["node", "shingles", "bits", "m", *odd])
+    def from_texts(doc_ids: DataFrame, columns: Callable[[np.ndarray, np.ndarray], list[pa.Array]], schema: str) -> DataFrame:
+        """These columns of the sets of the chosen documents, and their nodes."""
+
+        def make(batches):
+            release()
+            for b in batches:
+                for row, sets, at in _sets(b):
+                    if len(at) > 1:
+                        yield pa.RecordBatch.from_arrays([pa.array(names(b, row, sets, at)), *columns(sets, at)], titles)
+
+        titles = ["node", *(x.split()[0] for x in schema.split(", "))]
+        made = docs.join(maybe_broadcast(doc_ids), "doc_id", "left_semi").mapInArrow(make, f"node long, {schema}")
+        return made.dropDuplicates(["node"]) if repeated else made
+
+    def marks(sets: np.ndarray, at: np.ndarray) -> list[pa.Array]:
+        words = parities(sets, at)
+        return [pa.array([bitmap(sets[i:j]) for i, j in itertools.pairwise(at.tolist())], pa.binary()), pa.array(np.diff(at), pa.int32()), *(pa.array(words[:, k].copy()) for k in range(WORDS))]
+
+    def shingles(sets: np.ndarray, at: np.ndarray) -> list[pa.Array]:
+        return [pa.array([sets[i:j].tobytes() for i, j in itertools.pairwise(at.tolist())], pa.binary())]
+
+    def whole(asked: DataFrame) -> DataFrame:
+        """The whole sets of these nodes: made anew each time, as few of all nodes need them and they take more than the texts."""
+        return from_texts(written(chosen.join(maybe_broadcast(written(asked.distinct())), "node", "left_semi").select("doc_id")), shingles, "shingles binary")
 
     odd = [f"odd{k}" for k in range(WORDS)]
-    sets = wanted.mapInArrow(make, f"node long, shingles binary, bits binary, m int, {', '.join(f'{o} long' for o in odd)}")
-    sets = written(sets.dropDuplicates(["node"]) if repeated else sets)
+    sets = written(from_texts(chosen.select("doc_id"), marks, f"bits binary, m int, {', '.join(f'{o} long' for o in odd)}"))
 
     # each node against the centre that it shares most entries with; the centres of a salted entry against its first
-    first = written(measured(first, sets))
-    links = written(first.union(measured(bridges.distinct(), sets)).where("linked").select("a", "b"))
+    first = written(measured(first, sets, whole))
+    links = written(first.union(measured(bridges.distinct(), sets, whole)).where("linked").select("a", "b"))
     labels = components(links)
     # bounds of each node's distance to one pivot, which tell many pairs apart by the triangle inequality
     pivots = first.select(F.col("b").alias("node"), F.col("a").alias("pivot"), F.col("least").alias("off"), F.col("most").alias("far"))
@@ -484,7 +540,7 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         active = rest.select("sig", "node", "n", "most")
         n_nodes = rest.select("node").distinct().count()
         near = nearest(rest.where(f"own <> component and {possible('n', 'n_centre', 'most', 'most_centre')}"))
-        more = written(measured(near, sets).where("linked").select("a", "b"))
+        more = written(measured(near, sets, whole).where("linked").select("a", "b"))
         # another round of centres only pays as long as it settles a fair share of the nodes
         last = turn > 1 and 20 * more.count() < n_nodes
         if last:  # all that is left between components
@@ -498,7 +554,7 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             near = f"component_a <> component_b and a < b and {possible('n_a', 'n_b', 'most_a', 'most_b')}"
             near += f" and (pivot_a <> pivot_b or greatest(off_a - far_b, off_b - far_a) <= {(100 - SIMILARITY) / 100} + 1e-9)"
             near += f" and {100 + SIMILARITY} * ({' + '.join(f'bit_count({o}_a ^ {o}_b)' for o in odd)}) <= {100 - SIMILARITY} * (n_a + n_b)"
-            more = more.union(written(measured(x.join(y, ["sig", "_share"]).where(near).select("a", "b").distinct(), sets).where("linked").select("a", "b")))
+            more = more.union(written(measured(x.join(y, ["sig", "_share"]).where(near).select("a", "b").distinct(), sets, whole).where("linked").select("a", "b")))
         if not more.isEmpty():
             links = written(links.union(more))
             labels = components(links)

@@ -340,3 +340,57 @@ def test_sketches_are_squeezed():
         assert jaccard.unsqueezed(jaccard.squeezed(counts)).tolist() == counts.tolist()
     # a task's counts of one for each cell take about two bits
     assert len(jaccard.squeezed(r.poisson(1, jaccard.CHUNK).astype(np.uint32))) < 0.3 * jaccard.CHUNK
+
+
+def near_and_repeated(r):
+    """Rows (doc_id, text) with near and exact copies, repeated and null doc_ids."""
+    from tests.llm.test_operators import words
+
+    bases = [" ".join(words(i, 40)) for i in range(12)]
+    texts = [bases[i % 12] + (f" u{i} v{i}" if r.random() < 0.5 else "") for i in range(120)] + [None, "", "a b"]
+    return [(7 * i + 3, t) for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("odd", ["plain", "copies", "repeats"])
+def test_nodes_by_doc_ids_and_by_sets(spark, monkeypatch, odd):
+    """Copies dropped before the shuffle or after it, and rows of one doc_id with different sets: as by brute force."""
+    from corpusmill.llm import jaccard
+    from tests.llm.test_operators import brute_components
+
+    if odd == "copies":
+        monkeypatch.setattr(jaccard, "BROADCAST_BYTES", -1)
+        monkeypatch.setattr(jaccard, "SALT_ROWS", 7)
+    rows = near_and_repeated(random.Random(5))
+    want = brute_components([t for _, t in rows])
+    want = [(i, n, rows[top][0]) for (i, _), (n, top) in zip(rows, want, strict=True)]
+    more = [(None, rows[0][1]), (None, "of no other row at all")] + ([(rows[0][0], "quite another text of one more row"), (rows[5][0], rows[5][1])] if odd == "repeats" else [rows[5]])
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows + more], DOCS)
+    got = collections.Counter((x.doc_id, x.n_shingles, x.component_id) for x in jaccard.link_components(df).collect())
+    extra = [(None, want[0][1], None), (None, 2, None), want[5]] + ([(rows[0][0], 3, rows[0][0])] if odd == "repeats" else [])
+    assert got == collections.Counter(want + extra)
+
+
+def test_whole_sets_are_not_kept_for_all_candidates(spark, monkeypatch):
+    """Texts that only share some rare shingles never have their whole sets written."""
+    from corpusmill.llm import jaccard
+    from tests.llm.test_operators import words
+
+    tables = []
+    real = jaccard.written
+    monkeypatch.setattr(jaccard, "written", lambda df, *path: tables.append(df.columns) or real(df, *path))
+    texts = [" ".join(words(i // 2, 20) + words(1000 + i, 60)) for i in range(40)]
+    assert all(x.component_id == x.doc_id for x in jaccard.link_components(docs(spark, texts)).collect())
+    assert any("bits" in t for t in tables) and not any("shingles" in t for t in tables)
+
+
+def test_packed_entries(spark):
+    from corpusmill.llm import jaccard
+
+    r = np.random.default_rng(2)
+    n = np.concatenate([np.arange(1, 400), r.integers(400, 1 << 16, 300), [65535, 65536, 1 << 20, (1 << 31) - 1]])
+    most, salts = np.maximum(1, n - (n * r.random(len(n)) * 0.3).astype(np.int64)), r.integers(1, 1 << 30, len(n))
+    head, large = jaccard.packed(n, most, salts)
+    rows = list(zip(head.tolist(), range(len(n)), range(len(n)), large.tolist(), strict=True))
+    got = sorted(jaccard.unpacked(spark.createDataFrame(rows, "head long, sig long, node long, large int")).collect(), key=lambda x: x.sig)
+    assert [x.n for x in got] == n.tolist() and [x.salts for x in got] == salts.tolist()
+    assert all(m <= x.most <= min(x.n, m + x.n / 255) for x, m in zip(got, most.tolist(), strict=True))
